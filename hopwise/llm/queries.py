@@ -4,17 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hopwise.llm import minhash
+from hopwise.llm import embedding, minhash, sharding, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op5_minhash": op5_minhash}
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(table(spark, sf_dir, "documents"))
+
+
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(table(spark, sf_dir, "pages"), urls.listed(spark))
+
+
+QUERIES = {"op1_embedding": op1_embedding, "op5_minhash": op5_minhash, "op7_sharding": op7_sharding, "op8_urls": op8_urls}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_urls": urls.ORACLE}
