@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hopwise.llm import embedding, minhash, sharding, urls
+from hopwise.llm import embedding, minhash, sharding, substrings, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(table(spark, sf_dir, "pages"), urls.listed(spark))
 
 
-QUERIES = {"op1_embedding": op1_embedding, "op5_minhash": op5_minhash, "op7_sharding": op7_sharding, "op8_urls": op8_urls}
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.without_repeats(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_embedding": op1_embedding, "op5_minhash": op5_minhash, "op7_sharding": op7_sharding, "op8_urls": op8_urls, "op9_substrings": op9_substrings}
 
 ORACLES: dict[str, str] = {"op8_urls": urls.ORACLE}
