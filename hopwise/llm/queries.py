@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from hopwise.llm import embedding, minhash, sharding, substrings, urls
+from hopwise.llm import embedding, minhash, sharding, substrings, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +32,13 @@ def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.without_repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_embedding": op1_embedding, "op5_minhash": op5_minhash, "op7_sharding": op7_sharding, "op8_urls": op8_urls, "op9_substrings": op9_substrings}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = toxicity.scored(docs, table(spark, sf_dir, "labels"))
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    return found.select("doc_id", held_out.alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.7).cast("int").alias("predicted"))
+
+
+QUERIES = {"op1_embedding": op1_embedding, "op5_minhash": op5_minhash, "op7_sharding": op7_sharding, "op8_urls": op8_urls, "op9_substrings": op9_substrings, "op10_toxicity": op10_toxicity}
 
 ORACLES: dict[str, str] = {"op8_urls": urls.ORACLE}
