@@ -4,9 +4,10 @@
    minimum hashes. Texts with equal fingerprints form a class and only its smallest doc_id goes on.
 2. In each bucket of each band all members are compared with the bucket's smallest id. That links large groups of near
    copies without listing their pairs.
-3. Buckets whose members still lie in several components get the rest: each member outside the bucket's largest
-   component against the members of all other components. After that every candidate pair has been compared or lies in
-   one component, so no bucket needs a cap.
+3. Buckets whose members still lie in several components get the rest. Up to 32 members, the pairs of different components
+   are listed. Larger buckets are cut into blocks of about 512 members and every two blocks are a tile: one task compares
+   its rows, verifies what is likely, the likeliest first, and returns only links that join two components. After that every
+   candidate pair has been compared or lies in one component, so no bucket needs a cap.
 4. A comparison looks at the signatures a batch at a time and stops as soon as the chance that the similarity reaches the
    threshold (uniform prior, so a Beta posterior) falls below `miss`; the survivors are compared on their full sets.
 
@@ -29,6 +30,7 @@ from hopwise.llm import hashing as H
 from hopwise.llm.shared import checkpointed, connected_components, stored
 
 BANDS, ROWS, BATCH = 26, 5, 26
+PAIRED, BLOCK_ROWS, BLOCK_SHINGLES = 32, 512, 1 << 20
 SEEDS = np.random.default_rng(41).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 FEATURES = "doc_id long, n_shingles long, f1 long, f2 long, signature binary, bands array<long>"
 
@@ -145,6 +147,60 @@ def _exact(percent: int):
     return run
 
 
+def _tiles(percent: int, miss: float):
+    total = BANDS * ROWS
+    steps = [(n, least_matches(n, percent / 100, miss)) for n in range(BATCH, total + 1, BATCH)]
+
+    def likely(sig, left, right, component, doc):
+        """Pairs of different components that pass all batches, for some rows against many."""
+        same = (sig[left, None, :BATCH] == sig[None, right, :BATCH]).sum(axis=2, dtype=np.int32)
+        x, y = np.nonzero((same >= steps[0][1]) & (component[left, None] != component[None, right]))
+        count, x, y = same[x, y], left[x], right[y]
+        for (seen, _), (n, least) in zip(steps, steps[1:], strict=False):
+            count = count + (sig[x, seen:n] == sig[y, seen:n]).sum(axis=1, dtype=np.int32)
+            keep = count >= least
+            count, x, y = count[keep], x[keep], y[keep]
+        return count, x, y
+
+    def run(table):
+        import pyarrow as pa
+
+        doc, component, block, band = (table.column(c).to_numpy() for c in ("doc_id", "component", "block", "band"))
+        sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(-1, total)
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+        i = table.column("i")[0].as_py()
+        left = np.flatnonzero(block == i)
+        right = np.flatnonzero(block == table.column("j")[0].as_py())
+        found = []
+        for r in range(0, len(left), 32):
+            count, x, y = likely(sig, left[r : r + 32], right, component, doc)
+            # a pair that meets in several bands is looked at in the first
+            first = (sig[x] == sig[y]).reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band[0]
+            once = first & ((doc[x] < doc[y]) if len(left) == len(right) and left[0] == right[0] else True)
+            found.append(np.stack([count[once], x[once], y[once]]))
+        root: dict[int, int] = {}
+
+        def top(c):
+            while c in root:
+                c = root[c]
+            return c
+
+        links = []
+        pairs = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
+        for _, x, y in pairs[:, np.argsort(-pairs[0], kind="stable")].T.tolist():
+            p, q = top(component[x]), top(component[y])
+            if p == q:
+                continue
+            s, t = sets[x], sets[y]
+            both = int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum())
+            if 100 * both >= percent * (len(s) + len(t) - both):
+                root[max(p, q)] = min(p, q)
+                links.append((doc[x], doc[y]))
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 80, miss: float = 1e-6) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): one row per input row."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -152,41 +208,51 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = features.where("doc_id is not null and n_shingles > 0")
 
     copies = checkpointed(named.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("other")).where("rep <> other").select("f1", "f2", "rep"))
-    links = checkpointed(named.join(copies, ["f1", "f2"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a <> b"))
+    links = checkpointed(named.select("f1", "f2", "doc_id").join(copies, ["f1", "f2"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a <> b"))
     copied = links.select(F.col("b").alias("doc_id"))
     single = named.join(copied, "doc_id", "left_anti")
 
-    banded = single.select("doc_id", F.explode("bands").alias("bucket"))
+    banded = single.select("doc_id", F.posexplode("bands").alias("band", "bucket"))
     buckets = checkpointed(banded.groupBy("bucket").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep <> last").select("bucket", "rep"))
-    members = checkpointed(banded.join(buckets, "bucket").select("bucket", "rep", "doc_id"))
+    members = checkpointed(banded.join(buckets, "bucket").select("bucket", "band", "rep", "doc_id"))
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        return stored(texts.join(ids.select("doc_id").distinct(), "doc_id").mapInArrow(_sets(width), "doc_id long, shingles binary").dropDuplicates(["doc_id"]))
+
+    def signatures_of(ids: DataFrame) -> DataFrame:
+        return stored(features.select("doc_id", "signature", "n_shingles").join(ids.select("doc_id").distinct(), "doc_id").dropDuplicates(["doc_id"]))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) that reach the similarity."""
-        sig = features.select("doc_id", "signature").where("doc_id is not null").dropDuplicates(["doc_id"])
+        pairs = checkpointed(pairs)
+        sig = signatures_of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
         left, right = (sig.select(F.col("doc_id").alias(c), F.col("signature").alias(f"sig_{c}")) for c in "ab")
         likely = checkpointed(pairs.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_likely(percent / 100, miss), "a long, b long"))
-        needed = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        sets = stored(texts.join(needed, "doc_id").mapInArrow(_sets(width), "doc_id long, shingles binary").dropDuplicates(["doc_id"]))
+        sets = sets_of(likely.select(F.explode(F.array("a", "b")).alias("doc_id")))
         left, right = (sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "ab")
         return checkpointed(likely.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(_exact(percent), "a long, b long"))
 
-    stars = members.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a <> b").distinct()
-    near = verified(stars)
+    near = verified(members.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a <> b").distinct())
     found = connected_components(near)
 
-    placed = members.join(found, members.doc_id == found.node, "left").select("bucket", "rep", "doc_id", F.coalesce("component_id", "doc_id").alias("component"))
-    sizes = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-    mixed = checkpointed(
-        sizes.groupBy("bucket")
-        .agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts"))
-        .where("parts > 1 and n > 2")
-        .select("bucket", F.col("most.component").alias("largest"))
-    )
-    if not mixed.isEmpty():
-        rest = checkpointed(placed.join(mixed, "bucket").where("doc_id <> rep"))
-        few = rest.where("component <> largest").select("bucket", F.col("doc_id").alias("x"), F.col("component").alias("cx"))
-        pairs = rest.join(few, "bucket").where("component <> cx").select(F.least("doc_id", "x").alias("a"), F.greatest("doc_id", "x").alias("b")).distinct()
-        near = near.union(verified(pairs))
+    placed = members.join(found, members.doc_id == found.node, "left").select("bucket", "band", "rep", "doc_id", F.coalesce("component_id", "doc_id").alias("component"))
+    sizes = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("c0"), F.max("component").alias("c1"))
+    mixed = checkpointed(sizes.where("c0 <> c1 and n > 2").select("bucket", "n"))
+    rest = checkpointed(placed.join(mixed, "bucket").where("doc_id <> rep").drop("rep"))
+    few = rest.where(F.col("n") <= PAIRED)
+    other = few.select("bucket", F.col("doc_id").alias("y"), F.col("component").alias("cy"))
+    pairs = few.join(other, "bucket").where("doc_id < y and component <> cy").select(F.col("doc_id").alias("a"), F.col("y").alias("b")).distinct()
+    near = near.union(verified(pairs))
+
+    many = rest.where(F.col("n") > PAIRED)
+    known = signatures_of(many).join(sets_of(many), "doc_id")
+    blocks = many.join(known.select("doc_id", "n_shingles"), "doc_id").groupBy("bucket")
+    blocks = checkpointed(blocks.agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks")))
+    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    tiles = many.join(blocks, "bucket").withColumn("block", block).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    tiles = tiles.select("bucket", "band", "doc_id", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    tiles = tiles.join(known.drop("n_shingles"), "doc_id").groupBy("bucket", "i", "j")
+    near = near.union(checkpointed(tiles.applyInArrow(_tiles(percent, miss), "a long, b long")))
 
     components = connected_components(links.union(near))
     return (

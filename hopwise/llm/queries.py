@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopwise.llm import embedding, minhash, sharding, substrings, toxicity, urls
+from hopwise.llm import embedding, html_text, minhash, sharding, substrings, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents"))
 
@@ -39,6 +43,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {"op1_embedding": op1_embedding, "op5_minhash": op5_minhash, "op7_sharding": op7_sharding, "op8_urls": op8_urls, "op9_substrings": op9_substrings, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_embedding": op1_embedding, "op5_minhash": op5_minhash, "op6_html": op6_html, "op7_sharding": op7_sharding, "op8_urls": op8_urls, "op9_substrings": op9_substrings, "op10_toxicity": op10_toxicity}
 
 ORACLES: dict[str, str] = {"op8_urls": urls.ORACLE}
