@@ -48,9 +48,21 @@ def _words_of(texts: list[str]) -> H.Words:
 _unit_hashes = np.sort(_words_of(UNITS).hash)
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with capital Latin (ASCII and Latin-1), Greek and Cyrillic letters in lower case."""
+    out = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
+    lead, last = data[:-1], data[1:]
+    to = out[1:]
+    for first, low, high, shift, up in ((0xC3, 0x80, 0x9E, 32, 0), (0xCE, 0x91, 0x9F, 32, 0), (0xCE, 0xA0, 0xA9, -32, 1), (0xD0, 0x90, 0x9F, 32, 0), (0xD0, 0xA0, 0xAF, -32, 1)):
+        hit = (lead == first) & (last >= low) & (last <= high) & ~((first == 0xC3) & (last == 0x97))
+        to[hit] = last[hit] + np.uint8(shift % 256)
+        out[:-1][hit] += np.uint8(up)
+    return out
+
+
 def template(data: np.ndarray, ends: np.ndarray) -> tuple[H.Words, np.ndarray, np.ndarray]:
     """Tokens with template hashes, which of them are slots, and every token's own hash."""
-    plain = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
+    plain = lowered(data)
     keep = _alnum[data]
     if len(data) > 2:
         inner = np.zeros(len(data), bool)
@@ -65,7 +77,7 @@ def template(data: np.ndarray, ends: np.ndarray) -> tuple[H.Words, np.ndarray, n
     digits = sums(_digit[data])
     n_digits = digits[words.stop] - digits[words.start]
     letters = words.stop - words.start - n_digits
-    number = _digit[data[words.start]] & (letters - n_digits * 0 <= np.maximum(2, n_digits // 2))
+    number = _digit[data[words.start]] & (letters <= np.maximum(2, n_digits // 2))
     marks = sums(_mark[data])
     opens = np.ones(len(own), bool)
     opens[1:] = marks[words.start[1:]] > marks[words.stop[:-1]]
