@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopwise.llm import decontamination, embedding, html_text, minhash, sharding, substrings, toxicity, urls
+from hopwise.llm import decontamination, embedding, html_text, minhash, mixing, secrets, sharding, substrings, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,15 @@ def op1_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mixed(docs, mixing.labelled_rows(docs, table(spark, sf_dir, "labels")))
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets(table(spark, sf_dir, "documents"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -47,6 +56,17 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {"op1_embedding": op1_embedding, "op3_decontamination": op3_decontamination, "op5_minhash": op5_minhash, "op6_html": op6_html, "op7_sharding": op7_sharding, "op8_urls": op8_urls, "op9_substrings": op9_substrings, "op10_toxicity": op10_toxicity}
+QUERIES = {
+    "op1_embedding": op1_embedding,
+    "op2_mixing": op2_mixing,
+    "op3_decontamination": op3_decontamination,
+    "op4_secrets": op4_secrets,
+    "op5_minhash": op5_minhash,
+    "op6_html": op6_html,
+    "op7_sharding": op7_sharding,
+    "op8_urls": op8_urls,
+    "op9_substrings": op9_substrings,
+    "op10_toxicity": op10_toxicity,
+}
 
 ORACLES: dict[str, str] = {"op8_urls": urls.ORACLE}

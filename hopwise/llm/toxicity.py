@@ -189,8 +189,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     return texts.join(F.broadcast(usable), "doc_id").select("doc_id", "text", "toxic", (left_out / 2).cast("int").alias("fold"))
 
 
-def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with a column `toxicity`, 0 to 1."""
+def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", score_col: str = "toxicity") -> DataFrame:
+    """docs with a score, 0 to 1, in the column `score_col`, which replaces one of that name."""
     fitted = model(training_rows(docs, labels, id_col, text_col))
     weights = fitted.get("weights")
 
@@ -205,4 +205,9 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             x = np.array([features(match, folded(t)) for t in batch], float).reshape(-1, 3)
             yield pd.Series(1 / (1 + np.exp(-np.clip(x @ np.array(weights[:3]) + weights[3], -30, 30))))
 
-    return docs.withColumn("toxicity", F.pandas_udf(run, "double", F.PandasUDFType.SCALAR_ITER)(F.col(text_col).cast("string")))
+    return docs.withColumn(score_col, F.pandas_udf(run, "double", F.PandasUDFType.SCALAR_ITER)(F.col(text_col).cast("string")))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.7) -> DataFrame:
+    """The rows of docs that score below `least`, with all their columns."""
+    return scored(docs, labels, id_col, text_col, "__toxicity").where(F.col("__toxicity") < least).drop("__toxicity")
