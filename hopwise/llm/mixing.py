@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from hopwise.llm.shared import stored
 
-LABELLED, HASHED_WORDS, SHARPNESS, STEPS = 5_000, 1 << 14, 25.0, 25
+LABELLED, HASHED_WORDS, SHARPNESS, STEPS, CLOSE = 5_000, 1 << 14, 25.0, 25, 1e-5
 
 
 def _words(docs: DataFrame, text: Column) -> DataFrame:
@@ -77,12 +77,16 @@ def fitted_rates(known: DataFrame, domains: list[str], weights: dict[str, float]
     n, p = F.col("n_tokens").cast("double"), F.col("posterior")
 
     def totals(steps: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
-        rate = _after(steps, p, least)
-        free = F.when(rate > least, n).otherwise(0.0) if steps else n
-        sums = [F.sum(rate * n * F.get(p, i)) for i in range(k)]
-        gram = [F.sum(free * F.get(p, i) * F.get(p, j)) for i in range(k) for j in range(k)]
-        row = [x or 0.0 for x in known.agg(*[c.alias(f"c{i}") for i, c in enumerate(sums + gram)]).first()]
-        return np.array(row[:k]), np.array(row[k:]).reshape(k, k)
+        rated = known.select(n.alias("n"), p.alias("posterior"), _after(steps, p, least).alias("r"))
+        share = [F.get("posterior", i) for i in range(k)]
+        free = F.when((F.col("r") > least) | F.lit(not steps), F.col("n")).otherwise(0.0)
+        pairs = [(i, j) for i in range(k) for j in range(i + 1)]
+        sums = [F.sum(F.col("r") * F.col("n") * x) for x in share] + [F.sum(free * share[i] * share[j]) for i, j in pairs]
+        row = [x or 0.0 for x in rated.agg(*[c.alias(f"c{i}") for i, c in enumerate(sums)]).first()]
+        gram = np.zeros((k, k))
+        for (i, j), x in zip(pairs, row[k:], strict=True):
+            gram[i, j] = gram[j, i] = x
+        return np.array(row[:k]), gram
 
     now, gram = totals([])
     if now.sum() == 0:
@@ -101,7 +105,7 @@ def fitted_rates(known: DataFrame, domains: list[str], weights: dict[str, float]
         off = float(np.abs(now - target).max() / total)
         if off < best[0]:
             best = (off, len(steps))
-        if off < 1e-9 or len(steps) - best[1] >= 5:
+        if off < CLOSE or len(steps) - best[1] >= 5:
             break
         ridge = np.eye(k) * (1e-9 * max(np.trace(gram), 1.0))
         steps.append(np.linalg.solve(gram + ridge, now - target).tolist())
