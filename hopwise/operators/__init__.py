@@ -1,0 +1,15 @@
+"""Helpers of the graph operators."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts the lineage in the folder the session names in spark.checkpoint.dir, or in one of its own where none is named."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="hopwise-checkpoint-"))
+    return df.checkpoint(eager=True)
