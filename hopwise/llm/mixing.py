@@ -19,6 +19,8 @@ rate. Without a labelled row all documents are of one domain, `none`. Domains th
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.ml.classification import NaiveBayes
 from pyspark.ml.feature import ElementwiseProduct, HashingTF, Normalizer, StringIndexer
@@ -71,8 +73,8 @@ def _after(steps: list[list[float]], p: Column, least: float) -> Column:
     return rate
 
 
-def fitted_rates(known: DataFrame, domains: list[str], weights: dict[str, float] | None = None, least: float = 1.0) -> tuple[Column, dict[str, tuple[float, float]]]:
-    """The rate as an expression on `posterior`, and each domain's target and fitted token total; known: (n_tokens, posterior)."""
+def fitted_rates(known: DataFrame, domains: list[str], weights: dict[str, float] | None = None, least: float = 1.0) -> tuple[Callable[[Column], Column], dict[str, tuple[float, float]]]:
+    """The rate as a function of the posterior, and each domain's target and fitted token total; known: (n_tokens, posterior)."""
     k = len(domains)
     n, p = F.col("n_tokens").cast("double"), F.col("posterior")
 
@@ -90,7 +92,7 @@ def fitted_rates(known: DataFrame, domains: list[str], weights: dict[str, float]
 
     now, gram = totals([])
     if now.sum() == 0:
-        return F.lit(1.0), {d: (0.0, 0.0) for d in domains}
+        return lambda p: F.lit(1.0), {d: (0.0, 0.0) for d in domains}
     if weights is None:
         share = np.where(now > 0, now / now.sum(), 0) ** 0.7
     else:
@@ -112,7 +114,7 @@ def fitted_rates(known: DataFrame, domains: list[str], weights: dict[str, float]
         now, gram = totals(steps)
     steps = steps[: best[1]]
     now, _ = totals(steps)
-    return _after(steps, p, least), {d: (float(t), float(x)) for d, t, x in zip(domains, target, now, strict=True)}
+    return lambda p: _after(steps, p, least), {d: (float(t), float(x)) for d, t, x in zip(domains, target, now, strict=True)}
 
 
 def mixed(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None = None, least: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -123,7 +125,7 @@ def mixed(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None
     rate, _ = fitted_rates(known, domains, weights, least)
     most = F.array_max("posterior")
     names = F.array(*[F.lit(d) for d in domains])
-    out = known.withColumn("rate", F.when(F.col("n_tokens") > 0, rate).otherwise(F.lit(1.0)))
+    out = known.withColumn("rate", F.when(F.col("n_tokens") > 0, rate(F.col("posterior"))).otherwise(F.lit(1.0)))
     copies = F.floor("rate") + (F.col("u") < F.col("rate") - F.floor("rate")).cast("long")
     return out.select("doc_id", "n_tokens", F.get(names, (F.array_position("posterior", most) - 1).cast("int")).alias("domain"), most.alias("posterior"), "rate", copies.alias("copies"))
 
@@ -143,6 +145,11 @@ def drawn(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None
     known, domains = posteriors(docs, labelled, text_col)
     rate, _ = fitted_rates(stored(known.select("n_tokens", "posterior")), domains, weights, least)
     u = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(5)), F.lit(1 << 52)) / F.lit(float(1 << 52))
-    rate = F.when(F.col("n_tokens") > 0, rate).otherwise(F.lit(1.0))
-    out = known.withColumn("__rate", rate).withColumn("__copies", (F.floor("__rate") + (u < F.col("__rate") - F.floor("__rate")).cast("long")).cast("int"))
-    return out.where("__copies > 0").withColumn("__copy", F.explode(F.expr("sequence(1, __copies)"))).select(*place.values()).toDF(*columns)
+
+    def copies(row: Column) -> Column:
+        # within a lambda the posterior is a value; as a column the optimizer would repeat the classifier at each mention
+        one = F.transform(F.array(F.when(row["n"] > 0, rate(row["p"])).otherwise(F.lit(1.0))), lambda r: (F.floor(r) + (row["u"] < r - F.floor(r)).cast("long")).cast("int"))
+        return F.array_repeat(F.lit(1), F.get(one, 0))
+
+    row = F.struct(F.col("n_tokens").alias("n"), F.col("posterior").alias("p"), u.alias("u"))
+    return known.withColumn("__copy", F.explode(F.flatten(F.transform(F.array(row), copies)))).select(*place.values()).toDF(*columns)
