@@ -38,25 +38,26 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Every round each node points to its smallest neighbour, pointers are followed twice, and the edges are rewritten
     between what is pointed to. Only local minima survive a round, at most half of the nodes, so rounds grow with the
     logarithm of the longest path. A hub is only ever reduced by a partial aggregation or met in a join that adaptive
-    execution can split. Self loops and null ends are ignored; nodes without an edge are not listed.
+    execution can split. Rounds are written as Parquet: checkpoints keep the constraints of their plans, which double from round
+    to round. Self loops and null ends are ignored; nodes without an edge are not listed.
     """
     spark = edges.sparkSession
-    edges = checkpointed(edges.where("a < b or a > b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    edges = stored(edges.where("a < b or a > b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     members = None
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a"))
-        step = checkpointed(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("p")))
+        step = stored(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("p")))
         up = step.select(F.col("v").alias("p"), F.col("p").alias("pp"))
-        step = checkpointed(step.join(up, "p").select("v", F.col("pp").alias("p")))
+        step = stored(step.join(up, "p").select("v", F.col("pp").alias("p")))
         members = (
             step.select(F.col("v").alias("node"), F.col("p").alias("component_id"))
             if members is None
             else members.join(step, members.component_id == step.v, "left").select("node", F.coalesce("p", "component_id").alias("component_id"))
         )
-        members = checkpointed(members)
+        members = stored(members)
         to_a, to_b = step.select(F.col("v").alias("a"), F.col("p").alias("pa")), step.select(F.col("v").alias("b"), F.col("p").alias("pb"))
         moved = edges.join(to_a, "a").join(to_b, "b").where("pa <> pb")
-        edges = checkpointed(moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
+        edges = stored(moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
     if members is None:
         return spark.createDataFrame([], "node long, component_id long")
     return members
