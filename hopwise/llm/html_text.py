@@ -19,6 +19,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hopwise.llm.shared import series_udf
+
 # Element names by their role in HTML.
 BLOCK = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -44,18 +46,37 @@ LABELLED = [
     # inside an article
     (10, 0.0, 9, 0.0, 60, 0.0, 0, 1, 0, 1, 1), (70, 0.0, 10, 0.0, 90, 0.0, 0, 1, 0, 0, 1), (2, 0.0, 80, 0.0, 40, 0.0, 0, 1, 0, 0, 1), (1, 0.0, 1, 0.0, 1, 0.0, 0, 1, 0, 0, 1),
     (40, 0.1, 70, 0.0, 5, 0.0, 0, 1, 0, 0, 1), (6, 0.4, 60, 0.0, 70, 0.0, 0, 1, 0, 0, 1), (9, 1.0, 60, 0.0, 70, 0.0, 0, 1, 0, 0, 1), (300, 0.0, 0, 0.0, 0, 0.0, 0, 1, 0, 0, 1),
+    (2, 0.0, 21, 0.0, 0, 0.0, 0, 1, 0, 0, 1), (1, 0.0, 0, 0.0, 0, 0.0, 0, 1, 0, 0, 1), (6, 0.0, 0, 0.0, 0, 0.0, 0, 1, 0, 0, 1), (30, 0.0, 40, 0.0, 0, 0.0, 0, 1, 0, 0, 1), (3, 0.7, 50, 0.0, 0, 0.0, 0, 1, 0, 0, 1), (4, 0.0, 0, 0.0, 0, 0.0, 0, 1, 0, 1, 1),
+    (12, 0.0, 3, 1.0, 2, 1.0, 0, 1, 0, 0, 1), (5, 0.0, 2, 1.0, 8, 0.9, 0, 1, 0, 1, 1), (9, 0.2, 5, 1.0, 0, 0.0, 0, 1, 0, 0, 1), (8, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0, 0, 1), (20, 0.9, 30, 0.0, 0, 0.0, 0, 1, 0, 0, 1), (2, 1.0, 0, 0.0, 0, 0.0, 0, 1, 0, 0, 1),
+    (1, 1.0, 90, 0.0, 1, 1.0, 0, 1, 0, 0, 1), (50, 0.6, 10, 0.8, 10, 0.8, 0, 1, 0, 0, 1), (3, 0.0, 1, 1.0, 0, 0.0, 0, 1, 0, 1, 1), (15, 0.0, 0, 0.0, 60, 0.0, 0, 1, 0, 0, 1), (70, 0.8, 0, 0.0, 0, 0.0, 0, 1, 0, 0, 1), (6, 0.8, 2, 0.5, 40, 0.0, 0, 1, 0, 1, 1),
     # beside the page's article
     (30, 0.0, 3, 1.0, 10, 0.0, 0, 0, 1, 0, 0), (80, 0.0, 80, 0.0, 0, 0.0, 0, 0, 1, 0, 0), (5, 0.0, 1, 0.0, 60, 0.0, 0, 0, 1, 1, 0), (3, 1.0, 1, 1.0, 1, 1.0, 0, 0, 1, 0, 0),
+    (50, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1, 0, 0), (9, 0.0, 0, 0.0, 70, 0.0, 0, 0, 1, 0, 0), (25, 0.0, 60, 0.0, 14, 0.0, 0, 0, 1, 0, 0), (12, 0.0, 2, 1.0, 8, 0.0, 0, 0, 1, 1, 0), (200, 0.0, 90, 0.0, 10, 0.0, 0, 0, 1, 0, 0), (60, 0.1, 5, 1.0, 20, 0.0, 0, 0, 1, 0, 0),
     # pages that mark no article
     (60, 0.0, 8, 0.0, 70, 0.0, 0, 0, 0, 0, 1), (35, 0.1, 60, 0.0, 45, 0.1, 0, 0, 0, 0, 1), (18, 0.0, 60, 0.0, 3, 1.0, 0, 0, 0, 0, 1), (8, 0.0, 2, 1.0, 60, 0.0, 0, 0, 0, 1, 1),
     (7, 0.0, 70, 0.0, 60, 0.1, 0, 0, 0, 0, 1), (90, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 1), (16, 0.1, 3, 0.0, 30, 0.0, 0, 0, 0, 0, 1), (5, 0.0, 45, 0.0, 80, 0.0, 0, 0, 0, 0, 1),
     (4, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0, 0), (3, 0.0, 0, 0.0, 4, 1.0, 0, 0, 0, 1, 0), (6, 0.9, 2, 1.0, 50, 0.0, 0, 0, 0, 0, 0), (20, 0.8, 40, 0.0, 18, 0.9, 0, 0, 0, 0, 0),
     (2, 1.0, 0, 0.0, 6, 0.0, 0, 0, 0, 0, 0), (3, 1.0, 0, 0.0, 70, 0.0, 0, 0, 0, 0, 0), (2, 1.0, 18, 0.0, 0, 0.0, 0, 0, 0, 0, 0), (5, 0.9, 60, 0.0, 0, 0.0, 0, 0, 0, 0, 0), (12, 0.7, 70, 0.0, 30, 0.0, 0, 0, 0, 0, 0),
     (6, 0.0, 2, 1.0, 19, 0.0, 0, 0, 0, 1, 1), (25, 0.0, 2, 1.0, 30, 0.0, 0, 0, 0, 0, 1), (30, 0.0, 4, 1.0, 60, 0.1, 0, 0, 0, 0, 1), (70, 0.0, 6, 1.0, 2, 1.0, 0, 0, 0, 0, 1), (15, 0.2, 40, 0.0, 60, 0.0, 0, 0, 0, 0, 1),
+    (40, 0.0, 70, 0.0, 5, 0.0, 0, 0, 0, 0, 1), (30, 0.0, 50, 0.0, 2, 1.0, 0, 0, 0, 0, 1), (25, 0.0, 30, 0.0, 14, 0.0, 0, 0, 0, 0, 1), (120, 0.0, 1, 1.0, 9, 0.0, 0, 0, 0, 0, 1), (55, 0.1, 8, 0.0, 12, 0.3, 0, 0, 0, 0, 1),
+    (2, 0.0, 18, 0.0, 18, 0.0, 0, 0, 0, 0, 1), (4, 0.0, 20, 0.0, 30, 0.0, 0, 0, 0, 0, 1), (5, 0.0, 2, 1.0, 19, 0.0, 0, 0, 0, 1, 1), (4, 0.0, 1, 1.0, 30, 0.0, 0, 0, 0, 1, 1), (3, 0.0, 15, 0.0, 40, 0.0, 0, 0, 0, 1, 1),
     (40, 0.7, 3, 1.0, 5, 1.0, 0, 0, 0, 0, 0), (2, 1.0, 60, 0.0, 2, 1.0, 0, 0, 0, 0, 0), (7, 0.0, 2, 1.0, 5, 1.0, 0, 0, 0, 0, 0), (5, 0.0, 3, 0.9, 0, 0.0, 0, 0, 0, 0, 0),
 ]
 
 
+def with_places(rows: list[tuple]) -> np.ndarray:
+    """The labelled rows, and once more as they would be elsewhere: no main text in chrome or beside an article, main text inside one."""
+    out = [tuple(r) for r in rows]
+    for r in rows:
+        if r[-1] and not r[7]:
+            out += [(*r[:6], 1, 0, 0, r[9], 0), (*r[:6], 0, 0, 1, r[9], 0)]
+        elif r[-1]:
+            out.append((*r[:6], 1, 1, 0, r[9], 0))
+        elif not any(r[6:9]):
+            out.append((*r[:6], 0, 1, 0, r[9], 1))
+    return np.array(out, float)
+
+
 def fitted(rows: np.ndarray, depth: int = 8):
     """A decision tree (feature, threshold, tree up to it, tree above it) or a leaf 0 or 1, by Gini impurity."""
     y = rows[:, -1]
@@ -187,7 +208,7 @@ def main_text(page: str | None, tree) -> str:
 
 def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", labelled: list[tuple] = LABELLED) -> DataFrame:
     """(page_id, url, text, n_chars): one row per input row. labelled: rows of FEATURES and 0 or 1, a small table."""
-    tree = fitted(np.array(labelled, float))
+    tree = fitted(with_places(labelled))
 
     def run(batches):
         import pandas as pd
@@ -195,6 +216,6 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         for batch in batches:
             yield pd.Series([main_text(x, tree) for x in batch], dtype=object)
 
-    text = F.pandas_udf(run, "string", F.PandasUDFType.SCALAR_ITER)(F.col(html_col).cast("string"))
+    text = series_udf(run, "string")(F.col(html_col).cast("string"))
     out = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), text.alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("long"))

@@ -69,4 +69,40 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {"op8_urls": urls.ORACLE}
+COMPONENTS = """
+reach(a, b) as (select a, b from links union select r.a, l.b from reach r join links l on l.a = r.b),
+comp as (select a as id, least(a, min(b)) as component_id from reach group by a)
+"""
+
+ORACLE_1 = f"""
+with recursive v as materialized (select vec_id, cast(embedding as double[]) as e from embeddings
+  where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and list_sum(list_transform(embedding, lambda x: abs(x))) > 0),
+links as materialized (select x.vec_id as a, y.vec_id as b from v x join v y on x.vec_id <> y.vec_id and len(x.e) = len(y.e) where list_cosine_similarity(x.e, y.e) >= 0.95),
+n as (select a as id, count(*) as n from links group by a),
+{COMPONENTS}
+select vec_id, coalesce(n, 0) as n_links, coalesce(component_id, vec_id) as component_id, coalesce(component_id, vec_id) = vec_id as kept
+from embeddings left join n on n.id = vec_id left join comp on comp.id = vec_id
+"""
+
+ORACLE_5 = rf"""
+with recursive w as materialized (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as materialized (select distinct doc_id, unnest(case when len(w) >= 4 then list_transform(range(1, len(w) - 2), lambda i: array_to_string(list_slice(w, i, i + 3), ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from w),
+n as materialized (select doc_id, count(*) as n from s group by doc_id),
+pairs as (select x.doc_id as a, y.doc_id as b, count(*) as shared from s x join s y on x.s = y.s and x.doc_id <> y.doc_id group by 1, 2),
+links as materialized (select a, b from pairs join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * shared >= 80 * (na.n + nb.n - shared)),
+{COMPONENTS}
+select d.doc_id, coalesce(n, 0) as n_shingles, coalesce(component_id, d.doc_id) as component_id, coalesce(component_id, d.doc_id) = d.doc_id as kept
+from documents d left join n on n.doc_id = d.doc_id left join comp on comp.id = d.doc_id
+"""
+
+ORACLE_9 = r"""
+with w as materialized (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+g as materialized (select doc_id, i, md5(array_to_string(list_slice(w, i, i + 49), ' ')) as g from (select doc_id, w, unnest(range(1, len(w) - 48)) as i from w where len(w) >= 50)),
+f as (select g, min(doc_id) as least from g group by g),
+gone as (select doc_id, unnest(range(i, i + 50)) as j from g join f using (g) where least < doc_id),
+removed as (select doc_id, list(distinct j) as js from gone group by doc_id),
+k as (select doc_id, w, coalesce(len(js), 0) as n_removed, js from w left join removed using (doc_id))
+select doc_id, len(w) as n_words, n_removed, sha256(case when n_removed = 0 then array_to_string(w, ' ') else array_to_string(list_filter(w, lambda x, i: not list_contains(js, i)), ' ') end) as kept_sha256 from k
+"""
+
+ORACLES: dict[str, str] = {"op1_embedding": ORACLE_1, "op5_minhash": ORACLE_5, "op8_urls": urls.ORACLE, "op9_substrings": ORACLE_9}

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import inspect
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +34,14 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def series_udf(run: Callable, kind: str):
+    """A function from batches of a column, as Pandas series, to batches of the same lengths."""
+    import pandas as pd
+
+    run.__annotations__ = {next(iter(inspect.signature(run).parameters)): Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, kind)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Components of an undirected graph given as (a long, b long) rows: (node, component_id), the smallest node id.
 

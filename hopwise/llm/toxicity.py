@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hopwise.llm.shared import checkpointed
+from hopwise.llm.shared import checkpointed, series_udf
 
 LABELLED, CANDIDATES, SHORTEST, LONGEST = 10_000, 20_000, 4, 10
 # Phrases in which a word of abuse is none.
@@ -205,7 +205,7 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             x = np.array([features(match, folded(t)) for t in batch], float).reshape(-1, 3)
             yield pd.Series(1 / (1 + np.exp(-np.clip(x @ np.array(weights[:3]) + weights[3], -30, 30))))
 
-    return docs.withColumn(score_col, F.pandas_udf(run, "double", F.PandasUDFType.SCALAR_ITER)(F.col(text_col).cast("string")))
+    return docs.withColumn(score_col, series_udf(run, "double")(F.col(text_col).cast("string")))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.7) -> DataFrame:
