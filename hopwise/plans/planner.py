@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from hopwise.errors import GraphTraversalError, QueryError
 from hopwise.functions.predicates import P, as_predicate, same
 from hopwise.graph import union
-from hopwise.operators import checkpointed
+from hopwise.operators import checkpointed, stored
 from hopwise.plans.state import Elem, State
 from hopwise.plans.traversal import TERMINALS, Cardinality, Scope, Step, Traversal
 
@@ -946,7 +946,7 @@ class Planner:
             if rounds > ROUNDS:
                 raise GraphTraversalError(f"repeat did not end after {ROUNDS} rounds")
             if kw.get("until_first"):
-                st = replace(st, df=checkpointed(st.df))
+                st = replace(st, df=stored(st.df))
                 out.append(self.existing(st, until.steps))
                 st = self.existing(st, until.steps, negate=True)
                 if st.df.isEmpty():
@@ -956,7 +956,7 @@ class Planner:
                     out.append(passing(st))
             else:
                 st = self.begun(self.applied(st, body))
-                st = replace(st, df=checkpointed(st.df))
+                st = replace(st, df=stored(st.df))
                 if emit:
                     out.append(passing(self.existing(st, until.steps, negate=True)))
                 out.append(passing(self.existing(st, until.steps)) if emit else self.existing(st, until.steps))
