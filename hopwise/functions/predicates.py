@@ -1,4 +1,5 @@
-"""Predicates of `has`, `is_` and `has_id`, each a function from a column and its type to a boolean column without nulls.
+"""Predicates of `has`, `is_` and `has_id`, each a function from a column and its type to a boolean column; null means false, so that
+filters reach the scan as they are, and whoever negates one says what null means.
 
 Number predicates are false for anything but numbers, string predicates (negated ones too) for anything but strings. A
 missing value satisfies only `neq` and `without`. `regex` matches from the start of the string.
@@ -20,7 +21,7 @@ class P:
     build: Callable[[Column, T.DataType], Column]
 
     def column(self, c: Column, kind: T.DataType) -> Column:
-        return F.coalesce(self.build(c, kind), F.lit(False))
+        return self.build(c, kind)
 
 
 def _flat(values: tuple) -> list:

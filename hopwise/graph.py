@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from hopwise.errors import GraphError
 
+CARRIED = "__v_"
 VERTEX_FIELDS, EDGE_FIELDS = ("id", "name", "labels", "_seq"), ("src", "dst", "eid", "_seq")
 
 
@@ -45,10 +46,11 @@ class EdgeTable:
     label: str
     src_label: str | None = None
     dst_label: str | None = None
+    carries: str | None = None  # the end, `src` or `dst`, whose properties the rows hold too, under CARRIED names
 
     @property
     def properties(self) -> dict[str, T.DataType]:
-        return {f.name: f.dataType for f in self.df.schema if f.name not in EDGE_FIELDS}
+        return {f.name: f.dataType for f in self.df.schema if f.name not in EDGE_FIELDS and not f.name.startswith(CARRIED)}
 
 
 def union(frames: list[DataFrame]) -> DataFrame:
@@ -80,7 +82,7 @@ class PropertyGraph:
         return union([t.df for t in self.vertices])
 
     def all_edges(self) -> DataFrame:
-        return union([t.df.withColumn("label", F.lit(t.label)) for t in self.edges])
+        return union([t.df.drop(*[c for c in t.df.columns if c.startswith(CARRIED)]).withColumn("label", F.lit(t.label)) for t in self.edges])
 
     def get_nodes(self, label: str | None = None, name: str | None = None) -> DataFrame:
         df = self.all_vertices()

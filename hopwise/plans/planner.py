@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from hopwise.errors import GraphTraversalError, QueryError
 from hopwise.functions.predicates import P, as_predicate, same
-from hopwise.graph import union
+from hopwise.graph import CARRIED, union
 from hopwise.operators import checkpointed, stored
 from hopwise.plans.state import Elem, State
 from hopwise.plans.traversal import TERMINALS, Cardinality, Scope, Step, Traversal
@@ -79,13 +79,12 @@ class Planner:
         listed = bool(steps) and steps[0].op == "V" and len(steps[0].args) > 1
         self.needs_order = listed or (any(s.op in ("range", "fold", "next") for s in every) and not self._sorted_first(steps))
 
-    @staticmethod
-    def _sorted_first(steps) -> bool:
-        """Whether every positional step of the main traversal comes after an order, and none stands in a sub-traversal."""
-        if any(s.op in ("range", "fold") for o in steps for t in _inner(o) for s in _walk(t.steps)):
-            return False
+    @classmethod
+    def _sorted_first(cls, steps) -> bool:
+        """Whether every positional step, in sub-traversals too, comes after an order of its own traversal."""
         at = [i for i, s in enumerate(steps) if s.op in ("range", "fold", "next")]
-        return bool(at) and any(s.op == "order" for s in steps[: at[0]])
+        own = not at or any(s.op == "order" for s in steps[: at[0]])
+        return own and all(cls._sorted_first(t.steps) for s in steps for t in _inner(s))
 
     def fresh(self, name: str) -> str:
         return f"c{next(self.count)}_{name}"
@@ -109,13 +108,23 @@ class Planner:
             return self.graph.spark.createDataFrame([], f"id {kind}, labels array<string>, _seq long, name string")
         return _common([t.df.select("id", "labels", "_seq", *self.wanted(t.properties)) for t in tables])
 
-    def edge_frame(self, tables) -> DataFrame:
-        """src, dst, eid, _seq, label, the ends' static labels and the wanted properties of these edge tables."""
+    def edge_frame(self, tables, far: str | None = None) -> DataFrame:
+        """src, dst, eid, _seq, label, the ends' static labels and the wanted properties of these edge tables.
+
+        far: an end whose properties are wanted as well, where the one table carries them.
+        """
         if not tables:
             kind = self.graph.id_type.simpleString()
             return self.graph.spark.createDataFrame([], f"src {kind}, dst {kind}, eid long, _seq long, label string, sl string, dl string")
         static = lambda x: F.lit(x).cast("string")
-        return _common([t.df.select("src", "dst", "eid", "_seq", F.lit(t.label).alias("label"), static(t.src_label).alias("sl"), static(t.dst_label).alias("dl"), *self.wanted(t.properties)) for t in tables])
+        return _common([t.df.select("src", "dst", "eid", "_seq", F.lit(t.label).alias("label"), static(t.src_label).alias("sl"), static(t.dst_label).alias("dl"), *self.wanted(t.properties), *self.held(tables, far)) for t in tables])
+
+    def held(self, tables, far: str | None) -> list[str]:
+        if far is None or len(tables) != 1 or tables[0].carries != far:
+            return []
+        label = tables[0].dst_label if far == "dst" else tables[0].src_label
+        known = [v for v in self.vertex_tables((label,)) if v.label == label]
+        return [CARRIED + k for k in self.wanted(known[0].properties) if CARRIED + k in tables[0].df.columns] if len(known) == 1 else []
 
     def begun(self, st: State) -> State:
         """The state with its scan made."""
@@ -235,9 +244,9 @@ class Planner:
                 return as_predicate(P("within", lambda c, k: _among(c, k, a[1]))).column(c, kind)
             if s.op == "contains":
                 many = list(a[1]) if isinstance(a[1], (list, tuple, set)) else [a[1]]
-                return F.coalesce(_all([F.array_contains(c, v) if isinstance(kind, T.ArrayType) else F.map_contains_key(c, v) if isinstance(kind, T.MapType) else c.contains(str(v)) for v in many]), F.lit(False))
+                return _all([F.array_contains(c, v) if isinstance(kind, T.ArrayType) else F.map_contains_key(c, v) if isinstance(kind, T.MapType) else c.contains(str(v)) for v in many])
             if isinstance(kind, T.ArrayType) and _first_key(a[0]) in ("label", "labels"):
-                return F.coalesce(F.exists(c, lambda x: as_predicate(a[1]).column(x, kind.elementType)), F.lit(False))
+                return F.exists(c, lambda x: as_predicate(a[1]).column(x, kind.elementType))
             return as_predicate(a[1]).column(c, kind)
         if s.op == "has_label":
             found = self.column(st, elem, "labels")
@@ -262,7 +271,7 @@ class Planner:
 
     def pure(self, st: State, steps) -> Column:
         """The condition that the steps give a result, from columns of the row alone."""
-        return F.coalesce(self._pure(st, st.cur, steps), F.lit(False))
+        return self._pure(st, st.cur, steps)
 
     def _pure(self, st: State, elem: Elem, steps) -> Column:
         cond = F.lit(True)
@@ -270,8 +279,8 @@ class Planner:
             if s.op in FILTERS:
                 cond = cond & self.test(st, elem, s)
             elif s.op in ("filter", "not", "and", "or"):
-                parts = [F.coalesce(self._pure(st, elem, t.steps), F.lit(False)) for t in s.args]
-                cond = cond & (~parts[0] if s.op == "not" else _any(parts) if s.op == "or" else _all(parts))
+                parts = [self._pure(st, elem, t.steps) for t in s.args]
+                cond = cond & (~_sure(parts[0]) if s.op == "not" else _any(parts) if s.op == "or" else _all(parts))
             elif s.op in ("values", "properties") and len(s.args) == 1:
                 found = self.column(st, elem, s.args[0])
                 if found is None:
@@ -333,7 +342,7 @@ class Planner:
     def existing(self, st: State, steps, negate: bool = False) -> State:
         st, cond = self.condition(st, steps)
         if cond is not None:
-            return replace(st, df=st.df.where(~cond if negate else cond))
+            return replace(st, df=st.df.where(~_sure(cond) if negate else cond))
         st, found, on = self.child(st, steps)
         hits = self.begun(found).df.select(*[F.col(b).alias(f"k{i}_{b}") for i, (_, b) in enumerate(on)])
         match = _all([F.col(a) == F.col(f"k{i}_{b}") for i, (a, b) in enumerate(on)])
@@ -499,7 +508,7 @@ class Planner:
             kinds += [t.label for t in tables]
             far |= {t.dst_label if d == "out" else t.src_label for t in tables}
             near |= {t.src_label if d == "out" else t.dst_label for t in tables}
-            e = self.edge_frame(tables)
+            e = self.edge_frame(tables, ("dst" if d == "out" else "src") if ends and way != "both" else None)
             a, b, la = ("src", "dst", "sl") if d == "out" else ("dst", "src", "dl")
             frames.append(e.withColumns({"__near": F.col(a), "__far": F.col(b), "__nl": F.col(la), "__back": F.lit(int(d == "in"))}))
         e = union(frames)
@@ -521,7 +530,7 @@ class Planner:
             df = st.df.join(e, on)
         if "_ord" in st.extras:
             df = df.withColumn("_ord", F.concat("_ord", F.array(F.col(names["__back"]).cast("long"), F.col(names["_seq"]).cast("long"))))
-        fields = {c: n for c, n in names.items() if not c.startswith("__") and c not in ("_seq", "sl", "dl")}
+        fields = {c: n for c, n in names.items() if (c.startswith(CARRIED) or not c.startswith("__")) and c not in ("_seq", "sl", "dl")}
         static = lambda x: None if None in x else tuple(sorted(x))
         ends_of = (static(near), static(far)) if way == "out" else (static(far), static(near)) if way == "in" else (static(near | far),) * 2
         if ends:
@@ -552,6 +561,10 @@ class Planner:
         column = f[which]
         labels = st.cur.ends[1] if which in ("dst", "far") else st.cur.ends[0]
         df, fields = st.df, {"id": column}
+        if held := {c[len(CARRIED) :]: n for c, n in f.items() if c.startswith(CARRIED)}:
+            name = self.fresh("labels")
+            fields |= held | {"labels": name}
+            return self.moved(st, df.withColumn(name, F.array(F.lit(labels[0]))), Elem("vertex", fields, labels, loaded=True))
         if labels and len(labels) > 1:
             name = self.fresh("labels")
             end = F.when(F.col(f["back"]) == 0, F.col(f["dl"])).otherwise(F.col(f["sl"])) if which == "far" else self._static(st, int(which == "dst"))
@@ -914,7 +927,7 @@ class Planner:
         st, key = self.scalar(st, s.args[0].steps)
         kind = st.type_of(key)
         named = [(k, t) for k, t in options if k is not None]
-        hit = lambda k: F.coalesce(same(F.col(key), kind, k), F.lit(False))
+        hit = lambda k: _sure(same(F.col(key), kind, k))
         parts = [self.applied(replace(st, df=st.df.where(hit(k))), t.steps) for k, t in named]
         for _, t in [o for o in options if o[0] is None]:
             rest = F.col(key).isNotNull() & ~_any([hit(k) for k, _ in named]) if named else F.col(key).isNotNull()
@@ -1007,6 +1020,7 @@ class Planner:
         labels = st.cur.labels
         setattr(self.graph, table, [changed(t) if labels is None or t.label is None or t.label in labels else t for t in tables])
         if st.cur.kind == "vertex":
+            self.graph.edges = [replace(t, carries=None) for t in self.graph.edges]  # what they hold is out of date
             keep = {k: c for k, c in st.cur.fields.items() if k in ("id",)}
             return replace(st, cur=replace(st.cur, fields=keep, loaded=False))
         return self.reread(st, on)
@@ -1122,7 +1136,12 @@ def _common(frames: list[DataFrame]) -> DataFrame:
 
 
 def _among(c: Column, kind: T.DataType, values) -> Column:
-    return F.coalesce(_any([same(c, kind, v) for v in values]), F.lit(False))
+    return _any([same(c, kind, v) for v in values])
+
+
+def _sure(cond: Column) -> Column:
+    """A condition whose null is false, for negation."""
+    return F.coalesce(cond, F.lit(False))
 
 
 def _all(conds: list[Column]) -> Column:

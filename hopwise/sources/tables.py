@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopwise.graph import EdgeTable, GraphConfig, PropertyGraph, VertexTable
+from hopwise.graph import CARRIED, EdgeTable, GraphConfig, PropertyGraph, VertexTable
 
 
 def vertices(df: DataFrame, label: str, key: str | Column, name: str) -> VertexTable:
@@ -15,12 +15,16 @@ def vertices(df: DataFrame, label: str, key: str | Column, name: str) -> VertexT
     return VertexTable(df.select(key.cast("long").alias("id"), F.col(name).cast("string").alias("name"), F.array(F.lit(label)).alias("labels"), key.cast("long").alias("_seq"), *own), label)
 
 
-def edges(df: DataFrame, label: str, src: tuple[str, str | Column], dst: tuple[str, str | Column], props: list[str] | None = None) -> EdgeTable:
-    """An edge for each row, from the vertex of one label and key to that of another."""
+def edges(df: DataFrame, label: str, src: tuple[str, str | Column], dst: tuple[str, str | Column], props: list[str] | None = None, carries: tuple[str, str] | None = None) -> EdgeTable:
+    """An edge for each row, from the vertex of one label and key to that of another.
+
+    carries: the end, `src` or `dst`, whose own table this is, and its name column; a hop to that end then needs no join for its properties.
+    """
     col = lambda x: F.col(x) if isinstance(x, str) else x
     a, b = col(src[1]).cast("long"), col(dst[1]).cast("long")
-    rows = df.select(a.alias("src"), b.alias("dst"), F.xxhash64(*df.columns).alias("eid"), b.alias("_seq"), *(props or []))
-    return EdgeTable(rows.where("src is not null and dst is not null"), label, src[0], dst[0])
+    held = [F.col(carries[1]).cast("string").alias(f"{CARRIED}name"), *[F.col(c).alias(CARRIED + c) for c in df.columns]] if carries else []
+    rows = df.select(a.alias("src"), b.alias("dst"), F.xxhash64(*df.columns).alias("eid"), b.alias("_seq"), *(props or []), *held)
+    return EdgeTable(rows.where("src is not null and dst is not null"), label, src[0], dst[0], carries[0] if carries else None)
 
 
 def table_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
@@ -37,13 +41,13 @@ def table_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
         vertices(t["events"], "event", "event_id", "event_type"),
     ]
     e = [
-        edges(t["nation"], "in_region", ("nation", "n_nationkey"), ("region", "n_regionkey")),
-        edges(t["customer"], "in_nation", ("customer", "c_custkey"), ("nation", "c_nationkey")),
-        edges(t["supplier"], "based_in", ("supplier", "s_suppkey"), ("nation", "s_nationkey")),
-        edges(t["orders"], "placed", ("customer", "o_custkey"), ("order", "o_orderkey")),
+        edges(t["nation"], "in_region", ("nation", "n_nationkey"), ("region", "n_regionkey"), carries=("src", "n_name")),
+        edges(t["customer"], "in_nation", ("customer", "c_custkey"), ("nation", "c_nationkey"), carries=("src", "c_name")),
+        edges(t["supplier"], "based_in", ("supplier", "s_suppkey"), ("nation", "s_nationkey"), carries=("src", "s_name")),
+        edges(t["orders"], "placed", ("customer", "o_custkey"), ("order", "o_orderkey"), carries=("dst", "o_orderkey")),
         edges(t["lineitem"], "contains", ("order", "l_orderkey"), ("part", "l_partkey"), line),
         edges(t["lineitem"], "shipped_by", ("order", "l_orderkey"), ("supplier", "l_suppkey"), line),
-        edges(t["events"], "did", ("customer", "user_id"), ("event", "event_id")),
+        edges(t["events"], "did", ("customer", "user_id"), ("event", "event_id"), carries=("dst", "event_type")),
     ]
     return PropertyGraph(spark, v, e, GraphConfig(multigraph=True))
 
