@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from hopwise.llm.shared import checkpointed, series_udf
 
-LABELLED, CANDIDATES, SHORTEST, LONGEST = 10_000, 20_000, 4, 10
+LABELLED, CANDIDATES, SHORTEST, LONGEST, FLUSHED = 10_000, 20_000, 4, 10, 150_000
 # Phrases in which a word of abuse is none.
 EXCEPTIONS = ["trash can", "trash bag", "trash bin", "clown fish", "circus clown", "pond scum", "soap scum", "sore loser"]
 # Look-alike characters and the letters they stand for.
@@ -69,11 +69,20 @@ def _count(batches):
     """Of labelled texts: pattern, fold, toxic, words that have it, texts that have it; the pattern '' counts all words."""
     import pyarrow as pa
 
+    words: dict[tuple[str, int, int], int] = defaultdict(int)
+    texts: Counter = Counter()
+
+    def counted():
+        keys = list(words)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.int32()), pa.array([words[k] for k in keys], pa.int64()), pa.array([texts[k] for k in keys], pa.int64())],
+            names=["pattern", "fold", "toxic", "words", "texts"],
+        )
+
     for batch in batches:
-        words: dict[tuple[str, int, int], int] = defaultdict(int)
-        texts: Counter = Counter()
-        for text, fold, toxic in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            mine = Counter(folded(text).split())
+        for text, fold, toxic in zip(*(batch.column(i) for i in range(3)), strict=True):
+            fold, toxic = fold.as_py(), toxic.as_py()
+            mine = Counter(folded(text.as_py()).split())
             own: Counter = Counter()
             for w, n in mine.items():
                 own[f" {w} "] += n
@@ -83,11 +92,11 @@ def _count(batches):
             for p, n in own.items():
                 words[p, fold, toxic] += n
             texts.update((p, fold, toxic) for p in own)
-        keys = list(words)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.int32()), pa.array([words[k] for k in keys], pa.int64()), pa.array([texts[k] for k in keys], pa.int64())],
-            names=["pattern", "fold", "toxic", "words", "texts"],
-        )
+            if len(words) > FLUSHED:
+                yield counted()
+                words.clear()
+                texts.clear()
+    yield counted()
 
 
 def lexicon(rows: list, total: tuple[float, float]) -> dict[str, float]:
