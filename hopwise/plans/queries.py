@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,13 @@ from pyspark.sql import functions as F
 
 from hopwise.functions.predicates import between, containing, ends_with, gt, gte, inside, lt, lte, neq, not_containing, not_ends_with, not_regex, not_starting_with, outside, regex, starting_with, within, without
 from hopwise.plans.traversal import Order, Scope, Source, Traversal
+from hopwise.graph import PropertyGraph
+from hopwise.operators import shared_dir
+from hopwise.sources.graphml import read_graphml, write_graphml
+from hopwise.sources.jsonfiles import graphson_lines, read_graphson
+from hopwise.sources.rdf import triples
 from hopwise.sources.tables import table_graph, talk_graph
+from hopwise.streaming.edges import degrees
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -201,3 +208,60 @@ def quads_lookup(g):
     q = g.graph.quads().where("p = 'in_region'").select("s", "o")
     names = {x: g.V().has_label(x).as_("v").values("name").as_("n").select("v", "n").to_df(x, f"{x}_name") for x in ("nation", "region")}
     return q.join(names["nation"], q.s == F.col("nation").cast("string")).join(names["region"], q.o == F.col("region").cast("string")).select(F.col("nation_name").alias("key"), F.col("region_name").alias("found"))
+
+
+# ---- files, exports, streams
+
+
+def nations(spark: SparkSession, sf_dir: str) -> PropertyGraph:
+    """Regions and nations only, with string ids that are unique over both."""
+    from hopwise.graph import EdgeTable, VertexTable
+
+    t = table_graph(spark, sf_dir)
+    keyed = lambda c, label: F.concat(F.lit(f"{label}:"), F.col(c).cast("string"))
+    v = [VertexTable(x.df.withColumn("id", keyed("id", x.label)), x.label) for x in t.vertices if x.label in ("region", "nation")]
+    e = next(x for x in t.edges if x.label == "in_region")
+    df = e.df.select(keyed("src", "nation").alias("src"), keyed("dst", "region").alias("dst"), "eid", "_seq")
+    return PropertyGraph(spark, v, [EdgeTable(df, "in_region", "nation", "region")], t.config)
+
+
+NAMES_SQL = "select n_name as nation, r_name as region from nation join region on n_regionkey = r_regionkey"
+
+
+def _names(graph: PropertyGraph) -> DataFrame:
+    return graph.traversal().V().has_label("nation").as_("n").out("in_region").as_("r").select("n", "r").by("name").by("name").to_df("nation", "region")
+
+
+@query(NAMES_SQL, nations)
+def graphml_round_trip(g):
+    """Written as one local file in the shared folder, so only where that is a local folder."""
+    path = f"{shared_dir(g.graph.spark).removeprefix('file://')}/hopwise-{uuid.uuid4().hex}.graphml"
+    write_graphml(g.graph, path)
+    return _names(read_graphml(g.graph.spark, f"file://{path}", edge_label_key="labelE"))
+
+
+@query(NAMES_SQL, nations)
+def graphson_round_trip(g):
+    path = f"{shared_dir(g.graph.spark)}/hopwise-{uuid.uuid4().hex}.json"
+    graphson_lines(g.graph).write.text(path)
+    return _names(read_graphson(g.graph.spark, path))
+
+
+@query("select 'http://example.org/nation:' || n_nationkey as s, 'http://example.org/region:' || n_regionkey as o from nation", nations)
+def rdf_triples(g):
+    return triples(g.graph).where("p = 'http://example.org/in_region'").select("s", "o")
+
+
+def stream_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of each user in each hour, from the table read as a stream of edges."""
+    events = f"{sf_dir}/events.parquet"
+    schema = spark.read.parquet(events).schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{events}*")
+    name = f"degrees_{uuid.uuid4().hex}"
+    counted = degrees(stream.select(F.col("user_id").alias("src"), F.col("event_id").alias("dst"), F.col("ts").cast("timestamp").alias("ts")))
+    counted.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name).select(F.col("start").cast("string").alias("hour"), "id", "n")
+
+
+QUERIES["stream_degrees"] = stream_degrees
+ORACLES["stream_degrees"] = "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as hour, user_id as id, count(*) as n from events group by all"

@@ -21,8 +21,11 @@ from hopwise.sources.graphml import read_graphml, write_graphml
 from hopwise.sources.jsonfiles import graphson_lines, read_graphson, read_json_tree
 
 
-def read_folder(spark: SparkSession, root: str, ignored: tuple[str, ...] = (".git", "__pycache__")) -> PropertyGraph:
-    """Directories and files under a folder, with HAS_FOLDER and HAS_FILE edges; ids are paths. File contents are not read."""
+def read_folder(spark: SparkSession, root: str, ignored: tuple[str, ...] = (".git", "__pycache__"), unfold: bool = False) -> PropertyGraph:
+    """Directories and files under a folder, with HAS_FOLDER and HAS_FILE edges; ids are paths.
+
+    Contents are only read with `unfold`: workbooks, presentations and PDF files then have their sheets, slides and titles as well.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", "modificationTime")
     base = re.sub(r"^file:/*", "/", str(root)).rstrip("/") if "://" not in str(root) or str(root).startswith("file:") else str(root).rstrip("/")
     plain = F.regexp_replace("path", "^file:/*", "/")
@@ -37,11 +40,19 @@ def read_folder(spark: SparkSession, root: str, ignored: tuple[str, ...] = (".gi
     f = files.select(F.col("p").alias("id"), name.alias("name"), F.array(F.lit("File")).alias("labels"), seq.alias("_seq"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.lower(F.regexp_extract("p", r"\.([^./]+)$", 1)).alias("extension"))
     edge = lambda df: df.select(parent.alias("src"), F.col("p").alias("dst"), seq.alias("eid"), seq.alias("_seq"))
     inner = folders.where(F.length("p") > len(base))
-    return PropertyGraph(spark, [VertexTable(aligned(v, f))], [EdgeTable(edge(inner), "HAS_FOLDER"), EdgeTable(edge(files), "HAS_FILE")])
-
-
-def _each(spark: SparkSession, path: str, schema: str, rows: Callable[[bytes], list[tuple]]) -> DataFrame:
-    """Rows made from the content of each file, with its path."""
+    vertices, edges = aligned(v, f), [EdgeTable(edge(inner), "HAS_FOLDER"), EdgeTable(edge(files), "HAS_FILE")]
+    if unfold:
+        for glob, read in (("*.xlsx", read_xlsx), ("*.pptx", read_pptx), ("*.pdf", read_pdf)):
+            found = read(spark, root, glob)
+            clean = lambda c: F.regexp_replace(c, "^file:/*", "/").alias(c)
+            parts = found.vertices[0].df.where(F.col("id").contains("#"))
+            vertices = aligned(vertices, parts.select(clean("id"), *[c for c in parts.columns if c != "id"]))
+            edges += [EdgeTable(t.df.select(clean("src"), clean("dst"), "eid", "_seq"), t.label) for t in found.edges]
+    return PropertyGraph(spark, [VertexTable(vertices)], edges)
+
+
+def _each(spark: SparkSession, path: str, schema: str, rows: Callable[[bytes], list[tuple]], glob: str | None = None) -> DataFrame:
+    """Rows made from the content of each file, with its path; glob: of all files below the path with such names."""
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches):
@@ -51,7 +62,9 @@ def _each(spark: SparkSession, path: str, schema: str, rows: Callable[[bytes], l
             for name, content in zip(batch["path"], batch["content"], strict=True):
                 yield pd.DataFrame([(name, *r) for r in rows(bytes(content))], columns=["path", *names])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, f"path string, {schema}")
+    reader = spark.read.format("binaryFile")
+    reader = reader.option("pathGlobFilter", glob).option("recursiveFileLookup", "true") if glob else reader
+    return reader.load(path).select("path", "content").mapInPandas(run, f"path string, {schema}")
 
 
 def _xml(data: bytes) -> ElementTree.Element:
@@ -85,9 +98,9 @@ def _cells(content: bytes) -> list[tuple]:
     return out
 
 
-def xlsx_cells(spark: SparkSession, path: str) -> DataFrame:
+def xlsx_cells(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """(path, sheet_index, sheet, column, row, value) of all cells of the workbooks at a path."""
-    return _each(spark, path, "sheet_index int, sheet string, column string, row int, value string", _cells)
+    return _each(spark, path, "sheet_index int, sheet string, column string, row int, value string", _cells, glob)
 
 
 def _slides(content: bytes) -> list[tuple]:
@@ -111,9 +124,9 @@ def _slides(content: bytes) -> list[tuple]:
     return out
 
 
-def pptx_slides(spark: SparkSession, path: str) -> DataFrame:
+def pptx_slides(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """(path, page, title, name, text, notes, deck, author) of all slides of the presentations at a path."""
-    return _each(spark, path, "page int, title string, name string, text array<string>, notes string, deck string, author string", _slides)
+    return _each(spark, path, "page int, title string, name string, text array<string>, notes string, deck string, author string", _slides, glob)
 
 
 def _outline(content: bytes) -> list[tuple]:
@@ -129,9 +142,9 @@ def _outline(content: bytes) -> list[tuple]:
     return [(pages, i, t) for i, t in enumerate(titles)] or [(pages, None, None)]
 
 
-def pdf_titles(spark: SparkSession, path: str) -> DataFrame:
+def pdf_titles(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """(path, pages, position, title): page counts and titles of outlines and documents, from plain and deflated objects."""
-    return _each(spark, path, "pages int, position int, title string", _outline)
+    return _each(spark, path, "pages int, position int, title string", _outline, glob)
 
 
 def office_graph(rows: DataFrame, root_label: str, part_label: str, edge_label: str, part: str, props: list[str]) -> PropertyGraph:
@@ -147,18 +160,18 @@ def office_graph(rows: DataFrame, root_label: str, part_label: str, edge_label:
     return PropertyGraph(spark, [VertexTable(aligned(roots, kids))], [EdgeTable(edges, edge_label)])
 
 
-def read_xlsx(spark: SparkSession, path: str) -> PropertyGraph:
-    cells = xlsx_cells(spark, path)
+def read_xlsx(spark: SparkSession, path: str, glob: str | None = None) -> PropertyGraph:
+    cells = xlsx_cells(spark, path, glob)
     sheets = cells.groupBy("path", "sheet").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.concat("column", F.col("row").cast("string")), "value")))).alias("cells"))
     return office_graph(sheets, "EXCELFile", "EXCELSheet", "HAS_SHEET", "sheet", ["cells"])
 
 
-def read_pptx(spark: SparkSession, path: str) -> PropertyGraph:
-    return office_graph(pptx_slides(spark, path), "PPFile", "PPPage", "HAS_PAGE", "page", ["title", "text", "notes"])
+def read_pptx(spark: SparkSession, path: str, glob: str | None = None) -> PropertyGraph:
+    return office_graph(pptx_slides(spark, path, glob), "PPFile", "PPPage", "HAS_PAGE", "page", ["title", "text", "notes"])
 
 
-def read_pdf(spark: SparkSession, path: str) -> PropertyGraph:
-    return office_graph(pdf_titles(spark, path).where("title is not null"), "PDFFile", "PDFTitle", "HAS_CONTENT", "position", ["title", "pages"])
+def read_pdf(spark: SparkSession, path: str, glob: str | None = None) -> PropertyGraph:
+    return office_graph(pdf_titles(spark, path, glob).where("title is not null"), "PDFFile", "PDFTitle", "HAS_CONTENT", "position", ["title", "pages"])
 
 
 class FileIO:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from hopwise.errors import GraphError
 from hopwise.graph import GraphBuilder, GraphConfig
+from hopwise.schema import GraphSchema
 from hopwise.sources import files, jsonfiles, rdf
 from hopwise.sources.examples import crew, modern
 from hopwise.sources.graphml import read_graphml, write_graphml
@@ -77,6 +78,21 @@ def test_folder(spark, tmp_path):
     assert sorted(g.V().has_label("File").to_list(by="name").run()) == ["x.txt", "y.py", "z.py"]
     assert sorted(g.V().has_label("Directory").has_name("a").both().to_list(by="name").run()) == sorted(["b", "y.py", tmp_path.name])
     assert g.V().has("extension", "py").values("size").sum_().to_list().run() == [10]
+    (tmp_path / "a" / "d.pdf").write_bytes(b"%PDF-1.4\n1 0 obj <</Type /Page>> endobj 2 0 obj <</Title (Chapter 1)>> endobj")
+    g = files.read_folder(spark, str(tmp_path), unfold=True).traversal()
+    assert g.V().has_name("a").out("HAS_FILE").has("extension", "pdf").out("HAS_CONTENT").values("title").to_list().run() == ["Chapter 1"]
+
+
+def test_schema(spark, tmp_path):
+    path = tmp_path / "s.yaml"
+    path.write_text("node_id_type_name: str\nnode_type_configs:\n  Person:\n    label: Person\n    key_field: name\n    display_order: 2\n  Software:\n    label: Software\n    display_order: 1\n    other: x\n")
+    schema = GraphSchema.load(str(path))
+    schema.save(str(path))
+    assert GraphSchema.load(str(path)) == schema and [t.label for t in schema.ordered()] == ["Software", "Person"]
+    table = schema.node_table(modern(spark), "Person")
+    assert table.columns == ["name", "id", "age"] and table.count() == 4 and schema.of_labels(["Person", "x"]).key_field == "name"
+    with pytest.raises(GraphError):
+        schema.node_table(modern(spark), "Robot")
 
 
 def test_office(spark, tmp_path):
