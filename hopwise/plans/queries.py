@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from hopwise.functions.predicates import between, containing, ends_with, gt, gte, inside, lt, lte, neq, not_containing, not_ends_with, not_regex, not_starting_with, outside, regex, starting_with, within, without
 from hopwise.plans.traversal import Order, Scope, Source, Traversal
-from hopwise.graph import PropertyGraph
+from hopwise.graph import EdgeTable, PropertyGraph, VertexTable
 from hopwise.operators import shared_dir
 from hopwise.sources.graphml import read_graphml, write_graphml
 from hopwise.sources.jsonfiles import graphson_lines, read_graphson
@@ -215,8 +215,6 @@ def quads_lookup(g):
 
 def nations(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     """Regions and nations only, with string ids that are unique over both."""
-    from hopwise.graph import EdgeTable, VertexTable
-
     t = table_graph(spark, sf_dir)
     keyed = lambda c, label: F.concat(F.lit(f"{label}:"), F.col(c).cast("string"))
     v = [VertexTable(x.df.withColumn("id", keyed("id", x.label)), x.label) for x in t.vertices if x.label in ("region", "nation")]
@@ -265,3 +263,29 @@ def stream_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["stream_degrees"] = stream_degrees
 ORACLES["stream_degrees"] = "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as hour, user_id as id, count(*) as n from events group by all"
+
+
+# ---- three constrained legs: many simple paths from one vertex
+
+
+def route_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
+    """Suppliers with 149 routes from each, of a length between 0 and 8999."""
+    t = table_graph(spark, sf_dir)
+    v = next(x for x in t.vertices if x.label == "supplier")
+    n = v.df.count()
+    k = F.explode(F.sequence(F.lit(2), F.lit(150))).alias("k")
+    rows = v.df.select(F.col("id").alias("src"), k).select("src", ((F.col("src") * F.col("k") * 7 + F.col("k")) % max(n, 1)).alias("dst"), "k", ((F.col("src") * 131 + F.col("k") * 977) % 9000).alias("dist"))
+    rows = rows.join(v.df.select(F.col("id").alias("dst")), "dst").select("src", "dst", F.col("k").cast("long").alias("eid"), F.col("k").cast("long").alias("_seq"), "dist")
+    return PropertyGraph(spark, [v], [EdgeTable(rows, "route", "supplier", "supplier")], t.config)
+
+
+@query(
+    """with n as (select count(*) as n from supplier), e as materialized (select s_suppkey as a, (s_suppkey * k * 7 + k) % n as b from supplier, n, range(2, 151) t(k)
+where (s_suppkey * 131 + k * 977) % 9000 <= 5000 and (s_suppkey * k * 7 + k) % n in (select s_suppkey from supplier))
+select count(*) as paths, cast(sum(7) as bigint) as steps from e x join e y on y.a = x.b join e z on z.a = y.b where x.a = 3 and x.b <> x.a and y.b not in (x.a, x.b) and z.b not in (x.a, x.b, y.b)""",
+    route_graph,
+)
+def leg_paths(g):
+    leg = A.outE("route").has("dist", lte(5000)).inV().simple_path()
+    paths = g.V().has_label("supplier").has_id(3).repeat(leg).times(3).as_path().to_df("p")
+    return paths.agg(F.count(F.lit(1)).alias("paths"), F.sum(F.size("p")).cast("long").alias("steps"))
