@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hopwise.llm import hashing as H
-from hopwise.llm.shared import checkpointed, stored
+from hopwise.llm.shared import checkpointed, small_batches, stored
 
 WINDOW, SHORTEST, LEAST_BITS, MOST_BITS, BROADCAST_WINDOWS = 13, 5, 20, 26, 200_000
 # Units that may follow a number.
@@ -151,6 +151,7 @@ def _document_windows(lengths: list[int], bits):
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, n_windows): one row per contaminated document."""
     spark = docs.sparkSession
+    small_batches(spark)
     made = "id long, h long, k int, slots array<long>"
     items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).cast("string").alias("text"))
     items = stored(items.mapInArrow(_item_windows, made).groupBy("h", "k", "slots").agg(F.min("id").alias("item_id")))

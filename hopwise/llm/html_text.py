@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hopwise.llm.shared import series_udf
+from hopwise.llm.shared import series_udf, small_batches
 
 # Element names by their role in HTML.
 BLOCK = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
@@ -208,6 +208,7 @@ def main_text(page: str | None, tree) -> str:
 
 def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", labelled: list[tuple] = LABELLED) -> DataFrame:
     """(page_id, url, text, n_chars): one row per input row. labelled: rows of FEATURES and 0 or 1, a small table."""
+    small_batches(pages.sparkSession)
     tree = fitted(with_places(labelled))
 
     def run(batches):

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hopwise.llm import hashing as H
-from hopwise.llm.shared import checkpointed, connected_components, stored
+from hopwise.llm.shared import checkpointed, connected_components, small_batches, stored
 
 BANDS, ROWS, BATCH = 26, 5, 26
 PAIRED, BLOCK_ROWS, BLOCK_SHINGLES = 32, 512, 1 << 20
@@ -203,6 +203,7 @@ def _tiles(percent: int, miss: float):
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 80, miss: float = 1e-6) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): one row per input row."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     features = stored(texts.mapInArrow(_features(width), FEATURES))
     named = features.where("doc_id is not null and n_shingles > 0")

@@ -34,6 +34,13 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lets the session send at most so many rows to a Python worker at once: whole texts can be long, and batches are held in memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
 def series_udf(run: Callable, kind: str):
     """A function from batches of a column, as Pandas series, to batches of the same lengths."""
     import pandas as pd

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hopwise.llm import hashing as H
-from hopwise.llm.shared import checkpointed, stored
+from hopwise.llm.shared import checkpointed, small_batches, stored
 
 WINDOW, K, RUN = 50, 20, 15
 
@@ -194,6 +194,7 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256): one row per input row."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     cut = repeated_spans(texts).groupBy("doc_id").agg(F.collect_list(F.shiftleft(F.col("begin").cast("long"), 32) + F.col("length")).alias("cut"))
     cut = checkpointed(cut)

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hopwise.llm.shared import checkpointed, series_udf
+from hopwise.llm.shared import checkpointed, series_udf, small_batches
 
 LABELLED, CANDIDATES, SHORTEST, LONGEST, FLUSHED = 10_000, 20_000, 4, 10, 150_000
 # Phrases in which a word of abuse is none.
@@ -200,6 +200,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", score_col: str = "toxicity") -> DataFrame:
     """docs with a score, 0 to 1, in the column `score_col`, which replaces one of that name."""
+    small_batches(docs.sparkSession)
     fitted = model(training_rows(docs, labels, id_col, text_col))
     weights = fitted.get("weights")
 
