@@ -244,3 +244,30 @@ def test_pipeline(spark):
     assert {r["doc_id"] for r in found.collect()} == ids
     for name, make in queries.QUERIES.items():
         assert re.fullmatch(r"op\d+_\w+", name) and callable(make)
+
+
+@needs_tables
+def test_stages_against_plain_versions(spark):
+    import corpus_pipeline as c
+    from llm.test_near_duplicates import classes, shingles, similar
+
+    docs = queries.table(spark, SF, "documents")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    ids = lambda df: sorted(r["doc_id"] for r in df.select("doc_id").collect())
+    scores = {r["doc_id"]: r["score"] for r in queries.op10_toxicity(spark, SF).collect()}
+    assert ids(c.reject_toxic(spark, docs, SF)) == sorted(i for i, x in scores.items() if x < 0.7)
+    sets = {i: shingles(t, 5) for i, t in texts.items()}
+    top = classes(sets, similar(sets))
+    assert ids(c.drop_near_duplicates(spark, docs, SF)) == sorted(i for i in top if top[i] == i) != sorted(texts)
+    words = lambda t: tuple(re.findall(r"\w+", t.lower()))
+    items = [words(r["text"]) for r in queries.table(spark, SF, "benchmark").collect()]
+    grams = {i[a : a + 13] for i in items for a in range(len(i) - 12)} | {i for i in items if 5 <= len(i) < 13}
+    split = {i: words(t) for i, t in texts.items()}
+    clean = [i for i, w in split.items() if not any(w[a : a + n] in grams for n in range(5, 14) for a in range(len(w) - n + 1))]
+    assert ids(c.decontaminate(spark, docs, SF)) == sorted(clean) != sorted(texts)
+    copies = {r["doc_id"]: r["copies"] for r in queries.op2_mixing(spark, SF).collect()}
+    assert ids(c.mix(spark, docs, SF)) == sorted(i for i, n in copies.items() for _ in range(n))
+    load = defaultdict(int)
+    for r in c.shard(spark, docs, SF).collect():
+        load[r["shard"]] += r["size"]
+    assert sum(load.values()) == sum(len(t.encode()) + 1 for t in texts.values()) and len(load) == 16
