@@ -1,14 +1,18 @@
 """Benchmark decontamination by templates: typed placeholders, a hash join of template windows, consistent slots.
 
-A text's tokens are its words without punctuation, lower-cased. Numbers (digits, also with separators or a short suffix such as
-`5km`), names (capitalised words that start no sentence) and units after a number become the placeholders of their type; the
-word itself is the value of the slot. Windows of 13 tokens are hashed; an item of 5 to 12 tokens is one window of its own
-length. Windows in which fewer than half of the tokens are literal words are not used, nor items of fewer than 5 tokens.
+A text's tokens are its words without punctuation, lower-cased; every character of a script without spaces (Chinese, Japanese,
+Thai, Lao, Khmer, Burmese) is a token. Numbers (digits, also with separators or a short suffix such as `5km`), names (capitalised
+words) and units after a number become the placeholders of their type; the word itself is the value of the slot. Windows of 13
+tokens are hashed; an item of 3 to 12 tokens is one window of its own length. Items of one or two tokens are not searched.
+
+Every window is hashed in two readings: with slots, where names are capitalised words that start no sentence; and as plain words.
+The plain reading always counts, so a verbatim copy is found whatever its slots. The reading with slots counts for windows of 5
+tokens or more of which at least half are literal words.
 
 The items' window hashes fill a bit set of a fixed size at most (8 MB); what documents have outside of it is dropped where
 it is made. The rest meets the items in a hash join, and a pair counts if equal slot values of the item have equal values in the
 document, in that order, so a question asked again with other numbers or names is found. A document is contaminated if it
-has one such window.
+has one such window; windows are counted once, whatever readings and items they match.
 
 Null and empty texts hold nothing. Rows that repeat a doc_id count as one document; rows with null ids are not
 reported. Of several items the smallest id is named; a null item id is named only if no other fits.
@@ -16,6 +20,8 @@ reported. Of several items the smallest id is named; a null item id is named onl
 
 from __future__ import annotations
 
+import copy
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +29,7 @@ from pyspark.sql import functions as F
 from hopwise.llm import hashing as H
 from hopwise.llm.shared import checkpointed, small_batches, stored
 
-WINDOW, SHORTEST, LEAST_BITS, MOST_BITS, BROADCAST_WINDOWS = 13, 5, 20, 26, 200_000
+WINDOW, SHORTEST, SHORTEST_PLAIN, LEAST_BITS, MOST_BITS, BROADCAST_WINDOWS = 13, 5, 3, 20, 26, 200_000
 # Units that may follow a number.
 UNITS = (
     "mm cm m km inch inches foot feet ft yard yards mile miles mg g kg gram grams kilogram kilograms ton tons tonne tonnes lb lbs pound pounds ounce ounces oz ml l liter liters litre litres gallon gallons "
@@ -60,35 +66,84 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def template(data: np.ndarray, ends: np.ndarray) -> tuple[H.Words, np.ndarray, np.ndarray]:
-    """Tokens with template hashes, which of them are slots, and every token's own hash."""
-    plain = lowered(data)
+def apart(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts with a space on both sides of each character of a script without spaces, and their new offsets."""
+    if not (data >= 0xE0).any():
+        return data, ends
+    second = np.append(data[1:], np.uint8(0))
+    hit = (data >= 0xE3) & (data <= 0xE9) & ~((data == 0xE3) & (second == 0x80))  # kana and Han, not their punctuation
+    hit |= (data == 0xE0) & (second >= 0xB8) & (second <= 0xBB)  # Thai, Lao
+    hit |= (data == 0xE1) & (((second >= 0x80) & (second <= 0x82)) | (second == 0x9E) | (second == 0x9F))  # Burmese, Khmer
+    at = np.flatnonzero(hit)
+    if not len(at):
+        return data, ends
+    cuts = np.sort(np.concatenate((at, at + 3)))
+    moved = ends + np.searchsorted(cuts, ends, "right")
+    moved[0] = 0
+    return np.insert(data, cuts, np.uint8(32)), moved
+
+
+def _letters(data: np.ndarray) -> np.ndarray:
+    """Bytes of letters and digits: ASCII punctuation and that of Latin-1, of the general and CJK blocks and of full width do not count."""
     keep = _alnum[data]
-    if len(data) > 2:
-        inner = np.zeros(len(data), bool)
-        inner[1:-1] = ((data[1:-1] == 46) | (data[1:-1] == 44)) & _digit[data[:-2]] & _digit[data[2:]]
-        keep |= inner
-    plain[~keep] = 32
-    words = H.Words(plain, ends)
-    own = words.hash
-    if not len(own):
-        return words, np.zeros(0, bool), own
-    sums = lambda flags: np.concatenate(([0], np.cumsum(flags)))
-    digits = sums(_digit[data])
-    n_digits = digits[words.stop] - digits[words.start]
-    letters = words.stop - words.start - n_digits
-    number = _digit[data[words.start]] & (letters <= np.maximum(2, n_digits // 2))
-    marks = sums(_mark[data])
-    opens = np.ones(len(own), bool)
-    opens[1:] = marks[words.start[1:]] > marks[words.stop[:-1]]
-    opens[words.first[:-1][np.diff(words.first) > 0]] = True
-    first, second = data[words.start], data[np.minimum(words.start + 1, len(data) - 1)]
-    name = (first >= 65) & (first <= 90) & (second >= 97) & (words.stop - words.start > 1) & ~opens
-    unit = np.zeros(len(own), bool)
-    at = np.searchsorted(_unit_hashes, own)
-    unit[1:] = number[:-1] & (_unit_hashes[np.minimum(at, len(_unit_hashes) - 1)] == own)[1:] & ~opens[1:]
-    words.hash = np.select([number, unit, name], [_NUM, _UNIT, _NAME], own)
-    return words, number | name | unit, own
+    if len(data) > 2 and (data >= 0xC2).any():
+        lead, second, third = data[:-2], data[1:-1], data[2:]
+        at = np.flatnonzero(((lead == 0xE2) & ((second == 0x80) | (second == 0x81))) | ((lead == 0xE3) & (second == 0x80) & (third != 0x85) & (third != 0x86) & (third != 0x87)))
+        wide = np.flatnonzero((lead == 0xEF) & (((second == 0xBC) & ((third <= 0x8F) | ((third >= 0x9A) & (third <= 0xA0)) | (third >= 0xBB))) | ((second == 0xBD) & ((third == 0x80) | ((third >= 0x9B) & (third <= 0xA5))))))
+        for i in range(3):
+            keep[at + i] = keep[wide + i] = False
+    if len(data) > 1:
+        at = np.flatnonzero((data[:-1] == 0xC2) & (data[1:] <= 0xBF) & ~np.isin(data[1:], (0xAA, 0xB5, 0xBA)))
+        keep[at] = keep[at + 1] = False
+    return keep
+
+
+class Template:
+    """The tokens of some texts: words (with their own hashes), and the readings (hashes, slots, slots that must keep their values)."""
+
+    def __init__(self, data: np.ndarray, ends: np.ndarray):
+        data, ends = apart(data, ends)
+        plain = lowered(data)
+        keep = _letters(data)
+        if len(data) > 2:
+            inner = np.zeros(len(data), bool)
+            inner[1:-1] = ((data[1:-1] == 46) | (data[1:-1] == 44)) & _digit[data[:-2]] & _digit[data[2:]]
+            keep |= inner
+        plain[~keep] = 32
+        self.words = words = H.Words(plain, ends)
+        own = words.hash
+        none = np.zeros(len(own), bool)
+        self.readings = [(words, none, none)] * 2
+        if not len(own):
+            return
+        sums = lambda flags: np.concatenate(([0], np.cumsum(flags)))
+        digits = sums(_digit[data])
+        n_digits = digits[words.stop] - digits[words.start]
+        letters = words.stop - words.start - n_digits
+        number = _digit[data[words.start]] & (letters <= np.maximum(2, n_digits // 2))
+        marks = sums(_mark[data])
+        opens = np.ones(len(own), bool)
+        opens[1:] = marks[words.start[1:]] > marks[words.stop[:-1]]
+        starts = words.first[:-1][np.diff(words.first) > 0]
+        opens[starts] = True
+        first, second = data[words.start], data[np.minimum(words.start + 1, len(data) - 1)]
+        name = (first >= 65) & (first <= 90) & (second >= 97) & (words.stop - words.start > 1)
+        unit = np.zeros(len(own), bool)
+        at = np.searchsorted(_unit_hashes, own)
+        unit[1:] = number[:-1] & (_unit_hashes[np.minimum(at, len(_unit_hashes) - 1)] == own)[1:]
+        unit[starts] = False
+
+        def reading(units, names, kept):
+            out = copy.copy(words)
+            out.hash, out._sums = np.select([number, units, names], [_NUM, _UNIT, _NAME], own), None
+            return out, number | units | names, kept
+
+        name &= ~number
+        inner_unit = unit & ~opens
+        self.readings = [
+            reading(inner_unit, name & ~opens & ~inner_unit, none),
+            (words, none, none),
+        ]
 
 
 def _chunks(column):
@@ -96,7 +151,7 @@ def _chunks(column):
     row, n = 0, len(ends) - 1
     while row < n:
         stop = max(row + 1, int(np.searchsorted(ends, ends[row] + H.CHUNK, "right")) - 1)
-        yield row, template(data[ends[row] : ends[stop]], ends[row : stop + 1] - ends[row])
+        yield row, Template(data[ends[row] : ends[stop]], ends[row : stop + 1] - ends[row])
         row = stop
 
 
@@ -105,28 +160,50 @@ def _literal_enough(slots: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
     return 2 * (sums[at + k] - sums[at]) <= k
 
 
-def _emit(ids, words, slots, own, at, k, h):
+def _lists(values: list, empty):
     import pyarrow as pa
 
-    doc = np.searchsorted(words.first, at, "right") - 1
-    values = [H.signed(own[a : a + k][slots[a : a + k]]) for a in at]
     offsets = pa.array(np.concatenate(([0], np.cumsum([len(v) for v in values]))).astype(np.int32))
-    lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(values) if values else np.zeros(0, np.int64)))
-    return pa.RecordBatch.from_arrays([ids.take(pa.array(doc)), pa.array(H.signed(h)), pa.array(np.full(len(at), k, np.int32)), lists], names=["id", "h", "k", "slots"])
+    return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(values) if values else empty))
+
+
+def _emit(ids, words, reading, at, k, h):
+    """One row for each window; kept: for each slot, whether it must keep its value."""
+    import pyarrow as pa
+
+    _, slots, kept = reading
+    doc = np.searchsorted(words.first, at, "right") - 1
+    spans = [slots[a : a + k] for a in at]
+    return pa.RecordBatch.from_arrays(
+        [
+            ids.take(pa.array(doc)),
+            pa.array(H.signed(h)),
+            pa.array(np.full(len(at), k, np.int32)),
+            pa.array((at - words.first[doc]).astype(np.int64)),
+            _lists([H.signed(words.hash[a : a + k][s]) for a, s in zip(at, spans)], np.zeros(0, np.int64)),
+            _lists([kept[a : a + k][s] for a, s in zip(at, spans)], np.zeros(0, bool)),
+        ],
+        names=["id", "h", "k", "place", "slots", "kept"],
+    )
+
+
+def _used(k: int, readings: list) -> list:
+    """The readings in which windows of k tokens are looked for."""
+    return readings if k >= SHORTEST else readings[-1:]
 
 
 def _item_windows(batches):
     for batch in batches:
-        for row, (words, slots, own) in _chunks(batch.column(1)):
+        for row, found in _chunks(batch.column(1)):
+            words = found.words
             n = np.diff(words.first)
             ids = batch.column(0).slice(row, len(n))
-            at, h = words.windows(WINDOW)
-            good = _literal_enough(slots, at, WINDOW)
-            yield _emit(ids, words, slots, own, at[good], WINDOW, h[good])
-            for k in range(SHORTEST, WINDOW):
-                at = words.first[:-1][n == k]
-                good = _literal_enough(slots, at, k)
-                yield _emit(ids, words, slots, own, at[good], k, words.spans(at[good], at[good] + k))
+            for k in range(SHORTEST_PLAIN, WINDOW + 1):
+                at = words.first[:-1][n == k] if k < WINDOW else words.windows(WINDOW)[0]
+                for reading in _used(k, found.readings):
+                    typed, slots, kept = reading
+                    good = at[_literal_enough(slots & ~kept, at, k)]
+                    yield _emit(ids, words, reading, good, k, typed.spans(good, good + k))
 
 
 def _document_windows(lengths: list[int], bits):
@@ -134,16 +211,20 @@ def _document_windows(lengths: list[int], bits):
         filled = np.frombuffer(bits.value, np.uint64)
         mask = H.U(len(filled) * 64 - 1)
         for batch in batches:
-            for row, (words, slots, own) in _chunks(batch.column(1)):
+            for row, found in _chunks(batch.column(1)):
+                words = found.words
                 ids = batch.column(0).slice(row, len(words.first) - 1)
                 for k in lengths:
-                    at, h = words.windows(k)
-                    place = h & mask
-                    hit = (filled[(place >> H.U(6)).astype(np.int64)] >> (place & H.U(63))) & H.U(1) == 1
-                    at, h = at[hit], h[hit]
-                    if len(at):
-                        good = _literal_enough(slots, at, k)
-                        yield _emit(ids, words, slots, own, at[good], k, h[good])
+                    before: list[np.ndarray] = []
+                    for reading in _used(k, found.readings):
+                        at, h = reading[0].windows(k)
+                        place = h & mask
+                        hit = (filled[(place >> H.U(6)).astype(np.int64)] >> (place & H.U(63))) & H.U(1) == 1
+                        for same in before:  # equal hashes of a window are equal readings of it
+                            hit &= h != same
+                        before.append(h)
+                        if hit.any():
+                            yield _emit(ids, words, reading, at[hit], k, h[hit])
 
     return run
 
@@ -152,9 +233,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """(doc_id, item_id, n_windows): one row per contaminated document."""
     spark = docs.sparkSession
     small_batches(spark)
-    made = "id long, h long, k int, slots array<long>"
+    made = "id long, h long, k int, place long, slots array<long>, kept array<boolean>"
     items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).cast("string").alias("text"))
-    items = stored(items.mapInArrow(_item_windows, made).groupBy("h", "k", "slots").agg(F.min("id").alias("item_id")))
+    items = stored(items.mapInArrow(_item_windows, made).groupBy("h", "k", "slots", "kept").agg(F.min("id").alias("item_id")))
     about = items.agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("k")).alias("lengths")).first()
     size = 1 << min(MOST_BITS, max(LEAST_BITS, (16 * about["n"]).bit_length()))
     place = F.col("h").bitwiseAND(F.lit(size - 1))
@@ -164,12 +245,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         filled[r["word"]] = r["bits"]
     bits = spark.sparkContext.broadcast(filled.tobytes())
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-    hits = texts.mapInArrow(_document_windows(about["lengths"], bits), made).select(F.col("id").alias("doc_id"), "h", "k", F.col("slots").alias("values"))
+    hits = texts.mapInArrow(_document_windows(about["lengths"], bits), made).select(F.col("id").alias("doc_id"), "h", "k", "place", F.col("slots").alias("values"))
     items = F.broadcast(items) if about["n"] <= BROADCAST_WINDOWS else items
     pairs = hits.join(items, ["h", "k"])
     # equal slot values of the item must have equal values in the document
     consistent = F.size(F.array_distinct(F.arrays_zip("slots", "values"))) == F.size(F.array_distinct("slots"))
-    return pairs.where(consistent).groupBy("doc_id").agg(F.min("item_id").alias("item_id"), F.count(F.lit(1)).alias("n_windows"))
+    held = F.forall(F.arrays_zip("slots", "values", "kept"), lambda x: ~x["kept"] | (x["slots"] == x["values"]))
+    return pairs.where(consistent & held).groupBy("doc_id").agg(F.min("item_id").alias("item_id"), F.count_distinct("place", "k").alias("n_windows"))
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

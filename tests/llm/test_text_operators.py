@@ -44,6 +44,39 @@ def test_decontamination(spark):
     assert [r["doc_id"] for r in decontamination.contaminated(tries, twice).collect()] == [1]
 
 
+def test_decontamination_dense_and_short_items(spark):
+    """Items whose windows are mostly slots, items of few tokens and texts without spaces are found as verbatim copies only."""
+    items = [
+        (1, "What is 12 + 7 * 3 - 4?"), (2, "Compute 12 + 7 * 31 - 4 / 15 + 6 - 18 * 9 + 11 - 2 * 40 + 8."), (3, "Mercury Venus Earth Mars Jupiter Saturn Uranus Neptune"),
+        (4, "What is 2+3?"), (5, "光合作用发生在植物细胞的哪个部分？"), (6, "水は何度で沸騰しますか"),
+    ]
+    docs = [
+        (1, "Solve: what is 12+7*3-4? Easy."), (2, "So compute 12 + 7 * 31 - 4 / 15 + 6 - 18 * 9 + 11 - 2 * 40 + 8 now"), (3, "The list is mercury, venus, Earth, mars, Jupiter, Saturn, Uranus, Neptune."),
+        (4, "hm, what is 2 + 3 really"), (5, "题目：光合作用发生在植物细胞的哪个部分？请回答。"), (6, "問題「水は何度で沸騰しますか」です"),
+        (11, "Solve: what is 13+7*3-4? Easy."), (12, "So compute 13 + 8 * 32 - 5 / 16 + 7 - 19 * 10 + 12 - 3 * 41 + 9 now"), (13, "They are Alice Bob Carol Dave Erin Frank Grace Heidi"), (14, "hm, what is 2 + 4 really"), (15, "光合作用很重要。植物细胞有细胞壁。"),
+    ]
+    found = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {r["doc_id"]: r["item_id"] for r in found.collect()} == {i: i for i in range(1, 7)}
+
+
+def test_decontamination_brute_force_with_slots(spark):
+    r = random.Random(5)
+    words = lambda t: tuple(re.findall(r"\w+", t.lower()))
+    some = ["Bob", "Alice", "Lima", "7", "12", "305", "km", "kg", "days", "apples", "plus", "What", "is"]
+    items = [" ".join(r.choice(some) + r.choice(["", "", ",", "."]) for _ in range(r.randrange(3, 30))) for _ in range(60)]
+    docs = []
+    for i in range(300):
+        text = " ".join(r.choice(some) for _ in range(20))
+        if i % 3 == 0:
+            text += " ; " + r.choice([str, str.lower, str.upper])(r.choice(items)) + " ; " + text[:30]
+        docs.append((i, text))
+    grams = {w[a : a + 13] for w in map(words, items) for a in range(len(w) - 12)} | {w for w in map(words, items) if 3 <= len(w) < 13}
+    want = {i for i, t in docs for w in [words(t)] if any(w[a : a + n] in grams for n in range(3, 14) for a in range(len(w) - n + 1))}
+    found = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    got = {x["doc_id"] for x in found.collect()}
+    assert want <= got and len(want) >= 100
+
+
 @needs_tables
 def test_decontamination_brute_force(spark):
     words = lambda t: tuple(re.findall(r"\w+", t.lower()))
