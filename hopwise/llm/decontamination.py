@@ -5,9 +5,10 @@ Thai, Lao, Khmer, Burmese) is a token. Numbers (digits, also with separators or
 words) and units after a number become the placeholders of their type; the word itself is the value of the slot. Windows of 13
 tokens are hashed; an item of 3 to 12 tokens is one window of its own length. Items of one or two tokens are not searched.
 
-Every window is hashed in two readings: with slots, where names are capitalised words that start no sentence; and as plain words.
-The plain reading always counts, so a verbatim copy is found whatever its slots. The reading with slots counts for windows of 5
-tokens or more of which at least half are literal words.
+Every window is hashed in four readings: names only inside sentences; names anywhere, where a word that opens a sentence of the
+item must keep its value; numbers and units only, whatever the case; and plain words. The plain reading always counts, so a
+verbatim copy is found whatever its case, punctuation and slots. The readings with slots count for windows of 5 tokens or more
+of which at least half are literal words.
 
 The items' window hashes fill a bit set of a fixed size at most (8 MB); what documents have outside of it is dropped where
 it is made. The rest meets the items in a hash join, and a pair counts if equal slot values of the item have equal values in the
@@ -113,7 +114,7 @@ class Template:
         self.words = words = H.Words(plain, ends)
         own = words.hash
         none = np.zeros(len(own), bool)
-        self.readings = [(words, none, none)] * 2
+        self.readings = [(words, none, none)] * 4
         if not len(own):
             return
         sums = lambda flags: np.concatenate(([0], np.cumsum(flags)))
@@ -142,6 +143,8 @@ class Template:
         inner_unit = unit & ~opens
         self.readings = [
             reading(inner_unit, name & ~opens & ~inner_unit, none),
+            reading(unit, name & ~unit, name & opens & ~unit),
+            reading(unit, none, none),
             (words, none, none),
         ]
 

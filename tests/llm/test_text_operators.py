@@ -77,6 +77,21 @@ def test_decontamination_brute_force_with_slots(spark):
     assert want <= got and len(want) >= 100
 
 
+def test_decontamination_case_and_place(spark):
+    """Copies that are lower-cased, upper-cased, unpunctuated or quoted inside a sentence, and asked again with other numbers or names."""
+    item = "Bob buys 5 apples. Alice takes 2 of them home. How many apples does Bob have now?"
+    items = spark.createDataFrame([(1, item), (2, "What is the capital of Peru")], "item_id long, text string")
+    bare = re.sub(r"[.?]", "", item)
+    docs = {
+        1: item.lower(), 2: item.upper(), 3: bare, 4: f"He said, “{item}”", 5: f"they wondered - {bare.lower()}", 6: bare.upper(),
+        7: item.lower().replace("5", "8"), 8: bare.replace("5", "8").replace("2", "3"), 9: item.replace("Bob", "Carol").replace("5", "6"),
+        21: 'he asked, "What is the capital of Peru"', 22: 'he asked, "What is the capital of Chile"', 23: "(WHAT IS THE CAPITAL OF PERU)", 24: "so what is the capital of peru", 25: "tell me what is the capital of Chile",
+        31: "Lima is the capital of Peru", 32: "We know that Lima is the capital of Peru", 33: "what is the price of Peru",
+    }
+    found = decontamination.contaminated(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), items)
+    assert {r["doc_id"]: r["item_id"] for r in found.collect()} == {i: 1 if i < 20 else 2 for i in docs if i < 30}
+
+
 @needs_tables
 def test_decontamination_brute_force(spark):
     words = lambda t: tuple(re.findall(r"\w+", t.lower()))
