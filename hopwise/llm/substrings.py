@@ -13,7 +13,8 @@ tokens contains an edge, and equal windows contain equal edges at equal places,
 4. Windows that contain a repeated edge but reach beyond one span are few and are compared one by one, by a 128-bit hash.
 
 A window is removed if it also starts in a document with a smaller id; windows repeated only inside one document stay. Rows
-that repeat an id count as one document. Null ids never cause a removal nor lose words. Null and empty texts have no words.
+that repeat an id count as one document, so they never remove from one another; each distinct text of such an id has a path and
+spans of its own, under the id and the text's hash (`part`, 0 for ids of one row). Null ids never cause a removal nor lose words. Null and empty texts have no words.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from hopwise.llm import hashing as H
 from hopwise.llm.shared import checkpointed, small_batches, stored
 
 WINDOW, K, RUN = 50, 20, 15
+BROADCAST_IDS = 200_000
 
 
 def _sliding(x: np.ndarray, n: int, least: bool) -> np.ndarray:
@@ -61,7 +63,7 @@ def edges(words: H.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _edge_rows(batches):
-    """(doc_id, edges, begins): each text's edges with the first word of each."""
+    """(doc_id, part, edges): each text's edges."""
     import pyarrow as pa
 
     for batch in batches:
@@ -72,9 +74,10 @@ def _edge_rows(batches):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(row, n),
+                    batch.column(2).slice(row, n),
                     pa.ListArray.from_arrays(offsets, pa.array(H.signed(words.spans(begin, end)))),
                 ],
-                names=["doc_id", "edges"],
+                names=["doc_id", "part", "edges"],
             )
 
 
@@ -127,8 +130,8 @@ def _spans(batches):
             doc, b, e, window = (np.concatenate(out[k]).astype(np.int64) for k in ("doc", "b", "e", "window"))
             h1, h2 = words.spans(b, e), words.spans(b, e, 77)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(row, n).take(pa.array(doc)), pa.array(H.signed(h1)), pa.array(H.signed(h2)), pa.array((b - words.first[doc]).astype(np.int32)), pa.array((e - b).astype(np.int32))],
-                names=["doc_id", "h1", "h2", "begin", "length"],
+                [batch.column(0).slice(row, n).take(pa.array(doc)), batch.column(3).slice(row, n).take(pa.array(doc)), pa.array(H.signed(h1)), pa.array(H.signed(h2)), pa.array((b - words.first[doc]).astype(np.int32)), pa.array((e - b).astype(np.int32))],
+                names=["doc_id", "part", "h1", "h2", "begin", "length"],
             )
 
 
@@ -169,33 +172,46 @@ def joined_words(words: H.Words, keep: np.ndarray) -> bytes:
     return out.tobytes()
 
 
+def with_parts(texts: DataFrame) -> DataFrame:
+    """(doc_id, text, part): part tells the distinct texts of an id apart; it is 0 for ids of one row and for null ids."""
+    ids = checkpointed(texts.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit(True).alias("again")))
+    n = ids.count()
+    if not n:
+        return texts.select("doc_id", "text", F.lit(0).cast("long").alias("part"))
+    ids = F.broadcast(ids) if n <= BROADCAST_IDS else ids
+    part = F.when(F.col("again"), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))
+    return texts.join(ids, "doc_id", "left").select("doc_id", "text", part.alias("part"))
+
+
 def repeated_spans(texts: DataFrame) -> DataFrame:
-    """(doc_id, begin, length) of word spans all of whose windows also start in a document with a smaller id; texts: (doc_id, text)."""
+    """(doc_id, part, begin, length) of word spans all of whose windows also start in a document with a smaller id; texts: (doc_id, text, part)."""
     texts = texts.where("doc_id is not null and text is not null")
-    found = stored(texts.mapInArrow(_edge_rows, "doc_id long, edges array<long>").where("size(edges) > 0"))
+    texts = texts.where("part = 0").union(texts.where("part <> 0").dropDuplicates(["doc_id", "part"]))
+    found = stored(texts.mapInArrow(_edge_rows, "doc_id long, part long, edges array<long>").where("size(edges) > 0"))
     each = found.select("doc_id", F.posexplode("edges").alias("at", "edge"))
     shared = each.groupBy("edge").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("edge")
     shared = checkpointed(shared)
-    around = found.select("doc_id", "edges", F.posexplode("edges").alias("at", "edge"))
+    around = found.select("doc_id", "part", "edges", F.posexplode("edges").alias("at", "edge"))
     before = F.when(F.col("at") > 0, F.get("edges", F.col("at") - 1))
     after = F.get("edges", F.col("at") + 1)
     # null, the end of a text, is a neighbour of its own kind
-    here = stored(around.select("doc_id", "at", "edge", F.coalesce(before, F.lit(0)).alias("before"), F.coalesce(after, F.lit(0)).alias("after")).join(shared, "edge"))
+    here = stored(around.select("doc_id", "part", "at", "edge", F.coalesce(before, F.lit(0)).alias("before"), F.coalesce(after, F.lit(0)).alias("after")).join(shared, "edge"))
     ends = here.groupBy("edge").agg(F.min("before").alias("b0"), F.max("before").alias("b1"), F.min("after").alias("a0"), F.max("after").alias("a1"))
     ends = checkpointed(ends.select("edge", F.when(F.col("b0") == F.col("b1"), F.col("b0")).alias("before"), F.when(F.col("a0") == F.col("a1"), F.col("a0")).alias("after")))
     prior = ends.select(F.col("edge").alias("before"), F.col("after").alias("follows"))
     heads = checkpointed(ends.join(prior, "before", "left").select("edge", (~F.coalesce(F.col("follows") == F.col("edge"), F.lit(False))).cast("int").alias("head")))
-    marked = here.select("doc_id", "at", "edge").join(heads, "edge")
-    marked = marked.groupBy("doc_id").agg(F.collect_list(F.col("at") * 2 + F.col("head")).alias("marks"))
-    spans = stored(texts.join(marked, "doc_id").select("doc_id", "text", "marks").mapInArrow(_spans, "doc_id long, h1 long, h2 long, begin int, length int"))
+    marked = here.select("doc_id", "part", "at", "edge").join(heads, "edge")
+    marked = marked.groupBy("doc_id", "part").agg(F.collect_list(F.col("at") * 2 + F.col("head")).alias("marks"))
+    spans = stored(texts.join(marked, ["doc_id", "part"]).select("doc_id", "text", "marks", "part").mapInArrow(_spans, "doc_id long, part long, h1 long, h2 long, begin int, length int"))
     least = spans.groupBy("h1", "h2", "length").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("h1", "h2", "length", "least")
-    return spans.join(checkpointed(least), ["h1", "h2", "length"]).where("least < doc_id").select("doc_id", "begin", "length")
+    return spans.join(checkpointed(least), ["h1", "h2", "length"]).where("least < doc_id").select("doc_id", "part", "begin", "length")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256): one row per input row."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    cut = repeated_spans(texts).groupBy("doc_id").agg(F.collect_list(F.shiftleft(F.col("begin").cast("long"), 32) + F.col("length")).alias("cut"))
+    texts = with_parts(texts)
+    cut = repeated_spans(texts).groupBy("doc_id", "part").agg(F.collect_list(F.shiftleft(F.col("begin").cast("long"), 32) + F.col("length")).alias("cut"))
     cut = checkpointed(cut)
-    return texts.join(cut, "doc_id", "left").select("doc_id", "text", "cut").mapInArrow(_digests, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return texts.join(cut, ["doc_id", "part"], "left").select("doc_id", "text", "cut").mapInArrow(_digests, "doc_id long, n_words long, n_removed long, kept_sha256 string")

@@ -158,6 +158,33 @@ def test_substrings(spark, seed):
     assert {r["doc_id"]: tuple(r)[1:] for r in substrings.without_repeats(df).collect()} == brute_substrings(rows)
 
 
+def test_substrings_repeated_ids(spark):
+    """Equal and different rows of one id lose what a smaller document holds, and nothing to each other."""
+    r = random.Random(6)
+    made = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    passage, other, own = made(200), made(120), made(90)
+    rows = [
+        (3, made(30) + passage + made(40)), (4, other), (9, passage + made(20)), (11, own + made(10)),
+        *[(5, made(60) + passage + made(25))] * 2, (7, other + made(70) + own), (7, passage), (7, own + made(300) + passage), (7, own), (7, None), (None, passage),
+    ]
+    first = {}
+    for i, w in rows:
+        for j in range(len(w or []) - 49):
+            g = tuple(w[j : j + 50])
+            first[g] = min(i if i is not None else 10**9, first.get(g, 10**9))
+    want = []
+    for i, w in rows:
+        gone = set()
+        for j in range(len(w or []) - 49):
+            if i is not None and first[tuple(w[j : j + 50])] < i:
+                gone |= set(range(j, j + 50))
+        kept = [x for k, x in enumerate(w or []) if k not in gone]
+        want.append((i or 0, len(w or []), len(gone), hashlib.sha256(" ".join(kept).encode()).hexdigest()))
+    df = spark.createDataFrame([(i, w and " ".join(w)) for i, w in rows], "doc_id long, text string")
+    assert sorted((x["doc_id"] or 0, *tuple(x)[1:]) for x in substrings.without_repeats(df).collect()) == sorted(want)
+    assert sum(x[2] for x in want) > 1000
+
+
 def test_substrings_edges(spark):
     text = " ".join(f"w{i}" for i in range(60))
     odd = spark.createDataFrame([(None, text), (5, text), (5, text)], "doc_id long, text string")
