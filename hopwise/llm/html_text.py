@@ -3,7 +3,7 @@
 Markup is read into a flat list of blocks; block elements end a block, inline ones and `<br>` do not. A block has its number
 of words, its share of words in links, the same of the block before and after, and whether it stands in page chrome
 (navigation, header, footer, sidebar, form, or an element whose class, id or role names an advert, notice, menu, comment
-and so on), inside the article, outside of a page's article, or in a heading. A decision tree fitted to the labelled
+and so on; not body, main or article, not an element that holds all marked articles, and not names after `no-`, `has-` and the like), inside the article, outside of a page's article, or in a heading. A decision tree fitted to the labelled
 table below keeps or drops it. Scripts, styles, comments, other invisible elements and the head are no text.
 
 Null or empty pages and pages without main text give the empty string. Cut-off pages are read to their end; a tag cut off
@@ -33,8 +33,13 @@ NAMES = set("ad ads advert adverts advertisement advertising banner breadcrumb b
 OUTER_NAMES = {"header"}
 
 _token = re.compile(r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|</?[a-zA-Z][^>]*(?:>|\Z)""", re.S)
-_naming = re.compile(r"""(?:^|\s)(class|id|role|itemprop|hidden|aria-hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+# Words that turn a chrome name beside them into a property of the element (`no-sidebar`, `has-share`), and elements that hold the page.
+MODIFIERS = set("no not has have with without hide show is".split())
+KEPT = set("html body main article".split())
+
+_attribute = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _parts = re.compile(r"[a-z]+")
+_marked = re.compile("<article|<main|role|articlebody", re.I)
 
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "chrome", "article", "outside", "heading")
 # Labelled blocks: the features above, then 1 for main text.
@@ -96,6 +101,50 @@ def fitted(rows: np.ndarray, depth: int = 8):
     return f, float(cut), fitted(rows[low], depth - 1), fitted(rows[~low], depth - 1)
 
 
+def attributes(text: str) -> dict[str, str]:
+    """Names and values, in lower case, of the attributes of a tag; the first of equal names counts."""
+    out: dict[str, str] = {}
+    for name, a, b, c in _attribute.findall(text):
+        out.setdefault(name.lower(), (a or b or c).lower())
+    return out
+
+
+def naming(named: dict[str, str]) -> set[str]:
+    """The words of class, id and role, without those that follow a modifier in the same class."""
+    words: set[str] = set()
+    for one in " ".join(named.get(k, "") for k in ("class", "id", "role")).split():
+        parts = _parts.findall(one)
+        if not MODIFIERS.isdisjoint(parts):
+            parts = parts[: min(i for i, x in enumerate(parts) if x in MODIFIERS)]
+        words.update(parts)
+    return words
+
+
+def is_article(name: str, named: dict[str, str]) -> bool:
+    return name in ("article", "main") or "articlebody" in named.get("itemprop", "") or named.get("role") in ("main", "article")
+
+
+def elements(page: str) -> tuple[dict[int, int], list[int]]:
+    """Where elements end, by the end of their first tag, and the tags that mark an article and have no name of page chrome."""
+    opened: dict[str, list[int]] = {}
+    stops: dict[int, int] = {}
+    mains: list[int] = []
+    at = 0
+    while m := _token.search(page, at):
+        at, name = m.end(), (m[2] or "").lower()
+        if m[1] and opened.get(name):
+            stops[opened[name].pop()] = m.start()
+        elif name and not m[1] and name in RAW:
+            end = re.compile(f"</{name}\\s*>", re.I).search(page, at)
+            at = end.end() if end else len(page)
+        elif name and not m[1] and name not in VOID:
+            opened.setdefault(name, []).append(at)
+            named = attributes(m[3]) if m[3] else {}
+            if is_article(name, named) and not naming(named) & NAMES:
+                mains.append(m.start())
+    return stops, mains
+
+
 def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
     """(text, words, words in links, chrome, article, heading) of each block that has words."""
     out: list[tuple[str, int, int, bool, bool, bool]] = []
@@ -126,6 +175,15 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
             linked += len(piece.split())
 
     n = len(page)
+    spans, marked = None, bool(_marked.search(page))
+
+    def holds_article(start: int) -> bool:
+        """Whether all marked articles of the page lie in the element whose tag ends at start."""
+        nonlocal spans
+        spans = spans or elements(page)
+        stops, mains = spans
+        return bool(mains) and start <= mains[0] and mains[-1] < stops.get(start, n)
+
     while at < n:
         m = _token.search(page, at)
         if not m:
@@ -170,10 +228,13 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
             continue
         if m[3].endswith("/") and name not in BLOCK:
             continue
-        named = {k.lower(): (a or b or c or "").lower() for k, a, b, c in _naming.findall(m[3])} if m[3] else {}
-        words = set(_parts.findall(" ".join(named.get(k, "") for k in ("class", "id", "role")))) if named else set()
-        inside = article or name in ("article", "main") or "articlebody" in named.get("itemprop", "") or named.get("role") in ("main", "article")
-        own = name in CHROME or bool(words & NAMES) or (not inside and (name == "header" or bool(words & OUTER_NAMES)))
+        named = attributes(m[3]) if m[3] else {}
+        words = naming(named) if named else set()
+        inside = article or is_article(name, named)
+        called = bool(words & NAMES) and name not in KEPT and not is_article(name, named)
+        if called and marked and name in BLOCK and not article:
+            called = not holds_article(at)
+        own = name in CHROME or called or (not inside and (name == "header" or bool(words & OUTER_NAMES)))
         gone = name in HIDDEN or "hidden" in named or named.get("aria-hidden") == "true" or "display:none" in named.get("style", "").replace(" ", "")
         if name in BLOCK or name in HIDDEN or own or gone or name in ("span", "button"):
             if name == "p":  # a paragraph ends where the next block begins

@@ -135,6 +135,25 @@ def test_html():
     assert html_text.main_text(f"<article><p>{long}<b>bold<p>next &amp", tree) == f"{long}bold\nnext &"
 
 
+def test_html_named_containers():
+    """Classes of the page's frame do not make it chrome, and attribute values are no attributes."""
+    tree = html_text.fitted(html_text.with_places(html_text.LABELLED))
+    got = lambda page: html_text.main_text(page, tree)
+    long = "word " * 40
+    text = long.strip()
+    for page in (
+        '<body class="no-sidebar"><p>{}</p></body>', '<div id="page" class="has-sidebar"><p>{}</p></div>', '<article class="post has-share"><p>{}</p></article>', '<main class="tags-page"><p>{}</p></main>',
+        '<body class="search widget"><article><p>{}</p></article></body>', '<div class="sidebar-left" id="page"><div><article><p>{}</p></article></div></div>', '<div role="main" class="social"><p>{}</p></div>',
+        '<article><p title="a hidden gem">{}</p></article>', "<article><p data-x='class=\"ad\" hidden'>{}</p></article>", '<article><p title="x style=display:none y">{}</p></article>',
+    ):
+        assert got(page.format(long)) == text, page
+    for gone in (
+        '<div class="sidebar">{}</div>', '<div class="my-ad no-border">{}</div>', '<p hidden>{}</p>', "<p title='x' style='display: none'>{}</p>", '<div class="related"><article>{}</article></div>', '<section id="comments"><article class="comment">{}</article></section>',
+    ):
+        assert got(f"<article><p>{long}</p></article>" + gone.format("other " * 40)) == text, gone
+    assert got(f'<p>{long}</p><div id="comments"><article class="comment"><p>{"other " * 40}</p></article></div>') == text
+
+
 def test_html_tree():
     """Place decides where a page marks its article; words and links decide elsewhere."""
     tree = html_text.fitted(html_text.with_places(html_text.LABELLED))
