@@ -2,11 +2,11 @@
 
 Candidates are runs of 16 or more letters, digits and `+ / _ -` (and `=` at the end) that no letter or digit adjoins. The forest's features are the
 length, the shares of digits, capitals and symbols, the changes between kinds of characters, the variety of characters,
-the share covered by frequent words and syllables, signs of a path, and the words, quote and assignment around the first
-occurrence. It is fitted on a table of labelled findings made by the rules in `labelled_findings`.
+the share covered by frequent words and syllables, signs of a path, and the words, quote and assignment around the
+occurrence. Every occurrence is described; the likeliest counts. It is fitted on a table of labelled findings made by the rules in `labelled_findings`.
 
 One row for each document and candidate that the forest takes for a secret, with its first position (from 1) and number of
-occurrences. Null and empty texts have none. Rows that repeat an id are scanned each; a null id is kept.
+occurrences, not counting those inside longer runs. Null and empty texts have none. Rows that repeat an id are scanned each; a null id is kept.
 """
 
 from __future__ import annotations
@@ -20,6 +20,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CANDIDATE = r"(?<![\p{L}\p{N}+/_\-])[A-Za-z0-9+/_\-]{16,}+={0,2}+(?![\p{L}\p{N}])"
+RUN_BEGINS = r"(?<![\p{L}\p{N}+/_\-])"
+# What may not follow a run that ends in no, one or two equals signs.
+RUN_ENDS = (r"(?![\p{L}\p{N}+/_=\-])", r"(?![\p{L}\p{N}=])", r"(?![\p{L}\p{N}])")
 TREES, DEPTH, FINDINGS = 40, 8, 3000
 # Frequent words and syllables of running text and identifiers.
 FREQUENT = (
@@ -117,17 +120,23 @@ def forest(spark: SparkSession, findings: list[tuple[str, str, str, float]] | No
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, finding, start, n_occurrences, before, after): one row per row of docs and distinct candidate in it."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.withColumn("all", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))).where("size(all) > 0")
-    rows = rows.select("doc_id", "text", F.explode(F.expr("transform(array_distinct(all), c -> struct(c as finding, size(filter(all, x -> x = c)) as n_occurrences))")).alias("c"))
-    rows = rows.select("doc_id", "text", "c.*").withColumn("start", F.expr("locate(finding, text)"))
-    before = F.expr("substring(text, greatest(1, start - 40), least(40, start - 1))")
-    return rows.select("doc_id", "finding", "start", "n_occurrences", before.alias("before"), F.expr("substring(text, start + length(finding), 1)").alias("after"))
+    """(doc_id, row, finding, start, n_occurrences, before, after): one row per row of docs, distinct candidate in it and distinct surroundings of that."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.withColumn("all", F.array_distinct(F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)))).where("size(all) > 0")
+    rows = rows.select("doc_id", "row", "text", F.explode("all").alias("finding"))
+    ends = F.when(F.endswith("finding", F.lit("==")), F.lit(RUN_ENDS[2])).when(F.endswith("finding", F.lit("=")), F.lit(RUN_ENDS[1])).otherwise(F.lit(RUN_ENDS[0]))
+    # what stands between the occurrences
+    pieces = F.split("text", F.concat(F.lit(RUN_BEGINS + r"\Q"), "finding", F.lit(r"\E"), ends), -1)
+    rows = rows.select("doc_id", "row", "finding", pieces.alias("pieces"))
+    before = "right(concat(if(i > 1, concat(right(pieces[i - 2], 40), finding), ''), pieces[i - 1]), 40)"
+    places = F.expr(f"array_distinct(transform(sequence(1, size(pieces) - 1), i -> struct({before} as before, left(pieces[i], 1) as after)))")
+    rows = rows.select("doc_id", "row", "finding", (F.length(F.get("pieces", F.lit(0))) + 1).alias("start"), (F.size("pieces") - 1).alias("n_occurrences"), places.alias("places"))
+    return rows.select("doc_id", "row", "finding", "start", "n_occurrences", F.inline("places"))
 
 
 def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """(doc_id, finding, start, n_occurrences, score) of what the forest takes for secrets."""
+    """(doc_id, finding, start, n_occurrences, score) of what the forest takes for secrets at one of its places."""
     found = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(described(candidates(docs, id_col, text_col)))
     scored = forest(docs.sparkSession).transform(found).withColumn("score", F.get(vector_to_array("probability"), 1))
-    return scored.where(F.col("score") >= least).select("doc_id", "finding", "start", "n_occurrences", F.round("score", 6).alias("score"))
+    scored = scored.where(F.col("score") >= least).groupBy("row", "doc_id", "finding", "start", "n_occurrences").agg(F.max("score").alias("score"))
+    return scored.select("doc_id", "finding", "start", "n_occurrences", F.round("score", 6).alias("score"))

@@ -114,6 +114,17 @@ def test_secrets(spark):
     assert secrets.secrets(df.limit(0)).count() == 0
 
 
+def test_secrets_every_occurrence(spark):
+    """A key that first stands after `commit` or inside a longer run is judged at its later places too."""
+    key = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+    docs = [(1, f'commit {key} and then token = "{key}" here'), (2, f"commit {key} only, sha1: {key}"), (3, f'path/x/{key}abc then token = "{key}"'), (4, f'token = "{key}"'), (4, f'token = "{key}"')]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    ends = spark.createDataFrame([(i, f"x {key}{e} y") for i, e in enumerate(["", "=", "==", "===", "==+", ".", "==/ "])], "doc_id long, text string")
+    assert [(r["start"], r["n_occurrences"]) for r in secrets.candidates(ends).collect()] == [(3, 1)] * 7
+    got = sorted((r["doc_id"], r["start"], r["n_occurrences"]) for r in secrets.secrets(df).collect() if r["finding"] == key)
+    assert got == [(1, 8, 2), (3, docs[2][1].rindex(key) + 1, 1), (4, 10, 1), (4, 10, 1)]
+
+
 def test_secret_forest_held_out(spark):
     held = secrets.labelled_findings(600, seed=99)
     rows = spark.createDataFrame(held, "finding string, before string, after string, label double")
