@@ -1,21 +1,29 @@
 """Vectorised hashing of words and word windows in whole Arrow batches of texts.
 
 Words are maximal runs of bytes other than space and \\x09-\\x0D, which never occur inside a multi-byte UTF-8 character.
-Hashes are polynomial, modulo 2**64, over random byte values, then mixed, so any span of words has its hash in constant
-time from prefix sums.
+A word of up to LONG bytes is hashed by mixing in its eight-byte blocks one after another, so words of up to eight bytes never
+share a hash with others of their length; longer words are hashed by BLAKE2b. Sequences are hashed by mixing pairs of
+neighbours, then pairs of pairs and so on: any sequence is covered by two runs whose length is a power of two. No
+step is a sum or a polynomial, so patterned words and texts collide no more than others, with a chance of 2**-64 a pair;
+the second hash of a word shares nothing with the first, and with both the chance is 2**-128.
 """
 
 from __future__ import annotations
 
+import copy
+import hashlib
+
 import numpy as np
 
 U = np.uint64
-P, Q = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 CHUNK = 1 << 19
+LONG, CACHED_LEVELS = 64, 5
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-_BYTES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=U)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], U)
+_ODD = (U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93))
+_SEED = (U(0xA0761D6478BD642F), U(0xE7037ED1A0B428DB))
+_LENGTH, _PAIR = U(0x8EBC6AF09C88C6E3), U(0x589965CC75374CC3)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -27,18 +35,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(33))
 
 
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i up to n."""
-    have = _powers.get(base)
-    if have is None or len(have[0]) <= n:
-        m = max(n + 1, CHUNK)
-        out = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            a = np.full(m, b, U)
-            a[0] = 1
-            out.append(np.multiply.accumulate(a))
-        have = _powers[base] = (out[0], out[1])
-    return have
+def word_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray, second: bool = False) -> np.ndarray:
+    length = (stop - start).astype(np.int64)
+    odd = _ODD[second]
+    h = mix(_SEED[second] ^ length.astype(U) * odd)
+    blocks = np.ndarray((len(data) + 1,), "<u8", np.concatenate((data, np.zeros(8, np.uint8))), strides=(1,))
+    at = np.flatnonzero(length <= LONG)
+    for j in range(0, LONG, 8):
+        at = at[length[at] > j]
+        if not len(at):
+            break
+        h[at] = mix(h[at] * odd ^ (blocks[start[at] + j] & _MASKS[np.minimum(length[at] - j, 8)]))
+    for i in np.flatnonzero(length > LONG):
+        digest = hashlib.blake2b(data[start[i] : stop[i]].tobytes(), digest_size=16).digest()
+        h[i] = np.frombuffer(digest, U)[int(second)]
+    return h
+
+
+def paired(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """A hash of each pair, one-to-one in either part."""
+    return mix(x * _PAIR ^ y)
 
 
 class Words:
@@ -63,26 +79,47 @@ class Words:
         stop[last] = solid[last - 1] if n else False
         self.stop = np.flatnonzero(stop)
         self.first = np.searchsorted(self.start, ends)
-        up, down = powers(P, n)
-        sums = np.zeros(n + 1, U)
-        np.cumsum(_BYTES[data] * up[:n], out=sums[1:])
-        length = (self.stop - self.start).astype(U)
-        self.hash = mix((sums[self.stop] - sums[self.start]) * down[self.start] + length * U(0xA0761D6478BD642F))
-        self._sums = None
+        self.hash = word_hashes(data, self.start, self.stop)
+        self._levels: dict[tuple[int, bool], np.ndarray] = {}
 
     def __len__(self) -> int:
         return len(self.start)
 
-    def spans(self, begin: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
-        """Hash of the word sequences begin to end (exclusive); the seed gives an independent one."""
-        if self._sums is None or self._sums[0] != seed:
-            up, _ = powers(Q, len(self))
-            sums = np.zeros(len(self) + 1, U)
-            np.cumsum((mix(self.hash ^ U(seed)) if seed else self.hash) * up[: len(self)], out=sums[1:])
-            self._sums = (seed, sums)
-        sums = self._sums[1]
-        _, down = powers(Q, len(self))
-        return mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(U) * U(0xE7037ED1A0B428DB))
+    def rehashed(self, hashes: np.ndarray) -> Words:
+        """The same words with other hashes."""
+        out = copy.copy(self)
+        out.hash, out._levels = hashes, {}
+        return out
+
+    def level(self, j: int, second: bool = False) -> np.ndarray:
+        """Hashes of all runs of 2**j words."""
+        have = self._levels.get((j, second))
+        if have is None:
+            if j == 0:
+                have = word_hashes(self.data, self.start, self.stop, True) if second else self.hash
+            else:
+                less, half = self.level(j - 1, second), 1 << (j - 1)
+                have = paired(less[: max(len(less) - half, 0)], less[half:])
+            if j <= CACHED_LEVELS:
+                self._levels[j, second] = have
+        return have
+
+    def spans(self, begin: np.ndarray, end: np.ndarray, second: bool = False) -> np.ndarray:
+        """Hash of the word sequences begin to end (exclusive), none of them empty; second: an independent one."""
+        n = end - begin
+        out = np.zeros(len(begin), U)
+        kind = np.frexp(n.astype(float))[1] - 1
+        runs = None
+        for j in range(int(kind.max(initial=-1)) + 1):
+            if j <= CACHED_LEVELS:
+                runs = self.level(j, second)
+            else:
+                half = 1 << (j - 1)
+                runs = paired(runs[: max(len(runs) - half, 0)], runs[half:])
+            at = np.flatnonzero(kind == j)
+            if len(at):
+                out[at] = paired(runs[begin[at]] ^ n[at].astype(U) * _LENGTH, runs[end[at] - (1 << j)])
+        return out
 
     def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Starts of all windows of k words that lie in one text, and their hashes."""
@@ -90,7 +127,9 @@ class Words:
             return np.zeros(0, np.int64), np.zeros(0, U)
         doc = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
         at = np.flatnonzero(doc[: len(self) - k + 1] == doc[k - 1 :])
-        return at, self.spans(at, at + k)
+        j = k.bit_length() - 1
+        runs = self.level(j)
+        return at, paired(runs[at] ^ np.full(1, k, U) * _LENGTH, runs[at + (k - (1 << j))])
 
 
 def text_buffers(column) -> tuple[np.ndarray, np.ndarray]:

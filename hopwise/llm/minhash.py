@@ -73,7 +73,7 @@ def _features(width: int):
                 grouped = sig.reshape(len(sets), BANDS, ROWS).astype(np.uint64)
                 key = np.zeros((len(sets), BANDS), np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
                 for r in range(ROWS):
-                    key = H.mix(key * np.uint64(H.P) ^ grouped[:, :, r])
+                    key = H.paired(key, grouped[:, :, r])
                 offsets = pa.array(np.concatenate(([0], np.cumsum(np.where(size > 0, BANDS, 0)))).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [

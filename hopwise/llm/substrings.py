@@ -128,7 +128,7 @@ def _spans(batches):
             if not out["doc"]:
                 continue
             doc, b, e, window = (np.concatenate(out[k]).astype(np.int64) for k in ("doc", "b", "e", "window"))
-            h1, h2 = words.spans(b, e), words.spans(b, e, 77)
+            h1, h2 = words.spans(b, e), words.spans(b, e, second=True)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(row, n).take(pa.array(doc)), batch.column(3).slice(row, n).take(pa.array(doc)), pa.array(H.signed(h1)), pa.array(H.signed(h2)), pa.array((b - words.first[doc]).astype(np.int32)), pa.array((e - b).astype(np.int32))],
                 names=["doc_id", "part", "h1", "h2", "begin", "length"],

@@ -368,3 +368,109 @@ def test_stages_against_plain_versions(spark):
     for r in c.shard(spark, docs, SF).collect():
         load[r["shard"]] += r["size"]
     assert sum(load.values()) == sum(len(t.encode()) + 1 for t in texts.values()) and len(load) == 16
+
+
+def test_decontamination_every_item(spark):
+    """Items of any length are found, with `shortest` 1; an opening name may change, a word that opens many sentences may not."""
+    items = {1: "what is the capital", 2: "3 4 5 6 7 of 8 9 10", 3: "Alice buys 3 apples for 2 dollars", 4: "photosynthesis", 5: "Ada Lovelace", 6: "Find the capital of Peru", 7: ""}
+    docs = {1: "so what is the capital?", 2: "it reads 3 4 5 6 7 of 8 9 10 there", 3: "Brian buys 7 apples for 9 dollars", 4: "About Photosynthesis.", 5: "by ADA LOVELACE (1815)", 6: "Find the capital of Chile", 11: "what is a capital", 12: "3 4 5 6 8 of 8 9 10", 13: "Brian sells 7 apples for 9 dollars", 14: "synthesis", 15: "Ada and Lovelace", 16: "Sketch the capital of Chile"}
+    df = lambda rows, schema: spark.createDataFrame(list(rows.items()), schema)
+    texts, bench = df(docs, "doc_id long, text string"), df(items, "item_id long, text string")
+    got = {r["doc_id"]: (r["item_id"], r["n_windows"]) for r in decontamination.contaminated(texts, bench, shortest=1).collect()}
+    assert got == {i: (i, 1) for i in range(1, 7)}
+    # ids that repeat, null ids, ties of items and clashing columns
+    rows = [(1, docs[3], "a"), (1, "clean", "b"), (None, docs[3], "c"), (None, "clean", "d"), (2, None, "e")]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, item_id string")
+    twice = spark.createDataFrame([(9, items[3]), (8, "Carl buys 4 apples for 5 dollars"), (None, items[3])], "item_id long, text string")
+    assert [tuple(r) for r in decontamination.contaminated(odd, twice).collect()] == [(1, 8, 1)]
+    left = lambda **kw: sorted(r["item_id"] for r in decontamination.without_contaminated(odd, twice, **kw).collect())
+    assert left() == ["c", "d", "e"] and left(null_ids=True) == ["d", "e"]
+
+
+def test_decontamination_joins_without_broadcast(spark, monkeypatch):
+    """The shuffle joins of a large benchmark give the same."""
+    r = random.Random(8)
+    items = [(i, " ".join(r.choice(["Bob", "Ann", "7", "12", "km", "apples", "of", "are", "left"]) for _ in range(r.randrange(1, 20)))) for i in range(80)]
+    docs = [(i, " ".join(r.choice(items)[1] if r.random() < 0.3 else "plain words here" for _ in range(4))) for i in range(200)]
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = lambda: (sorted(decontamination.contaminated(docs, items, shortest=1).collect()), sorted(decontamination.without_contaminated(docs, items, shortest=1).collect()))
+    want = found()
+    monkeypatch.setattr(decontamination, "BROADCAST_WINDOWS", 0)
+    monkeypatch.setattr(decontamination, "BROADCAST_IDS", 0)
+    assert found() == want and want[0] and want[1]
+
+
+def plain_template_matches(docs, items):
+    """(doc, item) pairs of the template rules, written without hashes: for items of 5 to 13 words of ASCII letters and digits."""
+
+    def readings(text):
+        words = re.findall(r"\w+|[.!?:\n]", text)
+        tokens, opens, start = [], [], True
+        for w in words:
+            if re.match(r"\w", w):
+                tokens.append(w)
+                opens.append(start)
+            start = not re.match(r"\w", w)
+        number = [t.isdigit() for t in tokens]
+        unit = [i > 0 and number[i - 1] and t.lower() in decontamination.UNITS for i, t in enumerate(tokens)]
+        name = [len(t) > 1 and t[0].isupper() and t[1].islower() for t in tokens]
+        listed = [t.lower() in decontamination.OPENERS for t in tokens]
+        for units, names in (([u and not o for u, o in zip(unit, opens)], [n and not o for n, o in zip(name, opens)]), (unit, [n and not x for n, x in zip(name, listed)]), (unit, [False] * len(tokens)), (None, None)):
+            yield [("" if units is None else "#" if number[i] else "U" if units[i] else "N" if names[i] else "", t.lower()) for i, t in enumerate(tokens)]
+
+    out = set()
+    for i, item in items:
+        mine = list(readings(item))
+        for d, text in docs:
+            for x, y in zip(mine, readings(text), strict=True):
+                k = min(13, len(x))
+                for p in range(len(x) - k + 1):
+                    one = x[p : p + k]
+                    if 2 * sum(kind in ("#", "N") for kind, _ in one) > k:
+                        continue
+                    for q in range(len(y) - k + 1):
+                        two = y[q : q + k]
+                        if all(a[0] == b[0] and (a[0] or a[1] == b[1]) for a, b in zip(one, two)):
+                            pairs = {(a[1], b[1]) for a, b in zip(one, two) if a[0]}
+                            if len(pairs) == len({a for a, _ in pairs}):
+                                out.add((d, i))
+    return out
+
+
+def test_decontamination_templates_brute_force(spark):
+    r = random.Random(12)
+    some = ["Bob", "Alice", "Lima", "7", "12", "305", "km", "days", "apples", "walks", "to", "buys", "left", "What", "is", "now", "the", "at"]
+    items = [(i, " ".join(r.choice(some) + r.choice(["", "", "", "."]) for _ in range(r.randrange(5, 17)))) for i in range(40)]
+
+    def changed(text):
+        swap = {w: r.choice(["Carol", "Dave", "Rome"]) if w[0].isupper() and w != "What" else str(r.randrange(99)) if w.isdigit() else w for w in set(re.findall(r"\w+", text))}
+        return re.sub(r"\w+", lambda m: swap[m[0]], text)
+
+    docs = [(d, f"so {changed(r.choice(items)[1])} . then {changed(r.choice(items)[1])}") for d in range(150)]
+    want = defaultdict(set)
+    for d, i in plain_template_matches(docs, items):
+        want[d].add(i)
+    found = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), shortest=5)
+    assert {x["doc_id"]: x["item_id"] for x in found.collect()} == {d: min(x) for d, x in want.items()} and len(want) > 60
+
+
+def thue_morse(n, a, b):
+    """A pattern whose polynomial hashes modulo a power of two collide with those of its mirror."""
+    return [(a, b)[bin(i).count("1") % 2] for i in range(n)]
+
+
+def test_hashes_of_patterned_words_and_texts(spark):
+    import pyarrow as pa
+
+    from hopwise.llm import minhash, substrings
+
+    one, two = "".join(thue_morse(2048, "a", "b")), "".join(thue_morse(2048, "b", "a"))
+    _, words = next(iter(hashing.chunks(pa.array([" ".join([one, two, *thue_morse(4096, "x", "y"), *thue_morse(4096, "y", "x")])]))))
+    for second in (False, True):
+        h = words.level(0, second)
+        assert h[0] != h[1] and words.spans(np.array([2]), np.array([4098]), second) != words.spans(np.array([4098]), np.array([8194]), second)
+    docs = spark.createDataFrame([(i, f"{w} " + " ".join(f"w{j}" for j in range(60 if k else 3))) for k in (0, 1) for i, w in ((2 * k, one), (2 * k + 1, two))], "doc_id long, text string")
+    assert {r["doc_id"] for r in minhash.near_duplicates(docs.where("doc_id < 2")).where("kept").collect()} == {0, 1}
+    assert [r["n_removed"] for r in substrings.without_repeats(docs.where("doc_id > 1")).orderBy("doc_id").collect()] == [0, 60]
+    item = spark.createDataFrame([(1, one)], "item_id long, text string")
+    assert [r["doc_id"] for r in decontamination.contaminated(docs, item, shortest=1).orderBy("doc_id").collect()] == [0, 2]
