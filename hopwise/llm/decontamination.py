@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hopwise.llm import hashing as H
-from hopwise.llm.shared import checkpointed, small_batches, stored
+from hopwise.llm.shared import bit_set, checkpointed, small_batches, stored
 
 WINDOW, SHORTEST, SHORTEST_PLAIN, LEAST_BITS, MOST_BITS, BROADCAST_WINDOWS, BROADCAST_IDS = 13, 5, 3, 20, 26, 200_000, 1_000_000
 # Units that may follow a number.
@@ -235,22 +235,6 @@ def _document_windows(lengths: list[int], bits):
     return run
 
 
-def _bit_set(places: DataFrame, size: int) -> bytes:
-    """A set of places below size, put together in parts of 128 KB where the rows are."""
-    part = min(size, 1 << 20)
-
-    def run(table):
-        import pyarrow as pa
-
-        at = table.column("place").to_numpy()
-        bits = np.zeros(part, np.uint8)
-        bits[at % part] = 1
-        return pa.table({"part": pa.array([int(at[0]) // part], pa.int64()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
-
-    made = {r["part"]: bytes(r["bits"]) for r in places.select("place").distinct().groupBy(F.col("place").bitwiseAND(F.lit(-part))).applyInArrow(run, "part long, bits binary").collect()}
-    return b"".join(made.get(i, bytes(part // 8)) for i in range(size // part))
-
-
 def _found(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, shortest: int) -> DataFrame:
     """(id, item_id, place, k) of the windows that count, once for each reading and pattern; docs: (id, text), the id of any type."""
     spark = docs.sparkSession
@@ -260,7 +244,7 @@ def _found(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text_col:
     items = stored(items.mapInArrow(_item_windows(shortest), f"id long, {made}").groupBy("h", "k", "slots").agg(F.min("id").alias("item_id")))
     about = items.agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("k")).alias("lengths")).first()
     size = 1 << min(MOST_BITS, max(LEAST_BITS, (16 * about["n"]).bit_length()))
-    bits = spark.sparkContext.broadcast(_bit_set(items.select(F.col("h").bitwiseAND(F.lit(size - 1)).alias("place")), size))
+    bits = spark.sparkContext.broadcast(bit_set(items.select(F.col("h").bitwiseAND(F.lit(size - 1)).alias("place")), size))
     kind = docs.schema["id"].dataType.simpleString()
     hits = docs.select("id", "text").mapInArrow(_document_windows(about["lengths"], bits), f"id {kind}, {made}").withColumnRenamed("slots", "values")
     items = F.broadcast(items) if about["n"] <= BROADCAST_WINDOWS else items

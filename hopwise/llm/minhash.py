@@ -1,21 +1,24 @@
 """Near-duplicate documents by MinHash: banded candidates, sequential Bayesian verification, exact check.
 
-1. Words become shingles of `width` words; a text's set, hashed, gives its size, a 128-bit fingerprint and `rows * bands`
-   minimum hashes. Texts with equal fingerprints form a class and only its smallest doc_id goes on.
+1. Words become shingles of `width` words; a text's set of 64-bit shingle hashes gives its size, a fingerprint of two sums and
+   `rows * bands` minimum hashes. Texts with equal fingerprints form a class and only its smallest id goes on.
 2. In each bucket of each band all members are compared with the bucket's smallest id. That links large groups of near
    copies without listing their pairs.
 3. Buckets whose members still lie in several components get the rest. Up to 32 members, the pairs of different components
-   are listed. Larger buckets are cut into blocks of about 512 members and every two blocks are a tile: one task compares
-   its rows, verifies what is likely, the likeliest first, and returns only links that join two components. After that every
+   are listed. Larger buckets are cut into blocks of about 512 members and every two blocks are a tile. A first pass sends
+   signatures to the tiles and gets back the rows that have a likely partner there; a second sends the sets of those rows
+   alone, verifies what is likely, the likeliest first, and returns only links that join two components. After that every
    candidate pair has been compared or lies in one component, so no bucket needs a cap.
 4. A comparison looks at the signatures a batch at a time and stops as soon as the chance that the similarity reaches the
-   threshold (uniform prior, so a Beta posterior) falls below `miss`; the survivors are compared on their full sets.
+   threshold (uniform prior, so a Beta posterior) falls below `miss`; the survivors are compared on their full sets, which
+   are made again from the texts of the survivors only: the others are left out before anything is shuffled.
 
 With 26 bands of 5 rows a pair of similarity 0.8 is no candidate with a chance of 3e-5.
 
 Null or empty texts, and texts without words, have an empty set and no links. A text shorter than `width` words is one
-shingle. Rows that repeat a doc_id count as that document; a null doc_id is returned with a null component and kept. Only
-the id and text columns are read, others are ignored here and kept by `drop_near_duplicates`.
+shingle. Rows that repeat a doc_id count as that document, each distinct text of it is compared, and all are one component;
+a null doc_id is returned with a null component and kept. Only the id and text columns are read, others are ignored here and
+kept by `drop_near_duplicates`.
 """
 
 from __future__ import annotations
@@ -27,10 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hopwise.llm import hashing as H
-from hopwise.llm.shared import checkpointed, connected_components, small_batches, stored
+from hopwise.llm.shared import bit_set, checkpointed, connected_components, discard, small_batches, stored, with_parts
 
 BANDS, ROWS, BATCH = 26, 5, 26
 PAIRED, BLOCK_ROWS, BLOCK_SHINGLES = 32, 512, 1 << 20
+BROADCAST_IDS, MOST_BITS, HIGH = 500_000, 29, 1 << 62
 SEEDS = np.random.default_rng(41).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 FEATURES = "doc_id long, n_shingles long, f1 long, f2 long, signature binary, bands array<long>"
 
@@ -90,11 +94,17 @@ def _features(width: int):
     return run
 
 
-def _sets(width: int):
+def _sets(width: int, bits=None):
+    """Sets of texts; with bits, of those alone whose place (third column) is set."""
+
     def run(batches):
         import pyarrow as pa
 
+        filled = None if bits is None else np.frombuffer(bits.value, np.uint8)
         for batch in batches:
+            if filled is not None:
+                at = batch.column(2).to_numpy()
+                batch = batch.filter(pa.array((filled[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
             for row, words in H.chunks(batch.column(1), fold=True):
                 sets = shingle_sets(words, width)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "shingles"])
@@ -147,37 +157,46 @@ def _exact(percent: int):
     return run
 
 
-def _tiles(percent: int, miss: float):
+def _pairs(table, percent: int, miss: float):
+    """The likely pairs of a tile's rows, of different components and in the first band they share: (equal values, row, row) each."""
     total = BANDS * ROWS
     steps = [(n, least_matches(n, percent / 100, miss)) for n in range(BATCH, total + 1, BATCH)]
-
-    def likely(sig, left, right, component, doc):
-        """Pairs of different components that pass all batches, for some rows against many."""
-        same = (sig[left, None, :BATCH] == sig[None, right, :BATCH]).sum(axis=2, dtype=np.int32)
-        x, y = np.nonzero((same >= steps[0][1]) & (component[left, None] != component[None, right]))
-        count, x, y = same[x, y], left[x], right[y]
+    doc, component, block, band = (table.column(c).to_numpy() for c in ("doc_id", "component", "block", "band"))
+    sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(-1, total)
+    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    found = [np.zeros((3, 0), np.int64)]
+    for r in range(0, len(left), 32):
+        part = left[r : r + 32]
+        same = (sig[part, None, :BATCH] == sig[None, right, :BATCH]).sum(axis=2, dtype=np.int32)
+        x, y = np.nonzero((same >= steps[0][1]) & (component[part, None] != component[None, right]))
+        count, x, y = same[x, y], part[x], right[y]
         for (seen, _), (n, least) in zip(steps, steps[1:], strict=False):
             count = count + (sig[x, seen:n] == sig[y, seen:n]).sum(axis=1, dtype=np.int32)
             keep = count >= least
             count, x, y = count[keep], x[keep], y[keep]
-        return count, x, y
+        once = (sig[x] == sig[y]).reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band[0]
+        once &= (doc[x] < doc[y]) | (i != j)
+        found.append(np.stack([count[once], x[once], y[once]]))
+    return doc, component, np.concatenate(found, axis=1)
+
+
+def _likely_rows(percent: int, miss: float):
+    """The rows of a tile that have a likely partner in it."""
+
+    def run(table):
+        _, _, pairs = _pairs(table, percent, miss)
+        return table.take(np.unique(pairs[1:])).select(["bucket", "band", "doc_id", "component", "block", "i", "j", "signature"])
+
+    return run
 
+
+def _tiles(percent: int, miss: float):
     def run(table):
         import pyarrow as pa
 
-        doc, component, block, band = (table.column(c).to_numpy() for c in ("doc_id", "component", "block", "band"))
-        sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(-1, total)
+        doc, component, pairs = _pairs(table, percent, miss)
         sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
-        i = table.column("i")[0].as_py()
-        left = np.flatnonzero(block == i)
-        right = np.flatnonzero(block == table.column("j")[0].as_py())
-        found = []
-        for r in range(0, len(left), 32):
-            count, x, y = likely(sig, left[r : r + 32], right, component, doc)
-            # a pair that meets in several bands is looked at in the first
-            first = (sig[x] == sig[y]).reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band[0]
-            once = first & ((doc[x] < doc[y]) if len(left) == len(right) and left[0] == right[0] else True)
-            found.append(np.stack([count[once], x[once], y[once]]))
         root: dict[int, int] = {}
 
         def top(c):
@@ -186,7 +205,6 @@ def _tiles(percent: int, miss: float):
             return c
 
         links = []
-        pairs = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
         for _, x, y in pairs[:, np.argsort(-pairs[0], kind="stable")].T.tolist():
             p, q = top(component[x]), top(component[y])
             if p == q:
@@ -201,27 +219,34 @@ def _tiles(percent: int, miss: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 80, miss: float = 1e-6) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept): one row per input row."""
-    small_batches(docs.sparkSession)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def _components(texts: DataFrame, width: int, percent: int, miss: float, more: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(features, components) of (doc_id, text), whose rows of one id have one text; more: further links (a, b)."""
+    spark = texts.sparkSession
     features = stored(texts.mapInArrow(_features(width), FEATURES))
     named = features.where("doc_id is not null and n_shingles > 0")
 
     copies = checkpointed(named.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("other")).where("rep <> other").select("f1", "f2", "rep"))
     links = checkpointed(named.select("f1", "f2", "doc_id").join(copies, ["f1", "f2"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a <> b"))
-    copied = links.select(F.col("b").alias("doc_id"))
-    single = named.join(copied, "doc_id", "left_anti")
+    single = named.select("doc_id", "bands").join(links.select(F.col("b").alias("doc_id")), "doc_id", "left_anti")
 
     banded = single.select("doc_id", F.posexplode("bands").alias("band", "bucket"))
     buckets = checkpointed(banded.groupBy("bucket").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep <> last").select("bucket", "rep"))
     members = checkpointed(banded.join(buckets, "bucket").select("bucket", "band", "rep", "doc_id"))
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        return stored(texts.join(ids.select("doc_id").distinct(), "doc_id").mapInArrow(_sets(width), "doc_id long, shingles binary").dropDuplicates(["doc_id"]))
+        ids = checkpointed(ids.select("doc_id").distinct())
+        n, made = ids.count(), "doc_id long, shingles binary"
+        if n <= BROADCAST_IDS:
+            return stored(texts.join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(_sets(width), made).dropDuplicates(["doc_id"]))
+        size = 1 << min(MOST_BITS, (16 * n).bit_length())
+        place = F.xxhash64("doc_id").bitwiseAND(F.lit(size - 1)).alias("place")
+        bits = spark.sparkContext.broadcast(bit_set(ids.select(place), size))
+        return stored(texts.where("doc_id is not null").select("doc_id", "text", place).mapInArrow(_sets(width, bits), made).join(ids, "doc_id").dropDuplicates(["doc_id"]))
 
     def signatures_of(ids: DataFrame) -> DataFrame:
-        return stored(features.select("doc_id", "signature", "n_shingles").join(ids.select("doc_id").distinct(), "doc_id").dropDuplicates(["doc_id"]))
+        ids = checkpointed(ids.select("doc_id").distinct())
+        ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+        return stored(named.select("doc_id", "signature", "n_shingles").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) that reach the similarity."""
@@ -231,7 +256,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         likely = checkpointed(pairs.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_likely(percent / 100, miss), "a long, b long"))
         sets = sets_of(likely.select(F.explode(F.array("a", "b")).alias("doc_id")))
         left, right = (sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "ab")
-        return checkpointed(likely.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(_exact(percent), "a long, b long"))
+        out = checkpointed(likely.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(_exact(percent), "a long, b long"))
+        discard(sig, sets)
+        return out
 
     near = verified(members.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a <> b").distinct())
     found = connected_components(near)
@@ -246,24 +273,58 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     near = near.union(verified(pairs))
 
     many = rest.where(F.col("n") > PAIRED)
-    known = signatures_of(many).join(sets_of(many), "doc_id")
-    blocks = many.join(known.select("doc_id", "n_shingles"), "doc_id").groupBy("bucket")
-    blocks = checkpointed(blocks.agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks")))
-    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    tiles = many.join(blocks, "bucket").withColumn("block", block).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    tiles = tiles.select("bucket", "band", "doc_id", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    tiles = tiles.join(known.drop("n_shingles"), "doc_id").groupBy("bucket", "i", "j")
-    near = near.union(checkpointed(tiles.applyInArrow(_tiles(percent, miss), "a long, b long")))
-
-    components = connected_components(links.union(near))
-    return (
-        features.join(components, features.doc_id == components.node, "left")
-        .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-    )
-
-
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs whose document is the smallest of its component, with all their columns; ids should be unique."""
-    lost = near_duplicates(docs, id_col, text_col, width, percent).where("not kept").select(F.col("doc_id").alias("__lost")).distinct()
-    return docs.join(lost, docs[id_col] == F.col("__lost"), "left_anti")
+    if not many.isEmpty():
+        known = signatures_of(many)
+        blocks = many.join(known.select("doc_id", "n_shingles"), "doc_id").groupBy("bucket")
+        blocks = checkpointed(blocks.agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks")))
+        block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+        tiles = many.join(blocks, "bucket").withColumn("block", block).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+        tiles = tiles.select("bucket", "band", "doc_id", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+        made = "bucket long, band int, doc_id long, component long, block int, i int, j int, signature binary"
+        likely = stored(tiles.join(known.drop("n_shingles"), "doc_id").groupBy("bucket", "i", "j").applyInArrow(_likely_rows(percent, miss), made))
+        sets = sets_of(likely)
+        near = near.union(checkpointed(likely.join(sets, "doc_id").groupBy("bucket", "i", "j").applyInArrow(_tiles(percent, miss), "a long, b long")))
+        discard(known, likely, sets)
+
+    links = links.union(near) if more is None else links.union(near).union(more)
+    return features, connected_components(links)
+
+
+def with_nodes(docs: DataFrame, id_col: str, text_col: str, nulls: bool = False) -> tuple[DataFrame, bool]:
+    """docs with `__node`, and whether some are no ids: the id where one row has it, else a number above all ids for each distinct text of it; nulls: of null ids too."""
+    docs, some = with_parts(docs, id_col, text_col, nulls)
+    high = F.xxhash64(F.col(id_col), F.col(text_col)).bitwiseAND(F.lit(HIGH - 1)).bitwiseOR(F.lit(HIGH))
+    return docs.withColumn("__node", F.when(F.col("__part") != 0, high).otherwise(F.col(id_col).cast("long"))).drop("__part"), some
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 80, miss: float = 1e-6) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept): one row per input row."""
+    small_batches(docs.sparkSession)
+    rows, some = with_nodes(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), "doc_id", "text")
+    again = checkpointed(rows.where("__node <> doc_id").select(F.col("doc_id").alias("a"), F.col("__node").alias("b")).distinct()) if some else None
+    features, components = _components(rows.select(F.col("__node").alias("doc_id"), "text"), width, percent, miss, again)
+    out = features.select("doc_id", F.col("doc_id").alias("at"), "n_shingles")
+    if again is not None:
+        out = out.join(again, F.col("at") == F.col("b"), "left").select(F.coalesce("a", "doc_id").alias("doc_id"), "at", "n_shingles")
+    out = out.join(components, F.col("at") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, miss: float = 1e-6) -> DataFrame:
+    """One row of each component, that of the smallest id, with all its columns, and all rows without words.
+
+    Rows of a repeated or null id are documents of their own here, one for each distinct text, after all others in order.
+    """
+    small_batches(docs.sparkSession)
+    columns = docs.columns
+    place = {c: f"__{i}" for i, c in enumerate(columns)}  # no column of docs gets in the way
+    id_col, text_col = place[id_col], place[text_col]
+    rows, some = with_nodes(docs.toDF(*place.values()), id_col, text_col, nulls=True)
+    _, components = _components(rows.select(F.col("__node").alias("doc_id"), F.col(text_col).cast("string").alias("text")), width, percent, miss)
+    lost = checkpointed(components.where("node <> component_id").select(F.col("node").alias("__lost")))
+    lost = F.broadcast(lost) if lost.count() <= BROADCAST_IDS else lost
+    left = rows.join(lost, F.col("__node") == F.col("__lost"), "left_anti")
+    if some:
+        again = (F.col("__node") >= HIGH) & F.coalesce(F.col(text_col).cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+        left = left.where(~again).union(left.where(again).dropDuplicates(["__node"]))
+    return left.drop("__node").toDF(*columns)

@@ -3,35 +3,16 @@
 from __future__ import annotations
 
 import inspect
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hopwise.operators import checkpointed, discard, shared_dir, stored
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isEmpty():
-        found = found or tempfile.mkdtemp(prefix="hopwise-checkpoint-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found or current.get()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage; the rows lie in the shared folder, so a lost executor loses nothing."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """As `checkpointed`, but as Parquet: compressed, and readers take only the columns they need."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/hopwise-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["bit_set", "checkpointed", "connected_components", "discard", "series_udf", "shared_dir", "small_batches", "stored", "with_parts"]
+BROADCAST_IDS = 200_000
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -49,6 +30,35 @@ def series_udf(run: Callable, kind: str):
     return F.pandas_udf(run, kind)
 
 
+def bit_set(places: DataFrame, size: int) -> bytes:
+    """A set of places (a long column `place`) below size, a power of two; it is put together where the rows are, in parts of 128 KB."""
+    part = min(size, 1 << 20)
+
+    def run(table):
+        import pyarrow as pa
+
+        at = table.column("place").to_numpy()
+        bits = np.zeros(part, np.uint8)
+        bits[at % part] = 1
+        return pa.table({"part": pa.array([int(at[0]) // part], pa.int64()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+    made = places.select("place").distinct().groupBy(F.col("place").bitwiseAND(F.lit(-part))).applyInArrow(run, "part long, bits binary")
+    made = {r["part"]: bytes(r["bits"]) for r in made.collect()}
+    return b"".join(made.get(i, bytes(-(-part // 8))) for i in range(size // part))
+
+
+def with_parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", nulls: bool = False) -> tuple[DataFrame, bool]:
+    """docs with `__part`, which tells the distinct texts of an id apart and is 0 for ids of one row, and whether any is not 0; nulls: null ids have parts too."""
+    ids = docs.select(F.col(id_col).alias("__id")).where("true" if nulls else "__id is not null").groupBy("__id").count()
+    ids = checkpointed(ids.where("count > 1 or __id is null").select("__id", F.lit(True).alias("__again")))
+    n = ids.count()
+    if not n:
+        return docs.withColumn("__part", F.lit(0).cast("long")), False
+    ids = F.broadcast(ids) if n <= BROADCAST_IDS else ids
+    part = F.when(F.col("__again"), F.xxhash64(F.col(text_col)).bitwiseOR(F.lit(1))).otherwise(F.lit(0).cast("long"))
+    return docs.join(ids, F.col(id_col).eqNullSafe(F.col("__id")), "left").withColumn("__part", part).drop("__id", "__again"), True
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Components of an undirected graph given as (a long, b long) rows: (node, component_id), the smallest node id.
 
@@ -63,18 +73,22 @@ def connected_components(edges: DataFrame) -> DataFrame:
     members = None
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a"))
-        step = stored(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("p")))
-        up = step.select(F.col("v").alias("p"), F.col("p").alias("pp"))
-        step = stored(step.join(up, "p").select("v", F.col("pp").alias("p")))
-        members = (
+        least = stored(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("p")))
+        up = least.select(F.col("v").alias("p"), F.col("p").alias("pp"))
+        step = stored(least.join(up, "p").select("v", F.col("pp").alias("p")))
+        discard(least)
+        before = members
+        members = stored(
             step.select(F.col("v").alias("node"), F.col("p").alias("component_id"))
-            if members is None
-            else members.join(step, members.component_id == step.v, "left").select("node", F.coalesce("p", "component_id").alias("component_id"))
+            if before is None
+            else before.join(step, before.component_id == step.v, "left").select("node", F.coalesce("p", "component_id").alias("component_id"))
         )
-        members = stored(members)
         to_a, to_b = step.select(F.col("v").alias("a"), F.col("p").alias("pa")), step.select(F.col("v").alias("b"), F.col("p").alias("pb"))
         moved = edges.join(to_a, "a").join(to_b, "b").where("pa <> pb")
-        edges = stored(moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
+        left = stored(moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
+        discard(edges, step, *([] if before is None else [before]))
+        edges = left
+    discard(edges)
     if members is None:
         return spark.createDataFrame([], "node long, component_id long")
     return members

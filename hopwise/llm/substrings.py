@@ -26,10 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hopwise.llm import hashing as H
-from hopwise.llm.shared import checkpointed, small_batches, stored
+from hopwise.llm.shared import checkpointed, small_batches, stored, with_parts
 
 WINDOW, K, RUN = 50, 20, 15
-BROADCAST_IDS = 200_000
 
 
 def _sliding(x: np.ndarray, n: int, least: bool) -> np.ndarray:
@@ -172,17 +171,6 @@ def joined_words(words: H.Words, keep: np.ndarray) -> bytes:
     return out.tobytes()
 
 
-def with_parts(texts: DataFrame) -> DataFrame:
-    """(doc_id, text, part): part tells the distinct texts of an id apart; it is 0 for ids of one row and for null ids."""
-    ids = checkpointed(texts.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit(True).alias("again")))
-    n = ids.count()
-    if not n:
-        return texts.select("doc_id", "text", F.lit(0).cast("long").alias("part"))
-    ids = F.broadcast(ids) if n <= BROADCAST_IDS else ids
-    part = F.when(F.col("again"), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))
-    return texts.join(ids, "doc_id", "left").select("doc_id", "text", part.alias("part"))
-
-
 def repeated_spans(texts: DataFrame) -> DataFrame:
     """(doc_id, part, begin, length) of word spans all of whose windows also start in a document with a smaller id; texts: (doc_id, text, part)."""
     texts = texts.where("doc_id is not null and text is not null")
@@ -211,7 +199,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, n_words, n_removed, kept_sha256): one row per input row."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    texts = with_parts(texts)
+    texts = with_parts(texts)[0].withColumnRenamed("__part", "part")
     cut = repeated_spans(texts).groupBy("doc_id", "part").agg(F.collect_list(F.shiftleft(F.col("begin").cast("long"), 32) + F.col("length")).alias("cut"))
     cut = checkpointed(cut)
     return texts.join(cut, ["doc_id", "part"], "left").select("doc_id", "text", "cut").mapInArrow(_digests, "doc_id long, n_words long, n_removed long, kept_sha256 string")

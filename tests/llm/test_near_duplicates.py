@@ -89,6 +89,54 @@ def test_minhash_edges(spark):
     assert [tuple(r) for r in kept.collect()] == [(1, "a b c d e f", 5)]
 
 
+def test_minhash_large_inputs_paths(spark, monkeypatch):
+    """Bit set and shuffle joins instead of broadcasts, and buckets of unlike rows in many tiles."""
+    r = random.Random(9)
+    monkeypatch.setattr(minhash, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(minhash, "PAIRED", 4)
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 16)
+    base = [[f"v{r.randrange(9999)}" for _ in range(60)] for _ in range(4)]
+    rows = []
+    for i in range(150):
+        w = list(r.choice(base))
+        for _ in range(r.randrange(0, 9)):
+            w[r.randrange(len(w))] = f"x{r.randrange(9999)}"
+        rows.append((i * 3, " ".join(w)))
+    assert len(set(check_minhash(spark, rows).values())) > 3
+    kept = minhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=4)
+    sets = {i: shingles(t, 4) for i, t in rows}
+    top = classes(sets, similar(sets))
+    assert sorted(x["doc_id"] for x in kept.collect()) == sorted(i for i in top if top[i] == i)
+
+
+def test_minhash_repeated_and_null_ids(spark):
+    """Each distinct text of an id is compared; the stage keeps one row of each group, whatever its id."""
+    words = lambda a, n=40: " ".join(f"{a}{i}" for i in range(n))
+    rows = [(1, words("a")), (7, words("b")), (7, words("c")), (7, words("c")), (5, words("c") + " end"), (9, words("b") + " end"), (None, words("a")), (None, words("d")), (None, words("d")), (None, None), (None, ""), (8, ""), (8, "")]
+    df = spark.createDataFrame([(*x, "k") for x in rows], "doc_id long, text string, kept string")
+    got = sorted({(r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(df).where("doc_id is not null").collect()})
+    assert got == [(1, 1, True), (5, 5, True), (7, 5, False), (8, 8, True), (9, 5, False)] and minhash.near_duplicates(df).count() == len(rows)
+    left = minhash.drop_near_duplicates(df)
+    assert left.columns == df.columns
+    left = [(r["doc_id"], r["text"]) for r in left.collect()]
+    assert sorted(left, key=str) == sorted([(1, words("a")), (5, words("c") + " end"), (9, words("b") + " end"), (None, words("d")), (None, None), (None, ""), (8, ""), (8, "")], key=str)
+
+
+def test_minhash_recall_near_the_threshold(spark):
+    """Pairs of similarity 0.8 to 0.83: all are linked."""
+    r = random.Random(3)
+    rows = []
+    for i in range(250):
+        w = [f"p{i}_{j}" for j in range(163)]
+        other = w[: -r.randrange(13, 21)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(other + [f"q{j}" for j in range(len(w) - len(other))]))]
+    sets = {i: shingles(t, 4) for i, t in rows}
+    score = {i: len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) for i in range(0, 500, 2)}
+    near = {i for i, x in score.items() if 0.8 <= x < 0.86}
+    got = {x["doc_id"]: x["component_id"] for x in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(near) > 20 and {i for i in near if got[i + 1] == i} == near
+
+
 def test_posterior_bound():
     assert minhash.least_matches(130, 0.8, 1e-6) < 104 and minhash.least_matches(130, 0.8, 0.5) > minhash.least_matches(130, 0.8, 1e-6)
     assert minhash.least_matches(26, 0.8, 0.0) == 0
