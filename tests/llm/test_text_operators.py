@@ -125,6 +125,58 @@ def test_secrets_every_occurrence(spark):
     assert got == [(1, 8, 2), (3, docs[2][1].rindex(key) + 1, 1), (4, 10, 1), (4, 10, 1)]
 
 
+def test_secrets_positions(spark):
+    """A string that first stands inside a longer run has the position and the words of its own place; announced short secrets are found."""
+    key = "9f86d081884c7d659a2feaa0c55ad015"
+    docs = [
+        (1, f'commit AA{key} then api_key = "{key}"'), (2, 'password = "Tr0ub4dor&3" and more'), (3, "passwd: hunter2hunter2 ok"), (4, "see https://bob:s3cr3tPw9@host.org/x"),
+        (5, "the password: required here"), (6, "token: https://example.org/some/page is where"), (7, "the secret: everything happens"), (None, f"x {key} " * 3), (8, None),
+    ]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("finding", F.lit(1))
+    got = sorted(((r["doc_id"] or 0, r["finding"], r["start"], r["n_occurrences"]) for r in secrets.secrets(df).collect()))
+    assert got == [(0, key, 3, 3), (1, key, 59, 1), (2, "Tr0ub4dor&3", 13, 1), (3, "hunter2hunter2", 9, 1), (4, "s3cr3tPw9", 17, 1)]
+
+
+def test_secrets_plain_version(spark):
+    """Candidates, positions and features against plain Python, over many candidates in one text too."""
+    import regex
+
+    r = random.Random(4)
+    some = lambda: "".join(r.choice("abcdefXYZ0189_/+-=") for _ in range(r.choice([3, 8, 16, 17, 20, 40])))
+    texts = [" ".join(r.choice([some(), "word", "é", "token =", 'password: "', "pwd=", '"', f"//u:{some()}@h", "commit"]) for _ in range(r.choice([1, 5, 30, 400]))) for _ in range(80)]
+    texts += [" ".join(f"{i:020d}" for i in range(3000))]
+    table = secrets.standard_transitions()
+
+    def plain(text):
+        out = defaultdict(lambda: [None, 0, set()])
+        for m in regex.finditer(secrets.CANDIDATE, text):
+            entry = out[m[0]]
+            entry[0] = entry[0] or m.start() + 1
+            entry[1] += 1
+            entry[2].add((text[max(0, m.start() - 40) : m.start()], text[m.end() : m.end() + 1]))
+        return out
+
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = defaultdict(lambda: defaultdict(lambda: [None, 0, set()]))
+    for x in secrets.described(secrets.candidates(df)).collect():
+        entry = got[x["doc_id"]][x["finding"]]
+        entry[:2] = x["start"], x["n_occurrences"]
+        entry[2].add((x["before"], x["after"]))
+        f = x["finding"]
+        codes = [26 if c in "0123456789" else ord(c.lower()) - 97 if c.isascii() and c.isalpha() else 27 for c in f]
+        assert x["transitions"] == pytest.approx(sum(table[a * 28 + b] for a, b in zip(codes, codes[1:])) / (len(f) - 1))
+        plainly = re.sub("(?i)(" + "|".join(sorted(secrets.FREQUENT, key=lambda w: (-len(w), w))) + ")", "", f)
+        kinds = re.sub(r"(.)\1*", r"\1", re.sub("[^aB0]", "-", re.sub("[0-9]", "0", re.sub("[A-Z]", "B", re.sub("[a-z]", "a", f)))))
+        assert (x["length"], x["slashes"]) == (len(f), f.count("/")) and x["frequent"] == pytest.approx(1 - len(plainly) / len(f)) and x["changes"] == pytest.approx((len(kinds) - 1) / len(f))
+    for i, t in enumerate(texts):
+        # the 40 characters before may hold more of the text than what lies between two candidates and the one before
+        want = plain(t)
+        assert {f: v[:2] for f, v in got[i].items()} == {f: v[:2] for f, v in want.items()}
+        ends = lambda v: {(b[-8:], a) for b, a in v[2]}
+        assert {f: ends(v) for f, v in got[i].items()} == {f: ends(v) for f, v in want.items()}
+    assert sum(map(len, got.values())) > 3500
+
+
 def test_secret_forest_held_out(spark):
     held = secrets.labelled_findings(600, seed=99)
     rows = spark.createDataFrame(held, "finding string, before string, after string, label double")
