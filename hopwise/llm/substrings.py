@@ -4,21 +4,26 @@ The nodes are token k-mers chosen as minimizers: a k-mer (k = 20) whose hash is
 that it lies in. The edges are the token sequences from one minimizer to the next, of 35 tokens at most. Every window of 50
 tokens contains an edge, and equal windows contain equal edges at equal places, wherever they stand.
 
-1. Each text yields its edges, as 64-bit hashes with their places; an edge that occurs in two documents is repeated.
-2. A repeated edge ends a path where its occurrences differ in the edge after it (the end of a text counts as one), and
-   starts one where they differ in the edge before. Joining these marks back to the texts cuts each text into nonbranching
-   paths; every occurrence of one edge of a path lies in a whole occurrence of the path, so each path becomes one span per occurrence.
-3. Source coordinates verify the spans: an independent hash over all tokens of a span must be equal for spans to count as
-   the same. The smallest document of a span then decides for all windows inside it.
-4. Windows that contain a repeated edge but reach beyond one span are few and are compared one by one, by a 128-bit hash.
+1. Each text yields its edges, as 64-bit hashes in order. One aggregation tells for each edge whether it occurs in two
+   documents, so is repeated, and whether all its occurrences have the same edge before and after (the end of a text counts as one).
+2. Two repeated edges that are each other's only neighbour lie on one nonbranching path. Every edge finds the head of its path by
+   pointer doubling: a join of the pointers with themselves for each power of two of the path's length. A path cannot be a
+   circle, as a text has an end. No two edges of a path point at one place before they are done, so no join has a hot key.
+3. Every occurrence of one edge of a path lies in a whole occurrence of the path, so the places of the heads, joined with the
+   paths' lengths, are the source coordinates of the repeated spans. They are verified on the texts: two independent hashes over all tokens
+   of a span must be equal for spans to count as the same. The smallest document of a span then decides for all windows inside it.
+4. Windows that contain a repeated edge but reach beyond one span are few and are compared one by one, by the same 128 bits.
+
+Texts without a repeated edge, or without anything to cut, are not shuffled.
 
 A window is removed if it also starts in a document with a smaller id; windows repeated only inside one document stay. Rows
-that repeat an id count as one document, so they never remove from one another; each distinct text of such an id has a path and
-spans of its own, under the id and the text's hash (`part`, 0 for ids of one row). Null ids never cause a removal nor lose words. Null and empty texts have no words.
+that repeat an id count as one document, so they never remove from one another; each distinct text of such an id has spans
+of its own, under the id and the text's hash (`part`, 0 for ids of one row). Null ids never cause a removal nor lose words. Null and empty texts have no words.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -26,9 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hopwise.llm import hashing as H
-from hopwise.llm.shared import checkpointed, small_batches, stored, with_parts
+from hopwise.llm.shared import checkpointed, discard, small_batches, stored, with_parts
 
 WINDOW, K, RUN = 50, 20, 15
+BROADCAST_IDS, BROADCAST_HEADS = 500_000, 1_000_000
 
 
 def _sliding(x: np.ndarray, n: int, least: bool) -> np.ndarray:
@@ -81,7 +87,7 @@ def _edge_rows(batches):
 
 
 def _spans(batches):
-    """Nonbranching paths and the windows that leave them, of texts with their marks: (position of an edge, path starts here)."""
+    """Spans of paths and the windows that leave them, of texts with the coordinates of their paths: place of the head << 32 | edges."""
     import pyarrow as pa
 
     for batch in batches:
@@ -97,13 +103,10 @@ def _spans(batches):
                     continue
                 first, last = words.first[i], words.first[i + 1]
                 b, e = begin[edge_at[i] : edge_at[i + 1]], end[edge_at[i] : edge_at[i + 1]]
-                places = np.array(sorted(given), np.int64)
-                places, head = places >> 1, places & 1
-                new = np.ones(len(places), bool)
-                new[1:] = (np.diff(places) != 1) | (head[1:] == 1)
-                heads = np.flatnonzero(new)
-                tails = np.append(heads[1:], len(places)) - 1
-                sb, se = b[places[heads]], e[places[tails]]
+                given = np.array(sorted(given), np.int64)
+                heads, many = given >> 32, given & 0xFFFFFFFF
+                sb, se = b[heads], e[heads + many - 1]
+                places = np.repeat(heads - np.cumsum(many) + many, many) + np.arange(many.sum())
                 # a window from s holds edge j if s <= b[j] and e[j] <= s + WINDOW
                 total = last - first - WINDOW + 1
                 if total <= 0:
@@ -171,28 +174,55 @@ def joined_words(words: H.Words, keep: np.ndarray) -> bytes:
     return out.tobytes()
 
 
+def paths(ends: DataFrame) -> DataFrame:
+    """(head, n): the first edge and the number of edges of each nonbranching path; ends: (edge, before, after), null where occurrences differ, 0 at a text's end."""
+    after = ends.select(F.col("edge").alias("before"), F.col("after").alias("follows"))
+    linked = F.coalesce(F.col("follows") == F.col("edge"), F.lit(False))
+    step = ends.join(after, "before", "left").select("edge", F.when(linked, F.col("before")).otherwise(F.col("edge")).alias("at"), linked.cast("long").alias("far"), (~linked).alias("done"))
+    step = stored(step)
+    done, left = [step.where("done")], step.where("not done")
+    frames = [step]
+    while not left.isEmpty():
+        to = step.select(F.col("edge").alias("at"), F.col("at").alias("at2"), F.col("far").alias("far2"), F.col("done").alias("done2"))
+        moved = stored(left.join(to, "at").select("edge", F.col("at2").alias("at"), (F.col("far") + F.col("far2")).alias("far"), F.col("done2").alias("done")))
+        frames.append(moved)
+        done.append(moved.where("done"))
+        left = moved.where("not done")
+        # a place that is done already is looked up in the round in which it was
+        step = functools.reduce(DataFrame.union, [*done, left])
+    out = checkpointed(functools.reduce(DataFrame.union, done).groupBy(F.col("at").alias("head")).agg((F.max("far") + 1).alias("n")))
+    discard(*frames)
+    return out
+
+
+def of_documents(texts: DataFrame, rows: DataFrame, what: str = "left_semi") -> DataFrame:
+    """The texts that have rows of their (doc_id, part), or have none; no text is shuffled unless very many have."""
+    ids = checkpointed(rows.select("doc_id", "part").distinct())
+    return texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, ["doc_id", "part"], what)
+
+
 def repeated_spans(texts: DataFrame) -> DataFrame:
     """(doc_id, part, begin, length) of word spans all of whose windows also start in a document with a smaller id; texts: (doc_id, text, part)."""
     texts = texts.where("doc_id is not null and text is not null")
     texts = texts.where("part = 0").union(texts.where("part <> 0").dropDuplicates(["doc_id", "part"]))
     found = stored(texts.mapInArrow(_edge_rows, "doc_id long, part long, edges array<long>").where("size(edges) > 0"))
-    each = found.select("doc_id", F.posexplode("edges").alias("at", "edge"))
-    shared = each.groupBy("edge").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("edge")
-    shared = checkpointed(shared)
-    around = found.select("doc_id", "part", "edges", F.posexplode("edges").alias("at", "edge"))
-    before = F.when(F.col("at") > 0, F.get("edges", F.col("at") - 1))
-    after = F.get("edges", F.col("at") + 1)
+    each = found.select("doc_id", "part", "edges", F.posexplode("edges").alias("at", "edge"))
     # null, the end of a text, is a neighbour of its own kind
-    here = stored(around.select("doc_id", "part", "at", "edge", F.coalesce(before, F.lit(0)).alias("before"), F.coalesce(after, F.lit(0)).alias("after")).join(shared, "edge"))
-    ends = here.groupBy("edge").agg(F.min("before").alias("b0"), F.max("before").alias("b1"), F.min("after").alias("a0"), F.max("after").alias("a1"))
-    ends = checkpointed(ends.select("edge", F.when(F.col("b0") == F.col("b1"), F.col("b0")).alias("before"), F.when(F.col("a0") == F.col("a1"), F.col("a0")).alias("after")))
-    prior = ends.select(F.col("edge").alias("before"), F.col("after").alias("follows"))
-    heads = checkpointed(ends.join(prior, "before", "left").select("edge", (~F.coalesce(F.col("follows") == F.col("edge"), F.lit(False))).cast("int").alias("head")))
-    marked = here.select("doc_id", "part", "at", "edge").join(heads, "edge")
-    marked = marked.groupBy("doc_id", "part").agg(F.collect_list(F.col("at") * 2 + F.col("head")).alias("marks"))
-    spans = stored(texts.join(marked, ["doc_id", "part"]).select("doc_id", "text", "marks", "part").mapInArrow(_spans, "doc_id long, part long, h1 long, h2 long, begin int, length int"))
+    before, after = F.coalesce(F.when(F.col("at") > 0, F.get("edges", F.col("at") - 1)), F.lit(0)), F.coalesce(F.get("edges", F.col("at") + 1), F.lit(0))
+    both = [F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.min("before").alias("b0"), F.max("before").alias("b1"), F.min("after").alias("a0"), F.max("after").alias("a1")]
+    ends = each.select("doc_id", "edge", before.alias("before"), after.alias("after")).groupBy("edge").agg(*both).where("least < most")
+    ends = stored(ends.select("edge", F.when(F.col("b0") == F.col("b1"), F.col("b0")).alias("before"), F.when(F.col("a0") == F.col("a1"), F.col("a0")).alias("after")))
+    heads = paths(ends)
+    heads = F.broadcast(heads) if heads.count() <= BROADCAST_HEADS else heads
+    marked = each.select("doc_id", "part", "at", "edge").join(heads, F.col("edge") == F.col("head"))
+    marked = stored(marked.groupBy("doc_id", "part").agg(F.collect_list(F.shiftleft(F.col("at").cast("long"), 32) + F.col("n")).alias("marks")))
+    spans = of_documents(texts, marked).join(marked, ["doc_id", "part"]).select("doc_id", "text", "marks", "part")
+    spans = stored(spans.mapInArrow(_spans, "doc_id long, part long, h1 long, h2 long, begin int, length int"))
+    discard(found, ends, marked)
     least = spans.groupBy("h1", "h2", "length").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("h1", "h2", "length", "least")
-    return spans.join(checkpointed(least), ["h1", "h2", "length"]).where("least < doc_id").select("doc_id", "part", "begin", "length")
+    out = checkpointed(spans.join(least, ["h1", "h2", "length"]).where("least < doc_id").select("doc_id", "part", "begin", "length"))
+    discard(spans)
+    return out
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -202,4 +232,6 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = with_parts(texts)[0].withColumnRenamed("__part", "part")
     cut = repeated_spans(texts).groupBy("doc_id", "part").agg(F.collect_list(F.shiftleft(F.col("begin").cast("long"), 32) + F.col("length")).alias("cut"))
     cut = checkpointed(cut)
-    return texts.join(cut, ["doc_id", "part"], "left").select("doc_id", "text", "cut").mapInArrow(_digests, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    whole = of_documents(texts, cut, "left_anti").withColumn("cut", F.lit(None).cast("array<long>"))
+    both = whole.unionByName(of_documents(texts, cut).join(cut, ["doc_id", "part"]))
+    return both.select("doc_id", "text", "cut").mapInArrow(_digests, "doc_id long, n_words long, n_removed long, kept_sha256 string")
