@@ -1,13 +1,16 @@
 """Near-duplicate vectors by tiled products of Int8 codes with an error bound for every vector.
 
-Vectors fall into blocks by a hash of the id; every pair of blocks is a tile, one group of at most two blocks of rows. A
-unit vector x is coded as s*q with q in -127..127 and has the measured error e = |x - s*q|. For two vectors
-`x.y` differs from `s_x*s_y*(q_x.q_y)` by at most `e_x + (1 + e_x)*e_y`. Products of codes are exact in float32 (dimension up
-to 1040, float64 beyond). A pair whose upper bound stays below the threshold is dropped, one whose lower bound reaches it
-is a link, and only what lies between is computed from the full vectors in double precision.
+Each vector is divided by its largest component, then by its length (so neither very small nor very large ones are lost), and the
+unit vector x is coded once as s*q with q in -127..127 and the measured error e = |x - s*q|. Vectors fall into blocks by
+a hash of the id; every pair of blocks is a tile, one group of at most two blocks of rows. For two vectors `x.y` differs from
+`s_x*s_y*(q_x.q_y)` by at most `e_x + (1 + e_x)*e_y`. Products of codes are exact in float32 (dimension up
+to 1040, float64 beyond). A pair whose upper bound stays below the threshold is dropped and one whose lower bound reaches it
+is a link. Tiles get codes only. What lies between is left to a second pass, in which a tile gets the full vectors of the rows
+that have such a pair in it, and computes those pairs in double precision.
 
 A tile returns a row for each vector that has links: how many, and the smallest id of its component in the tile. So large
-groups of near copies cost no list of pairs. Equal vectors are one class with a weight, for the same reason.
+groups of near copies cost no list of pairs. Equal vectors are one class with a weight, for the same reason. All pairs of
+blocks are computed, so work grows with the square of the rows: the exact answer over all rows, not an index.
 
 Vectors that are null, empty or zero, or hold nulls or values that are not finite, link with nothing; vectors of different
 length neither. A null id has no links and a null component. Rows that repeat an id are vectors of their own with one name.
@@ -20,13 +23,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hopwise.llm.shared import checkpointed, connected_components, stored
+from hopwise.llm.shared import checkpointed, connected_components, discard, stored
 
 BLOCK_BYTES, BLOCK_ROWS, LEAST_BLOCKS = 1 << 24, 16384, 8
 SLACK = 1e-9
 
 
+def units(x: np.ndarray) -> np.ndarray:
+    """Rows of finite values, none of them zero, at length 1."""
+    x = x / np.abs(x).max(axis=1)[:, None]
+    return x / np.sqrt((x * x).sum(axis=1))[:, None]
+
+
+def coded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes, scales and errors of unit vectors."""
+    scale = np.abs(x).max(axis=1) / 127
+    q = np.rint(x / scale[:, None])
+    return q, scale, np.sqrt(((x - scale[:, None] * q) ** 2).sum(axis=1)) + SLACK
+
+
 def _plain(single: bool):
+    """(vec_id, v, code, scale, error) of vectors: their values and codes as bytes, nulls for those that link with nothing."""
     kind = np.float32 if single else np.float64
 
     def run(batches):
@@ -38,22 +55,20 @@ def _plain(single: bool):
             flat = np.asarray(values.fill_null(float("nan")).to_numpy(zero_copy_only=False), kind)
             at = lists.offsets.to_numpy()
             good = np.asarray(lists.is_valid())
-            out = []
+            out: list[tuple] = []
             for i in range(len(lists)):
                 v = flat[at[i] : at[i + 1]] if good[i] else flat[:0]
-                out.append((v + kind(0)).tobytes() if len(v) and v.any() and np.isfinite(v).all() else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["vec_id", "v"])
+                if not (len(v) and v.any() and np.isfinite(v).all()):
+                    out.append((None, None, None, None))
+                    continue
+                q, scale, error = coded(units(v[None].astype(np.float64)))
+                out.append(((v + kind(0)).tobytes(), q.astype(np.int8).tobytes(), float(scale[0]), float(error[0])))
+            columns = [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.binary(), pa.binary(), pa.float64(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["vec_id", "v", "code", "scale", "error"])
 
     return run
 
 
-def coded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes, scales and errors of unit vectors."""
-    scale = np.abs(x).max(axis=1) / 127
-    q = np.rint(x / scale[:, None])
-    return q, scale, np.sqrt(((x - scale[:, None] * q) ** 2).sum(axis=1)) + SLACK
-
-
 def joined(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Union of the pairs (i, j) into a forest whose labels are roots; smaller roots win."""
     while True:
@@ -67,20 +82,21 @@ def joined(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             label = up
 
 
-def tile_links(ids: np.ndarray, block: np.ndarray, weight: np.ndarray, x: np.ndarray, threshold: float):
-    """Links between the rows of block 0 and those of block 1, or within block 0 if there is no other."""
+def tile_links(ids: np.ndarray, block: np.ndarray, weight: np.ndarray, q: np.ndarray, scale: np.ndarray, error: np.ndarray, threshold: float, x: np.ndarray | None = None):
+    """Links between the rows of block 0 and those of block 1, or within block 0 if there is no other: (ids, labels, counts, ids of unsure pairs).
+
+    Without x the sure links, with unit vectors x those of the unsure pairs.
+    """
     order = np.lexsort((ids, block))
-    ids, block, weight, x = ids[order], block[order], weight[order].astype(float), x[order]
-    x = x / np.sqrt((x * x).sum(axis=1))[:, None]
-    q, scale, error = coded(x)
-    q = q.astype(np.float32 if x.shape[1] <= 1040 else np.float64)
+    ids, block, weight, q, scale, error = ids[order], block[order], weight[order].astype(float), q[order], scale[order], error[order]
+    x = x if x is None else x[order]
+    q = q.astype(np.float32 if q.shape[1] <= 1040 else np.float64)
     m = int((block == block[0]).sum())
     same = m == len(ids)
     right = np.arange(len(ids)) if same else np.arange(m, len(ids))
     rank = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
-    label, count = rank.copy(), np.zeros(len(ids))
     by_rank = np.argsort(rank)
-    label = np.arange(len(ids))
+    label, count, open_ = np.arange(len(ids)), np.zeros(len(ids)), np.zeros(len(ids), bool)
     qr, sr, er = q[right], scale[right], error[right]
     rows = max(1, (1 << 22) // max(1, len(right)))
     for r in range(0, m, rows):
@@ -96,15 +112,19 @@ def tile_links(ids: np.ndarray, block: np.ndarray, weight: np.ndarray, x: np.nda
         bound = error[here][i] + (1 + error[here][i]) * er[j] + SLACK
         i, j, about, bound = (a[about + bound >= threshold] for a in (i, j, about, bound))
         link = about - bound >= threshold
-        unsure = np.flatnonzero(~link)
-        for u in range(0, len(unsure), 1 << 16):
-            part = unsure[u : u + (1 << 16)]
-            link[part] = np.einsum("ij,ij->i", x[here[i[part]]], x[right[j[part]]]) >= threshold
+        if x is None:
+            open_[here[i[~link]]] = open_[right[j[~link]]] = True
+        else:
+            unsure = np.flatnonzero(~link)
+            link[:] = False
+            for u in range(0, len(unsure), 1 << 16):
+                part = unsure[u : u + (1 << 16)]
+                link[part] = np.einsum("ij,ij->i", x[here[i[part]]], x[right[j[part]]]) >= threshold
         a, b = here[i[link]], right[j[link]]
         count += np.bincount(a, weight[b], len(ids)) + np.bincount(b, weight[a], len(ids))
-        label = np.arange(0) if not len(ids) else by_label(label, rank, by_rank, a, b)
+        label = by_label(label, rank, by_rank, a, b)
     has = np.flatnonzero(count)
-    return ids[has], ids[label[has]], count[has].astype(np.int64)
+    return ids[has], ids[label[has]], count[has].astype(np.int64), ids[open_]
 
 
 def by_label(label: np.ndarray, rank: np.ndarray, by_rank: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -112,15 +132,18 @@ def by_label(label: np.ndarray, rank: np.ndarray, by_rank: np.ndarray, a: np.nda
     return by_rank[joined(rank[label][by_rank], rank[a], rank[b])[rank]]
 
 
-def _tiles(threshold: float, single: bool):
-    kind = np.float32 if single else np.float64
+def _tiles(threshold: float, kind=None):
+    """(a, b, n, i, j, width): of codes the sure links, and vectors a of unsure pairs with a null n; with the kind of full values the links of unsure pairs."""
 
     def run(table):
         import pyarrow as pa
 
-        x = np.frombuffer(b"".join(table.column("v").to_pylist()), kind).reshape(table.num_rows, -1).astype(np.float64)
-        a, b, n = tile_links(table.column("vec_id").to_numpy(), table.column("block").to_numpy(), table.column("weight").to_numpy(), x, threshold)
-        return pa.table({"a": a, "b": b, "n": n})
+        q = np.frombuffer(b"".join(table.column("code").to_pylist()), np.int8).reshape(table.num_rows, -1)
+        x = None if kind is None else units(np.frombuffer(b"".join(table.column("v").to_pylist()), kind).reshape(table.num_rows, -1).astype(np.float64))
+        a, b, n, unsure = tile_links(*(table.column(c).to_numpy() for c in ("vec_id", "block", "weight")), q, *(table.column(c).to_numpy() for c in ("scale", "error")), threshold, x)
+        key = [pa.array(np.full(len(a) + len(unsure), table.column(c)[0].as_py(), np.int32)) for c in ("i", "j", "width")]
+        none = pa.nulls(len(unsure), pa.int64())
+        return pa.table([pa.array(np.concatenate((a, unsure))), *(pa.concat_arrays([pa.array(c), none]) for c in (b, n)), *key], names=["a", "b", "n", "i", "j", "width"])
 
     return run
 
@@ -130,23 +153,29 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     kind = vectors.schema[vector_col].dataType
     single = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType)
     given = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>" if single else "array<double>").alias("embedding"))
-    rows = stored(given.mapInArrow(_plain(single), "vec_id long, v binary"))
-    classes = rows.where("vec_id is not null and v is not null").groupBy("v").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("weight"))
+    rows = stored(given.mapInArrow(_plain(single), "vec_id long, v binary, code binary, scale double, error double"))
+    classes = rows.where("vec_id is not null and v is not null").groupBy("v").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("weight"), *[F.first(c).alias(c) for c in ("code", "scale", "error")])
     classes = stored(classes)
-    total = classes.agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("v")).alias("width")).first()
+    total = classes.agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("code")).alias("width")).first()
     per_block = max(256, min(BLOCK_ROWS, BLOCK_BYTES // max(1, total["width"] or 1)))
     blocks = max(LEAST_BLOCKS, -(-total["n"] // per_block))
     block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
-    tiles = classes.select("vec_id", "weight", "v", F.octet_length("v").alias("width"), block.alias("block")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    tiles = tiles.select("vec_id", "weight", "v", "block", "width", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    found = checkpointed(tiles.groupBy("width", "i", "j").applyInArrow(_tiles(threshold, single), "a long, b long, n long"))
-
-    counts = found.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
-    components = connected_components(found.select("a", "b"))
+    tiles = classes.select("vec_id", "weight", "code", "scale", "error", F.octet_length("code").alias("width"), block.alias("block")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    tiles = tiles.select("vec_id", "weight", "code", "scale", "error", "block", "width", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    made = "a long, b long, n long, i int, j int, width int"
+    found = stored(tiles.groupBy("width", "i", "j").applyInArrow(_tiles(threshold), made))
+    unsure = found.where("n is null").select(F.col("a").alias("vec_id"), "i", "j", "width").join(classes, "vec_id").withColumn("block", block)
+    sure = checkpointed(unsure.groupBy("width", "i", "j").applyInArrow(_tiles(threshold, np.float32 if single else np.float64), made))
+    links = found.where("n is not null").select("a", "b", "n").union(sure.select("a", "b", "n"))
+
+    counts = checkpointed(links.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n")))
+    components = connected_components(links.select("a", "b"))
+    discard(found)
     copies = checkpointed(classes.where("weight > 1").select("v", F.col("vec_id").alias("class"), "weight"))
+    discard(classes)
     out = rows.join(copies, "v", "left").withColumn("class", F.when(F.col("vec_id").isNotNull(), F.coalesce("class", "vec_id")))
     out = out.select("vec_id", "class", "weight")
-    out = out.join(checkpointed(counts), F.col("class") == F.col("rep"), "left").join(components, F.col("class") == F.col("node"), "left")
+    out = out.join(counts, F.col("class") == F.col("rep"), "left").join(components, F.col("class") == F.col("node"), "left")
     links = F.when(F.col("vec_id").isNull(), F.lit(0)).otherwise(F.coalesce("n", F.lit(0)) + F.coalesce("weight", F.lit(1)) - 1)
     out = out.select("vec_id", links.cast("long").alias("n_links"), F.coalesce("component_id", "class").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -162,6 +162,25 @@ def test_embedding(spark):
     assert sorted((r["vec_id"] or 0, r["n_links"]) for r in embedding.near_vectors(odd).collect()) == [(0, 0), (4, 1), (4, 1)]
 
 
+def test_embedding_range_and_dimension(spark):
+    """Very small and very large doubles, and dimensions beyond what float32 products hold."""
+    rows = [(1, [1e-200, 2e-200]), (2, [1e200, 2e200]), (3, [2.0, 4.1]), (4, [-1e-320, 0.0]), (5, [-5e-324, 0.0]), (6, [1.7e308, 1.7e308]), (7, [1e-300, 1e-300])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    unit = {i: np.array(v) / np.abs(v).max() for i, v in rows}
+    unit = {i: v / np.linalg.norm(v) for i, v in unit.items()}
+    links = [(a, b) for a in unit for b in unit if b < a and unit[a] @ unit[b] >= 0.95]
+    top = classes(unit, links)
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding.near_vectors(df).collect()} == {i: (sum(i in x for x in links), top[i]) for i in unit}
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(6, 1500))
+    wide = [(i, [float(x) for x in base[i % 6] + rng.normal(size=1500) * (0.33 if i % 2 else 0.2)]) for i in range(60)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding.near_vectors(spark.createDataFrame(wide, "vec_id long, embedding array<double>")).collect()}
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v in wide}
+    links = [(a, b) for a in unit for b in range(a) if unit[a] @ unit[b] >= 0.95]
+    top = classes(unit, links)
+    assert links and got == {i: (sum(i in x for x in links), top[i]) for i in unit}
+
+
 def test_embedding_bounds():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(200, 48))
@@ -189,8 +208,26 @@ def brute_substrings(rows):
     return out
 
 
-@pytest.mark.parametrize("seed", [3, 8])
-def test_substrings(spark, seed):
+def test_paths(spark):
+    """Chains of all lengths, an edge of its own, and branches."""
+    rows, want, at = [], {}, 1
+    for n in [1, 2, 3, 4, 7, 8, 9, 40]:
+        chain = list(range(at, at + n))
+        rows += [(e, 0 if i == 0 else chain[i - 1], None if i == n - 1 else chain[i + 1]) for i, e in enumerate(chain)]
+        want[at] = n
+        at += n
+    rows += [(900, None, 901), (901, None, 902), (902, 901, 0), (903, 900, 0)]
+    want |= {900: 1, 901: 2, 903: 1}
+    random.Random(1).shuffle(rows)
+    got = substrings.paths(spark.createDataFrame(rows, "edge long, before long, after long"))
+    assert {r["head"]: r["n"] for r in got.collect()} == want
+    assert substrings.paths(spark.createDataFrame([], "edge long, before long, after long")).count() == 0
+
+
+@pytest.mark.parametrize("seed, bound", [(3, 500_000), (8, 0)])
+def test_substrings(spark, seed, bound, monkeypatch):
+    monkeypatch.setattr(substrings, "BROADCAST_IDS", bound)
+    monkeypatch.setattr(substrings, "BROADCAST_HEADS", bound)
     r = random.Random(seed)
     passages = [[f"w{r.randrange(60)}" for _ in range(r.randrange(45, 300))] for _ in range(10)]
     rows = []
