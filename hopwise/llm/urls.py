@@ -3,13 +3,13 @@
 A rule has a host and a path. It fits a URL if the URL's host is the rule's host or a subdomain of it and the URL's path
 starts with the rule's path; the longest rule wins (host and path together; at equal length `block`, then the greater text).
 A URL's candidate keys are its host's suffixes combined with its path cut to each length that some rule's path has. Each key picks one 64-bit
-block and sets four bits in it; the list's blocks are a table of at most `rules * 16 / 64` rows, joined by block number (broadcast, as are the
-rules, up to 100,000 rules). Keys whose
-bits are all set go on to the exact join with the rules, which removes the false positives. A URL that no rule fits gets
-the verdict `allow`.
+block and sets four bits in it. The list's blocks, 16 bits a rule and MOST_BLOCKS at most (a longer list only lets more keys
+through), are a small table that is broadcast at any size of the list, so keys are tested where they are made, before any
+exchange. Those whose bits are all set go on to the exact join with the rules, which removes the false positives; the rules are broadcast
+up to BROADCAST_RULES and shuffled with the possible hits beyond. A URL that no rule fits gets the verdict `allow`.
 
-URLs are judged once each, however often they occur. Null URLs and those without `://` have empty host and path, fit no
-rule and are allowed. Rules with a null part are ignored; repeated rules count once.
+Hits are joined once for each distinct URL. Null URLs and those without `://` have empty host and path, fit no
+rule, are allowed and take part in no join. Rules with a null part are ignored; repeated rules count once.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from hopwise.llm.shared import checkpointed
 
 BITS_PER_KEY, BITS_SET = 16, 4
-BROADCAST_RULES = 100_000
+BROADCAST_RULES, BROADCAST_HITS, MOST_BLOCKS = 100_000, 200_000, 1 << 20
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
 
@@ -56,24 +56,27 @@ def judged(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     rules = rules.withColumn("key", F.concat("rule_host", "rule_path"))
     about = rules.agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set(F.length("rule_path"))).alias("lengths")).first()
     lengths = F.array(*[F.lit(n) for n in about["lengths"]]) if about["lengths"] else F.array().cast("array<int>")
-    blocks = max(1, -(-about["n"] * BITS_PER_KEY // 64))
+    blocks = min(MOST_BLOCKS, max(1, -(-about["n"] * BITS_PER_KEY // 64)))
     block, bits = _place(F.col("key"), blocks)
     bloom = rules.select(block.alias("block"), bits.alias("bits")).groupBy("block").agg(F.bit_or("bits").alias("filled"))
 
-    seen = rows.where("host <> ''").select("host", "path").distinct()
     parts = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
-    keys = seen.select("host", "path", F.explode(suffixes).alias("suffix")).select("host", "path", "suffix", F.explode(F.filter(lengths, lambda n: n <= F.length("path"))).alias("cut"))
+    keys = rows.where("host <> ''").select("host", "path", F.explode(suffixes).alias("suffix")).select("host", "path", "suffix", F.explode(F.filter(lengths, lambda n: n <= F.length("path"))).alias("cut"))
     keys = keys.withColumn("key", F.concat("suffix", F.expr("substring(path, 1, cut)")))
     block, bits = _place(F.col("key"), blocks)
     keys = keys.withColumns({"block": block, "bits": bits})
-    bloom, rules = (F.broadcast(x) if about["n"] <= BROADCAST_RULES else x for x in (bloom, rules))
-    possible = keys.join(bloom, "block").where(F.col("filled").bitwiseAND(F.col("bits")) == F.col("bits"))
+    possible = keys.join(F.broadcast(bloom), "block").where(F.col("filled").bitwiseAND(F.col("bits")) == F.col("bits")).select("host", "path", "suffix", "cut", "key")
+    rules = F.broadcast(rules) if about["n"] <= BROADCAST_RULES else rules
+    possible = possible if about["n"] <= BROADCAST_RULES else possible.distinct()
     exact = possible.join(rules, (possible.suffix == rules.rule_host) & (F.expr("substring(path, 1, cut)") == rules.rule_path) & (possible.key == rules.key))
     best = F.max(F.struct(F.length("rule_host") + F.length("rule_path"), F.col("rule_verdict").alias("v"), F.concat("rule_host", "rule_path").alias("rule")))
-    won = exact.groupBy("host", "path").agg(best.alias("best")).select("host", "path", F.col("best.rule").alias("rule"), F.col("best.v").alias("verdict"))
-    out = rows.join(checkpointed(won), ["host", "path"], "left")
-    return out.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"))
+    won = checkpointed(exact.groupBy("host", "path").agg(best.alias("best")).select("host", "path", F.col("best.rule").alias("rule"), F.col("best.v").alias("verdict")))
+    won = F.broadcast(won) if won.count() <= BROADCAST_HITS else won
+    none = F.lit(None).cast("string")
+    out = rows.where("host <> ''").join(won, ["host", "path"], "left").select("page_id", "host", "path", "rule", "verdict")
+    out = out.union(rows.where("host = ''").select("page_id", "host", "path", none.alias("rule"), none.alias("verdict")))
+    return out.withColumn("verdict", F.coalesce("verdict", F.lit("allow")))
 
 
 ORACLE = r"""

@@ -323,6 +323,28 @@ def test_url_bloom_lets_all_listed_through(spark):
     assert got.where("verdict = 'block'").count() == 3000
 
 
+def test_urls_large_lists(spark, monkeypatch):
+    """Shuffle joins instead of broadcasts and a full Bloom filter give the same; equal lengths: block first, then the greater text."""
+    r = random.Random(6)
+    rules = [(r.choice(["allow", "block"]), f"h{i % 40}.net", r.choice(["/", "/a", "/a/b", "/p1/"])) for i in range(120)] + [("allow", "net", "/x/y"), ("block", "h1.net", "/z")]
+    some = [f"http://{r.choice(['', 'www.', 'a.b.'])}h{r.randrange(60)}.NET{r.choice(['', '/', '/a', '/a/b/c', '/p1/q', '/x/yz', '/zz'])}" for _ in range(300)] + [None, "x"] * 50
+    pages = spark.createDataFrame(list(enumerate(some)), "page_id long, url string")
+
+    def plain(url):
+        if not url or "://" not in url:
+            return None, "allow"
+        host, slash, path = url.split("://", 1)[1].partition("/")
+        fits = [(len(h + p), v, h + p) for v, h, p in rules if (host.lower() == h or host.lower().endswith("." + h)) and (slash + path).startswith(p)]
+        return (max(fits)[2], max(fits)[1]) if fits else (None, "allow")
+
+    want = {i: plain(u) for i, u in enumerate(some)}
+    judged = lambda: {x["page_id"]: (x["rule"], x["verdict"]) for x in urls.judged(pages, urls.listed(spark, rules)).collect()}
+    assert judged() == want
+    for name, value in (("BROADCAST_RULES", 0), ("BROADCAST_HITS", 0), ("MOST_BLOCKS", 1)):
+        monkeypatch.setattr(urls, name, value)
+    assert judged() == want and len({x for x in want.values()}) > 20
+
+
 def test_folding():
     assert toxicity.folded("Tr4sh, ТRASH! ｔrash $tupid l0$er a$$$ 12") == " trash trash trash stupid loser a i "[:-3] + toxicity.folded("12")
     assert toxicity.folded(None).strip() == "" == toxicity.folded("").strip()
