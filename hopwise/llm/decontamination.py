@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hopwise.llm import hashing as H
-from hopwise.llm.shared import bit_set, checkpointed, small_batches, stored
+from hopwise.llm.shared import bit_set, checkpointed, set_apart, small_batches, stored
 
 WINDOW, SHORTEST, SHORTEST_PLAIN, LEAST_BITS, MOST_BITS, BROADCAST_WINDOWS, BROADCAST_IDS = 13, 5, 3, 20, 26, 200_000, 1_000_000
 # Units that may follow a number.
@@ -261,10 +261,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", shortest: int = SHORTEST_PLAIN, null_ids: bool = False) -> DataFrame:
     """The rows of docs that hold no benchmark item, with all their columns; null_ids: rows with null ids are judged too, each by its text."""
-    text = F.col(text_col).cast("string")
+    columns = docs.columns
+    docs, named = set_apart(docs)
+    id_col, text = named[id_col], F.col(named[text_col]).cast("string")
     own = F.when(F.col(id_col).isNull(), F.xxhash64(text))
     texts = docs.select(F.struct(F.col(id_col).cast("long").alias("i"), own.alias("t")).alias("id"), text.alias("text"))
     texts = texts if null_ids else texts.where("id.i is not null")
     lost = checkpointed(_found(texts, benchmark, "item_id", "text", shortest).select(F.col("id.i").alias("__lost"), F.col("id.t").alias("__text")).distinct())
     lost = F.broadcast(lost) if lost.count() <= BROADCAST_IDS else lost
-    return docs.join(lost, docs[id_col].cast("long").eqNullSafe(F.col("__lost")) & own.eqNullSafe(F.col("__text")), "left_anti")
+    return docs.join(lost, docs[id_col].cast("long").eqNullSafe(F.col("__lost")) & own.eqNullSafe(F.col("__text")), "left_anti").toDF(*columns)

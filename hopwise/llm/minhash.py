@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hopwise.llm import hashing as H
-from hopwise.llm.shared import bit_set, checkpointed, connected_components, discard, small_batches, stored, with_parts
+from hopwise.llm.shared import bit_set, checkpointed, connected_components, discard, set_apart, small_batches, stored, with_parts
 
 BANDS, ROWS, BATCH = 26, 5, 26
 PAIRED, BLOCK_ROWS, BLOCK_SHINGLES = 32, 512, 1 << 20
@@ -317,9 +317,9 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     small_batches(docs.sparkSession)
     columns = docs.columns
-    place = {c: f"__{i}" for i, c in enumerate(columns)}  # no column of docs gets in the way
-    id_col, text_col = place[id_col], place[text_col]
-    rows, some = with_nodes(docs.toDF(*place.values()), id_col, text_col, nulls=True)
+    docs, named = set_apart(docs)
+    id_col, text_col = named[id_col], named[text_col]
+    rows, some = with_nodes(docs, id_col, text_col, nulls=True)
     _, components = _components(rows.select(F.col("__node").alias("doc_id"), F.col(text_col).cast("string").alias("text")), width, percent, miss)
     lost = checkpointed(components.where("node <> component_id").select(F.col("node").alias("__lost")))
     lost = F.broadcast(lost) if lost.count() <= BROADCAST_IDS else lost

@@ -6,8 +6,9 @@
 2. A document with n tokens and posterior p has expected tokens n*p in the domains. Rates r >= least, starting at 1,
    are fitted so that the sums of r*n*p meet the targets in least squares. A step of the projected gradient changes r by
    -p.v and cuts it at `least`; v is the residual scaled by the inverse Gram matrix of the documents that are not cut. Every step is one
-   aggregation of a few numbers for each domain and runs over all documents; the rates follow from the steps' vectors, so nothing else is
-   kept between steps.
+   aggregation of one vector (totals and Gram matrix) and runs over all documents; the rates follow from the steps' vectors, so nothing else is
+   kept between steps. The fit ends when totals are within CLOSE of their targets, when five steps bring nothing, or after
+   STEPS steps; each row tells its domain's target and fitted total, so a target that cannot be met is seen.
 3. Documents are drawn as floor(rate) copies and one more with the chance of what is left, decided by a hash of id and text.
 
 By default the weights are the domains' own shares to the power 0.7, and the total is the smallest with which no domain must shrink;
@@ -24,12 +25,13 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.ml.classification import NaiveBayes
 from pyspark.ml.feature import ElementwiseProduct, HashingTF, Normalizer, StringIndexer
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hopwise.llm.shared import stored
+from hopwise.llm.shared import set_apart, stored
 
 LABELLED, HASHED_WORDS, SHARPNESS, STEPS, CLOSE = 5_000, 1 << 14, 25.0, 25, 1e-5
 
@@ -66,9 +68,7 @@ def posteriors(docs: DataFrame, labelled: DataFrame, text_col: str = "text") ->
 def _after(steps: list[list[float]], p: Column, least: float) -> Column:
     rate = F.lit(1.0)
     for v in steps:
-        change = F.lit(0.0)
-        for d, x in enumerate(v):
-            change = change + F.get(p, d) * F.lit(float(x))
+        change = F.aggregate(F.zip_with(p, F.lit(v), lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
         rate = F.greatest(rate - change, F.lit(float(least)))
     return rate
 
@@ -77,22 +77,19 @@ def fitted_rates(known: DataFrame, domains: list[str], weights: dict[str, float]
     """The rate as a function of the posterior, and each domain's target and fitted token total; known: (n_tokens, posterior)."""
     k = len(domains)
     n, p = F.col("n_tokens").cast("double"), F.col("posterior")
+    known = known.where("n_tokens > 0")
+    if known.isEmpty():
+        return lambda p: F.lit(1.0), {d: (0.0, 0.0) for d in domains}
 
     def totals(steps: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
         rated = known.select(n.alias("n"), p.alias("posterior"), _after(steps, p, least).alias("r"))
-        share = [F.get("posterior", i) for i in range(k)]
         free = F.when((F.col("r") > least) | F.lit(not steps), F.col("n")).otherwise(0.0)
-        pairs = [(i, j) for i in range(k) for j in range(i + 1)]
-        sums = [F.sum(F.col("r") * F.col("n") * x) for x in share] + [F.sum(free * share[i] * share[j]) for i, j in pairs]
-        row = [x or 0.0 for x in rated.agg(*[c.alias(f"c{i}") for i, c in enumerate(sums)]).first()]
-        gram = np.zeros((k, k))
-        for (i, j), x in zip(pairs, row[k:], strict=True):
-            gram[i, j] = gram[j, i] = x
-        return np.array(row[:k]), gram
+        sums = F.transform("posterior", lambda x: F.col("r") * F.col("n") * x)
+        outer = F.flatten(F.transform("posterior", lambda x: F.transform("posterior", lambda y: free * x * y)))
+        row = rated.select(Summarizer.sum(array_to_vector(F.concat(sums, outer))).alias("s")).first()["s"].toArray()
+        return row[:k], row[k:].reshape(k, k)
 
     now, gram = totals([])
-    if now.sum() == 0:
-        return lambda p: F.lit(1.0), {d: (0.0, 0.0) for d in domains}
     if weights is None:
         share = np.where(now > 0, now / now.sum(), 0) ** 0.7
     else:
@@ -118,16 +115,18 @@ def fitted_rates(known: DataFrame, domains: list[str], weights: dict[str, float]
 
 
 def mixed(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None = None, least: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, domain, posterior, rate, copies): one row per input row."""
+    """(doc_id, n_tokens, domain, posterior, rate, copies, domain_target, domain_fitted): one row per input row; the last two are tokens."""
     u = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(5)), F.lit(1 << 52)) / F.lit(float(1 << 52))
     known, domains = posteriors(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), u.alias("u")), labelled)
     known = stored(known.select("doc_id", "n_tokens", "posterior", "u"))
-    rate, _ = fitted_rates(known, domains, weights, least)
+    rate, totals = fitted_rates(known, domains, weights, least)
     most = F.array_max("posterior")
     names = F.array(*[F.lit(d) for d in domains])
     out = known.withColumn("rate", F.when(F.col("n_tokens") > 0, rate(F.col("posterior"))).otherwise(F.lit(1.0)))
     copies = F.floor("rate") + (F.col("u") < F.col("rate") - F.floor("rate")).cast("long")
-    return out.select("doc_id", "n_tokens", F.get(names, (F.array_position("posterior", most) - 1).cast("int")).alias("domain"), most.alias("posterior"), "rate", copies.alias("copies"))
+    at = (F.array_position("posterior", most) - 1).cast("int")
+    told = [F.get(F.lit([totals[d][i] for d in domains]), at).alias(c) for i, c in enumerate(("domain_target", "domain_fitted"))]
+    return out.select("doc_id", "n_tokens", F.get(names, at).alias("domain"), most.alias("posterior"), "rate", copies.alias("copies"), *told)
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, domain_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", bound: int = LABELLED) -> DataFrame:
@@ -140,8 +139,8 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, domain_col: str = "lang",
 def drawn(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None = None, least: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, each as often as it is drawn, with all their columns."""
     columns = docs.columns
-    place = {c: f"__{i}" for i, c in enumerate(columns)}  # no column of docs gets in the way
-    docs, id_col, text_col = docs.toDF(*place.values()), place[id_col], place[text_col]
+    docs, place = set_apart(docs)
+    id_col, text_col = place[id_col], place[text_col]
     known, domains = posteriors(docs, labelled, text_col)
     rate, _ = fitted_rates(stored(known.select("n_tokens", "posterior")), domains, weights, least)
     u = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(5)), F.lit(1 << 52)) / F.lit(float(1 << 52))

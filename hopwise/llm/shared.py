@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from hopwise.operators import checkpointed, discard, shared_dir, stored
 
-__all__ = ["bit_set", "checkpointed", "connected_components", "discard", "series_udf", "shared_dir", "small_batches", "stored", "with_parts"]
+__all__ = ["bit_set", "checkpointed", "connected_components", "discard", "series_udf", "set_apart", "shared_dir", "small_batches", "stored", "with_parts"]
 BROADCAST_IDS = 200_000
 
 
@@ -30,6 +30,12 @@ def series_udf(run: Callable, kind: str):
     return F.pandas_udf(run, kind)
 
 
+def set_apart(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns named by their place, so that none clashes with what an operator adds, and the new name of each."""
+    names = {c: f"__{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
 def bit_set(places: DataFrame, size: int) -> bytes:
     """A set of places (a long column `place`) below size, a power of two; it is put together where the rows are, in parts of 128 KB."""
     part = min(size, 1 << 20)

@@ -7,8 +7,8 @@ begin like an entry but are no more frequent in toxic texts become exceptions, a
 word the longest match counts, so an exception silences the entry inside it. A text's weights are normalised by its length
 and turned into a probability by a logistic model.
 
-The model is fitted on at most LABELLED rows, those whose hashed ids are smallest, of which each half is scored by the
-lexicon of the other half; corpus texts are then all scored, whole. Ids, languages, sources and labels are no inputs of
+The model is fitted on at most LABELLED rows and LABELLED_BYTES of whole texts, those whose hashed ids are smallest, of which each half is scored by the
+lexicon of the other half; that bounds the lexicon, which has no limit of its own. Corpus texts are then all scored, whole. Ids, languages, sources and labels are no inputs of
 a score. Null and empty texts have no words and get the score of such a text. Labels that are null, and rows of `labels`
 without a document, are not used; a document labelled twice counts as toxic if one row says so. Without labels of both
 kinds every score is 0.
@@ -21,12 +21,12 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hopwise.llm.shared import checkpointed, series_udf, small_batches
+from hopwise.llm.shared import checkpointed, series_udf, set_apart, small_batches
 
-LABELLED, CANDIDATES, SHORTEST, LONGEST, FLUSHED = 10_000, 20_000, 4, 10, 150_000
+LABELLED, LABELLED_BYTES, SHORTEST, LONGEST, FLUSHED = 10_000, 1 << 27, 4, 10, 150_000
 # Phrases in which a word of abuse is none.
 EXCEPTIONS = ["trash can", "trash bag", "trash bin", "clown fish", "circus clown", "pond scum", "soap scum", "sore loser"]
 # Look-alike characters and the letters they stand for.
@@ -138,7 +138,7 @@ def features(match, text: str) -> tuple[float, float, float]:
             total += w
         if n and w == 0.0:
             covered = max(covered, at + n - 1)
-    length = text.count(" ") - 1
+    length = text.count(" ") - 1 if len(text) > 2 else 0
     return 100 * total / (length + 30), math.log1p(total), math.log1p(max(length, 0))
 
 
@@ -153,8 +153,14 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> list[float]:
 
 
 def model(labelled: DataFrame) -> dict:
-    """Lexicon and logistic weights from (doc_id, text, toxic, fold 0 or 1)."""
+    """Lexicon and logistic weights from (doc_id, text, toxic, fold 0 or 1), at most LABELLED_BYTES of it."""
     labelled = checkpointed(labelled)
+    # few rows, LABELLED of unique ids: the running sum over them may take one task
+    size = Window.orderBy(F.xxhash64("doc_id"), "doc_id", "bytes").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = labelled.groupBy("doc_id").agg(F.sum(F.octet_length("text")).alias("bytes")).withColumn("so_far", F.sum("bytes").over(size))
+    if sizes.where(F.col("so_far") > LABELLED_BYTES).isEmpty():
+        sizes = None
+    labelled = labelled if sizes is None else checkpointed(labelled.join(F.broadcast(sizes.where(F.col("so_far") <= LABELLED_BYTES)), "doc_id", "left_semi"))
     counts = labelled.select("text", "fold", "toxic").mapInArrow(_count, "pattern string, fold int, toxic int, words long, texts long")
     per = [F.sum(F.when((F.col("fold") == f) & (F.col("toxic") == t), F.col(v)).otherwise(0)).alias(f"{v}{f}{t}") for f in (0, 1) for t in (0, 1) for v in ("words", "texts")]
     counts = checkpointed(counts.groupBy("pattern").agg(*per))
@@ -162,11 +168,11 @@ def model(labelled: DataFrame) -> dict:
     if not whole:
         return {}
     ratio = f"((words01 + words11 + 0.25) / {max(1, whole['words01'] + whole['words11'])}) / ((words00 + words10 + 0.5) / {max(1, whole['words00'] + whole['words10'])})"
-    found = counts.where("pattern <> '' and texts01 + texts11 >= 3").where(f"{ratio} >= 2.5").orderBy(F.desc("texts01"), F.desc("texts11"), "pattern").limit(CANDIDATES).collect()
+    found = counts.where("pattern <> '' and texts01 + texts11 >= 3").where(f"{ratio} >= 2.5").collect()
     begins = labelled.sparkSession.createDataFrame([(r["pattern"],) for r in found if r["pattern"][-1] != " "], "begin string")
     tops = F.explode(F.transform(F.sequence(F.lit(SHORTEST + 1), F.lit(LONGEST + 1)), lambda k: F.substring(F.col("pattern"), F.lit(1), k)))
     plain = counts.where("pattern like '% '").where(f"{ratio} < 2.5 and texts00 + texts10 >= 2").withColumn("begin", tops).join(F.broadcast(begins), "begin", "left_semi")
-    found += plain.drop("begin").distinct().orderBy(F.desc("texts00"), F.desc("texts10"), "pattern").limit(CANDIDATES).collect()
+    found += plain.drop("begin").distinct().collect()
 
     def of(folds: tuple[int, ...]) -> dict[str, float]:
         take = lambda r, v, t: sum(r[f"{v}{f}{t}"] for f in folds)
@@ -220,4 +226,7 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.7) -> DataFrame:
     """The rows of docs that score below `least`, with all their columns."""
-    return scored(docs, labels, id_col, text_col, "__toxicity").where(F.col("__toxicity") < least).drop("__toxicity")
+    columns = docs.columns
+    docs, named = set_apart(docs)
+    labels = labels.select(F.col(id_col).alias(named[id_col]), "toxic")
+    return scored(docs, labels, named[id_col], named[text_col], "toxicity").where(F.col("toxicity") < least).drop("toxicity").toDF(*columns)

@@ -295,6 +295,30 @@ def test_sharding(spark):
     assert sharding.shards(df.limit(0)).count() == 0
 
 
+def test_sharding_parcels(spark, monkeypatch):
+    """Groups too small to be scheduled singly go in parcels: still whole groups, gapless slots and near-equal shards."""
+    monkeypatch.setattr(sharding, "PARCELS", 64)
+    r = random.Random(5)
+    texts = [f"text {r.randrange(900)} " * (1 + r.randrange(900) % 7) for _ in range(3000)] + ["big " * 3000] * 3 + [None, None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sharding.shards(df).collect()
+    groups, slots, load = defaultdict(set), defaultdict(list), defaultdict(int)
+    for x in got:
+        groups[texts[x["doc_id"]]].add(x["shard"])
+        slots[x["shard"]].append(x["slot"])
+        load[x["shard"]] += x["size"]
+    assert len(got) == len(texts) and all(len(v) == 1 for v in groups.values())
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values()) and len(load) == 16
+    total, lone = sum(load.values()), 3 * (len("big " * 3000) + 1)
+    rest = sorted(load.values())[:-1]
+    assert max(load.values()) == lone and max(rest) - min(rest) <= total / 16
+    # the plain schedule of what was scheduled: large groups singly, parcels whole
+    size = defaultdict(int)
+    for t in texts:
+        size[t] += len((t or "").encode()) + 1
+    assert sum(v * 64 >= total for v in size.values()) < len(size) / 2
+
+
 def plain_url(url):
     if url is None or "://" not in url:
         return "", "", None, "allow"
@@ -353,6 +377,46 @@ def test_folding():
     assert toxicity.features(match, toxicity.folded("scummy trash"))[1] == pytest.approx(np.log1p(9.0))
 
 
+def naive_features(weights, text):
+    """The lexicon by trying every entry at every word."""
+    total, covered = 0.0, -1
+    for at in [i for i, c in enumerate(text[:-1]) if c == " "]:
+        fits = [p for p in weights if text.startswith(p, at)]
+        if not fits:
+            continue
+        p = max(fits, key=len)
+        if at >= covered:
+            total += weights[p]
+        if weights[p] == 0.0:
+            covered = max(covered, at + len(p) - 1)
+    n = max(len(text.split()), 0)
+    return 100 * total / (n + 30), np.log1p(total), np.log1p(n)
+
+
+def test_toxicity_naive_matcher():
+    r = random.Random(9)
+    letters = "abc"
+    for _ in range(60):
+        word = lambda k: "".join(r.choice(letters) for _ in range(k))
+        weights = {f" {word(r.randrange(4, 7))}{r.choice(['', ' '])}": r.choice([0.0, 1.5, 2.0]) for _ in range(40)} | {f" {word(4)} {word(3)} ": 0.0 for _ in range(10)}
+        match = toxicity.automaton(weights)
+        for _ in range(20):
+            text = toxicity.folded(" ".join(word(r.randrange(1, 9)) for _ in range(r.randrange(0, 60))))
+            assert toxicity.features(match, text) == pytest.approx(naive_features(weights, text))
+
+
+def test_toxicity_labelled_bytes(spark, monkeypatch):
+    """A bound on the bytes of labelled texts leaves out whole texts; repeated ids are scored each."""
+    rows = [(i, f"plain words number {i} " * 3 + ("gnarfel " * 3 if i % 2 else "")) for i in range(300)]
+    docs = spark.createDataFrame(rows + [(5, "gnarfel gnarfel gnarfel"), (5, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "LABELLED_BYTES", 8000)
+    got = toxicity.scored(docs, labels)
+    assert got.count() == 302 and sorted(x["toxicity"] > 0.5 for x in got.where("doc_id = 5").collect()) == [False, True, True]
+    monkeypatch.setattr(toxicity, "LABELLED_BYTES", 0)
+    assert {x["toxicity"] for x in toxicity.scored(docs, labels).collect()} == {0.0}
+
+
 def test_toxicity_learns(spark):
     r = random.Random(2)
     rows, labels = [], []
@@ -396,6 +460,27 @@ def test_mixing(spark):
     assert mixing.mixed(docs.limit(0), labelled).count() == 0
 
 
+def test_mixing_plain_version(spark):
+    """The fit against least squares over all documents; one domain, ties, repeated ids and targets that cannot be met."""
+    r = np.random.default_rng(5)
+    n, p = r.integers(1, 200, 400), r.dirichlet([0.5, 0.3, 0.2], 400)
+    known = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(n, p)], "n_tokens long, posterior array<double>")
+    rate, totals = mixing.fitted_rates(known, ["a", "b", "c"], {"a": 0.25, "b": 0.35, "c": 0.4}, least=0.0)
+    rates = np.array([x["r"] for x in known.select(rate(F.col("posterior")).alias("r")).collect()])
+    assert rates.min() >= 0 and np.allclose((rates[:, None] * n[:, None] * p).sum(0), np.array([0.25, 0.35, 0.4]) * n.sum(), rtol=1e-4)
+    assert all(totals[d][1] == pytest.approx(x, rel=1e-4) for d, x in zip("abc", (rates[:, None] * n[:, None] * p).sum(0)))
+    # all posteriors equal: no weights other than theirs can be met, and the totals tell
+    flat = spark.createDataFrame([(10, [0.5, 0.5])] * 20, "n_tokens long, posterior array<double>")
+    _, totals = mixing.fitted_rates(flat, ["a", "b"], {"a": 0.9, "b": 0.1}, least=0.0)
+    assert totals["a"][0] == pytest.approx(180) and totals["a"][1] == pytest.approx(totals["b"][1], rel=1e-6)
+    docs = spark.createDataFrame([(1, "x y z"), (1, "x y z"), (1, "q " * 50000), (2, None)], "doc_id long, text string")
+    one = mixing.mixed(docs, spark.createDataFrame([("x y", "only")], "text string, domain string")).collect()
+    assert len(one) == 4 and {x["domain"] for x in one} == {"only"} and {x["rate"] for x in one} == {1.0}
+    # a tie of posteriors goes to the first domain in order
+    tie = mixing.mixed(docs, spark.createDataFrame([("u", "b"), ("v", "a")], "text string, domain string")).where("n_tokens = 3").collect()
+    assert {x["domain"] for x in tie} == {"a"}
+
+
 @needs_tables
 def test_pipeline(spark):
     import corpus_pipeline
@@ -417,6 +502,29 @@ def test_pipeline(spark):
         assert re.fullmatch(r"op\d+_\w+", name) and callable(make)
 
 
+@needs_tables
+def test_pipeline_odd_rows(spark, tmp_path):
+    """Null rows, repeated ids and columns whose names the operators use; then empty tables."""
+    import corpus_pipeline as c
+
+    docs = queries.table(spark, SF, "documents").limit(60)
+    odd = docs.union(docs.limit(2)).union(spark.createDataFrame([(None, None, None, None, None), (None, "some words here", "en", None, 3), (10**9, "", None, "s", 0)], docs.schema))
+    names = ["__lost", "__node", "h", "shingles", "size", "shard", "copies", "posterior", "node", "part"]
+    odd = odd.withColumns({x: F.lit(1) for x in names})
+    for name, rows in (("odd", odd), ("empty", odd.limit(0))):
+        where = f"{tmp_path}/{name}"
+        rows.write.parquet(f"{where}/documents.parquet")
+        for t in ("labels", "benchmark"):
+            (queries.table(spark, SF, t).limit(0) if name == "empty" else queries.table(spark, SF, t)).write.parquet(f"{where}/{t}.parquet")
+        given = queries.table(spark, where, "documents")
+        for step, stage in c.STAGES[:-1]:
+            given = mixing.stored(stage(spark, given, where))
+            assert given.columns == rows.columns, step
+        found = c.shard(spark, given, where)
+        assert found.count() == given.count() and (name == "empty") == (found.count() == 0)
+        assert sum(x["doc_id"] is None for x in found.collect()) >= 2 * (name == "odd")
+
+
 @needs_tables
 def test_stages_against_plain_versions(spark):
     import corpus_pipeline as c
