@@ -22,7 +22,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontamination.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
+    return decontamination.without_contaminated(docs, table(spark, sf_dir, "benchmark"), shortest=1, null_ids=True)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
