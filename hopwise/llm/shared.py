@@ -15,17 +15,15 @@ __all__ = ["bit_set", "checkpointed", "connected_components", "discard", "series
 BROADCAST_IDS = 200_000
 
 
-def small_batches(spark: SparkSession, rows: int = 1000, size: int = 64 << 20) -> None:
-    """Lets the session send at most so many rows and bytes to a Python worker at once, as whole texts can be long and a batch is held in memory.
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lets the session send at most so many rows to a Python worker at once, as whole texts can be long and a batch is held in memory.
 
-    A batch holds one row at least. Results are computed later, so the settings stay for the session; stricter ones are left alone.
+    Spark bounds the bytes of a batch as well (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB unless set). Results are computed
+    later, so the setting stays for the session; a stricter one is left alone.
     """
-    conf, per_batch, per_size = spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not 0 < int(conf.get(per_batch)) <= rows:
-        conf.set(per_batch, rows)
-    known = conf.get(per_size, "")
-    if not known.removesuffix("b").isdigit() or int(known.removesuffix("b")) > size:
-        conf.set(per_size, size)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
 
 
 def series_udf(run: Callable, kind: str):
