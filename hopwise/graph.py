@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hopwise.errors import GraphError
+from hopwise.operators import stored
 
 CARRIED = "__v_"
 VERTEX_FIELDS, EDGE_FIELDS = ("id", "name", "labels", "_seq"), ("src", "dst", "eid", "_seq")
@@ -134,6 +135,13 @@ class PropertyGraph:
     def merge(self, other: PropertyGraph, src_id: str, target_id: str, edge_label: str) -> PropertyGraph:
         """The union of two built graphs, with new ids for `other` and an edge from src_id to the moved target_id."""
         shift = self._next_seq()
+        out = self.plus(other)
+        out.add_edge(edge_label, src_id, str(int(target_id) + shift))
+        return out
+
+    def plus(self, other: PropertyGraph) -> PropertyGraph:
+        """The union of two built graphs: the ids of `other`, numbers as strings, go on after those of this one."""
+        shift = self._next_seq()
         moved = other.all_vertices().withColumns({"id": (F.col("id").cast("long") + shift).cast("string"), "_seq": F.col("_seq") + shift})
         ends = {c: (F.col(c).cast("long") + shift).cast("string") for c in ("src", "dst")}
         out = PropertyGraph(self.spark, [VertexTable(aligned(self.all_vertices(), moved))], [], self.config)
@@ -141,7 +149,6 @@ class PropertyGraph:
         if other.edges:
             rows = aligned(rows, other.all_edges().withColumns(ends))
         out.edges = edge_tables(rows, self.config.multigraph)
-        out.add_edge(edge_label, src_id, str(int(target_id) + shift))
         return out
 
     def join(self, from_label: str, to_label: str, join_field: str, target_key: str, edge_label: str) -> None:
@@ -225,7 +232,7 @@ def edge_tables(rows: DataFrame, multigraph: bool) -> list[EdgeTable]:
         props = [c for c in rows.columns if c not in (*EDGE_FIELDS, "label")]
         last = Window.partitionBy("src", "dst").orderBy("_seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         rows = rows.withColumns({c: F.last(c, ignorenulls=True).over(last) for c in [*props, "label"]} | {"__n": F.row_number().over(Window.partitionBy("src", "dst").orderBy("_seq"))})
-        rows = rows.where("__n = 1").drop("__n")
+        rows = stored(rows.where("__n = 1").drop("__n"))  # read once for each label
     labels = [r[0] for r in rows.select("label").distinct().orderBy("label").collect()]
     return [EdgeTable(rows.where(F.col("label") == x).drop("label"), x) for x in labels]
 

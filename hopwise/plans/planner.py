@@ -4,6 +4,9 @@ Rows carry ids only; properties are joined where a step reads them, and only tho
 reads. Hops are equi-joins with the edge tables that the labels allow. A sub-traversal that looks only at the current row
 becomes a column; any other runs once for all rows, keyed by the current vertex (or, if it reads bindings or paths, by a row number),
 and meets its parent in a semi, anti or inner join.
+
+A plan is lazy but for what must be fixed or counted while it is made: row numbers, rounds of `repeat` with `until` or `emit`,
+`skip`, `max_` and `min_` over hops, changing steps, and the test that given ids exist.
 """
 
 from __future__ import annotations
@@ -333,12 +336,15 @@ class Planner:
             every = self.vertex_frame(st.cur.labels).select(F.col("id").alias(root[0]), *([F.element_at("labels", 1).alias(root[1])] if len(root) > 1 else []))
             start = State(None, Elem("vertex", labels=st.cur.labels), root=tuple(root), roots=every)
             return st, self.ran(start, steps), list(zip(left, root, strict=True))
-        rid = self.fresh("rid")
-        pinned = checkpointed(st.df.withColumn(rid, F.monotonically_increasing_id()))
-        st = replace(st, df=pinned)
-        start = replace(st, root=(rid,), roots=pinned.select(rid))
+        st, start, rid = self.pinned(st)
         return st, self.ran(start, steps), [(rid, rid)]
 
+    def pinned(self, st: State) -> tuple[State, State, str]:
+        """The state with a row number, the start of sub-traversals keyed by it, and its name. The rows are written when the plan is made, which fixes the numbers."""
+        rid = self.fresh("rid")
+        st = replace(st, df=checkpointed(st.df.withColumn(rid, F.monotonically_increasing_id())))
+        return st, replace(st, root=(rid,), roots=st.df.select(rid)), rid
+
     def existing(self, st: State, steps, negate: bool = False) -> State:
         st, cond = self.condition(st, steps)
         if cond is not None:
@@ -353,15 +359,17 @@ class Planner:
         st, second = self.condition(st, b.steps)
         if first is not None and second is not None:
             return replace(st, df=st.df.where(first | second))
-        hits = []
-        for steps in (a.steps, b.steps):
-            st, found, on = self.child(st, (Step("identity"), *steps))
-            hits.append((self.begun(found).df.select(*[F.col(r) for _, r in on]), [x for x, _ in on]))
-        if hits[0][1] == hits[1][1]:
-            keys = [f"k{i}" for i in range(len(hits[0][1]))]
-            both = hits[0][0].toDF(*keys).union(hits[1][0].toDF(*keys))
-            return replace(st, df=st.df.join(both, _all([F.col(x) == F.col(k) for x, k in zip(hits[0][1], keys, strict=True)]), "left_semi"))
-        raise QueryError("or_ takes two traversals of one kind")
+        if not (self.independent(st, a.steps) and self.independent(st, b.steps)):
+            # one of them reads bindings or paths: both are keyed by one row number
+            st, start, rid = self.pinned(st)
+            hits = [self.begun(self.ran(start, (Step("identity"), *t.steps))).df.select(F.col(rid).alias("k0")) for t in (a, b)]
+            return replace(st, df=st.df.join(hits[0].union(hits[1]), F.col(rid) == F.col("k0"), "left_semi"))
+        hits, left = [], []
+        for t in (a, b):
+            st, found, on = self.child(st, (Step("identity"), *t.steps))
+            left = [x for x, _ in on]
+            hits.append(self.begun(found).df.select(*[F.col(r).alias(f"k{i}") for i, (_, r) in enumerate(on)]))
+        return replace(st, df=st.df.join(hits[0].union(hits[1]), _all([F.col(x) == F.col(f"k{i}") for i, x in enumerate(left)]), "left_semi"))
 
     def applied(self, st: State, steps) -> State:
         """`local`: the steps' results for each row, with the row's bindings."""
@@ -770,6 +778,8 @@ class Planner:
         if "val" not in st.cur.fields:
             raise QueryError(f"{s.op} needs values")
         name, best = st.cur.fields["val"], self.fresh("best")
+        if any(s.op in ("hop", "hopE", "repeat", "union", "local", "branch", "filter", "not", "and", "or") for s in self.steps):
+            st = replace(st, df=stored(st.df))  # what joins made the rows run once; a plain scan is cheaper to read twice
         top = st.df.groupBy(*st.root).agg(pick(name).alias(best))
         keys = [f"{best}{i}" for i in range(len(st.root))]
         top = top.toDF(*keys, best)
@@ -783,6 +793,7 @@ class Planner:
         return self._extreme(st, s, F.min, F.array_min)
 
     def do_fold(self, st: State, s: Step) -> State:
+        """All values as one list: one value holds them all, in one task, as the step demands."""
         st = self.begun(st)
         cur, (seed, func) = st.cur, s.args
         name = cur.fields.get("val") or cur.fields.get("id")
@@ -848,8 +859,29 @@ class Planner:
             return replace(st, df=df.where(cond).drop(n))
         order = self.ordering(st)
         df = st.df.orderBy(*order) if order else st.df
+        if b == -1:
+            return replace(st, df=self.skipped(df, a) if a else df)
         df = df.offset(a) if a else df
-        return replace(st, df=df if b == -1 else df.limit(b - a))
+        return replace(st, df=df.limit(b - a))
+
+    def skipped(self, df: DataFrame, a: int) -> DataFrame:
+        """Rows but the first a, in the order and partitions they have: a partition's first rows have the places after all rows before it."""
+        part, at = self.fresh("part"), self.fresh("at")
+        df = checkpointed(df.withColumn(at, F.monotonically_increasing_id())).withColumn(part, F.shiftright(at, 33))
+        counts = dict(df.groupBy(part).count().collect())
+        left = {}
+        for p in sorted(counts):
+            left[p], a = min(a, counts[p]), max(a - counts[p], 0)
+        gone = [(p, n) for p, n in left.items() if n]
+        if not gone:
+            return df.drop(part, at)
+        within = F.col(at).bitwiseAND(F.lit((1 << 33) - 1))
+        whole = [p for p, n in gone if n == counts[p]]
+        df = df.where(~F.col(part).isin(whole)) if whole else df
+        for p, n in gone:
+            if n < counts[p]:
+                df = df.where((F.col(part) != p) | (within >= n))
+        return df.drop(part, at)
 
     def do_dedup(self, st: State, s: Step) -> State:
         st, by = self.begun(st), s.kw.get("by")
@@ -948,9 +980,11 @@ class Planner:
         passing = lambda x: x if emit is True else self.existing(x, emit.steps)
         out = [passing(st)] if emit and kw.get("emit_first") else []
         if times is not None and until is None:
-            for _ in range(times):
+            for i in range(times):
                 st = self.begun(self.applied(st, body))
                 if emit:
+                    # a level is written, so that the next one and its own rows do not compute it again
+                    st = replace(st, df=stored(st.df)) if i + 1 < times or emit is not True else st
                     out.append(passing(st))
             return self.merged(out) if emit else st
         rounds = 0
@@ -981,6 +1015,7 @@ class Planner:
     # effects
 
     def do_side_effect(self, st: State, s: Step) -> State:
+        """A function gets every row in the driver, streamed, as its effects are the caller's; a traversal runs on the executors."""
         effect = s.args[0]
         st = self.begun(st)
         st = replace(st, df=checkpointed(st.df))

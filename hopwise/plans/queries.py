@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 
 from hopwise.functions.predicates import between, containing, ends_with, gt, gte, inside, lt, lte, neq, not_containing, not_ends_with, not_regex, not_starting_with, outside, regex, starting_with, within, without
 from hopwise.plans.traversal import Order, Scope, Source, Traversal
-from hopwise.graph import EdgeTable, PropertyGraph, VertexTable
+from hopwise.graph import EdgeTable, GraphBuilder, PropertyGraph, VertexTable
 from hopwise.operators import shared_dir
 from hopwise.sources.graphml import read_graphml, write_graphml
-from hopwise.sources.jsonfiles import graphson_lines, read_graphson
+from hopwise.sources.examples import crew, modern
+from hopwise.sources.files import FileIO
+from hopwise.sources.jsonfiles import graphson_lines, read_graphson, read_json_lines, read_json_tree
 from hopwise.sources.rdf import triples
 from hopwise.sources.tables import table_graph, talk_graph
-from hopwise.streaming.edges import degrees
+from hopwise.streaming.edges import degrees, fresh_edges, hop, landed, latest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,6 +42,10 @@ def simple(name: str, sql: str, build: Callable[[Source], DataFrame], graph=tabl
     query(sql, graph)(build)
 
 
+def _sizes(g: Source):
+    return g.V().has_label("part").values("p_size").fold()
+
+
 # ---- sources, has, predicates
 
 
@@ -88,7 +94,7 @@ simple("values_one", "select p_brand as v from part", lambda g: g.V().has_label(
 simple("values_multi", "select p_brand as v from part union all select p_type from part", lambda g: g.V().has_label("part").values("p_brand", "p_type").to_df("v"))
 simple("properties_kv", "select 'p_brand' as k, p_brand as v from part union all select 'p_size', cast(p_size as varchar) from part", lambda g: g.V().has_label("part").properties("p_brand", "p_size").to_df("k", "v"))
 simple("has_key", "select cast(p_size as varchar) as v from part", lambda g: g.V().has_label("part").properties("p_brand", "p_size").has_key("p_size").value().to_df("v"))
-simple("has_value", "select 's_name' as k from supplier where s_suppkey < 4", lambda g: g.V().has_label("supplier").has_id(lt(4)).properties("s_name", "s_nationkey").has_key("s_name").key().to_df("k"))
+simple("has_value", "select 'p_size' as k from part where p_size = 10", lambda g: g.V().has_label("part").properties("p_brand", "p_size").has_value("10").key().to_df("k"))
 simple("element_map", "select p_partkey as p_partkey, p_brand, p_size from part", lambda g: g.V().has_label("part").element_map("p_partkey", "p_brand", "p_size").to_df())
 simple("id_step", "select s_suppkey as id from supplier", lambda g: g.V().has_label("supplier").id_().to_df("id"))
 simple("label_step", "select 'supplier' as label, count(*) as n from supplier", lambda g: g.V().has_label("supplier").label().to_df("label").groupBy("label").agg(F.count(F.lit(1)).alias("n")))
@@ -155,7 +161,9 @@ simple("fold_list", "select string_agg(r_name, ',' order by r_regionkey) as v fr
 simple("fold_func", "select cast(sum(p_size) + 100 as bigint) as v from part", lambda g: g.V().has_label("part").values("p_size").fold(100, lambda a, b: a + b).to_df("v"))
 simple("count_local", "select length(r_name) as v from region", lambda g: g.V().has_label("region").values("r_name").count(Scope.local).to_df("v"))
 simple("sum_local", "select cast(sum(p_size) as bigint) as v from part", lambda g: g.V().has_label("part").values("p_size").fold().sum_(Scope.local).to_df("v").select(F.col("v").cast("long").alias("v")))
-simple("max_min_local", "select max(p_size) - 0 as v from part", lambda g: g.V().has_label("part").values("p_size").fold().max_(Scope.local).to_df("v"))
+simple("max_min_local", "select max(p_size) as v from part union all select min(p_size) from part", lambda g: _sizes(g).max_(Scope.local).to_df("v").union(_sizes(g).min_(Scope.local).to_df("v")))
+simple("mean_local", "select round(avg(p_size), 6) as v from part", lambda g: _sizes(g).mean(Scope.local).to_df("v").select(F.round("v", 6).alias("v")))
+simple("unfold_list", "select r_name as v from region", lambda g: g.V().has_label("region").values("r_name").fold().unfold().to_df("v"))
 
 # ---- local, union, branch
 
@@ -203,13 +211,6 @@ def property_join(g):
     return g.V().has_label("customer").outE("near").to_df("src", "dst", "label").drop("label")
 
 
-@query("select n_name as key, r_name as found from nation join region on n_regionkey = r_regionkey")
-def quads_lookup(g):
-    q = g.graph.quads().where("p = 'in_region'").select("s", "o")
-    names = {x: g.V().has_label(x).as_("v").values("name").as_("n").select("v", "n").to_df(x, f"{x}_name") for x in ("nation", "region")}
-    return q.join(names["nation"], q.s == F.col("nation").cast("string")).join(names["region"], q.o == F.col("region").cast("string")).select(F.col("nation_name").alias("key"), F.col("region_name").alias("found"))
-
-
 # ---- files, exports, streams
 
 
@@ -232,10 +233,10 @@ def _names(graph: PropertyGraph) -> DataFrame:
 
 @query(NAMES_SQL, nations)
 def graphml_round_trip(g):
-    """Written as one local file in the shared folder, so only where that is a local folder."""
-    path = f"{shared_dir(g.graph.spark).removeprefix('file://')}/hopwise-{uuid.uuid4().hex}.graphml"
-    write_graphml(g.graph, path)
-    return _names(read_graphml(g.graph.spark, f"file://{path}", edge_label_key="labelE"))
+    """Written by the executors as a folder of part files, and read again."""
+    path = f"{shared_dir(g.graph.spark)}/hopwise-{uuid.uuid4().hex}.graphml"
+    write_graphml(g.graph, path, single=False)
+    return _names(read_graphml(g.graph.spark, path, edge_label_key="labelE"))
 
 
 @query(NAMES_SQL, nations)
@@ -255,16 +256,115 @@ def stream_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(events).schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{events}*")
-    name = f"degrees_{uuid.uuid4().hex}"
     counted = degrees(stream.select(F.col("user_id").alias("src"), F.col("event_id").alias("dst"), F.col("ts").cast("timestamp").alias("ts")))
-    counted.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select(F.col("start").cast("string").alias("hour"), "id", "n")
+    return latest(counted, ["start", "id"], ["n"]).select(F.col("start").cast("string").alias("hour"), "id", "n")
 
 
+def stream_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stream of edges to customers, each once, and one hop more to the customer's nation."""
+    events = f"{sf_dir}/events.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(events).schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{events}*")
+    fresh = fresh_edges(stream.select(F.col("event_id").alias("src"), F.col("user_id").alias("dst"), F.col("ts").cast("timestamp").alias("ts")))
+    nations_of = next(t for t in table_graph(spark, sf_dir).edges if t.label == "in_nation").df
+    return landed(hop(fresh, nations_of).select("src", "next")).groupBy(F.col("next").alias("nation")).agg(F.count(F.lit(1)).alias("n"))
+
+
+QUERIES["stream_hop"] = stream_hop
+ORACLES["stream_hop"] = "select c_nationkey as nation, count(*) as n from events join customer on user_id = c_custkey group by 1"
 QUERIES["stream_degrees"] = stream_degrees
 ORACLES["stream_degrees"] = "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as hour, user_id as id, count(*) as n from events group by all"
 
 
+# ---- terminals, positions, bindings
+
+
+def rows(spark: SparkSession, values, schema: str) -> DataFrame:
+    return spark.createDataFrame([x if isinstance(x, tuple) else (x,) for x in values], schema)
+
+
+simple("to_list_terminal", "select r_name as name from region", lambda g: rows(g.graph.spark, g.V().has_label("region").values("r_name").to_list().run(), "name string"))
+simple("iter_terminal", "select n_nationkey as id from nation", lambda g: rows(g.graph.spark, g.V().has_label("nation").iter().run(), "id long"))
+simple("next_terminal", "select p_partkey as id from part order by p_partkey limit 3", lambda g: rows(g.graph.spark, g.V().has_label("part").next(3).run(), "id long"))
+simple("has_next_terminal", "select true as some, false as none", lambda g: rows(g.graph.spark, [(g.V().has_label("part").has_next().run(), g.V().has("p_size", lt(0)).has_next().run())], "some boolean, none boolean"))
+simple("print_query_terminal", "select 'V().has_label(''part'').range(0, 3)' as text", lambda g: rows(g.graph.spark, [g.V().has_label("part").limit(3).print_query()], "text string"))
+simple("identity_step", "select n_nationkey as id from nation", lambda g: g.V().has_label("nation").identity().to_df("id"))
+simple("skip_rest", "select p_partkey as id from part order by p_retailprice, p_partkey offset 7", lambda g: g.V().has_label("part").order(by="p_retailprice").skip(7).to_df("id"))
+simple("order_stable", "select s_suppkey as id from supplier order by s_nationkey, s_suppkey limit 7", lambda g: g.V().has_label("supplier").order(by="s_nationkey").limit(7).to_df("id"))
+simple("order_desc", "select r_name as name from region order by r_name desc limit 2", lambda g: g.V().has_label("region").order(by="name", desc=True).limit(2).values("name").to_df("name"))
+simple("local_sum", "select c_custkey as c, round(coalesce(sum(o_totalprice), 0), 2) as v from customer left join orders on o_custkey = c_custkey group by 1", lambda g: g.V().has_label("customer").as_("c").local(A.out("placed").values("o_totalprice").sum_()).as_("v").select("c", "v").to_df().select("c", F.round("v", 2).alias("v")))
+simple("local_max_min", "select o_custkey as c, max(o_totalprice) as v from orders group by 1 union all select o_custkey, min(o_totalprice) from orders group by 1", lambda g: _of_orders(g, A.out("placed").values("o_totalprice").max_()).union(_of_orders(g, A.out("placed").values("o_totalprice").min_())))
+simple("local_fold", "select o_custkey as c, string_agg(o_orderpriority, ',' order by o_orderkey) as v from orders group by 1", lambda g: _of_orders(g, A.out("placed").values("o_orderpriority").fold()).where("size(v) > 0").select("c", F.array_join("v", ",").alias("v")))
+simple("or_unlike", "select o_orderkey as id from orders join customer on o_custkey = c_custkey where c_nationkey < 3 or exists (select 1 from lineitem join part on l_partkey = p_partkey where l_orderkey = o_orderkey and p_size = 50)", lambda g: g.V().has_label("customer").as_("c").out("placed").or_(A.select("c").out("in_nation").has_id(lt(3)), A.out("contains").has("p_size", 50)).to_df("id"))
+simple("emit_filter", "with t as (select conv_id * 1000 + turn as id from conversations group by 1) select id from t where id % 1000 = 2 and id - 1 in (select id from t) and id - 2 in (select id from t)", lambda g: g.V().has("turn", 0).repeat(A.out("next_turn")).times(2).emit(A.has("turn", 2)).to_df("id"), talk_graph)
+simple("emit_before_repeat", "with t as (select conv_id * 1000 + turn as id from conversations group by 1) select id from t where id % 1000 = 0 union all select id from t where id % 1000 = 1 and id - 1 in (select id from t)", lambda g: g.V().has("turn", 0).emit().repeat(A.out("next_turn")).times(1).to_df("id"), talk_graph)
+
+
+def _of_orders(g: Source, reducer: Traversal) -> DataFrame:
+    return g.V().has_label("customer").as_("c").local(reducer).as_("v").select("c", "v").to_df()
+
+
+@query("select r_regionkey as id from region")
+def side_effect_rows(g):
+    seen: list[int] = []
+    g.V().has_label("region").side_effect(lambda row: seen.append(row["id"])).iterate().run()
+    return rows(g.graph.spark, seen, "id long")
+
+
+# ---- built graphs, their union, look-ups and files
+
+
+def example(make) -> Callable[[SparkSession, str], PropertyGraph]:
+    return lambda spark, sf_dir: make(spark)
+
+
+MODERN = "with v(id, name) as (values ('0', 'marko'), ('1', 'vadas'), ('2', 'lop'), ('3', 'josh'), ('4', 'ripple'), ('5', 'peter'))"
+simple("v_by_ids", f"{MODERN} select name from v where id in ('3', '0')", lambda g: g.V("3", "0").values("name").to_df("name"), example(modern))
+simple("e_by_pairs", "select * from (values ('0', '1', 'knows'), ('3', '2', 'created')) t(src, dst, label)", lambda g: g.E(("0", "1"), ("3", "2")).to_df("src", "dst", "label"), example(modern))
+simple("nodes_by_label_and_name", f"{MODERN} select id from v where name = 'josh'", lambda g: g.graph.get_nodes("Person", "josh").select("id"), example(modern))
+simple("map_contains", "select 'daniel' as name", lambda g: g.V().contains("location", "aachen").values("name").to_df("name"), example(crew))
+simple("map_path", "select 'stephen' as name", lambda g: g.V().has(["location", "dulles", "startTime"], 2000).values("name").to_df("name"), example(crew))
+simple("merged_graphs", "select 'vertex' as element, 12 as n union all select 'edge', 13", lambda g: g.graph.merge(modern(g.graph.spark), "0", "0", "Guide").summary().groupBy("element").agg(F.sum("n").alias("n")), example(modern))
+simple("quads_lookup", "select distinct 'in_region' as key, 'region:' || n_regionkey as found from nation", lambda g: g.graph.lookup("P", "O").where("key = 'in_region'").select("key", F.explode("found").alias("found")), nations)
+simple("quads_lookup_os", "select r_name as key, 'region:' || r_regionkey as found from region", lambda g: g.graph.lookup("O", "S").where("size(found) = 1").select("key", F.explode("found").alias("found")).join(g.V().has_label("region").values("name").to_df("key"), "key"), nations)
+
+
+@query("select 'b' as name, 2 as n union all select 'c', 1")
+def built_graph(g):
+    """A builder keeps one edge for each pair of vertices."""
+    b = GraphBuilder()
+    for name in "abc":
+        b.add_labeled_node("Letter", name)
+    for src, dst in ((0, 1), (0, 1), (2, 1), (0, 2)):
+        b.add_labeled_edge(src, dst, "to")
+    made = b.build(g.graph.spark).traversal()
+    return made.E().inV().values("name").to_df("name").groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(MODERN + " select name from v union all select name from v", example(modern))
+def io_reads_into_graph(g):
+    """A graph written and read into a graph that holds vertices already."""
+    path = f"{shared_dir(g.graph.spark)}/hopwise-{uuid.uuid4().hex}.json"
+    FileIO(g.graph, path).write()
+    return FileIO(g.graph, path).read().traversal().V().values("name").to_df("name")
+
+
+@query("select n_name as name, n_regionkey as region from nation")
+def json_lines(g):
+    path = f"{shared_dir(g.graph.spark)}/hopwise-{uuid.uuid4().hex}.json"
+    next(t for t in g.graph.vertices if t.label == "nation").df.select(F.col("id").alias("key"), "name", "n_regionkey").write.json(path)
+    found, bad = read_json_lines(g.graph.spark, path)
+    return found.traversal().V().element_map("name", "n_regionkey").to_df("name", "region")
+
+
+@query("select 'has_' || k as label, n from (values ('nations', 1), ('item', 25), ('name', 25)) t(k, n)")
+def json_tree(g):
+    """All nations as one document: an edge from each object and list to what it holds."""
+    path = f"{shared_dir(g.graph.spark)}/hopwise-{uuid.uuid4().hex}.json"
+    names = g.V().has_label("nation").values("name").to_df("name").agg(F.to_json(F.struct(F.collect_list(F.struct("name")).alias("nations"))).alias("value"))
+    names.coalesce(1).write.text(path)
+    return read_json_tree(g.graph.spark, path).summary().where("element = 'edge'").select("label", "n")
+
+
 # ---- three constrained legs: many simple paths from one vertex
 
 

@@ -193,7 +193,7 @@ class FileIO:
             raise GraphError(f"files ending in {self.ending!r} cannot be read")
         found = readers[self.ending](self.graph.spark, self.path, **self.options)
         if self.graph.vertices and not self.graph.all_vertices().isEmpty():
-            raise GraphError("the graph is not empty; merge the graphs instead")
+            found = self.graph.plus(found)
         self.graph.vertices, self.graph.edges = found.vertices, found.edges
         return self.graph
 
@@ -202,7 +202,7 @@ class FileIO:
             write_graphml(self.graph, self.path)
         elif self.ending in ("json", "jsons"):
             graphson_lines(self.graph).write.text(self.path)
-        elif self.ending in ("nt", "rdf"):
+        elif self.ending in ("nt", "rdf"):  # N-Triples lines, in a folder of part files
             from hopwise.sources.rdf import triples, ntriples
 
             ntriples(triples(self.graph)).write.text(self.path)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from xml.sax.saxutils import escape, quoteattr
+from xml.sax.saxutils import quoteattr
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from hopwise.errors import GraphError
 from hopwise.graph import GraphConfig, PropertyGraph, VertexTable, edge_tables
+from hopwise.operators import checkpointed
 
 # Attribute types of the format.
 TYPES = {"string": "string", "int": "int", "integer": "int", "long": "long", "float": "double", "double": "double", "boolean": "boolean"}
@@ -18,8 +19,8 @@ _DATA = "data array<struct<_key string, _VALUE string>>"
 
 
 def numbered(df: DataFrame, name: str) -> DataFrame:
-    """Numbers rows from 0 in file order, without a shuffle: counts of the partitions before, plus the place within."""
-    df = df.withColumn("__m", F.monotonically_increasing_id())
+    """Numbers rows from 0 in file order, without a shuffle: counts of the partitions before, plus the place within; the rows are written first, so both agree."""
+    df = checkpointed(df).withColumn("__m", F.monotonically_increasing_id())
     counts = dict(df.select(F.shiftright("__m", 33).alias("p")).groupBy("p").count().collect())
     before, total = {}, 0
     for p in sorted(counts):
@@ -85,21 +86,48 @@ def read_graphml(
     return PropertyGraph(spark, [VertexTable(v)], edge_tables(e, config.multigraph), config)
 
 
-def write_graphml(graph: PropertyGraph, path: str) -> None:
-    """Writes a graph to one local file, streaming its rows through the driver; for graphs that a single file suits."""
+def graphml_lines(graph: PropertyGraph) -> DataFrame:
+    """(at, value): the lines of a GraphML document, whose order is that of `at`: 0 the head, 1 vertices, 2 edges, 3 the end."""
+    spark = graph.spark
     kinds = {T.LongType(): "long", T.IntegerType(): "int", T.DoubleType(): "double", T.FloatType(): "double", T.BooleanType(): "boolean"}
     v, e = graph.all_vertices(), graph.all_edges() if graph.edges else None
-    node_props = [f for f in v.schema if f.name not in ("id", "labels", "_seq")]
-    edge_props = [f for f in e.schema if f.name not in ("src", "dst", "eid", "_seq", "label")] if e is not None else []
-    data = lambda row, props, kind: "".join(f"<data key={quoteattr(f'{kind}_{f.name}')}>{escape(str(row[f.name]))}</data>" for f in props if row[f.name] is not None)
+    props = {"node": [f for f in v.schema if f.name not in ("id", "labels", "_seq")], "edge": [f for f in e.schema if f.name not in ("src", "dst", "eid", "_seq", "label")] if e is not None else []}
+    head = ['<?xml version="1.0" encoding="UTF-8"?>', '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">']
+    head += [f'<key id={quoteattr(f"{kind}_{f.name}")} for="{kind}" attr.name={quoteattr(f.name)} attr.type="{kinds.get(f.dataType, "string")}"/>' for kind, own in props.items() for f in own]
+    head += ['<key id="node_labels" for="node" attr.name="labelV" attr.type="string"/>', '<key id="edge_label" for="edge" attr.name="labelE" attr.type="string"/>', '<graph edgedefault="directed">']
+
+    def safe(c: Column) -> Column:
+        for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+            c = F.replace(c, F.lit(plain), F.lit(entity))
+        return c
+
+    def data(kind: str) -> list[Column]:
+        return [F.concat(F.lit(f"<data key={quoteattr(f'{kind}_{f.name}')}>"), safe(F.col(f"`{f.name}`").cast("string")), F.lit("</data>")) for f in props[kind]]
+
+    text = lambda c: safe(F.col(c).cast("string"))
+    lines = [
+        spark.createDataFrame([(0, i, x) for i, x in enumerate(head)] + [(3, 0, "</graph>"), (3, 1, "</graphml>")], "at int, n long, value string"),
+        v.select(F.lit(1).alias("at"), F.col("_seq").cast("long").alias("n"), F.concat_ws("", F.lit('<node id="'), text("id"), F.lit('"><data key="node_labels">'), safe(F.array_join("labels", ",")), F.lit("</data>"), *data("node"), F.lit("</node>")).alias("value")),
+    ]
+    if e is not None:
+        lines.append(e.select(F.lit(2).alias("at"), F.col("_seq").cast("long").alias("n"), F.concat_ws("", F.lit('<edge source="'), text("src"), F.lit('" target="'), text("dst"), F.lit('"><data key="edge_label">'), text("label"), F.lit("</data>"), *data("edge"), F.lit("</edge>")).alias("value")))
+    out = lines[0]
+    for x in lines[1:]:
+        out = out.union(x)
+    return out
+
+
+def write_graphml(graph: PropertyGraph, path: str, single: bool = True) -> None:
+    """Writes a graph as GraphML.
+
+    With `single`, to one file of the driver's file system, streaming the lines through the driver: for graphs that a single file suits.
+    Without, to a folder of part files anywhere Spark can write: the executors write them, in the order of their names they are
+    the same document, and `read_graphml` reads the folder.
+    """
+    lines = graphml_lines(graph).orderBy("at", "n").select("value")
+    if not single:
+        lines.write.text(path)
+        return
     with open(path, "w", encoding="utf-8") as out:
-        out.write('<?xml version="1.0" encoding="UTF-8"?>\n<graphml xmlns="http://graphml.graphdrawing.org/xmlns">\n')
-        for kind, props in (("node", node_props), ("edge", edge_props)):
-            for f in props:
-                out.write(f'<key id={quoteattr(f"{kind}_{f.name}")} for="{kind}" attr.name={quoteattr(f.name)} attr.type="{kinds.get(f.dataType, "string")}"/>\n')
-        out.write('<key id="node_labels" for="node" attr.name="labelV" attr.type="string"/>\n<key id="edge_label" for="edge" attr.name="labelE" attr.type="string"/>\n<graph edgedefault="directed">\n')
-        for r in v.orderBy("_seq").toLocalIterator():
-            out.write(f'<node id={quoteattr(str(r["id"]))}><data key="node_labels">{escape(",".join(r["labels"]))}</data>{data(r, node_props, "node")}</node>\n')
-        for r in e.orderBy("_seq").toLocalIterator() if e is not None else ():
-            out.write(f'<edge source={quoteattr(str(r["src"]))} target={quoteattr(str(r["dst"]))}><data key="edge_label">{escape(r["label"])}</data>{data(r, edge_props, "edge")}</edge>\n')
-        out.write("</graph>\n</graphml>\n")
+        for r in lines.toLocalIterator():
+            out.write(f"{r['value']}\n")

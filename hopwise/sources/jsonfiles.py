@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hopwise.graph import GraphBuilder, GraphConfig, PropertyGraph, VertexTable, edge_tables
+from hopwise.operators import checkpointed, stored
 from hopwise.sources.graphml import numbered
 
 # Type tags of the format.
@@ -76,7 +77,7 @@ def read_graphson(spark: SparkSession, path: str, config: GraphConfig | None = N
     """Adjacency GraphSON: one vertex a line, or one document with `vertices`; type tags are optional."""
     wrapped = spark.read.text(path, wholetext=True).where(F.col("value").rlike('^\\s*\\{\\s*"vertices"')).limit(1).count() > 0
     rows = spark.read.text(path, wholetext=wrapped).mapInPandas(_rows, _ROWS)
-    rows = numbered(rows, "_seq").cache()
+    rows = stored(numbered(rows, "_seq"))
     kinds: dict[tuple[bool, str], set] = {}
     for r in rows.select(F.col("dst").isNull().alias("v"), F.explode("kinds").alias("k", "t")).distinct().collect():
         kinds.setdefault((r["v"], r["k"]), set()).add(r["t"])
@@ -139,7 +140,8 @@ def read_json_tree(spark: SparkSession, path: str) -> PropertyGraph:
 def read_json_lines(spark: SparkSession, path: str, id_key: str = "id") -> tuple[PropertyGraph, DataFrame]:
     """A vertex for each line, of the type that the file name gives, and the lines that are no JSON objects."""
     table = PurePosixPath(path).stem
-    rows = spark.read.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path).cache()
+    rows = spark.read.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
+    rows = checkpointed(rows)
     bad = rows.where(F.col("_bad").isNotNull()).select("_bad") if "_bad" in rows.columns else spark.createDataFrame([], "_bad string")
     good = numbered(rows.where(F.col("_bad").isNull()).drop("_bad") if "_bad" in rows.columns else rows, "_seq")
     key = F.coalesce(F.col(id_key).cast("string"), F.col("_seq").cast("string")) if id_key in good.columns else F.col("_seq").cast("string")

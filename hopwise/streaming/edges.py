@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from hopwise.operators import shared_dir
 
 
 def fresh_edges(stream: DataFrame, time_col: str = "ts", keys: tuple[str, ...] = ("src", "dst"), late: str = "10 minutes") -> DataFrame:
@@ -20,3 +25,31 @@ def degrees(stream: DataFrame, window: str = "1 hour", time_col: str = "ts", end
 def hop(stream: DataFrame, edges: DataFrame, at: str = "dst") -> DataFrame:
     """One more hop for each arriving edge over a static edge table: a stream-static join."""
     return stream.join(edges.select(F.col("src").alias(at), F.col("dst").alias("next")), at)
+
+
+def landed(stream: DataFrame) -> DataFrame:
+    """Runs a stream whose rows do not change over what is there, into Parquet under the shared folder, and returns the rows."""
+    path = f"{shared_dir(stream.sparkSession).rstrip('/')}/hopwise-{uuid.uuid4().hex}"
+    query = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
+
+
+def latest(stream: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """Runs a stream over what is there and returns the last state of each key.
+
+    Every batch writes the rows it changed to a folder of its own under the shared one, so a batch that is repeated replaces
+    itself; state older than the watermark is dropped, and no row passes through the driver.
+    """
+    spark = stream.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/hopwise-{uuid.uuid4().hex}"
+
+    def put(rows: DataFrame, batch: int) -> None:
+        rows.withColumn("__batch", F.lit(batch)).write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")
+
+    put(spark.createDataFrame([], stream.schema), -1)
+    query = stream.writeStream.foreachBatch(put).outputMode("update").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    schema = T.StructType([*stream.schema.fields, T.StructField("__batch", T.IntegerType())])
+    rows = spark.read.schema(schema).parquet(f"{path}/rows")
+    return rows.groupBy(*keys).agg(*[F.max_by(v, "__batch").alias(v) for v in values])

@@ -176,3 +176,26 @@ def test_building(g):
     t = g.V().hasLabel("Person").outE("created").inV().elementMap()
     assert str(t) == "V().has_label('Person').hopE('out', 'created').end('dst').element_map()" and t.number_of_steps() == 5
     assert sorted(g.V().hasLabel("Software").toList(by="name").run()) == ["lop", "ripple"]
+
+
+def test_or_of_unlike_branches(g):
+    """Branches that read bindings, that only hop, and that look at the row alone, in every pairing."""
+    start = g.V().as_("a").out("created").as_("b")
+    by_binding, by_hop, by_row = select("a").out("knows"), out("created"), has_name("ripple")
+    pairs = lambda cond: sorted(start.or_(*cond).select("a", "b").by("name").to_list().run())
+    marko = [["marko", "lop"]]
+    assert pairs((by_binding, by_hop)) == pairs((by_hop, by_binding)) == marko
+    assert pairs((by_binding, select("a").out("created").has_name("ripple"))) == [["josh", "lop"], ["josh", "ripple"], ["marko", "lop"]]
+    assert pairs((by_binding, by_row)) == [["josh", "ripple"], ["marko", "lop"]]
+    assert pairs((by_hop, by_row)) == [["josh", "ripple"]]
+
+
+def test_skip_over_partitions(spark):
+    b = GraphBuilder()
+    for i in range(200):
+        b.add_labeled_node("N", f"n{i}", {"k": (i * 37) % 50})
+    g = b.build(spark).traversal()
+    want = sorted(range(200), key=lambda i: ((i * 37) % 50, str(i)))  # equal keys: by id
+    for a in (0, 1, 60, 199, 200, 500):
+        assert g.V().order(by="k").skip(a).to_list(by="name").run() == [f"n{i}" for i in want[a:]]
+    assert sorted(g.V().skip(190).to_list(by="name").run()) == sorted(f"n{i}" for i in range(190, 200))
