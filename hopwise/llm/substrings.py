@@ -34,7 +34,7 @@ from hopwise.llm import hashing as H
 from hopwise.llm.shared import checkpointed, discard, small_batches, stored, with_parts
 
 WINDOW, K, RUN = 50, 20, 15
-BROADCAST_IDS, BROADCAST_HEADS = 500_000, 1_000_000
+BROADCAST_IDS, BROADCAST_HEADS = 250_000, 250_000
 
 
 def _sliding(x: np.ndarray, n: int, least: bool) -> np.ndarray:
@@ -219,7 +219,7 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     spans = of_documents(texts, marked).join(marked, ["doc_id", "part"]).select("doc_id", "text", "marks", "part")
     spans = stored(spans.mapInArrow(_spans, "doc_id long, part long, h1 long, h2 long, begin int, length int"))
     discard(found, ends, marked)
-    least = spans.groupBy("h1", "h2", "length").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("h1", "h2", "length", "least")
+    least = checkpointed(spans.groupBy("h1", "h2", "length").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("h1", "h2", "length", "least"))
     out = checkpointed(spans.join(least, ["h1", "h2", "length"]).where("least < doc_id").select("doc_id", "part", "begin", "length"))
     discard(spans)
     return out
