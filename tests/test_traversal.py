@@ -197,5 +197,5 @@ def test_skip_over_partitions(spark):
     g = b.build(spark).traversal()
     want = sorted(range(200), key=lambda i: ((i * 37) % 50, str(i)))  # equal keys: by id
     for a in (0, 1, 60, 199, 200, 500):
-        assert g.V().order(by="k").skip(a).to_list(by="name").run() == [f"n{i}" for i in want[a:]]
+        assert g.V().order(by="k").skip(a).to_list().run() == [str(i) for i in want[a:]]
     assert sorted(g.V().skip(190).to_list(by="name").run()) == sorted(f"n{i}" for i in range(190, 200))
