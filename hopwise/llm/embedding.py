@@ -82,8 +82,8 @@ def joined(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             label = up
 
 
-def tile_links(ids: np.ndarray, block: np.ndarray, weight: np.ndarray, q: np.ndarray, scale: np.ndarray, error: np.ndarray, threshold: float, x: np.ndarray | None = None):
-    """Links between the rows of block 0 and those of block 1, or within block 0 if there is no other: (ids, labels, counts, ids of unsure pairs).
+def tile_links(ids: np.ndarray, block: np.ndarray, weight: np.ndarray, q: np.ndarray, scale: np.ndarray, error: np.ndarray, threshold: float, same: bool, x: np.ndarray | None = None):
+    """Links between the rows of two blocks, or within the one block if `same`: (ids, labels, counts, ids of unsure pairs).
 
     Without x the sure links, with unit vectors x those of the unsure pairs.
     """
@@ -92,7 +92,8 @@ def tile_links(ids: np.ndarray, block: np.ndarray, weight: np.ndarray, q: np.nda
     x = x if x is None else x[order]
     q = q.astype(np.float32 if q.shape[1] <= 1040 else np.float64)
     m = int((block == block[0]).sum())
-    same = m == len(ids)
+    if not same and m == len(ids):  # the other block has no rows here
+        return ids[:0], ids[:0], np.zeros(0, np.int64), ids[:0]
     right = np.arange(len(ids)) if same else np.arange(m, len(ids))
     rank = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
     by_rank = np.argsort(rank)
@@ -140,7 +141,8 @@ def _tiles(threshold: float, kind=None):
 
         q = np.frombuffer(b"".join(table.column("code").to_pylist()), np.int8).reshape(table.num_rows, -1)
         x = None if kind is None else units(np.frombuffer(b"".join(table.column("v").to_pylist()), kind).reshape(table.num_rows, -1).astype(np.float64))
-        a, b, n, unsure = tile_links(*(table.column(c).to_numpy() for c in ("vec_id", "block", "weight")), q, *(table.column(c).to_numpy() for c in ("scale", "error")), threshold, x)
+        same = table.column("i")[0] == table.column("j")[0]
+        a, b, n, unsure = tile_links(*(table.column(c).to_numpy() for c in ("vec_id", "block", "weight")), q, *(table.column(c).to_numpy() for c in ("scale", "error")), threshold, same, x)
         key = [pa.array(np.full(len(a) + len(unsure), table.column(c)[0].as_py(), np.int32)) for c in ("i", "j", "width")]
         none = pa.nulls(len(unsure), pa.int64())
         return pa.table([pa.array(np.concatenate((a, unsure))), *(pa.concat_arrays([pa.array(c), none]) for c in (b, n)), *key], names=["a", "b", "n", "i", "j", "width"])

@@ -181,6 +181,17 @@ def test_embedding_range_and_dimension(spark):
     assert links and got == {i: (sum(i in x for x in links), top[i]) for i in unit}
 
 
+def test_embedding_empty_blocks(spark):
+    """A few rows of each dimension, so most tiles have rows of one block only, or none."""
+    rng = np.random.default_rng(11)
+    rows = [(i, [float(v) for v in np.array(([1.0, 2.0, 3.0], [3.0, -1.0, 0.5, 2.0], [0.3, 1.0])[i % 3]) + rng.normal(size=(3, 4, 2)[i % 3]) * 0.25]) for i in range(24)]
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v in rows}
+    links = [(a, b) for a in unit for b in range(a) if len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= 0.95]
+    top = classes(unit, links)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert links and got == {i: (sum(i in x for x in links), top[i]) for i in unit}
+
+
 def test_embedding_bounds():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(200, 48))
