@@ -1,16 +1,19 @@
 """Near-duplicate vectors by tiled products of Int8 codes with an error bound for every vector.
 
 Each vector is divided by its largest component, then by its length (so neither very small nor very large ones are lost), and the
-unit vector x is coded once as s*q with q in -127..127 and the measured error e = |x - s*q|. Vectors fall into blocks by
-a hash of the id; every pair of blocks is a tile, one group of at most two blocks of rows. For two vectors `x.y` differs from
+unit vector x is coded once as s*q with q in -127..127 and the measured error e = |x - s*q|. Vectors fall into cells by the
+nearest of at most CELLS pivots (the vectors whose ids have the smallest hashes), and cells into blocks by a hash of the id, so a
+hot cell has many blocks. Two blocks make a tile, one group of at most two blocks of rows. A vector goes to the blocks of a cell only
+if its angle to the cell's pivot is at most the largest angle of a vector of the cell plus that of the threshold: beyond it, by the
+triangle inequality, there is no link. So no link is lost and tiles of distant cells are never made. For two vectors `x.y` differs from
 `s_x*s_y*(q_x.q_y)` by at most `e_x + (1 + e_x)*e_y`. Products of codes are exact in float32 (dimension up
 to 1040, float64 beyond). A pair whose upper bound stays below the threshold is dropped and one whose lower bound reaches it
 is a link. Tiles get codes only. What lies between is left to a second pass, in which a tile gets the full vectors of the rows
 that have such a pair in it, and computes those pairs in double precision.
 
 A tile returns a row for each vector that has links: how many, and the smallest id of its component in the tile. So large
-groups of near copies cost no list of pairs. Equal vectors are one class with a weight, for the same reason. All pairs of
-blocks are computed, so work grows with the square of the rows: the exact answer over all rows, not an index.
+groups of near copies cost no list of pairs. Equal vectors are one class with a weight, for the same reason. Where vectors are not
+clustered no cell can be left out, and work grows with the square of the rows: the exact answer over all rows, not an index.
 
 Vectors that are null, empty or zero, or hold nulls or values that are not finite, link with nothing; vectors of different
 length neither. A null id has no links and a null component. Rows that repeat an id are vectors of their own with one name.
@@ -25,8 +28,9 @@ from pyspark.sql import types as T
 
 from hopwise.llm.shared import checkpointed, connected_components, discard, stored
 
-BLOCK_BYTES, BLOCK_ROWS, LEAST_BLOCKS = 1 << 24, 16384, 8
-SLACK = 1e-9
+BLOCK_BYTES, BLOCK_ROWS, LEAST_BLOCKS, CELLS = 1 << 24, 16384, 8, 256
+SLACK, ANGLE_SLACK = 1e-9, 1e-6
+PLACED = "vec_id long, v binary, weight long, code binary, scale double, error double, width int, block int, others array<int>"
 
 
 def units(x: np.ndarray) -> np.ndarray:
@@ -69,6 +73,58 @@ def _plain(single: bool):
     return run
 
 
+def _angled(batch, pivots: dict[int, np.ndarray], kind):
+    """(width, rows, angles to the pivots of that width) of a batch of vectors; without pivots one angle, 0."""
+    import pyarrow as pa
+
+    values = batch.column("v")
+    width = batch.column("width").to_numpy()
+    for w in np.unique(width).tolist():
+        at = np.flatnonzero(width == w)
+        for r in range(0, len(at), 256):
+            rows = pa.array(at[r : r + 256])
+            if w not in pivots:
+                yield w, rows, np.zeros((len(rows), 1))
+                continue
+            x = units(np.frombuffer(b"".join(values.take(rows).to_pylist()), kind).reshape(len(rows), -1).astype(np.float64))
+            yield w, rows, np.arccos(np.clip(x @ pivots[w].T, -1, 1))
+
+
+def _cells(pivots, kind):
+    """(width, cell, n, angle): per batch how many vectors fall into each cell, and the largest angle to its pivot."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for w, _, angles in _angled(batch, pivots, kind):
+                cell, near = angles.argmin(axis=1), angles.min(axis=1)
+                for c in np.unique(cell):
+                    yield pa.RecordBatch.from_arrays([pa.array([w], pa.int32()), pa.array([c], pa.int32()), pa.array([(cell == c).sum()], pa.int64()), pa.array([near[cell == c].max()])], names=["width", "cell", "n", "angle"])
+
+    return run
+
+
+def _placed(pivots, cells: dict[int, tuple[np.ndarray, np.ndarray]], blocks: int, reach: float, kind):
+    """Vectors with their block and the blocks that may hold a partner; cells: number of blocks and largest angle of each cell, by width."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for w, rows, angles in _angled(batch, pivots, kind):
+                many, far = cells.get(w, (np.array([blocks]), np.zeros(1)))
+                cell, part = angles.argmin(axis=1), batch.take(rows)
+                block = (np.cumsum(many) - many)[cell] + part.column("hash").to_numpy() % many[cell]
+                row, others = np.nonzero(np.repeat(angles <= far + reach, many, axis=1))
+                offsets = np.searchsorted(row, np.arange(len(rows) + 1))
+                kept = [part.column(c) for c in ("vec_id", "v", "weight", "code", "scale", "error", "width")]
+                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(others.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(block.astype(np.int32)), lists], names=PLACED.replace(",", "").split()[::2])
+
+    return run
+
+
 def joined(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Union of the pairs (i, j) into a forest whose labels are roots; smaller roots win."""
     while True:
@@ -161,18 +217,30 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     total = classes.agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("code")).alias("width")).first()
     per_block = max(256, min(BLOCK_ROWS, BLOCK_BYTES // max(1, total["width"] or 1)))
     blocks = max(LEAST_BLOCKS, -(-total["n"] // per_block))
-    block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
-    tiles = classes.select("vec_id", "weight", "code", "scale", "error", F.octet_length("code").alias("width"), block.alias("block")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    number = np.float32 if single else np.float64
+    known = classes.withColumns({"width": F.octet_length("code"), "hash": F.xxhash64("vec_id").bitwiseAND(F.lit(0x7FFFFFFF))})
+    pivots: dict[int, list] = {}
+    for r in known.select("v", "width", F.xxhash64("vec_id").alias("at"), "vec_id").orderBy("at", "vec_id").limit(min(CELLS, blocks)).collect():
+        pivots.setdefault(r["width"], []).append(np.frombuffer(r["v"], number).astype(np.float64))
+    pivots = {w: units(np.stack(x)) for w, x in pivots.items()}
+    sizes = known.select("v", "width").mapInArrow(_cells(pivots, number), "width int, cell int, n long, angle double").where(F.col("width").isin(list(pivots)))
+    cells = {w: (np.zeros(len(x), np.int64), np.full(len(x), -np.inf)) for w, x in pivots.items()}
+    for r in sizes.groupBy("width", "cell").agg(F.sum("n").alias("n"), F.max("angle").alias("angle")).collect():
+        many, far = cells[r["width"]]
+        many[r["cell"]], far[r["cell"]] = -(-r["n"] // per_block), r["angle"]
+    reach = float(np.arccos(min(1.0, threshold))) + ANGLE_SLACK
+    placed = stored(known.mapInArrow(_placed(pivots, cells, blocks, reach, number), PLACED))
+    tiles = placed.select("vec_id", "weight", "code", "scale", "error", "block", "width", F.explode("others").alias("other"))
     tiles = tiles.select("vec_id", "weight", "code", "scale", "error", "block", "width", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     made = "a long, b long, n long, i int, j int, width int"
     found = stored(tiles.groupBy("width", "i", "j").applyInArrow(_tiles(threshold), made))
-    unsure = found.where("n is null").select(F.col("a").alias("vec_id"), "i", "j", "width").join(classes, "vec_id").withColumn("block", block)
-    sure = checkpointed(unsure.groupBy("width", "i", "j").applyInArrow(_tiles(threshold, np.float32 if single else np.float64), made))
+    unsure = found.where("n is null").select(F.col("a").alias("vec_id"), "i", "j", "width").join(placed.drop("width", "others"), "vec_id")
+    sure = checkpointed(unsure.groupBy("width", "i", "j").applyInArrow(_tiles(threshold, number), made))
     links = found.where("n is not null").select("a", "b", "n").union(sure.select("a", "b", "n"))
 
     counts = checkpointed(links.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n")))
     components = connected_components(links.select("a", "b"))
-    discard(found)
+    discard(found, placed)
     copies = checkpointed(classes.where("weight > 1").select("v", F.col("vec_id").alias("class"), "weight"))
     discard(classes)
     out = rows.join(copies, "v", "left").withColumn("class", F.when(F.col("vec_id").isNotNull(), F.coalesce("class", "vec_id")))

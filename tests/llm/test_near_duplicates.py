@@ -192,6 +192,33 @@ def test_embedding_empty_blocks(spark):
     assert links and got == {i: (sum(i in x for x in links), top[i]) for i in unit}
 
 
+def test_embedding_cells(spark, monkeypatch):
+    """Clustered vectors over many cells, one of them hot: the same links as by brute force, and fewer tiles than pairs of blocks."""
+    monkeypatch.setattr(embedding, "BLOCK_BYTES", 1)
+    monkeypatch.setattr(embedding, "LEAST_BLOCKS", 24)
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(20, 12))
+    rows = [(i, [float(x) for x in base[0 if i % 3 == 0 else i % 20] + rng.normal(size=12) * 0.26]) for i in range(900)]
+    unit = np.array([v for _, v in rows])
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    near = unit @ unit.T >= 0.95
+    np.fill_diagonal(near, False)
+    top = classes(range(900), [(int(a), int(b)) for a, b in zip(*np.nonzero(near), strict=True)])
+    sent = []
+    stored = embedding.stored
+
+    def watched(frame):
+        out = stored(frame)
+        if "others" in out.columns:
+            sent.append(out.selectExpr("avg(size(others))").first()[0])
+        return out
+
+    monkeypatch.setattr(embedding, "stored", watched)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert near.any() and got == {i: (int(near[i].sum()), top[i]) for i in range(900)}
+    assert sent and sent[0] < 20
+
+
 def test_embedding_bounds():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(200, 48))
