@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopwise.llm import decontamination, embedding, html_text, minhash, mixing, secrets, sharding, substrings, toxicity, urls
+from hopwise.llm import conversations, decontamination, embedding, html_text, minhash, mixing, packing, secrets, sharding, substrings, toxicity, urls, vector_codes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.7).cast("int").alias("predicted"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.coded(table(spark, sf_dir, "embeddings"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.damaged_and_repaired(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_embedding": op1_embedding,
     "op2_mixing": op2_mixing,
@@ -67,6 +81,9 @@ QUERIES = {
     "op8_urls": op8_urls,
     "op9_substrings": op9_substrings,
     "op10_toxicity": op10_toxicity,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_packing": op12_packing,
+    "op13_conversations": op13_conversations,
 }
 
 COMPONENTS = """
@@ -105,4 +122,4 @@ k as (select doc_id, w, coalesce(len(js), 0) as n_removed, js from w left join r
 select doc_id, len(w) as n_words, n_removed, sha256(case when n_removed = 0 then array_to_string(w, ' ') else array_to_string(list_filter(w, lambda x, i: not list_contains(js, i)), ' ') end) as kept_sha256 from k
 """
 
-ORACLES: dict[str, str] = {"op1_embedding": ORACLE_1, "op5_minhash": ORACLE_5, "op8_urls": urls.ORACLE, "op9_substrings": ORACLE_9}
+ORACLES: dict[str, str] = {"op1_embedding": ORACLE_1, "op5_minhash": ORACLE_5, "op8_urls": urls.ORACLE, "op9_substrings": ORACLE_9, "op11_vector_codes": vector_codes.ORACLE, "op13_conversations": conversations.ORACLE}
