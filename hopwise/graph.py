@@ -8,7 +8,9 @@ keep one edge for each ordered pair of vertices unless `multigraph` is set: the
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,23 +35,33 @@ class GraphConfig:
 
 @dataclass(frozen=True)
 class VertexTable:
-    df: DataFrame
+    rows: DataFrame | Callable[[], DataFrame]  # a function is called when a plan first needs the table
     label: str | None = None
 
-    @property
+    @cached_property
+    def df(self) -> DataFrame:
+        return self.rows() if callable(self.rows) else self.rows
+
+    @cached_property
     def properties(self) -> dict[str, T.DataType]:
         return {f.name: f.dataType for f in self.df.schema if f.name not in ("id", "labels", "_seq")}
 
 
 @dataclass(frozen=True)
 class EdgeTable:
-    df: DataFrame
+    rows: DataFrame | Callable[[], DataFrame]
     label: str
     src_label: str | None = None
     dst_label: str | None = None
-    carries: str | None = None  # the end, `src` or `dst`, whose properties the rows hold too, under CARRIED names
+    carries: str | None = None  # the end, `src` or `dst`, whose own table this is: its properties are in the rows, under CARRIED names, and it has one edge
+    halves: tuple[DataFrame, DataFrame] | None = None  # (id, key) of the sources and of the targets, where all of equal keys are linked
+    hubs: tuple[tuple[str, dict], ...] = ()  # for an end, the vertices with very many edges and into how many parts these are split
 
-    @property
+    @cached_property
+    def df(self) -> DataFrame:
+        return self.rows() if callable(self.rows) else self.rows
+
+    @cached_property
     def properties(self) -> dict[str, T.DataType]:
         return {f.name: f.dataType for f in self.df.schema if f.name not in EDGE_FIELDS and not f.name.startswith(CARRIED)}
 
@@ -105,7 +117,7 @@ class PropertyGraph:
         if at is None:
             self.vertices.append(VertexTable(row, label))
         else:
-            self.vertices[at] = replace(self.vertices[at], df=aligned(self.vertices[at].df, row))
+            self.vertices[at] = replace(self.vertices[at], rows=aligned(self.vertices[at].df, row))
         return key
 
     def add_edge(self, label: str, src, dst, **properties) -> None:
@@ -124,7 +136,7 @@ class PropertyGraph:
         if at is None:
             self.edges.append(EdgeTable(row, label))
         else:
-            self.edges[at] = replace(self.edges[at], df=aligned(self.edges[at].df, row))
+            self.edges[at] = replace(self.edges[at], rows=aligned(self.edges[at].df, row))
 
     def edge_rows(self) -> DataFrame:
         if self.edges:

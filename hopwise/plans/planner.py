@@ -2,10 +2,13 @@
 
 Rows carry ids only; properties are joined where a step reads them, and only those that some step of the whole traversal
 reads. Hops are equi-joins with the edge tables that the labels allow. A sub-traversal that looks only at the current row
-becomes a column; any other runs once for all rows, keyed by the current vertex (or, if it reads bindings or paths, by a row number),
+becomes a column; any other runs once for all rows, keyed by the current vertex (or, if it reads bindings or paths, by the columns that it can read),
 and meets its parent in a semi, anti or inner join.
 
-A plan is lazy but for what must be fixed or counted while it is made: row numbers, rounds of `repeat` with `until` or `emit`,
+Where all steps up to a reducer or `dedup` treat rows on one vertex alike, such rows go on as one row with their number (BULK), so no level of a walk has more rows
+than vertices. `repeat(...).emit().dedup()` goes on from new vertices only.
+
+A plan is lazy but for what must be fixed or counted while it is made: rounds of `repeat` with `until` or `emit`,
 `skip`, `max_` and `min_` over hops, changing steps, and the test that given ids exist.
 """
 
@@ -28,6 +31,11 @@ from hopwise.plans.traversal import TERMINALS, Cardinality, Scope, Step, Travers
 ROUNDS = 1000
 SCALAR_BY = {"values", "is", "id", "name", "label"}
 FILTERS = {"has", "has_not", "has_key", "has_value", "has_id", "has_label", "contains", "within", "is"}
+#: Steps that treat rows on one vertex alike, so such rows can go on as one with their number.
+ALIKE = FILTERS | {"filter", "not", "and", "or", "hop", "hopE", "end", "values", "id", "identity", "as"}
+#: Steps of a loop's body whose results depend on nothing but the vertex.
+PLAIN_BODY = FILTERS - {"is", "has_key", "has_value"} | {"filter", "not", "and", "or", "hop", "hopE", "end", "identity", "as"}
+BULK = "_bulk"
 
 
 class Missing(Exception):
@@ -61,6 +69,10 @@ class Planner:
     def __init__(self, graph, steps: tuple[Step, ...]):
         self.graph, self.steps = graph, steps
         self.count = itertools.count()
+        self.kinds: dict[str, T.DataType] = {}  # of columns made here, so that plans need not be asked for them
+        self.loose: set[str] = set()  # keys of sub-traversals that can be null
+        self.merging = False  # whether the hop that is planned may put rows on one vertex together
+        self.rounds: list[int] = []  # new vertices of each round of a search
         every = list(_walk(steps))
         keys, self.all_keys = {"name"}, False
         self.path_keys: set[str] = set()
@@ -92,6 +104,13 @@ class Planner:
     def fresh(self, name: str) -> str:
         return f"c{next(self.count)}_{name}"
 
+    def type_of(self, st: State, column: str) -> T.DataType:
+        return self.kinds.get(column) or st.df.schema[column].dataType
+
+    def kept(self, st: State) -> DataFrame:
+        """The rows with what later steps can read, before they are written."""
+        return st.df.select(*dict.fromkeys([*st.carried(), *st.cur.columns()]))
+
     # ---- scans and properties
 
     def vertex_tables(self, labels):
@@ -129,26 +148,37 @@ class Planner:
         known = [v for v in self.vertex_tables((label,)) if v.label == label]
         return [CARRIED + k for k in self.wanted(known[0].properties) if CARRIED + k in tables[0].df.columns] if len(known) == 1 else []
 
+    def vertex_scan(self, labels) -> tuple[DataFrame, dict[str, str]]:
+        """All vertices of these labels under new names, and the name of each property."""
+        tables = self.vertex_tables(labels)
+        if len(tables) == 1:
+            df, schema = tables[0].df, tables[0].df.schema
+            columns = ["id", "labels", "_seq", *self.wanted(tables[0].properties)]
+        else:
+            df = self.vertex_frame(labels)
+            schema, columns = df.schema, df.schema.names
+        names = {c: self.fresh(c) for c in columns}
+        self.kinds |= {names[f.name]: f.dataType for f in schema if f.name in names}
+        return df.selectExpr(*[f"`{c}` as `{n}`" for c, n in names.items()]), names
+
     def begun(self, st: State) -> State:
         """The state with its scan made."""
         if st.df is not None:
             return st
         if st.cur.kind == "vertex":
-            df = self.vertex_frame(st.cur.labels)
-            names = {c: self.fresh(c) for c in df.columns if c != "_seq"}
-            extra = [F.array(F.col("_seq").cast("long")).alias("_ord")] if self.needs_order else []
-            df = df.select(*[F.col(c).alias(n) for c, n in names.items()], *extra)
+            df, names = self.vertex_scan(st.cur.labels)
         else:
             df = self.edge_frame(self.edge_tables(st.cur.labels))
-            names = {c: self.fresh(c) for c in df.columns if c not in ("_seq", "sl", "dl")}
-            extra = [F.array(F.col("_seq").cast("long")).alias("_ord")] if self.needs_order else []
-            df = df.select(*[F.col(c).alias(n) for c, n in names.items()], *extra)
-        out = replace(st, df=df, cur=replace(st.cur, fields=names, loaded=True), extras=(("_ord",) if self.needs_order else ()))
+            names = {f.name: self.fresh(f.name) for f in df.schema if f.name not in ("sl", "dl")}
+            self.kinds |= {names[f.name]: f.dataType for f in df.schema if f.name in names}
+            df = df.selectExpr(*[f"`{c}` as `{n}`" for c, n in names.items()])
+        seq = names.pop("_seq")
+        if self.needs_order:
+            df = df.withColumn("_ord", F.array(F.col(seq).cast("long")))
+        out = replace(st, df=df, cur=replace(st.cur, fields=names, loaded=True), extras=(("_ord",) if self.needs_order else ()), distinct=st.cur.kind == "vertex")
         if st.root:
-            key = out.df
-            out = replace(out, df=key.withColumn(st.root[0], F.col(names["id"])))
-            if len(st.root) > 1:
-                out = replace(out, df=out.df.withColumn(st.root[1], F.element_at(names["labels"], 1)))
+            roots = [F.col(names["id"]), F.element_at(names["labels"], 1)]
+            out = replace(out, df=df.withColumns(dict(zip(st.root, roots, strict=False))))
         return self.stepped(out)
 
     def stepped(self, st: State) -> State:
@@ -188,13 +218,14 @@ class Planner:
 
     def joined(self, st: State, elem: Elem) -> tuple[State, Elem]:
         """The state with the properties of a vertex at hand."""
-        props = self.vertex_frame(elem.labels)
-        names = {c: self.fresh(c) for c in props.columns if c != "_seq"}
-        props = props.select(*[F.col(c).alias(n) for c, n in names.items()])
+        props, names = self.vertex_scan(elem.labels)
+        names.pop("_seq")
         on = F.col(elem.fields["id"]) == F.col(names["id"])
         if "labels" in elem.fields and len(self.vertex_tables(elem.labels)) > 1:
             on = on & (F.element_at(elem.fields["labels"], 1) == F.element_at(names["labels"], 1))
-        return replace(st, df=st.df.join(props, on).drop(names.pop("id"))), replace(elem, fields=elem.fields | names, loaded=True)
+        df = st.df.join(props, on)
+        del names["id"]
+        return replace(st, df=df), replace(elem, fields=elem.fields | names, loaded=True)
 
     def ready(self, st: State, key: str, bind: str | None = None) -> State:
         """The state with this property of the current (or bound) element among its fields, if any table has it."""
@@ -221,7 +252,7 @@ class Planner:
             if elem.kind == "vertex" and not elem.loaded and self.possible(elem, first):
                 raise Missing(next((b for b, e in st.binds.items() if e is elem), None))
             return None
-        c, kind = F.col(name), st.type_of(name)
+        c, kind = F.col(name), self.type_of(st, name)
         for part in rest:
             if isinstance(kind, T.MapType):
                 c, kind = F.try_element_at(c, F.lit(part)), kind.valueType
@@ -258,17 +289,17 @@ class Planner:
         if s.op == "has_id":
             if elem.kind == "edge":
                 return _any([(F.col(elem.fields["src"]) == x[0]) & (F.col(elem.fields["dst"]) == x[1]) for x in a])
-            c, kind = F.col(elem.fields["id"]), st.type_of(elem.fields["id"])
+            c, kind = F.col(elem.fields["id"]), self.type_of(st, elem.fields["id"])
             return a[0].column(c, kind) if len(a) == 1 and isinstance(a[0], P) else as_predicate(a[0]).column(c, kind) if len(a) == 1 and callable(a[0]) else _among(c, kind, list(a))
         if s.op in ("has_key", "has_value"):
             if elem.kind != "property":
                 raise QueryError(f"{s.op} needs a property")
             name = elem.fields["key" if s.op == "has_key" else "val"]
-            return _among(F.col(name), st.type_of(name), list(a))
+            return _among(F.col(name), self.type_of(st, name), list(a))
         if s.op == "is":
             if "val" not in elem.fields:
                 raise QueryError("is_ needs a value")
-            c, kind = F.col(elem.fields["val"]), st.type_of(elem.fields["val"])
+            c, kind = F.col(elem.fields["val"]), self.type_of(st, elem.fields["val"])
             return as_predicate(a[0]).column(c, kind)
         raise NotPure
 
@@ -333,43 +364,86 @@ class Planner:
                 root.append(self.fresh("rootl"))
                 st = replace(st, df=st.df.withColumn(label := self.fresh("l"), F.element_at(st.cur.fields["labels"], 1)))
                 left.append(label)
-            every = self.vertex_frame(st.cur.labels).select(F.col("id").alias(root[0]), *([F.element_at("labels", 1).alias(root[1])] if len(root) > 1 else []))
-            start = State(None, Elem("vertex", labels=st.cur.labels), root=tuple(root), roots=every)
-            return st, self.ran(start, steps), list(zip(left, root, strict=True))
+            labels = st.cur.labels
+            every = lambda: self.vertex_frame(labels).select(F.col("id").alias(root[0]), *([F.element_at("labels", 1).alias(root[1])] if len(root) > 1 else []))
+            start = State(None, Elem("vertex", labels=labels), root=tuple(root), roots=every)
+            return st, self.ran(start, steps, True), list(zip(left, root, strict=True))
+        if not (keep and self.needs_path) and (found := self.keyed(st, steps)):
+            start, on = found
+            return st, self.ran(start, steps, True), on
         st, start, rid = self.pinned(st)
         return st, self.ran(start, steps), [(rid, rid)]
 
+    def keyed(self, st: State, steps) -> tuple[State, list[tuple[str, str]]] | None:
+        """The start of a sub-traversal that reads bindings or paths, keyed by all columns it can read, each combination of values once.
+
+        None if some of them cannot be compared. Nothing is written and no row is numbered: Catalyst reads the rows twice, once for their keys.
+        """
+        names = {n for s in _walk(steps) if s.op == "select" for n in s.args if n in st.binds}
+        paths = [c for c in st.extras if c == "_path" or c.startswith("_pb_")]
+        columns = [*dict.fromkeys([*st.cur.columns(), *(c for n in names for c in st.binds[n].columns()), *paths])]
+        if any(isinstance(self.type_of(st, c), (T.MapType, T.StructType, T.VariantType)) for c in columns if c not in paths):
+            return None
+        keys = {c: self.fresh("root") for c in columns}
+        own = {c: c if c in paths else self.fresh("own") for c in columns}
+        self.loose |= {*keys.values()}
+        for c in columns:
+            self.kinds[keys[c]] = self.kinds[own[c]] = self.type_of(st, c)
+        df = st.df.select(*[F.col(c).alias(k) for c, k in keys.items()]).distinct()
+        start = df.select("*", *[F.col(keys[c]).alias(n) for c, n in own.items()])
+        if "_ord" in st.extras:
+            start = start.withColumn("_ord", F.array().cast("array<bigint>"))
+        moved = lambda e: replace(e, fields={k: own.get(c, c) for k, c in e.fields.items()}, items=tuple((n, moved(x)) for n, x in e.items))
+        extras = tuple(c for c in st.extras if c == "_ord" or c in paths)
+        state = State(start, moved(st.cur), {n: moved(st.binds[n]) for n in names}, tuple(keys.values()), lambda: df, extras=extras)
+        return state, list(keys.items())
+
+    def matching(self, pairs: list[tuple[str, str]], names: dict[str, str] | None = None) -> Column:
+        """The condition that the columns of a row are the keys of a sub-traversal's result; names: new names of keys."""
+        columns = [(F.col(a), F.col((names or {}).get(b, b)), b in self.loose) for a, b in pairs]
+        return _all([a.eqNullSafe(b) if loose else a == b for a, b, loose in columns])
+
     def pinned(self, st: State) -> tuple[State, State, str]:
         """The state with a row number, the start of sub-traversals keyed by it, and its name. The rows are written when the plan is made, which fixes the numbers."""
         rid = self.fresh("rid")
-        st = replace(st, df=checkpointed(st.df.withColumn(rid, F.monotonically_increasing_id())))
-        return st, replace(st, root=(rid,), roots=st.df.select(rid)), rid
+        st = replace(st, df=checkpointed(self.kept(st).withColumn(rid, F.monotonically_increasing_id())))
+        df = st.df
+        return st, replace(st, root=(rid,), roots=lambda: df.select(rid)), rid
 
     def existing(self, st: State, steps, negate: bool = False) -> State:
         st, cond = self.condition(st, steps)
         if cond is not None:
             return replace(st, df=st.df.where(~_sure(cond) if negate else cond))
         st, found, on = self.child(st, steps)
-        hits = self.begun(found).df.select(*[F.col(b).alias(f"k{i}_{b}") for i, (_, b) in enumerate(on)])
-        match = _all([F.col(a) == F.col(f"k{i}_{b}") for i, (a, b) in enumerate(on)])
-        return replace(st, df=st.df.join(hits, match, "left_anti" if negate else "left_semi"))
+        names = {b: f"k{i}_{b}" for i, (_, b) in enumerate(on)}
+        hits = self.begun(found).df.select(*[F.col(b).alias(n) for b, n in names.items()])
+        return replace(st, df=st.df.join(hits, self.matching(on, names), "left_anti" if negate else "left_semi"))
 
     def either(self, st: State, a, b) -> State:
         st, first = self.condition(st, a.steps)
         st, second = self.condition(st, b.steps)
         if first is not None and second is not None:
             return replace(st, df=st.df.where(first | second))
+        one = lambda t: (Step("identity"), *t.steps)
         if not (self.independent(st, a.steps) and self.independent(st, b.steps)):
-            # one of them reads bindings or paths: both are keyed by one row number
-            st, start, rid = self.pinned(st)
-            hits = [self.begun(self.ran(start, (Step("identity"), *t.steps))).df.select(F.col(rid).alias("k0")) for t in (a, b)]
-            return replace(st, df=st.df.join(hits[0].union(hits[1]), F.col(rid) == F.col("k0"), "left_semi"))
-        hits, left = [], []
-        for t in (a, b):
-            st, found, on = self.child(st, (Step("identity"), *t.steps))
-            left = [x for x, _ in on]
-            hits.append(self.begun(found).df.select(*[F.col(r).alias(f"k{i}") for i, (_, r) in enumerate(on)]))
-        return replace(st, df=st.df.join(hits[0].union(hits[1]), _all([F.col(x) == F.col(f"k{i}") for i, x in enumerate(left)]), "left_semi"))
+            # one of them reads bindings or paths: both have the same keys
+            if found := self.keyed(st, (*a.steps, *b.steps)):
+                start, on = found
+            else:
+                st, start, rid = self.pinned(st)
+                on = [(rid, rid)]
+            states = [self.ran(start, one(t), True) for t in (a, b)]
+        else:
+            states, on = [], []
+            for t in (a, b):
+                st, found, own = self.child(st, one(t))
+                states.append(found)
+                on = on or own
+                names = dict(zip([r for _, r in own], [r for _, r in on], strict=True))
+                states[-1] = replace(found, df=self.begun(found).df.withColumnsRenamed(names), root=tuple(names.values()))
+        names = {b: f"k{i}" for i, (_, b) in enumerate(on)}
+        hits = [self.begun(x).df.select(*[F.col(b).alias(n) for b, n in names.items()]) for x in states]
+        return replace(st, df=st.df.join(hits[0].union(hits[1]), self.matching(on, names), "left_semi"))
 
     def applied(self, st: State, steps) -> State:
         """`local`: the steps' results for each row, with the row's bindings."""
@@ -379,13 +453,13 @@ class Planner:
         found = self.begun(found)
         if on[0][0] == on[0][1]:
             return replace(found, root=st.root, roots=st.roots)
-        right = found.df.select(*[b for _, b in on], *found.cur.columns(), *(c for c, _ in found.sort), *(["_ord"] if "_ord" in found.extras else []))
+        right = found.df.select(*dict.fromkeys([*[b for _, b in on], *found.cur.columns(), *(c for c, _ in found.sort), *(["_ord"] if "_ord" in found.extras else [])]))
         if "_ord" in right.columns:
             right = right.withColumnRenamed("_ord", "_sub")
-        df = st.df.join(right, _all([F.col(a) == F.col(b) for a, b in on])).drop(*[b for _, b in on])
+        df = st.df.join(right, self.matching(on))
         if "_sub" in right.columns and "_ord" in st.extras:
             df = df.withColumn("_ord", F.concat("_ord", "_sub")).drop("_sub")
-        return replace(st, df=df, cur=found.cur)
+        return replace(st, df=df, cur=found.cur, distinct=False)
 
     def scalar(self, st: State, steps) -> tuple[State, str]:
         """A column with the one value the steps give for each row, null where they give none."""
@@ -404,22 +478,60 @@ class Planner:
         if on[0][0] == on[0][1]:
             df = st.df.join(each, [b for _, b in on], "left")
         else:
-            df = st.df.join(each, _all([F.col(a) == F.col(b) for a, b in on]), "left").drop(*[b for _, b in on])
+            df = st.df.join(each, self.matching(on), "left").drop(*[b for _, b in on])
         many = F.raise_error(F.lit("a sub-traversal that orders or branches gives more than one value"))
-        return replace(st, df=df.withColumn(name, F.when(F.col(n) > 1, many.cast(df.schema[name].dataType)).otherwise(F.col(name))).drop(n)), name
+        return replace(st, df=df.withColumn(name, F.when(F.col(n) > 1, many.cast(self.type_of(found, c))).otherwise(F.col(name))).drop(n)), name
 
     # ---- steps
 
-    def ran(self, st: State, steps) -> State:
-        for s in steps:
-            if s.op in TERMINALS:
-                break
+    def ran(self, st: State, steps, whole: bool = False) -> State:
+        """The state after the steps. whole: no step follows these ones, so what they do not read is not needed."""
+        steps = self.unrolled(steps) if whole else tuple(steps)
+        i = 0
+        while i < len(steps) and steps[i].op not in TERMINALS:
+            s, i = steps[i], i + 1
+            if s.op == "repeat" and i < len(steps) and steps[i].op == "dedup" and (found := self.reached(st, s, steps[i])):
+                st, i = found, i + 1
+                continue
+            self.merging = whole and s.op in ("hop", "hopE") and self.reducing(steps[i:])
+            if self.merging and st.df is not None and st.cur.kind == "vertex" and not st.distinct:
+                st = self.bulked(st)
             st = getattr(self, f"do_{s.op}")(st, s)
         return st
 
+    def unrolled(self, steps) -> tuple[Step, ...]:
+        """The steps with the bodies of plain loops in the place of the loops."""
+        out: list[Step] = []
+        for s in steps:
+            plain = s.op == "repeat" and s.kw.get("times") is not None and not s.kw.get("until") and not s.kw.get("emit")
+            out += self.unrolled(s.args[0].steps) * s.kw["times"] if plain and all(x.op in ALIKE for x in s.args[0].steps) else [s]
+        return tuple(out)
+
+    def reducing(self, steps) -> bool:
+        """Whether rows on one vertex may go on as one row with their number: all steps before the next reducer or dedup treat them alike."""
+        if self.needs_path or self.needs_order:
+            return False
+        for s in steps:
+            if s.op in ("count", "sum", "mean"):
+                return not (s.args and s.args[0] is Scope.local)
+            if s.op == "dedup":
+                return s.kw.get("by") is None
+            if s.op not in ALIKE or any(x.op == "select" for x in _walk([s])):
+                return False
+        return False
+
+    def bulked(self, st: State) -> State:
+        """One row for each vertex (and root), with the number of rows that stood on it."""
+        f = st.cur.fields
+        keys = [k for k in ("id", "labels") if k in f and (k == "id" or len(self.vertex_tables(st.cur.labels)) > 1)]
+        n = F.sum(BULK) if BULK in st.extras else F.count(F.lit(1))
+        df = st.df.groupBy(*st.root, *[f[k] for k in keys]).agg(n.alias(BULK))
+        cur = replace(st.cur, fields={k: f[k] for k in keys}, loaded=False)
+        return replace(st, df=df, cur=cur, binds={}, sort=(), extras=(BULK,), distinct=True)
+
     def moved(self, st: State, df: DataFrame, cur: Elem) -> State:
         keep = [*st.carried(), *cur.columns()]
-        return self.stepped(replace(st, df=df.select(*dict.fromkeys(keep)), cur=cur))
+        return self.stepped(replace(st, df=df.select(*dict.fromkeys(keep)), cur=cur, distinct=False))
 
     def do_V(self, st, s: Step) -> State:  # noqa: N802
         st = State(None, Elem("vertex"))
@@ -502,7 +614,64 @@ class Planner:
         return replace(st, df=st.df.where(F.size(F.array_distinct(c)) == F.size(c)))
 
     def do_hop(self, st: State, s: Step) -> State:
-        return self.do_end(self.do_hopE(st, s, ends=True), Step("end", ("far",)))
+        return self.along(st, s) or self.do_end(self.do_hopE(st, s, ends=True), Step("end", ("far",)))
+
+    def along(self, st: State, s: Step) -> State | None:
+        """A hop over one edge table in one direction: one select and one join. None if it takes more."""
+        way, label = s.args
+        if st.cur.kind != "vertex" or way == "both":
+            return None
+        near, far = ("src", "dst") if way == "out" else ("dst", "src")
+        end = lambda t, at: getattr(t, f"{at}_label")
+        labels, known = st.cur.labels, self.vertex_tables(st.cur.labels)
+        tables = [t for t in self.edge_tables(None if label is None else (label,)) if end(t, near) is None or labels is None or end(t, near) in labels]
+        if len(tables) != 1 or (end(tables[0], near) is not None and len(known) > 1):
+            return None
+        t, target = tables[0], end(tables[0], far)
+        lazy = st.df is None and not self.needs_order and not self.needs_path and all(x.label is not None for x in known) and len(st.root) < 2
+        if t.halves and self.merging and not self.needs_order:
+            return self.halved(st, t, near, far, lazy)
+        a, b, seq = self.fresh("near"), self.fresh("far"), self.fresh("seq")
+        held = {c[len(CARRIED) :]: self.fresh(c) for c in self.held([t], far)}
+        columns = [f"`{near}` as `{a}`", f"`{far}` as `{b}`", *[f"`{CARRIED}{c}` as `{n}`" for c, n in held.items()]]
+        columns += [f"`_seq` as `{seq}`"] if self.needs_order else []
+        fields = {"id": b} | held
+        if held:
+            fields["labels"] = self.fresh("labels")
+            columns.append(f"array('{target}') as `{fields['labels']}`")
+        hubs = {} if lazy else dict(t.hubs).get(near, {})
+        if hubs:
+            columns.append(f"{_salt(near, hubs)} as `{(salt := self.fresh('salt'))}`")
+        columns += [f"`{near}` as `{st.root[0]}`"] if lazy and st.root else []
+        e = t.df.selectExpr(*columns)
+        self.kinds |= {n: t.df.schema[CARRIED + c].dataType for c, n in held.items()} | {b: t.df.schema[far].dataType}
+        if lazy:
+            st, df = replace(st, distinct=True), e
+        else:
+            st = self.begun(st)
+            here, on = st.cur.fields["id"], F.col(st.cur.fields["id"]) == F.col(a)
+            df = st.df
+            if hubs:
+                df = df.selectExpr("*", f"explode({_copies(here, hubs)}) as `{(copy := self.fresh('copy'))}`")
+                on = on & (F.col(copy) == F.col(salt))
+            df = df.join(e, on)
+        if "_ord" in st.extras:
+            df = df.withColumn("_ord", F.concat("_ord", F.array(F.lit(int(way == "in")).cast("long"), F.col(seq).cast("long"))))
+        cur = Elem("vertex", fields, None if target is None else (target,), loaded=bool(held))
+        return self.stepped(replace(st, df=df, cur=cur, distinct=st.distinct and t.carries == far))
+
+    def halved(self, st: State, t, near: str, far: str, lazy: bool) -> State:
+        """A hop over edges between all vertices of equal keys: to the key, where rows are put together, and on; the pairs are never listed."""
+        halves = dict(zip(("src", "dst"), t.halves, strict=True))
+        a, key, b = self.fresh("near"), self.fresh("key"), self.fresh("far")
+        first = halves[near].selectExpr(f"`id` as `{a}`", f"`key` as `{key}`", *([f"`id` as `{st.root[0]}`"] if lazy and st.root else []))
+        st = st if lazy else self.begun(st)
+        df = first if lazy else st.df.join(first, F.col(st.cur.fields["id"]) == F.col(a))
+        n = F.sum(BULK) if BULK in st.extras else F.count(F.lit(1))
+        df = df.groupBy(*st.root, key).agg(n.alias(BULK))
+        df = df.join(halves[far].selectExpr(f"`key` as `{key}`", f"`id` as `{b}`"), key)
+        target = getattr(t, f"{far}_label")
+        return replace(st, df=df, cur=Elem("vertex", {"id": b}, None if target is None else (target,)), binds={}, sort=(), extras=(BULK,), distinct=False)
 
     def do_hopE(self, st: State, s: Step, ends: bool = False) -> State:  # noqa: N802
         if st.cur.kind != "vertex":
@@ -695,7 +864,7 @@ class Planner:
             raise QueryError("select takes one by, or one for each name")
         by = by * len(names) if len(by) == 1 else by
         if len(names) == 1 and not by:
-            st = replace(st, cur=st.binds[names[0]], extras=tuple(x for x in st.extras if x != "_path" and not x.startswith("_pb_")))
+            st = replace(st, cur=st.binds[names[0]], distinct=False, extras=tuple(x for x in st.extras if x != "_path" and not x.startswith("_pb_")))
             return self.stepped(st)
         items = []
         for i, n in enumerate(names):
@@ -732,7 +901,10 @@ class Planner:
         else:
             df = st.df.groupBy(*st.root).agg(what.alias(name))
             if default is not None:
-                df = st.roots.join(df, list(st.root), "left").withColumn(name, F.coalesce(name, default))
+                roots = st.roots()
+                on = [F.col(a).eqNullSafe(F.col(f"{a}_r")) if a in self.loose else F.col(a) == F.col(f"{a}_r") for a in st.root]
+                df = roots.join(df.withColumnsRenamed({a: f"{a}_r" for a in st.root}), _all(on), "left").withColumn(name, F.coalesce(name, default))
+        self.kinds.pop(name, None)
         extras = ()
         if self.needs_order:
             df, extras = df.withColumn("_ord", F.array(F.lit(0).cast("long"))), ("_ord",)
@@ -742,18 +914,20 @@ class Planner:
         st = self.begun(st)
         if "val" not in st.cur.fields:
             raise QueryError(f"{s.op} in the local scope needs a value")
-        c, kind = F.col(st.cur.fields["val"]), st.type_of(st.cur.fields["val"])
+        c, kind = F.col(st.cur.fields["val"]), self.type_of(st, st.cur.fields["val"])
         return self.valued(st, on_value(c, kind), drop=True)
 
     def do_count(self, st: State, s: Step) -> State:
         if s.args and s.args[0] is Scope.local:
             size = lambda c, k: (F.size(c) if isinstance(k, (T.ArrayType, T.MapType)) else F.length(c) if isinstance(k, T.StringType) else F.lit(1)).cast("long")
             return self.scoped(st, s, size)
-        return self.reduced(self.begun(st), F.count(F.lit(1)), F.lit(0).cast("long"))
+        st = self.begun(st)
+        n = F.coalesce(F.sum(BULK), F.lit(0)) if BULK in st.extras else F.count(F.lit(1))
+        return self.reduced(st, n, F.lit(0).cast("long"))
 
     def numeric(self, st: State, s: Step) -> str:
         name = st.cur.fields.get("val")
-        if name is None or not isinstance(st.type_of(name), T.NumericType):
+        if name is None or not isinstance(self.type_of(st, name), T.NumericType):
             raise QueryError(f"{s.op} needs numbers")
         return name
 
@@ -762,14 +936,16 @@ class Planner:
             return self.scoped(st, s, lambda c, k: F.aggregate(c, F.lit(0).cast(k.elementType), lambda a, x: (a + x).cast(k.elementType)) if isinstance(k, T.ArrayType) else F.lit(None).cast("double"))
         st = self.begun(st)
         c = F.col(self.numeric(st, s))
-        kind = st.type_of(st.cur.fields["val"])
+        kind = self.type_of(st, st.cur.fields["val"])
+        c = c * F.col(BULK) if BULK in st.extras else c
         return self.reduced(st, F.coalesce(F.sum(c), F.lit(0)), F.lit(0).cast("double" if isinstance(kind, (T.DoubleType, T.FloatType)) else "long"))
 
     def do_mean(self, st: State, s: Step) -> State:
         if s.args and s.args[0] is Scope.local:
             return self.scoped(st, s, lambda c, k: F.aggregate(c, F.lit(0.0), lambda a, x: a + x) / F.size(c) if isinstance(k, T.ArrayType) else F.lit(None).cast("double"))
         st = self.begun(st)
-        return self.reduced(st, F.avg(self.numeric(st, s)))
+        c = F.col(self.numeric(st, s))
+        return self.reduced(st, F.sum(c * F.col(BULK)).cast("double") / F.sum(F.when(c.isNotNull(), F.col(BULK))) if BULK in st.extras else F.avg(c))
 
     def _extreme(self, st: State, s: Step, pick, of_array) -> State:
         if s.args and s.args[0] is Scope.local:
@@ -779,11 +955,11 @@ class Planner:
             raise QueryError(f"{s.op} needs values")
         name, best = st.cur.fields["val"], self.fresh("best")
         if any(s.op in ("hop", "hopE", "repeat", "union", "local", "branch", "filter", "not", "and", "or") for s in self.steps):
-            st = replace(st, df=stored(st.df))  # what joins made the rows run once; a plain scan is cheaper to read twice
+            st = replace(st, df=stored(self.kept(st)))  # what joins made the rows run once; a plain scan is cheaper to read twice
         top = st.df.groupBy(*st.root).agg(pick(name).alias(best))
         keys = [f"{best}{i}" for i in range(len(st.root))]
         top = top.toDF(*keys, best)
-        on = _all([F.col(a) == F.col(b) for a, b in zip(st.root, keys, strict=True)] + [F.col(name) == F.col(best)])
+        on = _all([self.matching([(b, a)], {a: a}) for a, b in zip(st.root, keys, strict=True)] + [F.col(name) == F.col(best)])
         return replace(st, df=st.df.join(top if st.root else F.broadcast(top), on).drop(*keys, best))
 
     def do_max(self, st: State, s: Step) -> State:
@@ -803,7 +979,7 @@ class Planner:
         keys = by + ([F.col("_ord")] if "_ord" in st.extras else [])
         pair = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)], F.col(name).alias("v"))
         folded = F.transform(F.sort_array(F.collect_list(pair)), lambda x: x["v"])
-        out = self.reduced(st, folded, F.array().cast(T.ArrayType(st.type_of(name))), "list")
+        out = self.reduced(st, folded, F.array().cast(T.ArrayType(self.type_of(st, name))), "list")
         if func is None:
             return out
         kind = seed if seed is not None else 0
@@ -833,7 +1009,7 @@ class Planner:
             st, name = self.scalar(st, by.steps if isinstance(by, Traversal) else (Step("values", (by,)),))
             if isinstance(by, Traversal):
                 absent = F.raise_error(F.lit("a sub-traversal that orders gives no value"))
-                st = replace(st, df=st.df.withColumn(name, F.coalesce(F.col(name), absent.cast(st.type_of(name)))))
+                st = replace(st, df=st.df.withColumn(name, F.coalesce(F.col(name), absent.cast(self.type_of(st, name)))))
             else:
                 st = replace(st, df=st.df.where(F.col(name).isNotNull()))
         return replace(st, sort=((name, asc),))
@@ -903,7 +1079,7 @@ class Planner:
             order = self.ordering(st)
             df = st.df.withColumn(n, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(n) == 1).drop(n)
             return replace(st, df=df)
-        return replace(st, df=st.df.dropDuplicates(keys))
+        return replace(st, df=st.df.dropDuplicates(keys), extras=tuple(x for x in st.extras if x != BULK), distinct=st.cur.kind == "vertex" and by is None)
 
     # control flow
 
@@ -930,7 +1106,7 @@ class Planner:
             own = []
             for k, n in names.items():
                 c = F.col(s.cur.fields[k])
-                types = {x.type_of(x.cur.fields[k]) for x in states}
+                types = {self.type_of(x, x.cur.fields[k]) for x in states}
                 if len(types) > 1:
                     c = c.cast("double" if all(isinstance(x, T.NumericType) for x in types) else "string")
                 own.append(c.alias(n))
@@ -943,7 +1119,7 @@ class Planner:
         static = None if None in labels else tuple(dict.fromkeys(x for y in labels for x in y))
         ends = states[0].cur.ends if all(s.cur.ends == states[0].cur.ends for s in states) else (None, None)
         cur = Elem(kind, names, static, ends, items, loaded=all(s.cur.loaded for s in states) and len({tuple(s.cur.fields) for s in states}) == 1)
-        return replace(states[0], df=union(frames), cur=cur, binds=binds, extras=extras, sort=())
+        return replace(states[0], df=union(frames), cur=cur, binds=binds, extras=extras, sort=(), distinct=False)
 
     def do_union(self, st: State, s: Step) -> State:
         st = self.begun(st)
@@ -957,7 +1133,7 @@ class Planner:
         if not options:
             raise QueryError("branch needs an option")
         st, key = self.scalar(st, s.args[0].steps)
-        kind = st.type_of(key)
+        kind = self.type_of(st, key)
         named = [(k, t) for k, t in options if k is not None]
         hit = lambda k: _sure(same(F.col(key), kind, k))
         parts = [self.applied(replace(st, df=st.df.where(hit(k))), t.steps) for k, t in named]
@@ -984,7 +1160,7 @@ class Planner:
                 st = self.begun(self.applied(st, body))
                 if emit:
                     # a level is written, so that the next one and its own rows do not compute it again
-                    st = replace(st, df=stored(st.df)) if i + 1 < times or emit is not True else st
+                    st = replace(st, df=stored(self.kept(st))) if i + 1 < times or emit is not True else st
                     out.append(passing(st))
             return self.merged(out) if emit else st
         rounds = 0
@@ -993,7 +1169,7 @@ class Planner:
             if rounds > ROUNDS:
                 raise GraphTraversalError(f"repeat did not end after {ROUNDS} rounds")
             if kw.get("until_first"):
-                st = replace(st, df=stored(st.df))
+                st = replace(st, df=stored(self.kept(st)))
                 out.append(self.existing(st, until.steps))
                 st = self.existing(st, until.steps, negate=True)
                 if st.df.isEmpty():
@@ -1003,7 +1179,7 @@ class Planner:
                     out.append(passing(st))
             else:
                 st = self.begun(self.applied(st, body))
-                st = replace(st, df=stored(st.df))
+                st = replace(st, df=stored(self.kept(st)))
                 if emit:
                     out.append(passing(self.existing(st, until.steps, negate=True)))
                 out.append(passing(self.existing(st, until.steps)) if emit else self.existing(st, until.steps))
@@ -1012,13 +1188,69 @@ class Planner:
                     break
         return self.merged(out)
 
+    def plain_loop(self, st: State, s: Step) -> State | None:
+        """The state, begun, if the loop's rounds depend on nothing but the vertex and lead to the labels they come from; else None."""
+        body = s.args[0].steps
+        if self.needs_path or self.needs_order or st.cur.kind != "vertex" or not all(x.op in PLAIN_BODY for x in body):
+            return None
+        bound = {x.args[0] for x in body if x.op == "as"}
+        inside = [*body, *(x for k in ("until", "emit") if isinstance(s.kw.get(k), Traversal) for x in s.kw[k].steps)]
+        if any(n not in bound for x in _walk(inside) if x.op == "select" for n in x.args):
+            return None
+        st = self.begun(st)
+        after = self.ran(replace(st, binds={}), body)
+        return st if after.cur.kind == "vertex" and after.cur.labels == st.cur.labels else None
+
+    def reached(self, st: State, s: Step, dedup: Step) -> State | None:
+        """`repeat(...).emit().dedup()`: each round goes on from the vertices that no round before has met, and the last finds none.
+
+        None if the loop depends on more than the vertex, or is no such search.
+        """
+        kw = s.kw
+        if not kw.get("emit") or kw.get("until_first") or dedup.kw.get("by") is not None or (st := self.plain_loop(st, s)) is None:
+            return None
+        until, times, many = kw.get("until"), kw.get("times"), len(self.vertex_tables(st.cur.labels)) > 1
+        if times is None and until is None:
+            raise QueryError("repeat needs times or until")
+        if many:
+            st = self.ready(st, "labels")
+        fields = {k: self.fresh("met") for k in ("id", "labels")[: 1 + many]}
+
+        def bare(x: State) -> DataFrame:
+            x = self.ready(x, "labels") if many else self.begun(x)
+            return x.df.select(*x.root, *[F.col(x.cur.fields[k]).alias(n) for k, n in fields.items()]).distinct()
+
+        keys = [*st.root, *fields.values()]
+        at = lambda df: State(df, Elem("vertex", fields, st.cur.labels), root=st.root, roots=st.roots, distinct=True)
+        new = stored(bare(st))
+        met, rounds = ([new] if kw.get("emit_first") else []), 0
+        while times is None or rounds < times:
+            rounds += 1
+            if rounds > ROUNDS:
+                raise GraphTraversalError(f"repeat did not end after {ROUNDS} rounds")
+            front = at(new) if until is None or rounds == 1 else self.existing(at(new), until.steps, negate=True)
+            found = bare(self.ran(front, s.args[0].steps))
+            if met:
+                old = union(met).toDF(*[f"{k}_old" for k in keys])
+                same = [F.col(k).eqNullSafe(F.col(f"{k}_old")) if k in self.loose else F.col(k) == F.col(f"{k}_old") for k in keys]
+                found = found.join(old, _all(same), "left_anti")
+            new = stored(found)
+            self.rounds.append(new.count())
+            if not self.rounds[-1]:
+                break
+            met.append(new)
+            if len(met) > 16:  # few files and short plans, however many rounds
+                met = [stored(union(met))]
+        out = at(union(met)) if met else at(new)
+        return out if kw["emit"] is True else self.existing(out, kw["emit"].steps)
+
     # effects
 
     def do_side_effect(self, st: State, s: Step) -> State:
         """A function gets every row in the driver, streamed, as its effects are the caller's; a traversal runs on the executors."""
         effect = s.args[0]
         st = self.begun(st)
-        st = replace(st, df=checkpointed(st.df))
+        st = replace(st, df=checkpointed(self.kept(st)))
         if isinstance(effect, Traversal):
             self.begun(self.ran(st, effect.steps)).df.foreach(lambda row: None)
             return st
@@ -1030,7 +1262,7 @@ class Planner:
     def do_property(self, st: State, s: Step) -> State:
         card, key, value = s.args if len(s.args) == 3 else (Cardinality.single, *s.args)
         st = self.begun(st)
-        st = replace(st, df=checkpointed(st.df))
+        st = replace(st, df=checkpointed(self.kept(st)))
         if card is Cardinality.label:
             key = "labels"
         if isinstance(value, (list, tuple, set, dict)):
@@ -1049,7 +1281,7 @@ class Planner:
                 have = F.array() if old is None else F.coalesce(old, F.array())
                 new = F.concat(have, F.array(new)) if card is Cardinality.list_ else F.array_union(have, F.array(new))
             kept = F.lit(None) if old is None else old
-            return replace(t, df=t.df.join(hits, on, "left").withColumn(path[0], F.when(F.col("__hit"), new).otherwise(kept)).drop("__hit"))
+            return replace(t, rows=t.df.join(hits, on, "left").withColumn(path[0], F.when(F.col("__hit"), new).otherwise(kept)).drop("__hit"))
 
         tables = getattr(self.graph, table)
         labels = st.cur.labels
@@ -1074,7 +1306,7 @@ class Planner:
     def compiled(self) -> State:
         if not self.steps or self.steps[0].op not in ("V", "E", "addV", "addE"):
             raise QueryError("a traversal starts with V, E, addV or addE")
-        st = self.begun(self.ran(None, self.steps))
+        st = self.begun(self.ran(None, self.steps, True))
         self._kind = st.cur.kind
         return st
 
@@ -1174,6 +1406,22 @@ def _among(c: Column, kind: T.DataType, values) -> Column:
     return _any([same(c, kind, v) for v in values])
 
 
+def _salt(column: str, hubs: dict) -> str:
+    """Which of its parts an edge of a vertex with very many edges belongs to; 0 for edges of other vertices."""
+    cases = " ".join(f"when {_literal(v)} then cast(pmod(xxhash64(eid, _seq), {n}) as int)" for v, n in hubs.items())
+    return f"case `{column}` {cases} else 0 end"
+
+
+def _copies(column: str, hubs: dict) -> str:
+    """All parts of a vertex's edges."""
+    cases = " ".join(f"when {_literal(v)} then sequence(0, {n - 1})" for v, n in hubs.items())
+    return f"case `{column}` {cases} else array(0) end"
+
+
+def _literal(v) -> str:
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(v, str) else f"{v}"
+
+
 def _sure(cond: Column) -> Column:
     """A condition whose null is false, for negation."""
     return F.coalesce(cond, F.lit(False))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
 
 
 @dataclass(frozen=True)
@@ -31,21 +31,20 @@ class Elem:
 class State:
     """df is None for a scan that has not begun: all vertices or edges of the element's labels.
 
-    root: the columns that name the row of the parent traversal, in a sub-traversal; roots: all of those rows.
-    sort: columns and whether they ascend. constant extras: `_path`, `_pb_<key>` and `_ord`.
+    root: the columns that name the row of the parent traversal, in a sub-traversal; roots: gives all of those rows.
+    sort: columns and whether they ascend. constant extras: `_path`, `_pb_<key>`, `_ord` and `_bulk`, how many equal rows a row stands for.
+    distinct: the rows are known to stand on different vertices (for each root).
     """
 
     df: DataFrame | None
     cur: Elem
     binds: dict[str, Elem] = field(default_factory=dict)
     root: tuple[str, ...] = ()
-    roots: DataFrame | None = None
+    roots: Callable[[], DataFrame] | None = None
     sort: tuple[tuple[str, bool], ...] = ()
     extras: tuple[str, ...] = ()
+    distinct: bool = False
 
     def carried(self) -> list[str]:
         out = [*self.root, *self.extras, *(c for e in self.binds.values() for c in e.columns()), *(c for c, _ in self.sort)]
         return list(dict.fromkeys(out))
-
-    def type_of(self, column: str) -> T.DataType:
-        return self.df.schema[column].dataType
