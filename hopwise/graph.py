@@ -31,6 +31,7 @@ class GraphConfig:
     default_node_label: str = "Node"
     default_edge_label: str = "Edge"
     multigraph: bool = False
+    most_rounds: int = 1000  # of a loop; more are an error
 
 
 @dataclass(frozen=True)
@@ -164,18 +165,46 @@ class PropertyGraph:
         return out
 
     def join(self, from_label: str, to_label: str, join_field: str, target_key: str, edge_label: str) -> None:
-        """An edge for every pair of vertices of the two labels with equal fields: one hash equi-join."""
+        """An edge for every pair of vertices of the two labels with equal fields: one hash equi-join.
+
+        Between two labels of a multigraph the edges are kept as the keys of their ends too, and a hop whose rows may be put together goes from
+        key to key: `count` and `dedup` never list the pairs.
+        """
         pick = lambda label: union([t.df for t in self.vertices if t.label in (None, label)]).where(F.array_contains("labels", label))
         a, b = pick(from_label), pick(to_label)
         if join_field not in a.columns or target_key not in b.columns:
             raise GraphError(f"no field {join_field!r} or {target_key!r} to join on")
-        pairs = a.select(F.col("id").alias("src"), F.col(join_field).alias("__k")).join(b.select(F.col("id").alias("dst"), F.col(target_key).alias("__k")), "__k").where("src <> dst" if from_label == to_label else "true")
-        made = pairs.select("src", "dst", F.xxhash64("src", "dst").alias("eid"), F.lit(0).cast("long").alias("_seq"))
+        ends = a.select("id", F.col(join_field).alias("key")).where("key is not null"), b.select("id", F.col(target_key).alias("key")).where("key is not null")
+
+        def pairs() -> DataFrame:
+            made = ends[0].withColumnRenamed("id", "src").join(ends[1].withColumnRenamed("id", "dst"), "key").where("src <> dst" if from_label == to_label else "true")
+            return made.select("src", "dst", F.xxhash64("src", "dst").alias("eid"), F.lit(0).cast("long").alias("_seq"))
+
         if self.config.multigraph or not self.edges:
-            ends = (from_label, to_label) if self.vertices[0].label is not None else (None, None)
-            self.edges.append(EdgeTable(made, edge_label, *ends))
+            known = self.vertices[0].label is not None
+            whole = known and from_label != to_label
+            self.edges.append(EdgeTable(pairs, edge_label, *((from_label, to_label) if known else (None, None)), halves=ends if whole else None))
         else:
-            self.edges = edge_tables(aligned(self.edge_rows(), made.withColumn("label", F.lit(edge_label))), False)
+            self.edges = edge_tables(aligned(self.edge_rows(), pairs().withColumn("label", F.lit(edge_label))), False)
+
+    def spread(self, *labels: str, share: float = 1 / 32) -> PropertyGraph:
+        """The graph with the edges of its hubs spread: a hop to edges of a vertex that has more than this share of an edge table's edges is made in parts.
+
+        A sketch of each edge table (of these labels, or all) counts the most frequent ends once. There are at most 1 / share hubs for an end, so they are literals of the plan. A
+        hop splits a hub's edges by a hash into as many parts as it has shares, joins each part with a copy of the rows on the hub, and all
+        other rows as ever.
+        """
+        most = int(1 / share)
+        made = []
+        for t in self.edges:
+            found = []
+            if not t.halves and (not labels or t.label in labels):
+                row = t.df.selectExpr("count(*) as n", *[f"approx_top_k({end}, {most}, {16 * most}) as {end}" for end in ("src", "dst")]).first()
+                for end in ("src", "dst"):
+                    hubs = {x["item"]: -(-int(x["count"]) * most // row["n"]) for x in row[end] or [] if x["count"] > share * row["n"]}
+                    found += [(end, hubs)] if hubs else []
+            made.append(replace(t, hubs=tuple(found)))
+        return replace(self, edges=made)
 
     def quads(self) -> DataFrame:
         """(s, p, o, g): a row for each label, name and property of a vertex and for each edge."""

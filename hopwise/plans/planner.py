@@ -6,15 +6,16 @@ becomes a column; any other runs once for all rows, keyed by the current vertex
 and meets its parent in a semi, anti or inner join.
 
 Where all steps up to a reducer or `dedup` treat rows on one vertex alike, such rows go on as one row with their number (BULK), so no level of a walk has more rows
-than vertices. `repeat(...).emit().dedup()` goes on from new vertices only.
+than vertices. `repeat(...).emit().dedup()` goes on from new vertices only, and a plain loop with `until` is a recursive query.
 
-A plan is lazy but for what must be fixed or counted while it is made: rounds of `repeat` with `until` or `emit`,
+A plan is lazy but for what must be fixed or counted while it is made: rounds of other loops with `until` or `emit`,
 `skip`, `max_` and `min_` over hops, changing steps, and the test that given ids exist.
 """
 
 from __future__ import annotations
 
 import itertools
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Window
@@ -28,7 +29,6 @@ from hopwise.operators import checkpointed, stored
 from hopwise.plans.state import Elem, State
 from hopwise.plans.traversal import TERMINALS, Cardinality, Scope, Step, Traversal
 
-ROUNDS = 1000
 SCALAR_BY = {"values", "is", "id", "name", "label"}
 FILTERS = {"has", "has_not", "has_key", "has_value", "has_id", "has_label", "contains", "within", "is"}
 #: Steps that treat rows on one vertex alike, so such rows can go on as one with their number.
@@ -1153,6 +1153,8 @@ class Planner:
         emit, times, until = kw.get("emit"), kw.get("times"), kw.get("until")
         if times is None and until is None:
             raise QueryError("repeat needs times or until")
+        if until is not None and not emit and (found := self.recursed(st, s)):
+            return found
         passing = lambda x: x if emit is True else self.existing(x, emit.steps)
         out = [passing(st)] if emit and kw.get("emit_first") else []
         if times is not None and until is None:
@@ -1166,8 +1168,8 @@ class Planner:
         rounds = 0
         while times is None or rounds < times:
             rounds += 1
-            if rounds > ROUNDS:
-                raise GraphTraversalError(f"repeat did not end after {ROUNDS} rounds")
+            if rounds > self.graph.config.most_rounds:
+                raise GraphTraversalError(f"repeat did not end after {self.graph.config.most_rounds} rounds")
             if kw.get("until_first"):
                 st = replace(st, df=stored(self.kept(st)))
                 out.append(self.existing(st, until.steps))
@@ -1199,7 +1201,56 @@ class Planner:
             return None
         st = self.begun(st)
         after = self.ran(replace(st, binds={}), body)
-        return st if after.cur.kind == "vertex" and after.cur.labels == st.cur.labels else None
+        known = [sorted(t.label or "" for t in self.vertex_tables(x.cur.labels)) for x in (st, after)]
+        return st if after.cur.kind == "vertex" and known[0] == known[1] else None
+
+    def recursed(self, st: State, s: Step) -> State | None:
+        """`repeat` of one hop with `until` as one recursive query, whose rounds join the loop's step. Spark fails it at the round after the last that is
+        allowed. None if rounds depend on more than the vertex, ids need labels, or the body has more hops.
+        """
+        if not self.one_hop(st, s) or (st := self.plain_loop(st, s)) is None:
+            return None
+        until, times, first = s.kw["until"].steps, s.kw.get("times"), bool(s.kw.get("until_first"))
+        spark, root, here, done = self.graph.spark, *(self.fresh(x) for x in ("root", "id", "done"))
+        labels, carried, level = st.cur.labels, st.carried(), self.fresh("level")
+        step = self.loop_step(st, s, root, here, done)
+        own = [*[F.col(c) for c in carried], F.col(st.cur.fields["id"]).alias(here)]
+        start = self.told(st, until, done, own) if first else st.df.select(*own, F.lit(False).alias(done))
+        # rows do not multiply beyond what the loop gives, so the default limit of rows would only cut results
+        spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+        names = {x: f"hopwise_{uuid.uuid4().hex}" for x in ("start", "step")}
+        start.createOrReplaceTempView(names["start"])
+        step.createOrReplaceTempView(names["step"])
+        shown = [*carried, here, done]
+        more = "" if times is None else f" AND walk.{level} < {times - first}"
+        walk = f"""WITH RECURSIVE walk({", ".join([*shown, level])}) MAX RECURSION LEVEL {self.graph.config.most_rounds} AS (
+            SELECT {", ".join(shown)}, 0 FROM {names["start"]}
+            UNION ALL SELECT {", ".join([*(f"walk.{c}" for c in carried), f"step.{here}", f"step.{done}", f"walk.{level} + 1"])}
+            FROM walk JOIN {names["step"]} AS step ON walk.{here} = step.{root} WHERE NOT walk.{done}{more})
+            SELECT {", ".join([*carried, here])} FROM walk WHERE {done} AND {level} >= {int(not first)}"""
+        df = spark.sql(walk)
+        for name in names.values():
+            spark.catalog.dropTempView(name)
+        return replace(st, df=df, cur=Elem("vertex", {"id": here}, labels), distinct=False)
+
+    def one_hop(self, st: State, s: Step) -> bool:
+        return len(self.vertex_tables(st.cur.labels)) == 1 and sum(x.op in ("hop", "hopE") for x in s.args[0].steps) == 1
+
+    def loop_step(self, st: State, s: Step, root: str, here: str, done: str) -> DataFrame:
+        """What one round of a loop of one hop makes of each vertex, and whether the loop ends there: no more rows than edges, written once."""
+        labels, until = st.cur.labels, s.kw.get("until")
+        every = lambda: self.vertex_frame(labels).select(F.col("id").alias(root))
+        body = self.begun(self.ran(State(None, Elem("vertex", labels=labels), root=(root,), roots=every), s.args[0].steps))
+        columns = [F.col(root), F.col(body.cur.fields["id"]).alias(here)]
+        return stored(body.df.select(*columns, F.lit(False).alias(done)) if until is None else self.told(body, until.steps, done, columns))
+
+    def told(self, st: State, steps, name: str, columns: list[Column]) -> DataFrame:
+        """These columns, and whether the steps give a result."""
+        st, cond = self.condition(st, steps)
+        if cond is not None:
+            return st.df.select(*columns, _sure(cond).alias(name))
+        yes, no = self.existing(st, steps), self.existing(st, steps, negate=True)
+        return yes.df.select(*columns, F.lit(True).alias(name)).union(no.df.select(*columns, F.lit(False).alias(name)))
 
     def reached(self, st: State, s: Step, dedup: Step) -> State | None:
         """`repeat(...).emit().dedup()`: each round goes on from the vertices that no round before has met, and the last finds none.
@@ -1222,16 +1273,21 @@ class Planner:
 
         keys = [*st.root, *fields.values()]
         at = lambda df: State(df, Elem("vertex", fields, st.cur.labels), root=st.root, roots=st.roots, distinct=True)
-        new = stored(bare(st))
+        one, ends = self.one_hop(st, s), [self.fresh(x) for x in ("root", "id", "done")]
+        step = self.loop_step(st, s, *ends) if one else None
+        new = stored(bare(st).withColumn(ends[2], F.lit(False)) if one else bare(st))
         met, rounds = ([new] if kw.get("emit_first") else []), 0
         while times is None or rounds < times:
             rounds += 1
-            if rounds > ROUNDS:
-                raise GraphTraversalError(f"repeat did not end after {ROUNDS} rounds")
-            front = at(new) if until is None or rounds == 1 else self.existing(at(new), until.steps, negate=True)
-            found = bare(self.ran(front, s.args[0].steps))
+            if rounds > self.graph.config.most_rounds:
+                raise GraphTraversalError(f"repeat did not end after {self.graph.config.most_rounds} rounds")
+            if one:
+                found = new.where(~F.col(ends[2])).drop(ends[2]).join(step, F.col(fields["id"]) == F.col(ends[0])).select(*st.root, F.col(ends[1]).alias(fields["id"]), ends[2]).distinct()
+            else:
+                front = at(new) if until is None or rounds == 1 else self.existing(at(new), until.steps, negate=True)
+                found = bare(self.ran(front, s.args[0].steps))
             if met:
-                old = union(met).toDF(*[f"{k}_old" for k in keys])
+                old = union(met).select(*[F.col(k).alias(f"{k}_old") for k in keys])
                 same = [F.col(k).eqNullSafe(F.col(f"{k}_old")) if k in self.loose else F.col(k) == F.col(f"{k}_old") for k in keys]
                 found = found.join(old, _all(same), "left_anti")
             new = stored(found)
@@ -1241,7 +1297,7 @@ class Planner:
             met.append(new)
             if len(met) > 16:  # few files and short plans, however many rounds
                 met = [stored(union(met))]
-        out = at(union(met)) if met else at(new)
+        out = at(union(met) if met else new.where(F.lit(False)))
         return out if kw["emit"] is True else self.existing(out, kw["emit"].steps)
 
     # effects

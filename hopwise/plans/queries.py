@@ -14,7 +14,7 @@ from hopwise.graph import EdgeTable, GraphBuilder, PropertyGraph, VertexTable
 from hopwise.operators import shared_dir
 from hopwise.sources.graphml import read_graphml, write_graphml
 from hopwise.sources.examples import crew, modern
-from hopwise.sources.files import FileIO
+from hopwise.sources.files import FileIO, read_folder
 from hopwise.sources.jsonfiles import graphson_lines, read_graphson, read_json_lines, read_json_tree
 from hopwise.sources.rdf import triples
 from hopwise.sources.tables import table_graph, talk_graph
@@ -389,3 +389,136 @@ def leg_paths(g):
     leg = A.outE("route").has("dist", lte(5000)).inV().simple_path()
     paths = g.V().has_label("supplier").has_id(3).repeat(leg).times(3).as_path().to_df("p")
     return paths.agg(F.count(F.lit(1)).alias("paths"), F.sum(F.size("p")).cast("long").alias("steps"))
+
+
+# ---- many walks, searches, hubs and joins by key: what a level of a traversal holds stays small
+
+#: Walks from orders to parts and back, twice: how many end at each order.
+WALKS = """with e as (select l_orderkey as o, l_partkey as p from lineitem),
+a as (select p, count(*) as n from e group by p), b as (select o, sum(n) as n from e join a using (p) group by o),
+c as (select p, sum(n) as n from e join b using (o) group by p), d as (select o, sum(n) as n from e join c using (p) group by o)"""
+_WALK = A.out("contains").in_("contains")
+simple("bulk_walks", f"{WALKS} select cast(sum(n) as bigint) as n from d", lambda g: g.V().has_label("order").repeat(_WALK).times(2).count().to_df("n"))
+simple("bulk_sum", f"{WALKS} select cast(sum(n * c_nationkey) as bigint) as v from d join orders on o = o_orderkey join customer on o_custkey = c_custkey", lambda g: g.V().has_label("order").repeat(_WALK).times(2).in_("placed").values("c_nationkey").sum_().to_df("v"))
+simple("bulk_mean", f"{WALKS} select round(sum(n * o_totalprice) / sum(n), 3) as v from d join orders on o = o_orderkey where o_totalprice > 1000", lambda g: g.V().has_label("order").repeat(_WALK).times(2).has("o_totalprice", gt(1000)).values("o_totalprice").mean().to_df("v").select(F.round("v", 3).alias("v")))
+simple("bulk_dedup", "with e as (select l_orderkey as o, l_partkey as p, l_suppkey as s from lineitem) select count(distinct s) as n from e where o in (select o from e where p in (select p from e join orders on o = o_orderkey where o_totalprice > 390000))", lambda g: g.V().has_label("order").has("o_totalprice", gt(390000)).out("contains").in_("contains").out("shipped_by").dedup().count().to_df("n"))
+simple("bulk_in_filter", "with e as (select l_orderkey as o, l_partkey as p from lineitem), a as (select p, count(*) as n from e group by p) select o_custkey as id from orders join e on o = o_orderkey join a using (p) group by 1 having sum(n) > 1500", lambda g: g.V().has_label("customer").filter_(A.out("placed").out("contains").in_("contains").count().is_(gt(1500))).to_df("id"))
+
+
+_LEG = A.outE("route").as_("e").inV().filter_(A.select("e").values("dist").is_(lte(2000)))
+
+
+def _search(levels: str) -> str:
+    return f"""with recursive n as (select count(*) as n from supplier), e as materialized (select s_suppkey as a, (s_suppkey * k * 7 + k) % n as b from supplier, n, range(2, 151) t(k)
+where (s_suppkey * 131 + k * 977) % 9000 <= 2000 and (s_suppkey * k * 7 + k) % n in (select s_suppkey from supplier)),
+r as (select b, 1 as level from e where a = 3 union select e.b, {levels} from r join e on e.a = r.b {"where level < 3" if "level" in levels else ""}) select distinct b as id from r"""
+
+
+simple("reachable", _search("level + 1"), lambda g: g.V().has_label("supplier").has_id(3).repeat(_LEG).times(3).emit().dedup().to_df("id"), route_graph)
+simple("reachable_all", _search("1"), lambda g: g.V().has_label("supplier").has_id(3).repeat(_LEG).until(A.has_id(-1)).emit().dedup().to_df("id"), route_graph)
+simple("reachable_turns", "with t as (select distinct conv_id * 1000 + turn as id from conversations) select x.id from t x where id % 1000 > 0 and (select count(*) from t y where y.id between x.id - x.id % 1000 and x.id) = x.id % 1000 + 1", lambda g: g.V().has("turn", 0).repeat(A.out("next_turn")).until(A.not_(A.out("next_turn"))).emit().dedup().to_df("id"), talk_graph)
+simple("repeat_capped", "with t as (select distinct conv_id * 1000 + turn as id from conversations) select max(id) as id from t group by id // 1000 having min(id) % 1000 = 0 and max(id) - min(id) = count(*) - 1 and count(*) between 2 and 4", lambda g: g.V().has("turn", 0).repeat(A.out("next_turn"), times=3, until=A.not_(A.out("next_turn"))).to_df("id"), talk_graph)
+simple("repeat_bindings", "with t as (select distinct conv_id * 1000 + turn as id from conversations) select min(id) as a, max(id) as b from t group by id // 1000 having min(id) % 1000 = 0 and max(id) - min(id) = count(*) - 1 and count(*) > 1", lambda g: g.V().has("turn", 0).as_("a").repeat(A.out("next_turn")).until(A.not_(A.out("next_turn"))).as_("b").select("a", "b").to_df(), talk_graph)
+simple("filter_binding_hop", "select o_orderkey as id from orders join customer on o_custkey = c_custkey where c_nationkey < 3 and o_totalprice > 200000", lambda g: g.V().has_label("customer").as_("c").out("placed").has("o_totalprice", gt(200000)).filter_(A.select("c").out("in_nation").has_id(lt(3))).to_df("id"))
+simple("local_binding", "select o_orderkey as o, (select count(*) from orders y where y.o_custkey = x.o_custkey) as n from orders x where o_totalprice > 350000", lambda g: g.V().has_label("customer").as_("c").out("placed").has("o_totalprice", gt(350000)).as_("o").local(A.select("c").out("placed").count()).as_("n").select("o", "n").to_df())
+
+
+def star_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
+    """Orders and parts; nine of ten edges start at one order, the smallest."""
+    t = table_graph(spark, sf_dir)
+    e = next(x for x in t.edges if x.label == "contains")
+    hub = e.df.agg(F.min("src")).first()[0]
+    rows = e.df.withColumn("src", F.when(F.col("_seq") % 10 > 0, F.lit(hub)).otherwise(F.col("src")))
+    return PropertyGraph(spark, [v for v in t.vertices if v.label in ("order", "part")], [EdgeTable(rows, "star", "order", "part")], t.config).spread()
+
+
+simple("hub_hop", "with e as (select case when l_partkey % 10 > 0 then (select min(l_orderkey) from lineitem) else l_orderkey end as o, l_partkey as p from lineitem) select o_orderstatus as status, p as part, count(*) as n from e join orders on o = o_orderkey group by all", lambda g: g.V().has_label("order").has("o_orderstatus").as_("o").out("star").as_("p").select("o", "p").by("o_orderstatus").by("p_partkey").to_df("status", "part").groupBy("status", "part").agg(F.count(F.lit(1)).alias("n")), star_graph)
+
+
+def _joined(g: Source) -> Source:
+    g.graph.join("customer", "supplier", "c_nationkey", "s_nationkey", "near")
+    return g
+
+
+simple("key_join_count", "select count(*) as n from customer join supplier on c_nationkey = s_nationkey", lambda g: _joined(g).V().has_label("customer").out("near").count().to_df("n"))
+simple("key_join_dedup", "select distinct s_suppkey as id from customer join supplier on c_nationkey = s_nationkey where c_acctbal > 9000", lambda g: _joined(g).V().has_label("customer").has("c_acctbal", gt(9000)).out("near").dedup().to_df("id"))
+simple("key_join_walks", "with n as (select k, (select count(*) from customer where c_nationkey = k) as c, (select count(*) from supplier where s_nationkey = k) as s from range(25) t(k)) select cast(sum(c * s * c * s) as bigint) as n from n", lambda g: _joined(g).V().has_label("customer").out("near").in_("near").out("near").count().to_df("n"))
+simple("key_join_in_filter", "select c_custkey as id from customer where (select count(*) from supplier where s_nationkey = c_nationkey) > 4", lambda g: _joined(g).V().has_label("customer").filter_(A.out("near").count().is_(gt(4))).to_df("id"))
+
+# ---- given tables: ids, pairs, look-ups, merges, maps, folders, builders
+
+simple("ids_of_table", "select p_name as name from part where p_partkey in (7, 3)", lambda g: g.V(7, 3).has_label("part").values("name").to_df("name"))
+simple("pairs_of_table", "select n_nationkey as src, n_regionkey as dst from nation where n_nationkey in (3, 4)", lambda g: g.E(*[("nation:%d" % r["n_nationkey"], "region:%d" % r["n_regionkey"]) for r in _some_nations(g)]).to_df("src", "dst", "label").select(F.substring_index("src", ":", -1).cast("long").alias("src"), F.substring_index("dst", ":", -1).cast("long").alias("dst")), nations)
+
+
+def _some_nations(g: Source) -> list:
+    return g.V().has_label("nation").has("n_nationkey", within(3, 4)).element_map("n_nationkey", "n_regionkey").to_df().collect()
+
+
+simple("nodes_of_table", "select n_nationkey as id from nation where n_name = (select max(n_name) from nation)", lambda g: g.graph.get_nodes("nation", g.V().has_label("nation").values("name").order(Order.desc).limit(1).next().run()).select(F.substring_index("id", ":", -1).cast("long").alias("id")), nations)
+
+
+def map_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
+    """Nations with a map of their customers' market segments to what these customers hold."""
+    t = table_graph(spark, sf_dir)
+    v = {x.label: x for x in t.vertices}
+    held = v["customer"].df.groupBy("c_nationkey", "c_mktsegment").agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("c_nationkey").cast("long").alias("id"))
+    held = held.agg(F.map_from_entries(F.collect_list(F.struct("c_mktsegment", "n"))).alias("segments"))
+    return PropertyGraph(spark, [VertexTable(v["nation"].df.join(held, "id", "left"), "nation")], [], t.config)
+
+
+simple("map_contains_key", "select distinct c_nationkey as id from customer where c_mktsegment = 'BUILDING'", lambda g: g.V().has_label("nation").contains("segments", "BUILDING").to_df("id"), map_graph)
+simple("map_path_value", "select c_nationkey as id from customer where c_mktsegment = 'BUILDING' group by 1 having count(*) > 12", lambda g: g.V().has_label("nation").has(["segments", "BUILDING"], gt(12)).to_df("id"), map_graph)
+
+
+@query("select n_name as name, 2 as n from nation union all select r_name, 2 from region", nations)
+def merged_tables(g):
+    """The graph of nations twice, the second time under new ids."""
+    numbered = _numbered(g.graph)
+    return numbered.plus(numbered).traversal().V().values("name").to_df("name").groupBy("name").agg(F.count(F.lit(1)).cast("int").alias("n"))
+
+
+@query("select 'vertex' as element, 2 * ((select count(*) from nation) + (select count(*) from region)) as n union all select 'edge', 2 * (select count(*) from nation) + 1", nations)
+def linked_tables(g):
+    numbered = _numbered(g.graph)
+    return numbered.merge(numbered, "0", "1", "to_copy").summary().groupBy("element").agg(F.sum("n").alias("n"))
+
+
+def _numbered(graph: PropertyGraph) -> PropertyGraph:
+    """Nations as 100 and more, regions from 0, in one vertex table as built graphs have."""
+    number = lambda c: (F.substring_index(c, ":", -1).cast("long") + F.when(F.col(c).startswith("nation"), 100).otherwise(0)).cast("string")
+    rows = graph.all_vertices().select(number("id").alias("id"), "name", "labels", number("id").cast("long").alias("_seq"))
+    e = graph.edges[0].df.select(number("src").alias("src"), number("dst").alias("dst"), "eid", "_seq")
+    return PropertyGraph(graph.spark, [VertexTable(rows)], [EdgeTable(e, "in_region")])
+
+
+@query("select r_name as region, count(*) as n from nation join region on n_regionkey = r_regionkey group by 1", nations)
+def built_from_tables(g):
+    """A builder takes vertices and edges row by row, one edge for each pair."""
+    b = GraphBuilder()
+    rows = _names(g.graph).collect()
+    for name in sorted({r["region"] for r in rows}):
+        b.add_labeled_node("region", name, node_id=name)
+    for r in rows * 2:
+        b.add_labeled_edge(b.add_labeled_node("nation", r["nation"], node_id="n" + r["nation"]), r["region"], "in_region")
+    made = b.build(g.graph.spark).traversal()
+    return made.E().inV().values("name").to_df("region").groupBy("region").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select n_name as name from nation union all select r_name from region union all select n_name from nation union all select r_name from region", nations)
+def io_of_tables(g):
+    """The graph of nations written to a file and read into the numbered graph of nations."""
+    path = f"{shared_dir(g.graph.spark)}/hopwise-{uuid.uuid4().hex}.json"
+    numbered = _numbered(g.graph)
+    FileIO(numbered, path).write()
+    return FileIO(numbered, path).read().traversal().V().values("name").to_df("name")
+
+
+@query("select 'nations' as folder, count(distinct n_regionkey) as n from nation union all select 'region=' || n_regionkey, 1 from (select distinct n_regionkey from nation)")
+def folder_files(g):
+    """A folder of nations by region as a graph: how many folders or files each folder holds."""
+    path = f"{shared_dir(g.graph.spark)}/hopwise-{uuid.uuid4().hex}/nations"
+    rows = next(t for t in g.graph.vertices if t.label == "nation").df
+    rows.select("name", F.col("n_regionkey").alias("region")).coalesce(1).write.partitionBy("region").json(path)
+    found = read_folder(g.graph.spark, path, ignored=("_SUCCESS",)).traversal()
+    return found.V().has_label("Directory").as_("d").out().as_("x").select("d", "x").by("name").by("name").to_df("folder", "x").groupBy("folder").agg(F.count(F.lit(1)).alias("n"))
