@@ -182,18 +182,24 @@ class Planner:
         return self.stepped(out)
 
     def stepped(self, st: State) -> State:
-        """The state with the current element added to its path."""
+        """The state with the current element added to its path: its columns are kept, and become an array where one is asked for."""
         if not self.needs_path or st.cur.kind not in ("vertex", "edge"):
             return st
-        for k in self.path_keys:
-            st = self.ready(st, k)
         f = st.cur.fields
         if st.cur.kind == "vertex":
-            here = F.struct(self.named(st).cast("string").alias("id"), F.lit(None).cast("string").alias("dst"))
+            label = None
+            if len(self.graph.vertices) > 1 and self.graph.vertices[0].label is not None:
+                label = st.cur.labels[0] if st.cur.labels and len(st.cur.labels) == 1 else ("labels" in f and (f["labels"],)) or ""
+            step = ("vertex", f["id"], label)
         else:
-            here = F.struct(F.col(f["src"]).cast("string").alias("id"), F.col(f["dst"]).cast("string").alias("dst"))
-        df = st.df.withColumn("_path", F.concat("_path", F.array(here)) if "_path" in st.extras else F.array(here))
-        extras = dict.fromkeys([*st.extras, "_path"])
+            step = ("edge", f["src"], f["dst"])
+        st = replace(st, trail=(*st.trail, step))
+        if not self.path_keys:
+            return st
+        for k in self.path_keys:
+            st = self.ready(st, k)
+        st, f = self.laid(st), st.cur.fields
+        extras, df = dict.fromkeys(st.extras), st.df
         for k in sorted(self.path_keys):
             c = F.col(f[k]).cast("string") if k in f else F.lit(None).cast("string")
             name = f"_pb_{k}"
@@ -201,13 +207,21 @@ class Planner:
             extras[name] = None
         return replace(st, df=df, extras=tuple(extras))
 
-    def named(self, st: State) -> Column:
-        """The vertex's id, with its label where ids are only unique within one."""
-        f = st.cur.fields
-        if len(self.graph.vertices) == 1 or self.graph.vertices[0].label is None:
-            return F.col(f["id"])
-        label = F.lit(st.cur.labels[0]) if st.cur.labels and len(st.cur.labels) == 1 else F.element_at(f["labels"], 1) if "labels" in f else F.lit("")
-        return F.concat_ws(":", label, F.col(f["id"]).cast("string"))
+    def laid(self, st: State) -> State:
+        """The state with its path as an array."""
+        if not st.trail:
+            return st
+
+        def shown(step):
+            kind, a, b = step
+            if kind == "edge":
+                return F.struct(F.col(a).cast("string").alias("id"), F.col(b).cast("string").alias("dst"))
+            label = F.element_at(b[0], 1) if isinstance(b, tuple) else F.lit(b)
+            return F.struct((F.col(a).cast("string") if b is None else F.concat_ws(":", label, F.col(a).cast("string"))).alias("id"), F.lit(None).cast("string").alias("dst"))
+
+        new = F.array(*[shown(x) for x in st.trail])
+        df = st.df.withColumn("_path", F.concat("_path", new) if "_path" in st.extras else new)
+        return replace(st, df=df, extras=tuple(dict.fromkeys([*st.extras, "_path"])), trail=(), simple=0)
 
     def possible(self, elem: Elem, key: str) -> bool:
         """Whether some table of the element's labels has the property."""
@@ -356,7 +370,7 @@ class Planner:
 
     def child(self, st: State, steps, keep: bool = False) -> tuple[State, State, list[tuple[str, str]]]:
         """Runs steps for all rows: (state, result, pairs of columns to join them on). keep: the result keeps the row's bindings."""
-        st = self.begun(st)
+        st = self.laid(self.begun(st))
         if self.independent(st, steps) and not (keep and self.needs_path):
             root = [self.fresh("root")]
             left = [st.cur.fields["id"]]
@@ -420,6 +434,7 @@ class Planner:
         return replace(st, df=st.df.join(hits, self.matching(on, names), "left_anti" if negate else "left_semi"))
 
     def either(self, st: State, a, b) -> State:
+        st = self.laid(self.begun(st))
         st, first = self.condition(st, a.steps)
         st, second = self.condition(st, b.steps)
         if first is not None and second is not None:
@@ -609,9 +624,26 @@ class Planner:
         return self.either(st, *s.args)
 
     def do_simple_path(self, st: State, s: Step) -> State:
+        """Elements that came after the last such step are compared with all before them; what that step kept is known to differ."""
         st = self.begun(st)
-        c = f"_pb_{s.kw['by']}" if s.kw.get("by") else "_path"
-        return replace(st, df=st.df.where(F.size(F.array_distinct(c)) == F.size(c)))
+        if s.kw.get("by") or "_path" in st.extras:
+            st = self.laid(st)
+            c = f"_pb_{s.kw['by']}" if s.kw.get("by") else "_path"
+            return replace(st, df=st.df.where(F.size(F.array_distinct(c)) == F.size(c)))
+        label = lambda x: F.element_at(x[2][0], 1) if isinstance(x[2], tuple) else F.lit(x[2])
+        same = []
+        for i in range(max(st.simple, 1), len(st.trail)):
+            for x, y in [(st.trail[i], y) for y in st.trail[:i] if y[0] == st.trail[i][0]]:
+                equal = F.col(x[1]) == F.col(y[1])
+                if x[0] == "edge":
+                    equal = equal & (F.col(x[2]) == F.col(y[2]))
+                elif x[2] != y[2]:
+                    if isinstance(x[2], str) and isinstance(y[2], str):
+                        continue
+                    equal = equal & (label(x) == label(y))
+                same.append(equal)
+        st = replace(st, simple=len(st.trail))
+        return replace(st, df=st.df.where(~_any(same))) if same else st
 
     def do_hop(self, st: State, s: Step) -> State:
         return self.along(st, s) or self.do_end(self.do_hopE(st, s, ends=True), Step("end", ("far",)))
@@ -864,7 +896,7 @@ class Planner:
             raise QueryError("select takes one by, or one for each name")
         by = by * len(names) if len(by) == 1 else by
         if len(names) == 1 and not by:
-            st = replace(st, cur=st.binds[names[0]], distinct=False, extras=tuple(x for x in st.extras if x != "_path" and not x.startswith("_pb_")))
+            st = replace(st, cur=st.binds[names[0]], distinct=False, trail=(), simple=0, extras=tuple(x for x in st.extras if x != "_path" and not x.startswith("_pb_")))
             return self.stepped(st)
         items = []
         for i, n in enumerate(names):
@@ -882,6 +914,7 @@ class Planner:
 
     def do_path(self, st: State, s: Step) -> State:
         st = self.begun(st)
+        st = self.laid(st)
         return self.valued(st, F.col(f"_pb_{s.kw['by']}" if s.kw.get("by") else "_path"), "list")
 
     def do_unfold(self, st: State, s: Step) -> State:
@@ -1060,7 +1093,7 @@ class Planner:
         return df.drop(part, at)
 
     def do_dedup(self, st: State, s: Step) -> State:
-        st, by = self.begun(st), s.kw.get("by")
+        st, by = self.laid(self.begun(st)), s.kw.get("by")
         if by is not None:
             st, name = self.scalar(st, (Step("values", (by,)),))
             st = replace(st, df=st.df.where(F.col(name).isNotNull()))
@@ -1085,7 +1118,7 @@ class Planner:
 
     def merged(self, states: list[State], tag: bool = False) -> State:
         """Bag union of states of one kind; values of different types become strings."""
-        states = [self.begun(s) for s in states]
+        states = [self.laid(self.begun(s)) for s in states]
         if len(states) == 1:
             return states[0]
         kinds = {s.cur.kind for s in states}

@@ -33,6 +33,8 @@ class State:
 
     root: the columns that name the row of the parent traversal, in a sub-traversal; roots: gives all of those rows.
     sort: columns and whether they ascend. constant extras: `_path`, `_pb_<key>`, `_ord` and `_bulk`, how many equal rows a row stands for.
+    trail: the path as columns: (`vertex`, id, label if ids need one) or (`edge`, src, dst); what lies in `_path` comes before.
+    simple: how many elements of the trail are known to differ.
     distinct: the rows are known to stand on different vertices (for each root).
     """
 
@@ -44,7 +46,10 @@ class State:
     sort: tuple[tuple[str, bool], ...] = ()
     extras: tuple[str, ...] = ()
     distinct: bool = False
+    trail: tuple[tuple, ...] = ()
+    simple: int = 0
 
     def carried(self) -> list[str]:
-        out = [*self.root, *self.extras, *(c for e in self.binds.values() for c in e.columns()), *(c for c, _ in self.sort)]
+        steps = [c for kind, a, b in self.trail for c in (a, b if kind == "edge" else b[0] if isinstance(b, tuple) else a)]
+        out = [*self.root, *self.extras, *steps, *(c for e in self.binds.values() for c in e.columns()), *(c for c, _ in self.sort)]
         return list(dict.fromkeys(out))
