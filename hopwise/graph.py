@@ -12,7 +12,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +20,7 @@ from hopwise.errors import GraphError
 from hopwise.operators import stored
 
 CARRIED = "__v_"
+MOST_CHANGES, MOST_ADDED = 64, 1000  # that a table is read with; more are written into it
 VERTEX_FIELDS, EDGE_FIELDS = ("id", "name", "labels", "_seq"), ("src", "dst", "eid", "_seq")
 
 
@@ -34,14 +35,72 @@ class GraphConfig:
     most_rounds: int = 1000  # of a loop; more are an error
 
 
+@dataclass(frozen=True)
+class Changes:
+    """Changes of properties that a table's rows do not have yet. Each change has a version and wrote, once, a folder of the keys of the elements that it hit.
+
+    ops: (version, column, family, value). A family says how changes of one column add up: `single` (the last counts), `list` and `set` (values are
+    added in turn) or `map` (an entry; one such change at a time). They are merged on reading, by one join for all of them.
+    """
+
+    path: str
+    ops: tuple[tuple, ...] = ()
+
+    def fits(self, column: str, family: str) -> bool:
+        return len(self.ops) < MOST_CHANGES and all(f == family != "map" for _, c, f, _ in self.ops if c == column)
+
+    def merged(self, df: DataFrame, on: list[str]) -> DataFrame:
+        versions = [v for v, *_ in self.ops]
+        schema = T.StructType([*[df.schema[c] for c in on], T.StructField("v", T.IntegerType())])
+        hits = df.sparkSession.read.schema(schema).option("basePath", self.path).parquet(*[f"{self.path}/v={v}" for v in versions])
+        df = df.join(hits.groupBy(*on).agg(F.collect_set("v").alias("__v")), on, "left")
+        return df.withColumns({c: self._value(df, c) for c in dict.fromkeys(c for _, c, _, _ in self.ops)}).drop("__v")
+
+    def _value(self, df: DataFrame, column: str) -> Column:
+        own = [(v, x) for v, c, _, x in self.ops if c == column]
+        family = next(f for _, c, f, _ in self.ops if c == column)
+        old = F.col(f"`{column}`") if column in df.columns else None
+        hit = F.array_sort(F.array_intersect("__v", F.array(*[F.lit(v) for v, _ in own])))
+        kind = typed([{"x": x if family != "map" else x[1]} for _, x in own])[1]["x"]
+        values = F.map_from_arrays(F.array(*[F.lit(v) for v, _ in own]), F.array(*[F.lit(x if family != "map" else x[1]).cast(kind) for _, x in own]))
+        if family == "single":
+            new = F.element_at(values, F.element_at(hit, -1))
+            had = None if old is None else df.schema[column].dataType
+            if old is not None and had != kind and not (isinstance(had, T.NumericType) and isinstance(kind, T.NumericType)):
+                new, old = new.cast("string"), old.cast("string")
+        elif family == "map":
+            key = own[0][1][0]
+            one = F.map_from_arrays(F.array(F.lit(key)), F.array(F.lit(own[0][1][1])))
+            new = one if old is None else F.map_concat(F.map_filter(F.coalesce(old, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))), lambda k, _: k != key), one)
+        else:
+            add, have = F.transform(hit, lambda v: F.element_at(values, v)), F.array() if old is None else F.coalesce(old, F.array())
+            new = F.concat(have, add) if family == "list" else F.array_union(have, add)
+        return F.when(F.size(F.coalesce(hit, F.array().cast("array<int>"))) > 0, new).otherwise(F.lit(None) if old is None else old)
+
+
+def overlaid(table, on: list[str]) -> DataFrame:
+    """A table's rows with those added and the changes made since."""
+    df = table.rows() if callable(table.rows) else table.rows
+    df = aligned(df, frame_of(df.sparkSession, table.added)) if table.added else df
+    return table.changes.merged(df, on) if table.changes else df
+
+
+def frame_of(spark: SparkSession, rows: tuple[dict, ...]) -> DataFrame:
+    """Rows given as dicts, each column with a type that holds all of its values."""
+    keys, kinds = typed(list(rows))
+    return spark.createDataFrame([tuple(fitting(r.get(k), kinds[k]) for k in keys) for r in rows], T.StructType([T.StructField(k, kinds[k]) for k in keys]))
+
+
 @dataclass(frozen=True)
 class VertexTable:
     rows: DataFrame | Callable[[], DataFrame]  # a function is called when a plan first needs the table
     label: str | None = None
+    added: tuple[dict, ...] = ()
+    changes: Changes | None = None
 
     @cached_property
     def df(self) -> DataFrame:
-        return self.rows() if callable(self.rows) else self.rows
+        return overlaid(self, ["id"])
 
     @cached_property
     def properties(self) -> dict[str, T.DataType]:
@@ -57,10 +116,12 @@ class EdgeTable:
     carries: str | None = None  # the end, `src` or `dst`, whose own table this is: its properties are in the rows, under CARRIED names, and it has one edge
     halves: tuple[DataFrame, DataFrame] | None = None  # (id, key) of the sources and of the targets, where all of equal keys are linked
     hubs: tuple[tuple[str, dict], ...] = ()  # for an end, the vertices with very many edges and into how many parts these are split
+    added: tuple[dict, ...] = ()
+    changes: Changes | None = None
 
     @cached_property
     def df(self) -> DataFrame:
-        return self.rows() if callable(self.rows) else self.rows
+        return overlaid(self, ["src", "dst", "eid"])
 
     @cached_property
     def properties(self) -> dict[str, T.DataType]:
@@ -82,6 +143,8 @@ class PropertyGraph:
     vertices: list[VertexTable] = field(default_factory=list)
     edges: list[EdgeTable] = field(default_factory=list)
     config: GraphConfig = field(default_factory=GraphConfig)
+    numbers: dict = field(default_factory=dict, repr=False)  # next places, by the tables that they were counted in
+    log: list = field(default_factory=list, repr=False)  # the folder of changes, and the versions so far
 
     def traversal(self):
         from hopwise.plans.traversal import Source
@@ -104,40 +167,55 @@ class PropertyGraph:
             df = df.where(F.array_contains("labels", label))
         return df if name is None else df.where(F.col("name") == name)
 
+    def _next(self, tables: list) -> int:
+        """The place after the last; it is counted once for the tables as they were read, and what was added since is at hand."""
+        known = tuple(id(t.rows) for t in tables)
+        if known not in self.numbers:
+            plain = [replace(t, added=(), changes=None).df.select("_seq") for t in tables]
+            self.numbers[known] = (union(plain).agg(F.max("_seq")).first()[0] if plain else None, [t.rows for t in tables])
+        last = max([-1 if self.numbers[known][0] is None else int(self.numbers[known][0]), *(r["_seq"] for t in tables for r in t.added)])
+        return last + 1
+
     def _next_seq(self) -> int:
-        row = self.all_vertices().agg(F.max("_seq")).first() if self.vertices else [None]
-        return 0 if row[0] is None else int(row[0]) + 1
+        return self._next(self.vertices)
 
     def add_vertex(self, label: str, name: str = "", id=None, **properties) -> str:
         """Adds a vertex and returns its id: the next number as a string unless given."""
         check_reserved(self.config, properties)
         seq = self._next_seq()
         key = id if id is not None else (str(seq) if isinstance(self.id_type, T.StringType) else seq)
-        row = self.spark.createDataFrame([{"id": key, "name": name, "labels": [label], "_seq": seq, **properties}])
+        row = {"id": key, "name": name, "labels": [label], "_seq": seq, **properties}
         at = next((i for i, t in enumerate(self.vertices) if t.label in (None, label)), None)
         if at is None:
-            self.vertices.append(VertexTable(row, label))
+            self.vertices.append(VertexTable(frame_of(self.spark, (row,)), label))
         else:
-            self.vertices[at] = replace(self.vertices[at], rows=aligned(self.vertices[at].df, row))
+            self.vertices[at] = grown(self.vertices[at], row)
         return key
 
     def add_edge(self, label: str, src, dst, **properties) -> None:
         """Adds an edge, or updates the one between these vertices unless the graph is a multigraph."""
         for end in (src, dst):
-            if self.all_vertices().where(F.col("id") == end).isEmpty():
+            if not any(r["id"] == end for t in self.vertices for r in t.added) and self.all_vertices().where(F.col("id") == end).isEmpty():
                 raise GraphError(f"no vertex has the id {end!r}")
         rows = self.edge_rows() if not self.config.multigraph else None
-        seq = int(self.all_edges().agg(F.coalesce(F.max("_seq"), F.lit(-1))).first()[0]) + 1 if self.edges else 0
-        row = self.spark.createDataFrame([{"src": src, "dst": dst, "_seq": seq, **properties}]).withColumn("eid", F.col("_seq"))
+        seq = self._next(self.edges)
+        row = {"src": src, "dst": dst, "eid": seq, "_seq": seq, **properties}
         if rows is not None:
-            row = row.withColumn("label", F.lit(label))
+            row = frame_of(self.spark, (row,)).withColumn("label", F.lit(label))
             self.edges = edge_tables(aligned(rows, row) if rows.columns else row, False)
             return
         at = next((i for i, t in enumerate(self.edges) if t.label == label and t.src_label is None), None)
         if at is None:
-            self.edges.append(EdgeTable(row, label))
+            self.edges.append(EdgeTable(frame_of(self.spark, (row,)), label))
         else:
-            self.edges[at] = replace(self.edges[at], rows=aligned(self.edges[at].df, row))
+            self.edges[at] = grown(self.edges[at], row)
+
+    def changed(self, table, column: str, family: str, value, version: int):
+        """A table with one more change, whose hits lie in the log under this version; changes that do not add up are written into the table first."""
+        have = table.changes or Changes(self.log[0])
+        if not have.fits(column, family):
+            table, have = replace(table, rows=stored(table.df), added=(), changes=None), Changes(self.log[0])
+        return replace(table, changes=replace(have, ops=(*have.ops, (version, column, family, value))))
 
     def edge_rows(self) -> DataFrame:
         if self.edges:
@@ -249,6 +327,13 @@ class PropertyGraph:
         return "\n".join(["digraph {", *(f"  {quote(r['id'])} [label={quote(r['name'])}];" for r in v), *(f"  {quote(r['src'])} -> {quote(r['dst'])} [label={quote(r['label'])}];" for r in e), "}"])
 
 
+def grown(table, row: dict):
+    """A table with one more row, which is kept apart until there are many."""
+    if len(table.added) >= MOST_ADDED:
+        table = replace(table, rows=stored(table.df), added=(), changes=None)
+    return replace(table, added=(*table.added, row))
+
+
 def check_reserved(config: GraphConfig, properties: dict) -> None:
     for key in properties:
         if key in (config.name_field, config.label_field, "id", "_seq"):

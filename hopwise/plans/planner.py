@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from hopwise.errors import GraphTraversalError, QueryError
 from hopwise.functions.predicates import P, as_predicate, same
 from hopwise.graph import CARRIED, union
-from hopwise.operators import checkpointed, stored
+from hopwise.operators import checkpointed, shared_dir, stored
 from hopwise.plans.state import Elem, State
 from hopwise.plans.traversal import TERMINALS, Cardinality, Scope, Step, Traversal
 
@@ -1349,34 +1349,27 @@ class Planner:
         return st
 
     def do_property(self, st: State, s: Step) -> State:
-        card, key, value = s.args if len(s.args) == 3 else (Cardinality.single, *s.args)
-        st = self.begun(st)
-        st = replace(st, df=checkpointed(self.kept(st)))
+        args = ("labels", *s.args[1:]) if isinstance(s.args[0], Cardinality) and len(s.args) == 2 else s.args
+        card, key, value = args if len(args) == 3 else (Cardinality.label if args[0] == "labels" else Cardinality.single, *args)
+        st, graph = self.begun(st), self.graph
         if card is Cardinality.label:
             key = "labels"
         if isinstance(value, (list, tuple, set, dict)):
             raise QueryError("a property takes one value; use a cardinality for lists and sets")
         table, on = ("vertices", ["id"]) if st.cur.kind == "vertex" else ("edges", ["src", "dst", "eid"])
-        hits = st.df.select(*[F.col(st.cur.fields[c]).alias(c) for c in on]).distinct().withColumn("__hit", F.lit(True))
-        path = [key] if isinstance(key, str) else list(key)
-
-        def changed(t):
-            old = F.col(path[0]) if path[0] in t.df.columns else None
-            new = F.lit(value)
-            if len(path) == 2 or card in (Cardinality.map_, Cardinality.dict_):
-                one = F.map_from_arrays(F.array(F.lit(path[-1])), F.array(new))
-                new = one if old is None else F.map_concat(F.map_filter(F.coalesce(old, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))), lambda k, _: k != path[-1]), one)
-            elif card in (Cardinality.set_, Cardinality.list_) or key == "labels":
-                have = F.array() if old is None else F.coalesce(old, F.array())
-                new = F.concat(have, F.array(new)) if card is Cardinality.list_ else F.array_union(have, F.array(new))
-            kept = F.lit(None) if old is None else old
-            return replace(t, rows=t.df.join(hits, on, "left").withColumn(path[0], F.when(F.col("__hit"), new).otherwise(kept)).drop("__hit"))
-
-        tables = getattr(self.graph, table)
+        if not graph.log:
+            graph.log += [f"{shared_dir(graph.spark).rstrip('/')}/hopwise-{uuid.uuid4().hex}", 0]
+        graph.log[1] += 1
+        version = graph.log[1]
+        st.df.select(*[F.col(st.cur.fields[c]).alias(c) for c in on]).distinct().write.mode("overwrite").parquet(f"{graph.log[0]}/v={version}")
+        column, *rest = [key] if isinstance(key, str) else list(key)
+        family = "map" if rest or card in (Cardinality.map_, Cardinality.dict_) else "list" if card is Cardinality.list_ else "set" if card is Cardinality.set_ or column == "labels" else "single"
+        new = ((rest or [column])[-1], value) if family == "map" else value
         labels = st.cur.labels
-        setattr(self.graph, table, [changed(t) if labels is None or t.label is None or t.label in labels else t for t in tables])
+        hit = lambda t: labels is None or t.label is None or t.label in labels
+        setattr(graph, table, [graph.changed(t, column, family, new, version) if hit(t) else t for t in getattr(graph, table)])
         if st.cur.kind == "vertex":
-            self.graph.edges = [replace(t, carries=None) for t in self.graph.edges]  # what they hold is out of date
+            graph.edges = [replace(t, carries=None) if t.carries else t for t in graph.edges]  # what they hold is out of date
             keep = {k: c for k, c in st.cur.fields.items() if k in ("id",)}
             return replace(st, cur=replace(st.cur, fields=keep, loaded=False))
         return self.reread(st, on)
@@ -1434,7 +1427,9 @@ class Planner:
         if last.op not in TERMINALS:
             return self.frame()
         if last.op == "iterate":
-            self.compiled().df.foreach(lambda row: None)
+            df = self.compiled().df
+            if self.steps[-2].op not in ("property", "addV", "addE"):  # these are done by now
+                df.foreach(lambda row: None)
             return None
         if last.op == "has_next":
             return not self.compiled().df.isEmpty()

@@ -193,6 +193,17 @@ def property_update(g):
     return g.V().has("city", "Aachen").element_map("name", "city").to_df("name", "city")
 
 
+@query("select n_name as name, 'k' || (n_nationkey % 50) as last, case when n_nationkey < 9 then 'low' || n_regionkey end as more from nation")
+def many_updates(g):
+    """Fifty changes in a row, none of which makes the table's plan longer for the next."""
+    for i in range(25):
+        g.V().has_label("nation").has_id(i).property("last", f"k{i}").iterate().run()
+    for i in range(25):
+        low = g.V().has_label("nation").has_id(lt(9)).has("n_regionkey", i % 5)
+        low.property("more", f"low{i % 5}").iterate().run()
+    return g.V().has_label("nation").element_map("name", "last", "more").to_df("name", "last", "more")
+
+
 @query("select r_name as name from region union all select 'ATLANTIS'")
 def add_v(g):
     g.addV("region", "ATLANTIS", id=99).iterate().run()
