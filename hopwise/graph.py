@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from hopwise.errors import GraphError
 from hopwise.operators import stored
+from hopwise.operators.idindex import IdIndex
 
 CARRIED = "__v_"
 MOST_CHANGES, MOST_ADDED = 64, 1000  # that a table is read with; more are written into it
@@ -144,6 +145,7 @@ class PropertyGraph:
     edges: list[EdgeTable] = field(default_factory=list)
     config: GraphConfig = field(default_factory=GraphConfig)
     numbers: dict = field(default_factory=dict, repr=False)  # next places, by the tables that they were counted in
+    index: IdIndex | None = field(default=None, repr=False)
     log: list = field(default_factory=list, repr=False)  # the folder of changes, and the versions so far
 
     def traversal(self):
@@ -284,6 +286,10 @@ class PropertyGraph:
             made.append(replace(t, hubs=tuple(found)))
         return replace(self, edges=made)
 
+    def indexed(self) -> PropertyGraph:
+        """The graph with an index of ids, so that a traversal from given ids reads only the vertex tables that can hold them."""
+        return replace(self, index=IdIndex.of(self.vertices))
+
     def quads(self) -> DataFrame:
         """(s, p, o, g): a row for each label, name and property of a vertex and for each edge."""
         out = []

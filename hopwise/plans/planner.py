@@ -552,16 +552,27 @@ class Planner:
         st = State(None, Elem("vertex"))
         if not s.args:
             return st
-        st = self.begun(st)
+        labels = self.holding(list(s.args), None)
+        if labels == ():
+            raise GraphTraversalError(f"no vertex has the id {s.args[0]!r}")
+        st = self.begun(replace(st, cur=replace(st.cur, labels=labels)))
         kind = self.graph.id_type.simpleString()
         ids = self.graph.spark.createDataFrame([(i, x) for i, x in enumerate(s.args)], f"__at long, __id {kind}")
-        found = ids.join(st.df, F.col("__id") == F.col(st.cur.fields["id"]), "left")
-        if lost := [r[0] for r in found.where(F.col(st.cur.fields["id"]).isNull()).select("__id").collect()]:
+        # the few rows are written when the plan is made, which tells whether all ids are there
+        df = checkpointed(st.df.join(F.broadcast(ids), F.col("__id") == F.col(st.cur.fields["id"])))
+        there = {r[0] for r in df.select("__at").distinct().collect()}
+        if lost := [x for i, x in enumerate(s.args) if i not in there]:
             raise GraphTraversalError(f"no vertex has the id {lost[0]!r}")
-        df = st.df.join(F.broadcast(ids), F.col("__id") == F.col(st.cur.fields["id"]))
         if "_ord" in st.extras:
             df = df.withColumn("_ord", F.array("__at"))
-        return replace(st, df=df.drop("__at", "__id"))
+        return replace(st, df=df.drop("__at", "__id"), distinct=len(set(s.args)) == len(s.args))
+
+    def holding(self, ids: list, labels) -> tuple[str, ...] | None:
+        """Of these labels, those whose tables can hold some of the ids, where an index tells."""
+        tables = self.vertex_tables(labels)
+        if self.graph.index is None or any(t.label is None for t in tables):
+            return labels
+        return tuple(t.label for t in self.graph.index.holding(tables, ids))
 
     def do_E(self, st, s: Step) -> State:  # noqa: N802
         st = State(None, Elem("edge"))
@@ -609,7 +620,12 @@ class Planner:
         st, cond = self.condition(st, (s,))
         return replace(st, df=st.df.where(cond))
 
-    do_has = do_has_not = do_has_key = do_has_value = do_has_id = do_contains = do_within = do_is = filtered
+    do_has = do_has_not = do_has_key = do_has_value = do_contains = do_within = do_is = filtered
+
+    def do_has_id(self, st: State, s: Step) -> State:
+        if st.df is None and st.cur.kind == "vertex" and not any(isinstance(x, P) or callable(x) for x in s.args):
+            st = replace(st, cur=replace(st.cur, labels=self.holding(list(s.args), st.cur.labels)))
+        return self.filtered(st, s)
 
     def do_filter(self, st: State, s: Step) -> State:
         return self.existing(st, s.args[0].steps)

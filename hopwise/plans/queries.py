@@ -16,7 +16,7 @@ from hopwise.sources.graphml import read_graphml, write_graphml
 from hopwise.sources.examples import crew, modern
 from hopwise.sources.files import FileIO, read_folder
 from hopwise.sources.jsonfiles import graphson_lines, read_graphson, read_json_lines, read_json_tree
-from hopwise.sources.rdf import triples
+from hopwise.sources.rdf import triples, turtle
 from hopwise.sources.tables import table_graph, talk_graph
 from hopwise.streaming.edges import degrees, fresh_edges, hop, landed, latest
 
@@ -262,6 +262,17 @@ def rdf_triples(g):
     return triples(g.graph).where("p = 'http://example.org/in_region'").select("s", "o")
 
 
+@query("select 'p:nation' || n_nationkey as subject, 'p:region' || n_regionkey as region from nation", nations)
+def rdf_turtle(g):
+    """Subjects with prefixes; ids get plain names first."""
+    plain = lambda c: F.replace(F.col(c), F.lit(":"), F.lit(""))
+    v = [VertexTable(t.df.withColumn("id", plain("id")), t.label) for t in g.graph.vertices]
+    e = [EdgeTable(t.df.withColumns({"src": plain("src"), "dst": plain("dst")}), t.label, t.src_label, t.dst_label) for t in g.graph.edges]
+    rows = turtle(PropertyGraph(g.graph.spark, v, e, g.graph.config)).where("not head")
+    found = rows.select(F.regexp_extract("value", r"^(\S+) ", 1).alias("subject"), F.regexp_extract("value", r"p:in_region (p:region\d+)", 1).alias("region"))
+    return found.where("region <> ''")
+
+
 def stream_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of each user in each hour, from the table read as a stream of edges."""
     events = f"{sf_dir}/events.parquet"
@@ -367,15 +378,26 @@ def json_lines(g):
     return found.traversal().V().element_map("name", "n_regionkey").to_df("name", "region")
 
 
-@query("select 'has_' || k as label, n from (values ('nations', 1), ('item', 25), ('name', 25)) t(k, n)")
+@query("select 'has_' || k as label, n from (values ('name', 25), ('region', 25)) t(k, n)")
 def json_tree(g):
-    """All nations as one document: an edge from each object and list to what it holds."""
-    path = f"{shared_dir(g.graph.spark)}/hopwise-{uuid.uuid4().hex}.json"
-    names = g.V().has_label("nation").values("name").to_df("name").agg(F.to_json(F.struct(F.collect_list(F.struct("name")).alias("nations"))).alias("value"))
-    names.coalesce(1).write.text(path)
+    """A folder of documents, one for each nation: an edge from each object to what it holds."""
+    path = f"{shared_dir(g.graph.spark)}/hopwise-{uuid.uuid4().hex}"
+    names = g.V().has_label("nation").element_map("name", "n_regionkey").to_df("name", "region")
+    names.repartition(25, "name").select(F.to_json(F.struct("name", "region")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
     return read_json_tree(g.graph.spark, path).summary().where("element = 'edge'").select("label", "n")
 
 
+@query("select o_orderkey as key, l_quantity as quantity from orders join lineitem on l_orderkey = o_orderkey where o_totalprice > 350000 and l_quantity > 40")
+def json_documents(g):
+    """Orders with their lines, one document a line: from each line item's quantity up to the order's key."""
+    path = f"{shared_dir(g.graph.spark)}/hopwise-{uuid.uuid4().hex}"
+    lines = g.V().has_label("order").has("o_totalprice", gt(350000)).as_("o").outE("contains").as_("e").select("o", "e").by("o_orderkey").by("l_quantity").to_df("key", "quantity")
+    lines.groupBy("key").agg(F.collect_list(F.struct("quantity")).alias("lines")).select(F.to_json(F.struct("key", "lines")).alias("value")).write.text(path)
+    tree = read_json_tree(g.graph.spark, path, lines=True).traversal()
+    up = tree.V().has("name", "quantity").as_("q").in_("has_quantity").in_("has_item").in_("has_lines").out("has_key").as_("k").select("k", "q").by("value").by("value").to_df("key", "quantity")
+    return up.select(F.col("key").cast("long").alias("key"), F.col("quantity").cast("double").alias("quantity")).where("quantity > 40")
+
+
 # ---- three constrained legs: many simple paths from one vertex
 
 
@@ -458,6 +480,17 @@ simple("key_join_in_filter", "select c_custkey as id from customer where (select
 
 # ---- given tables: ids, pairs, look-ups, merges, maps, folders, builders
 
+simple("ids_by_index", "select l_partkey as id from lineitem where l_orderkey = (select max(o_orderkey) from orders)", lambda g: _last_order(g).out("contains").to_df("id"))
+simple("has_id_by_index", "select o_orderkey as id from orders where o_orderkey > (select max(o_orderkey) - 3 from orders)", lambda g: _last_order(g, 3).to_df("id"))
+
+
+def _last_order(g: Source, n: int = 1) -> Traversal:
+    """The orders of the greatest keys, from an index of ids over all tables."""
+    last = g.V().has_label("order").values("o_orderkey").max_().next().run()
+    indexed = g.graph.indexed().traversal()
+    return indexed.V(last) if n == 1 else indexed.V().has_id(*range(last - n + 1, last + 1)).has_label("order")
+
+
 simple("ids_of_table", "select p_name as name from part where p_partkey in (7, 3)", lambda g: g.V(7, 3).has_label("part").values("name").to_df("name"))
 simple("pairs_of_table", "select n_nationkey as src, n_regionkey as dst from nation where n_nationkey in (3, 4)", lambda g: g.E(*[("nation:%d" % r["n_nationkey"], "region:%d" % r["n_regionkey"]) for r in _some_nations(g)]).to_df("src", "dst", "label").select(F.substring_index("src", ":", -1).cast("long").alias("src"), F.substring_index("dst", ":", -1).cast("long").alias("dst")), nations)
 

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
+import uuid
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopwise.graph import GraphBuilder, GraphConfig, PropertyGraph, VertexTable, edge_tables
+from hopwise.graph import GraphConfig, PropertyGraph, VertexTable, edge_tables, union
 from hopwise.operators import checkpointed, stored
 from hopwise.sources.graphml import numbered
 
@@ -117,24 +118,48 @@ def graphson_lines(graph: PropertyGraph) -> DataFrame:
     return v.mapInPandas(run, "value string")
 
 
-def read_json_tree(spark: SparkSession, path: str) -> PropertyGraph:
-    """One JSON document as a tree: objects and lists are nodes with an edge from their parent, list members are `item_<i>`, leaves have type and value."""
-    doc = json.loads(spark.read.text(path, wholetext=True).first()[0])
-    b = GraphBuilder(GraphConfig(multigraph=True))
-
-    def walk(name: str, x, parent: str | None, edge: str) -> None:
-        if isinstance(x, (dict, list)):
-            key = b.add_labeled_node("Node", name, {"type": type(x).__name__})
-            children = x.items() if isinstance(x, dict) else ((f"item_{i}", v) for i, v in enumerate(x))
-            for k, v in children:
-                walk(k, v, key, "has_item" if isinstance(x, list) else f"has_{k}")
-        else:
-            key = b.add_labeled_node("Leaf", name, {"type": type(x).__name__, "value": None if x is None else str(x)})
-        if parent is not None:
-            b.add_labeled_edge(parent, key, edge)
-
-    walk("root", doc, None, "")
-    return b.build(spark)
+def read_json_tree(spark: SparkSession, path: str, lines: bool = False) -> PropertyGraph:
+    """JSON documents as trees: objects and lists are nodes with an edge from their parent, list members are `item_<i>`, leaves have type and value.
+
+    Each file below the path is a document, with `lines` each line that is not blank. Ids are a document's file (and line) and the
+    places from its root down to the node. Documents are VARIANT values that Spark takes apart level by level, so none passes through the driver,
+    and the jobs are as many as the levels. A document that is no JSON is a leaf of type `invalid` with its text.
+    """
+    rows = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=not lines).select("value", "_metadata.file_path", "_metadata.file_name", "_metadata.file_block_start")
+    rows = rows.where(F.trim("value") != "") if lines else rows
+    line = F.concat(F.col("file_path"), F.lit("#"), F.monotonically_increasing_id().cast("string")) if lines else F.col("file_path")
+    level = rows.select(line.alias("id"), F.lit("root").alias("name"), F.lit(None).cast("string").alias("parent"), F.lit("").alias("edge"), F.try_parse_json("value").alias("v"), F.col("value").alias("text"))
+    level = level.withColumn("text", F.when(F.col("v").isNull(), F.col("text")))
+    found: list[DataFrame] = []
+    while True:
+        kind = F.regexp_extract(F.coalesce(F.schema_of_variant("v"), F.lit("INVALID")), "^[A-Z]+", 0)
+        level = stored(level.withColumn("kind", kind))
+        found.append(_leaves(level))
+        inner = level.where(F.col("kind").isin("OBJECT", "ARRAY"))
+        if inner.isEmpty():
+            break
+        inner.createOrReplaceTempView(view := f"hopwise_{uuid.uuid4().hex}")
+        level = spark.sql(f"""SELECT concat(d.id, IF(d.parent IS NULL, ':', '.'), e.pos) AS id, coalesce(e.key, concat('item_', e.pos)) AS name, d.id AS parent,
+            IF(e.key IS NULL, 'has_item', concat('has_', e.key)) AS edge, e.value AS v, CAST(NULL AS STRING) AS text FROM {view} d, LATERAL variant_explode(d.v) e""")
+        spark.catalog.dropTempView(view)
+    nodes = union(found)
+    seq = F.xxhash64("id")
+    v = nodes.select("id", "name", F.array(F.when(F.col("type").isin("dict", "list"), "Node").otherwise("Leaf")).alias("labels"), seq.alias("_seq"), "type", "value")
+    e = nodes.where("parent is not null").select(F.col("parent").alias("src"), F.col("id").alias("dst"), seq.alias("eid"), seq.alias("_seq"), F.col("edge").alias("label"))
+    return PropertyGraph(spark, [VertexTable(v)], edge_tables(stored(e), True), GraphConfig(multigraph=True))
+
+
+#: Names of types in trees, by those of VARIANT.
+_TYPES = {"OBJECT": "dict", "ARRAY": "list", "STRING": "str", "BIGINT": "int", "DECIMAL": "float", "DOUBLE": "float", "FLOAT": "float", "BOOLEAN": "bool", "VOID": "NoneType", "INVALID": "invalid"}
+
+
+def _leaves(level: DataFrame) -> DataFrame:
+    """Nodes of a level without their contents: type, and the value of leaves as text."""
+    text = F.try_variant_get("v", "$", "string")
+    text = F.when(F.col("kind") == "BOOLEAN", F.initcap(text)).otherwise(text)
+    kind = F.element_at(F.create_map(*[F.lit(x) for pair in _TYPES.items() for x in pair]), F.col("kind"))
+    value = F.when(~F.col("kind").isin("OBJECT", "ARRAY", "VOID"), F.coalesce("text", text))
+    return level.select("id", "name", "parent", "edge", kind.alias("type"), value.alias("value"))
 
 
 def read_json_lines(spark: SparkSession, path: str, id_key: str = "id") -> tuple[PropertyGraph, DataFrame]:

@@ -37,3 +37,30 @@ def ntriples(rows: DataFrame) -> DataFrame:
     text = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace("o", r"\\", r"\\\\"), '"', r'\\"'), "\n", r"\\n"), "\r", r"\\r")
     literal = F.concat(F.lit('"'), text, F.lit('"^^<http://www.w3.org/2001/XMLSchema#'), F.col("datatype"), F.lit(">"))
     return rows.select(F.concat_ws(" ", iri("s"), iri("p"), F.when(F.col("datatype").isNull(), iri("o")).otherwise(literal), F.lit(".")).alias("value"))
+
+
+def turtle(graph: PropertyGraph, base: str = "http://example.org/", prefixes: dict[str, str] | None = None) -> DataFrame:
+    """Turtle, in the column `value`: a row for each subject with all that is said of it, predicates in order, under prefixes.
+
+    prefixes: names of namespaces; without any, `p` is the base. A resource is shortened where its rest after a namespace is a plain name. The rows
+    with `@prefix` come first in any order of the others: `head` is true for them, so a file is the rows of each kind one after another.
+    """
+    named = {"rdf": "http://www.w3.org/1999/02/22-rdf-syntax-ns#", "xsd": "http://www.w3.org/2001/XMLSchema#"} | (prefixes or {"p": base})
+    rows = triples(graph, base)
+
+    def short(c):
+        out = F.concat(F.lit("<"), F.regexp_replace(c, r"[\s<>\"{}|^`\\]", "_"), F.lit(">"))
+        for name, space in sorted(named.items(), key=lambda x: len(x[1])):
+            rest = F.substring(c, F.lit(len(space) + 1), F.length(c))
+            out = F.when(c.startswith(space) & rest.rlike("^[A-Za-z][A-Za-z0-9_]*$"), F.concat(F.lit(f"{name}:"), rest)).otherwise(out)
+        return out
+
+    text = F.col("o")
+    for plain, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r")):
+        text = F.replace(text, F.lit(plain), F.lit(escaped))
+    literal = F.concat(F.lit('"'), text, F.lit('"'), F.when(F.col("datatype") == "string", "").otherwise(F.concat(F.lit("^^xsd:"), F.col("datatype"))))
+    said = F.concat_ws(" ", short(F.col("p")), F.when(F.col("datatype").isNull(), short(F.col("o"))).otherwise(literal))
+    each = rows.select(short(F.col("s")).alias("s"), said.alias("said")).groupBy("s").agg(F.array_join(F.array_sort(F.collect_set("said")), " ;\n    ").alias("all"))
+    lines = each.select(F.lit(False).alias("head"), F.concat_ws(" ", "s", F.concat("all", F.lit(" ."))).alias("value"))
+    head = rows.sparkSession.createDataFrame([(True, f"@prefix {name}: <{space}> .") for name, space in sorted(named.items())], "head boolean, value string")
+    return head.union(lines)

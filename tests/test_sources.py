@@ -190,3 +190,64 @@ def test_streams(spark, tmp_path):
     assert sorted(r["n"] for r in result("deg", streams.degrees, "complete")) == [1, 2]
     static = spark.createDataFrame([("b", "z")], "src string, dst string")
     assert {r["next"] for r in result("hop", lambda s: streams.hop(s, static))} == {"z"}
+
+
+def test_json_trees(spark, tmp_path):
+    docs = {"a.json": '{"x": {"y": [1, 2.5, "t", null, true, {}]}, "b.c": []}', "sub/b.json": '[{"x": "deep"}]', "bad.json": "{not json"}
+    (tmp_path / "sub").mkdir()
+    for name, text in docs.items():
+        (tmp_path / name).write_text(text)
+    graph = jsonfiles.read_json_tree(spark, str(tmp_path))
+    rows = {r["id"].rsplit("/", 1)[-1]: (r["name"], r["labels"][0], r["type"], r["value"]) for r in graph.vertices[0].df.collect()}
+    at = lambda *place: rows[place[0] + (":" + ".".join(map(str, place[1:])) if len(place) > 1 else "")]
+    assert at("a.json") == ("root", "Node", "dict", None) and at("bad.json") == ("root", "Leaf", "invalid", "{not json")
+    leaves = [at("a.json", 1, 0, i) for i in range(6)]
+    assert leaves == [("item_0", "Leaf", "int", "1"), ("item_1", "Leaf", "float", "2.5"), ("item_2", "Leaf", "str", "t"), ("item_3", "Leaf", "NoneType", None), ("item_4", "Leaf", "bool", "True"), ("item_5", "Node", "dict", None)]
+    assert at("a.json", 0) == ("b.c", "Node", "list", None) and at("b.json", 0, 0) == ("x", "Leaf", "str", "deep")
+    assert len(rows) == 3 + 9 + 2
+    g = graph.traversal()
+    assert g.V().has("value", "deep").in_("has_x").in_("has_item").values("type").to_list().run() == ["list"]
+    assert sorted(e.label for e in graph.edges) == ["has_b.c", "has_item", "has_x", "has_y"]
+    lines = tmp_path / "lines.jsonl"
+    lines.write_text('{"k": 1}\n\n{"k": 2}\n7\n')
+    tree = jsonfiles.read_json_tree(spark, str(lines), lines=True).traversal()
+    assert sorted(tree.V().has_name("k").values("value").to_list().run()) == ["1", "2"] and tree.V().has_name("root").count().to_list().run() == [3]
+
+
+def test_id_index(spark):
+    from hopwise.graph import EdgeTable, GraphConfig, PropertyGraph, VertexTable
+
+    table = lambda label, ids: VertexTable(spark.createDataFrame([(i, f"{label}{i}", [label], k) for k, i in enumerate(ids)], "id long, name string, labels array<string>, _seq long"), label)
+    even, odd, none = table("even", range(0, 4000, 2)), table("odd", range(1, 4000, 2)), table("none", [])
+    edges = EdgeTable(spark.createDataFrame([(2, 3, 0, 0)], "src long, dst long, eid long, _seq long"), "to", "even", "odd")
+    graph = PropertyGraph(spark, [even, odd, none], [edges], GraphConfig(multigraph=True)).indexed()
+    named = lambda ids: [t.label for t in graph.index.holding(graph.vertices, ids)]
+    assert all("even" in named([i]) for i in (0, 2, 1998, 3998)) and all("odd" in named([i]) for i in (1, 1999, 3999))
+    wrong = sum(len(named([i])) - 1 for i in range(40))
+    assert wrong <= 4 and named([-5]) == [] == named([10**6]) and named(["2"]) == []
+    assert named([2, 3]) == ["even", "odd"]
+    g = graph.traversal()
+    assert g.V(3, 2).values("name").to_list().run() == ["odd3", "even2"]
+    assert g.V().has_id(3).values("name").to_list().run() == ["odd3"] and g.V(2).out("to").to_list().run() == [3]
+    plan = g.V().has_id(2).to_df()._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan
+    for lost in (-1, 10**7):
+        with pytest.raises(Exception, match="no vertex has the id"):
+            g.V(lost).to_list().run()
+    g.addV("none", "new", id=9001).iterate().run()
+    assert g.V(9001).values("name").to_list().run() == ["new"]
+
+
+def test_turtle(spark):
+    from hopwise.graph import GraphBuilder
+    from hopwise.sources.rdf import turtle
+
+    b = GraphBuilder()
+    b.add_labeled_node("Person", 'A "q"\\', node_id="a", age=3)
+    b.add_labeled_node("Person", "B", node_id="b 1")
+    b.add_labeled_edge("a", "b 1", "knows")
+    rows = turtle(b.build(spark), prefixes={"ex": "http://example.org/"}).collect()
+    assert sorted(r["value"] for r in rows if r["head"]) == ["@prefix ex: <http://example.org/> .", "@prefix rdf: <http://www.w3.org/1999/02/22-rdf-syntax-ns#> .", "@prefix xsd: <http://www.w3.org/2001/XMLSchema#> ."]
+    said = {r["value"].split(" ")[0]: r["value"] for r in rows if not r["head"]}
+    assert said["ex:a"] == 'ex:a ex:age "3"^^xsd:integer ;\n    ex:knows <http://example.org/b_1> ;\n    ex:name "A \\"q\\"\\\\" ;\n    rdf:type ex:Person .'
+    assert said["<http://example.org/b_1>"].endswith('ex:name "B" ;\n    rdf:type ex:Person .')
