@@ -31,7 +31,7 @@ from hopwise.llm.shared import series_udf, small_batches
 # Element names by their role in HTML.
 BLOCK = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = set("script style noscript template svg math iframe object head title textarea select canvas audio video".split())
+HIDDEN = set("script style noscript template svg annotation annotation-xml iframe object head title textarea select canvas audio video".split())
 RAW = set("script style textarea title iframe".split())
 HEAD = set("head title base link meta style script noscript template".split())
 CHROME = set("nav footer aside form button menu dialog".split())
@@ -203,7 +203,7 @@ def blocks(page: str) -> list[tuple[str, int, int, float, float, bool, bool]]:
     """(text, words, words in links, strong, weak, article, heading) of each block that has words."""
     out: list[list] = []
     parts: list[str] = []
-    total = linked = hidden = 0
+    total = linked = hidden = linked_in = 0
     link = heading = False
     stack: list[tuple[str, bool, int]] = []  # element, inside an article, its nearest hint
     opened: dict[str, int] = {}
@@ -233,7 +233,7 @@ def blocks(page: str) -> list[tuple[str, int, int, float, float, bool, bool]]:
 
     def pop(k: int) -> None:
         """Ends the elements from the k-th on."""
-        nonlocal article, hint, hidden
+        nonlocal article, hint, hidden, link
         outer = stack[k - 1][2] if k else -1
         if stack[-1][2] != outer:
             close()
@@ -245,6 +245,8 @@ def blocks(page: str) -> list[tuple[str, int, int, float, float, bool, bool]]:
             hint = hints[hint][1]
         del stack[k:]
         article = stack[-1][1] if stack else False
+        if len(stack) < linked_in:
+            link = False
 
     while at < n:
         m = _token.search(page, at)
@@ -291,7 +293,9 @@ def blocks(page: str) -> list[tuple[str, int, int, float, float, bool, bool]]:
                         pop(k)
             heading = name in HEADINGS or (heading and name not in ("p", "div", "ul", "section", "article", "main", "table"))
         elif name == "a":
-            link = True
+            # one with a name and no address is a mark in the text; one that is not ended ends with the element round it
+            named = attributes(m[3]) if m[3] else {}
+            link, linked_in = "href" in named or not named.keys() & {"name", "id"}, len(stack)
         if name in VOID:
             continue
         if name in RAW:

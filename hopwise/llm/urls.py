@@ -2,7 +2,8 @@
 
 A rule has a host and a path. It fits a URL if the URL's host is the rule's host or a subdomain of it and the URL's path
 starts with the rule's path; the longest rule wins (host and path together; at equal length `block`, then the greater text).
-A URL's candidate keys are its host's suffixes combined with its path cut to each length that some rule's path has. Each key picks one 64-bit
+A URL's candidate keys are its host's last labels, as many as some rule's host has, combined with its path cut to each length that some rule's path
+has. Each key picks one 64-bit
 block and sets four bits in it. The list's blocks, 16 bits a rule and MOST_BLOCKS at most (a longer list only lets more keys
 through), are a small table that is broadcast at any size of the list, so keys are tested where they are made, before any
 exchange. Those whose bits are all set go on to the exact join with the rules, which removes the false positives; the rules are broadcast
@@ -28,11 +29,19 @@ def listed(spark: SparkSession, rules: list[tuple[str, str, str]] = RULES) -> Da
     return spark.createDataFrame(rules, "verdict string, host string, path string")
 
 
+def _folded(c: Column) -> Column:
+    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def _labels(host: str) -> Column:
+    return F.length(host) - F.length(F.replace(F.col(host), F.lit("."), F.lit(""))) + 1
+
+
 def host_and_path(url: Column) -> tuple[Column, Column]:
     has = F.coalesce(F.instr(url, "://") > 0, F.lit(False))
     after = F.substring_index(F.regexp_replace(url, r"(?s)^.*?://", ""), "#", 1)
     after = F.substring_index(after, "?", 1)
-    host = F.translate(F.substring_index(after, "/", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    host = _folded(F.substring_index(after, "/", 1))
     path = F.substring(after, F.length(F.substring_index(after, "/", 1)) + 1, F.length(after))
     return F.when(has, host).otherwise(""), F.when(has, path).otherwise("")
 
@@ -52,17 +61,16 @@ def judged(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     """(page_id, host, path, rule, verdict): one row per input row."""
     host, path = host_and_path(F.col(url_col).cast("string"))
     rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
-    rules = rules.dropna(subset=["host", "path", "verdict"]).select(F.lower("host").alias("rule_host"), F.col("path").alias("rule_path"), F.col("verdict").alias("rule_verdict")).distinct()
+    rules = rules.dropna(subset=["host", "path", "verdict"]).select(_folded(F.col("host")).alias("rule_host"), F.col("path").alias("rule_path"), F.col("verdict").alias("rule_verdict")).distinct()
     rules = rules.withColumn("key", F.concat("rule_host", "rule_path"))
-    about = rules.agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set(F.length("rule_path"))).alias("lengths")).first()
-    lengths = F.array(*[F.lit(n) for n in about["lengths"]]) if about["lengths"] else F.array().cast("array<int>")
+    about = rules.agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set(F.length("rule_path"))).alias("lengths"), F.array_sort(F.collect_set(_labels("rule_host"))).alias("labels")).first()
+    lengths, labels = (F.array(*[F.lit(n) for n in about[k]]) if about[k] else F.array().cast("array<int>") for k in ("lengths", "labels"))
     blocks = min(MOST_BLOCKS, max(1, -(-about["n"] * BITS_PER_KEY // 64)))
     block, bits = _place(F.col("key"), blocks)
     bloom = rules.select(block.alias("block"), bits.alias("bits")).groupBy("block").agg(F.bit_or("bits").alias("filled"))
 
-    parts = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
-    keys = rows.where("host <> ''").select("host", "path", F.explode(suffixes).alias("suffix")).select("host", "path", "suffix", F.explode(F.filter(lengths, lambda n: n <= F.length("path"))).alias("cut"))
+    keys = rows.where("host <> ''").select("host", "path", _labels("host").alias("of")).select("host", "path", F.explode(F.filter(labels, lambda n: n <= F.col("of"))).alias("last"))
+    keys = keys.withColumn("suffix", F.expr("substring_index(host, '.', -last)")).select("host", "path", "suffix", F.explode(F.filter(lengths, lambda n: n <= F.length("path"))).alias("cut"))
     keys = keys.withColumn("key", F.concat("suffix", F.expr("substring(path, 1, cut)")))
     block, bits = _place(F.col("key"), blocks)
     keys = keys.withColumns({"block": block, "bits": bits})

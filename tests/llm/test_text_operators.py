@@ -198,6 +198,20 @@ def test_html():
     assert html_text.main_text(f"<article><p>{long}<b>bold<p>next &amp", tree) == f"{long}bold\nnext &"
 
 
+def test_html_anchors_and_formulas():
+    """An anchor without an address is no link, one that is not ended ends with what holds it, and formulas are text."""
+    tree = html_text.standard_tree()
+    long = " ".join(["word"] * 40)
+    for page in (
+        f'<body><div><a name="top"><p>{long}</p><p>{long}</p></div>', f'<article><a id="top"><p>{long}</p><p>{long}</p></article>', f'<body><div><p>{long}</p></div><div><a name=x></div><div><p>{long}</p></div>',
+        f'<article><div><a href="/x">some link</div><p>{long}</p><p>{long}</p></article>',
+    ):
+        assert html_text.main_text(page, tree).endswith(f"{long}\n{long}"), page
+    assert [b[2] for b in html_text.blocks(f'<p><a href="x">one two <a name="y">three</a> four</p><div><a href="z">five six</div><p>{long}</p>')] == [2, 2, 0]
+    formula = f"<article><p>{long} where <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds</p></article>"
+    assert html_text.main_text(formula, tree) == f"{long} where x=2 holds"
+
+
 def test_html_named_containers():
     """Classes of the page's frame do not make it chrome, and attribute values are no attributes."""
     tree = html_text.standard_tree()
@@ -340,6 +354,16 @@ def test_urls(spark):
     assert {r["verdict"] for r in none} == {"allow"} and urls.judged(df.limit(0), urls.listed(spark)).count() == 0
 
 
+def test_urls_of_very_long_hosts(spark):
+    """Only as many of a host's last labels are looked up as some rule's host has."""
+    rules = [("block", "example.org", "/"), ("block", "a.b.Example.COM", "/x"), ("allow", "É.net", "/")]
+    long = "s." * 100_000
+    some = [f"http://{long}example.org/", f"http://{long}b.example.com/x", f"http://{long}a.b.example.com/x", "http://org/", f"http://{long}É.NET/", "http://é.net/", "http://example.org./", "http://./x"]
+    pages = spark.createDataFrame(list(enumerate(some)), "page_id long, url string")
+    found = {r["page_id"]: r["rule"] for r in urls.judged(pages, urls.listed(spark, rules)).collect()}
+    assert found == {0: "example.org/", 1: None, 2: "a.b.example.com/x", 3: None, 4: "É.net/", 5: None, 6: None, 7: None}
+
+
 def test_url_bloom_lets_all_listed_through(spark):
     rules = [("block", f"h{i}.net", f"/p{i % 7}/") for i in range(3000)] + [("block", None, "/"), ("block", "h1.net", "/p1/")]
     pages = spark.createDataFrame([(i, f"http://www.h{i}.net/p{i % 7}/x") for i in range(3500)], "page_id long, url string")
