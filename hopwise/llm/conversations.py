@@ -374,7 +374,7 @@ def _hashed(schema: T.StructType):
 
 def _in_blocks(rows: DataFrame, conv: T.StructField, fan: int) -> DataFrame:
     """Results of the conversations whose turns are in several blocks."""
-    spark, same = rows.sparkSession, lambda a, b: a["conv_id"].eqNullSafe(b["__conv"])
+    same = lambda a, b: a["conv_id"].eqNullSafe(b["__conv"])
     named = lambda df: df.withColumnRenamed("conv_id", "__conv")
     span = (rows.agg(F.max("block")).first()[0] or 0) + 1
     rows = rows.withColumn("place", F.col("part").cast("long") * span + F.col("block"))
@@ -410,7 +410,6 @@ def _in_blocks(rows: DataFrame, conv: T.StructField, fan: int) -> DataFrame:
     last = named(roots.select("conv_id", "inserts", "state"))
     parts = parts.join(last, same(parts, last)).select("conv_id", "place", "audit", "lines", "inserts", "state")
     text = _schema(conv, "audit string, repaired_sha256 string")
-    small_batches(spark, 64)
     texts = stored(parts.repartition("conv_id").sortWithinPartitions("conv_id", "place").mapInArrow(_hashed(text), text))
     discard(ways, *levels[1:], blocks)
     texts = named(texts)
@@ -419,6 +418,7 @@ def _in_blocks(rows: DataFrame, conv: T.StructField, fan: int) -> DataFrame:
 
 def repaired(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", block_rows: int = BLOCK_ROWS, fan: int = FAN) -> DataFrame:
     """(conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256): one row for each conversation."""
+    small_batches(turns.sparkSession)
     role, text = (F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in (role_col, text_col))
     key = F.unhex(F.md5(F.concat(F.length(role).cast("string"), F.lit(":"), role, text).cast("binary")))
     rows = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), role.alias("role"), text.alias("text"), key.alias("key"))
