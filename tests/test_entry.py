@@ -26,7 +26,7 @@ def test_contract(spark):
     assert entry.entry(spark).count() == 1
 
 
-NAMES = ["has_value", "max_min_local", "skip_rest", "or_unlike", "local_fold", "emit_filter", "emit_before_repeat", "v_by_ids", "merged_graphs", "quads_lookup", "io_reads_into_graph", "json_lines", "json_tree", "graphml_round_trip", "stream_degrees", "stream_hop", "three_hop_count", "filter_count_zero", "filter_or", "filter_nested", "local_topn", "local_count", "order_by_anon", "argmax_binding", "branch_option", "repeat_emit", "repeat_until", "path_by", "properties_kv", "values_multi", "property_update", "property_join", "union_dedup", "simple_path", "element_map", "limit_unordered"]
+NAMES = ["has_value", "max_min_local", "skip_rest", "or_unlike", "local_fold", "emit_filter", "emit_before_repeat", "v_by_ids", "merged_graphs", "quads_lookup", "io_reads_into_graph", "json_lines", "json_tree", "graphml_round_trip", "stream_degrees", "stream_hop", "three_hop_count", "filter_count_zero", "filter_or", "filter_nested", "local_topn", "local_count", "order_by_anon", "argmax_binding", "branch_option", "repeat_emit", "repeat_until", "path_by", "properties_kv", "values_multi", "property_update", "property_join", "union_dedup", "simple_path", "element_map", "limit_unordered", "bulk_walks", "bulk_mean", "bulk_in_filter", "reachable", "repeat_capped", "repeat_bindings", "filter_binding_hop", "local_binding", "hub_hop", "key_join_walks", "key_join_in_filter", "ids_by_index", "has_id_by_index", "pairs_of_table", "map_path_value", "merged_tables", "linked_tables", "built_from_tables", "io_of_tables", "folder_files", "json_documents", "rdf_turtle", "add_v", "add_e"]
 
 
 @pytest.mark.parametrize("name", NAMES)
