@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,8 @@ from hopwise.graph import EdgeTable, GraphBuilder, PropertyGraph, VertexTable
 from hopwise.operators import shared_dir
 from hopwise.sources.graphml import read_graphml, write_graphml
 from hopwise.sources.examples import crew, modern
-from hopwise.sources.files import FileIO, read_folder
+from hopwise.errors import GraphTraversalError, QueryError
+from hopwise.sources.files import FileIO, Graphs, read_folder
 from hopwise.sources.jsonfiles import graphson_lines, read_graphson, read_json_lines, read_json_tree
 from hopwise.sources.rdf import triples, turtle
 from hopwise.sources.tables import table_graph, talk_graph
@@ -262,6 +264,34 @@ def rdf_triples(g):
     return triples(g.graph).where("p = 'http://example.org/in_region'").select("s", "o")
 
 
+@query(NAMES_SQL, nations)
+def registry_graph(g):
+    """The graph of nations, stored and named in a registry."""
+    path = f"{shared_dir(g.graph.spark)}/hopwise-{uuid.uuid4().hex}.graphml"
+    write_graphml(g.graph, path, single=False)
+    known = Graphs(g.graph.spark, {"configs": {"nations": {"name": "nations", "file_path": path, "edge_label_key": "labelE"}, "modern": {"name": "modern", "custom_loader": "modern"}}})
+    return _names(known.get("nations"))
+
+
+def refused(g: Source, error: type[Exception], run: Callable[[], object]) -> DataFrame:
+    """One row: whether a traversal was refused with this error."""
+    try:
+        run()
+    except error as e:
+        return rows(g.graph.spark, [str(e)], "message string")
+    return rows(g.graph.spark, [], "message string")
+
+
+@query("select 'repeat did not end after 2 rounds' as message from conversations having max(turn) > 5", talk_graph)
+def round_cap(g):
+    """A loop over the turns that needs more rounds than its graph allows."""
+    short = replace(g.graph, config=replace(g.graph.config, most_rounds=2)).traversal()
+    return refused(g, GraphTraversalError, lambda: short.V().has("turn", 0).repeat(A.out("next_turn").in_("next_turn").out("next_turn")).until(A.has("turn", 6)).to_list().run())
+
+
+simple("order_asc_or_desc", "select 'order is either ascending or descending' as message", lambda g: refused(g, QueryError, lambda: g.V().has_label("part").order(by="p_size", asc=True, desc=True)))
+
+
 @query("select 'p:nation' || n_nationkey as subject, 'p:region' || n_regionkey as region from nation", nations)
 def rdf_turtle(g):
     """Subjects with prefixes; ids get plain names first."""

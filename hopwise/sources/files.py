@@ -222,16 +222,19 @@ class GraphEntry:
 
 
 class Graphs:
-    """Named graphs of a YAML file, loaded when they are first asked for."""
+    """Named graphs of a YAML file, or of a dict of the same form, loaded when they are first asked for. Paths are relative to the file's folder or whole."""
 
     LOADERS = {"modern": examples.modern, "crew": examples.crew}
 
-    def __init__(self, spark: SparkSession, config_file: str):
-        import yaml
-
-        path = Path(config_file)
+    def __init__(self, spark: SparkSession, config: str | dict):
         fields = GraphEntry.__dataclass_fields__
-        loaded = yaml.safe_load(path.read_text())["configs"]
+        if isinstance(config, dict):
+            path, loaded = Path("/graphs"), config["configs"]
+        else:
+            import yaml
+
+            path = Path(config)
+            loaded = yaml.safe_load(path.read_text())["configs"]
         self.entries = {k: GraphEntry(**{f: v for f, v in c.items() if f in fields}) for k, c in loaded.items()}
         self.spark, self.folder, self.graphs = spark, path.parent, {}
 
@@ -243,10 +246,13 @@ class Graphs:
             if e.custom_loader:
                 self.graphs[name] = self.LOADERS[e.custom_loader](self.spark)
             elif e.file_path and e.file_path.endswith(".json"):
-                self.graphs[name] = read_json_tree(self.spark, str(self.folder / e.file_path))
+                self.graphs[name] = read_json_tree(self.spark, self.located(e.file_path))
             else:
-                self.graphs[name] = read_graphml(self.spark, str(self.folder / e.file_path), e.node_label_key, e.node_name_key, e.edge_label_key, config=GraphConfig())
+                self.graphs[name] = read_graphml(self.spark, self.located(e.file_path), e.node_label_key, e.node_name_key, e.edge_label_key, config=GraphConfig())
         return self.graphs[name]
 
+    def located(self, path: str) -> str:
+        return path if re.match(r"^[a-z0-9]+:/", path) else str(self.folder / path)
+
 
 __all__ = ["FileIO", "GraphBuilder", "GraphEntry", "Graphs", "pdf_titles", "pptx_slides", "read_folder", "read_pdf", "read_pptx", "read_xlsx", "xlsx_cells"]
