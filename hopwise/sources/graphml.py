@@ -21,14 +21,15 @@ _DATA = "data array<struct<_key string, _VALUE string>>"
 def numbered(df: DataFrame, name: str) -> DataFrame:
     """Numbers rows from 0 in file order, without a shuffle: counts of the partitions before, plus the place within; the rows are written first, so both agree."""
     df = checkpointed(df).withColumn("__m", F.monotonically_increasing_id())
-    counts = dict(df.select(F.shiftright("__m", 33).alias("p")).groupBy("p").count().collect())
-    before, total = {}, 0
+    part = F.shiftright("__m", 33)
+    counts = dict(df.select(part.alias("p")).groupBy("p").count().collect())
+    before, total = [], 0
     for p in sorted(counts):
-        before[p], total = total, total + counts[p]
-    if not before:
-        return df.withColumn(name, F.col("__m")).drop("__m")
-    offsets = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])
-    return df.withColumn(name, F.element_at(offsets, F.shiftright("__m", 33)) + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))).drop("__m")
+        before.append((p, total))
+        total += counts[p]
+    before = df.sparkSession.createDataFrame(before, "__p long, __before long")  # one row for each partition
+    df = df.withColumn("__p", part).join(F.broadcast(before), "__p")
+    return df.withColumn(name, F.col("__before") + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))).drop("__m", "__p", "__before")
 
 
 def _typed(df: DataFrame, keys: list, keep: list[str]) -> DataFrame:
