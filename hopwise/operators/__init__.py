@@ -40,6 +40,10 @@ def stored(df: DataFrame) -> DataFrame:
 def discard(*frames: DataFrame) -> None:
     """Deletes what `stored` wrote for these frames; only for frames that no later job reads."""
     for df in frames:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        removed(df.sparkSession, [df._stored_at])
+
+
+def removed(spark: SparkSession, folders: list[str]) -> None:
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -479,6 +479,15 @@ r as (select b, 1 as level from e where a = 3 union select e.b, {levels} from r
 
 simple("reachable", _search("level + 1"), lambda g: g.V().has_label("supplier").has_id(3).repeat(_LEG).times(3).emit().dedup().to_df("id"), route_graph)
 simple("reachable_all", _search("1"), lambda g: g.V().has_label("supplier").has_id(3).repeat(_LEG).until(A.has_id(-1)).emit().dedup().to_df("id"), route_graph)
+simple(
+    "reachable_levels",
+    """with n as (select count(*) as n from supplier), e as materialized (select s_suppkey as a, (s_suppkey * k * 7 + k) % n as b from supplier, n, range(2, 151) t(k)
+where (s_suppkey * 131 + k * 977) % 9000 <= 2000 and (s_suppkey * k * 7 + k) % n in (select s_suppkey from supplier)),
+x as materialized (select b as y from e where a = 3 and b <> 3), y as materialized (select y, b as z from x join e on a = y where b not in (3, y))
+select 3 as length, count(*) as paths, count(distinct y) as ends from x union all select 5, count(*), count(distinct z) from y union all select 7, count(*), count(distinct b) from y join e on a = z where b not in (3, y, z)""",
+    lambda g: g.V().has_label("supplier").has_id(3).repeat(_LEG.simple_path()).times(3).emit().as_("dest").path().count(Scope.local).as_("length").select("dest", "length").to_df("dest", "length").groupBy(F.col("length").cast("int").alias("length")).agg(F.count(F.lit(1)).alias("paths"), F.countDistinct("dest").alias("ends")),
+    route_graph,
+)
 simple("reachable_turns", "with t as (select distinct conv_id * 1000 + turn as id from conversations) select x.id from t x where id % 1000 > 0 and (select count(*) from t y where y.id between x.id - x.id % 1000 and x.id) = x.id % 1000 + 1", lambda g: g.V().has("turn", 0).repeat(A.out("next_turn")).until(A.not_(A.out("next_turn"))).emit().dedup().to_df("id"), talk_graph)
 simple("repeat_capped", "with t as (select distinct conv_id * 1000 + turn as id from conversations) select max(id) as id from t group by id // 1000 having min(id) % 1000 = 0 and max(id) - min(id) = count(*) - 1 and count(*) between 2 and 4", lambda g: g.V().has("turn", 0).repeat(A.out("next_turn"), times=3, until=A.not_(A.out("next_turn"))).to_df("id"), talk_graph)
 simple("repeat_bindings", "with t as (select distinct conv_id * 1000 + turn as id from conversations) select min(id) as a, max(id) as b from t group by id // 1000 having min(id) % 1000 = 0 and max(id) - min(id) = count(*) - 1 and count(*) > 1", lambda g: g.V().has("turn", 0).as_("a").repeat(A.out("next_turn")).until(A.not_(A.out("next_turn"))).as_("b").select("a", "b").to_df(), talk_graph)

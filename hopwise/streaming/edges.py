@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hopwise.operators import shared_dir
+from hopwise.operators import removed, shared_dir
 
 
 def fresh_edges(stream: DataFrame, time_col: str = "ts", keys: tuple[str, ...] = ("src", "dst"), late: str = "10 minutes") -> DataFrame:
@@ -35,21 +35,31 @@ def landed(stream: DataFrame) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
-def latest(stream: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+def latest(stream: DataFrame, keys: list[str], values: list[str], every: int = 32) -> DataFrame:
     """Runs a stream over what is there and returns the last state of each key.
 
     Every batch writes the rows it changed to a folder of its own under the shared one, so a batch that is repeated replaces
-    itself; state older than the watermark is dropped, and no row passes through the driver.
+    itself; state older than the watermark is dropped, and no row passes through the driver. After so many batches (`every`) their rows
+    become one folder with the last state of each key, so what is kept grows with the keys and not with the batches.
     """
     spark = stream.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/hopwise-{uuid.uuid4().hex}"
+    schema = T.StructType([*stream.schema.fields, T.StructField("__batch", T.LongType())])
+    folders: list[str] = []
+
+    def last(session: SparkSession) -> DataFrame:
+        rows = session.read.schema(schema).parquet(*folders) if folders else session.createDataFrame([], schema)
+        return rows.groupBy(*keys).agg(*[F.max_by(v, "__batch").alias(v) for v in values], F.max("__batch").alias("__batch"))
 
     def put(rows: DataFrame, batch: int) -> None:
-        rows.withColumn("__batch", F.lit(batch)).write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")
+        folder = f"{path}/rows-{batch}"
+        rows.withColumn("__batch", F.lit(batch).cast("long")).write.mode("overwrite").parquet(folder)
+        folders.append(folder)
+        if len(folders) >= every:
+            last(rows.sparkSession).write.mode("overwrite").parquet(f"{path}/all-{batch}")
+            gone, folders[:] = folders[:], [f"{path}/all-{batch}"]
+            removed(rows.sparkSession, gone)
 
-    put(spark.createDataFrame([], stream.schema), -1)
     query = stream.writeStream.foreachBatch(put).outputMode("update").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    schema = T.StructType([*stream.schema.fields, T.StructField("__batch", T.IntegerType())])
-    rows = spark.read.schema(schema).parquet(f"{path}/rows")
-    return rows.groupBy(*keys).agg(*[F.max_by(v, "__batch").alias(v) for v in values])
+    return last(spark).drop("__batch")

@@ -251,3 +251,17 @@ def test_turtle(spark):
     said = {r["value"].split(" ")[0]: r["value"] for r in rows if not r["head"]}
     assert said["ex:a"] == 'ex:a ex:age "3"^^xsd:integer ;\n    ex:knows <http://example.org/b_1> ;\n    ex:name "A \\"q\\"\\\\" ;\n    rdf:type ex:Person .'
     assert said["<http://example.org/b_1>"].endswith('ex:name "B" ;\n    rdf:type ex:Person .')
+
+
+def test_last_states_are_compacted(spark, tmp_path):
+    from hopwise.streaming.edges import latest
+
+    for i in range(5):
+        spark.createDataFrame([(k, i) for k in range(i, 5)], "id long, v long").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("id long, v long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    counted = stream.groupBy("id").count()
+    for every in (2, 100):
+        found = latest(counted, ["id"], ["count"], every=every)
+        assert sorted(map(tuple, found.collect())) == [(k, k + 1) for k in range(5)]
+        folders = {f.rsplit("/", 2)[-2] for f in found.inputFiles()}
+        assert len(folders) == 1 if every == 2 else len(folders) >= 5
