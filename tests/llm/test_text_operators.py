@@ -309,9 +309,45 @@ def test_sharding(spark):
     assert sharding.shards(df.limit(0)).count() == 0
 
 
-def test_sharding_parcels(spark, monkeypatch):
-    """Groups too small to be scheduled singly go in parcels: still whole groups, gapless slots and near-equal shards."""
-    monkeypatch.setattr(sharding, "PARCELS", 64)
+def test_class_counts():
+    """Scheduling by classes of size gives what scheduling one by one gives."""
+    r = random.Random(3)
+    for _ in range(60):
+        shards, top = r.randrange(1, 9), r.choice([3, 30, 3000])
+        sizes = sorted({r.randrange(1, top): r.choice([1, 2, 7, 40, 300]) for _ in range(r.randrange(1, 12))}.items(), reverse=True)
+        items = [size for size, n in sizes for _ in range(n)]
+        placed = sharding.least_loaded(list(enumerate(items)), shards)
+        want = {size: [0] * shards for size, _ in sizes}
+        for key, s in placed.items():
+            want[items[key]][s] += 1
+        assert sharding.class_counts(sizes, shards) == list(want.values())
+    many = sharding.class_counts([(10**11, 1), (100, 10**9), (1, 10**13 + 5)], 16)
+    assert [sum(x) for x in many] == [1, 10**9, 10**13 + 5]
+    loads = [sum(n * k[s] for n, k in zip((10**11, 100, 1), many)) for s in range(16)]
+    assert max(loads) - min(loads) <= 1
+    assert sharding.class_counts([], 4) == []
+
+
+@pytest.mark.parametrize("limits", [{}, {"RANKED": 8, "BROADCAST_SIZES": 0, "HOT": 4}])
+def test_sharding_brute_force(spark, monkeypatch, limits):
+    """Each shard gets as many groups of each size as by the plain schedule of all groups; also with large classes, joins without a broadcast and few hot texts."""
+    for name, value in limits.items():
+        monkeypatch.setattr(sharding, name, value)
+    r = random.Random(9)
+    texts = [f"{r.randrange(400):03d}" + "x" * r.choice([0, 0, 0, 1, 2, 50]) for _ in range(1500)] + ["same"] * 700 + ["y" * 5000, None, None, "", "é"]
+    df = spark.createDataFrame([(i, t, "a", 1, 2) for i, t in enumerate(texts)], "doc_id long, text string, group string, copies int, part int")
+    size, shard_of = defaultdict(int), {}
+    for t in texts:
+        size[t] += len((t or "").encode()) + 1
+    for x in sharding.shards(df, 7).collect():
+        assert shard_of.setdefault(texts[x["doc_id"]], x["shard"]) == x["shard"]
+    of = sorted(size.values(), reverse=True)
+    plain = [(of[k], s) for k, s in sharding.least_loaded(list(enumerate(of)), 7).items()]
+    assert sorted((size[t], s) for t, s in shard_of.items()) == sorted(plain) and len(plain) == len(set(texts))
+
+
+def test_sharding_small_groups(spark):
+    """Many small groups and one large: whole groups, gapless slots and near-equal shards."""
     r = random.Random(5)
     texts = [f"text {r.randrange(900)} " * (1 + r.randrange(900) % 7) for _ in range(3000)] + ["big " * 3000] * 3 + [None, None, ""]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -326,11 +362,6 @@ def test_sharding_parcels(spark, monkeypatch):
     total, lone = sum(load.values()), 3 * (len("big " * 3000) + 1)
     rest = sorted(load.values())[:-1]
     assert max(load.values()) == lone and max(rest) - min(rest) <= total / 16
-    # the plain schedule of what was scheduled: large groups singly, parcels whole
-    size = defaultdict(int)
-    for t in texts:
-        size[t] += len((t or "").encode()) + 1
-    assert sum(v * 64 >= total for v in size.values()) < len(size) / 2
 
 
 def plain_url(url):
