@@ -39,6 +39,8 @@ HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 # Words in class, id or role that name page chrome.
 NAMES = set("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies copyright disclaimer discussion disqus dropdown footer form gdpr login masthead menu modal nav navbar navigation newsletter notice pagination pager popup promo promoted promotion recommended related replies respond search share sharing shares sidebar signup skip social sponsor sponsored subscribe tags toolbar topbar widget".split())
 OUTER_NAMES = {"header"}
+# Names of chrome as whole words only; as a part of a word they are more often the article's (`immune-responses`).
+WHOLE_NAMES = set("alert alertdialog commentlist responses".split())
 # Words that turn a chrome name beside them into a property of the element (`no-sidebar`, `has-share`), and elements that hold the page.
 MODIFIERS = set("no not has have with without hide show is".split())
 KEPT = set("html body main article".split())
@@ -52,7 +54,7 @@ _parts = re.compile(r"[a-z]+")
 _raw_ends = {name: re.compile(f"</{name}\\s*>", re.I) for name in RAW}
 
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "strong", "weak", "article", "outside", "heading")
-PAGES, DEPTH, LEAF = 400, 9, 5
+PAGES, DEPTH, LEAF = 1600, 12, 5
 
 
 def labelled_pages(n: int = PAGES, seed: int = 7) -> list[tuple[str, list[str]]]:
@@ -93,8 +95,10 @@ def labelled_pages(n: int = PAGES, seed: int = 7) -> list[tuple[str, list[str]]]
                 return f"<p>{kept(some(1, 9))}</p>"
             if k < 0.68:
                 return f"<p>{partly_linked(12, 90)}</p>"
-            if k < 0.72 and lists:
+            if k < 0.7 and lists:
                 return f"<p><a href=y>{kept(some(4, 12))}</a></p>"
+            if k < 0.72 and lists:
+                return "<ol>" + "".join(f"<li><a href=z>{kept(some(3, 14))}</a></li>" for _ in range(r.randint(2, 9))) + "</ol>"
             if k < 0.8:
                 return f"<{(h := r.choice(['h2', 'h3']))}>{kept(some(2, 8))}</{h}><p>{kept(some(15, 90))}</p>"
             if k < 0.88:
@@ -186,7 +190,7 @@ def naming(named: dict[str, str], names: set[str]) -> int:
     """2 if a whole word of class, id or role is one of the names, 1 if a part is that follows no modifier, else 0."""
     out = 0
     for one in " ".join(named.get(k, "") for k in ("class", "id", "role")).split():
-        if one in names:
+        if one in names or one in WHOLE_NAMES:
             return 2
         parts = _parts.findall(one)
         if not MODIFIERS.isdisjoint(parts):
