@@ -1,8 +1,10 @@
 """Secret scan: candidates by their form, false positives removed by a random forest trained on labelled findings.
 
-Candidates are read in one pass over the text, each with its position: what is assigned to a name that announces a secret
-(`password = "..."`, `token: ...`; 8 characters or more of any kind up to a space, quote, comma, semicolon or bracket), a password
-inside a URL (`//user:...@`), and runs of 16 or more letters, digits and `+ / _ -` (and `=` at the end) that no letter or digit adjoins.
+Candidates are read from left to right, each with its position: what is assigned to a name that announces a secret: in quotes
+(`password = "..."`) all up to the same quote in the line, 8 characters or more, spaces and brackets too; without (`token: ...`)
+8 characters or more of any kind up to a space, quote, comma, semicolon or bracket; a password
+inside a URL (`//user:...@`); three runs of 16 or more letters, digits and `_ -` with dots between them, as web tokens have, as one; and
+runs of 16 or more letters, digits and `+ / _ -` (and `=` at the end) that no letter or digit adjoins.
 
 The forest's features are the length, the shares of digits, capitals and symbols, the changes between kinds of characters, the transitions
 from each character to the next (the mean of their log ratios between secrets and others, a table learned from the labelled
@@ -12,6 +14,7 @@ forest are fitted on labelled findings, by default those made by the rules in `l
 
 One row for each document and candidate that the forest takes for a secret, with its first position (from 1) and number of
 occurrences, not counting those inside longer runs. Null and empty texts have none. Rows that repeat an id are scanned each; a null id is kept.
+Equal rows are told apart by a row number, so the rows must come in the same order when a task is repeated, as those of a scan do.
 """
 
 from __future__ import annotations
@@ -29,10 +32,14 @@ from pyspark.sql import functions as F
 
 # Names to which secrets are assigned.
 ASSIGNED = "passw(?:or)?d passwd passphrase pwd secret token api[_-]?key apikey access[_-]?key private[_-]?key credentials?"
-_SET = r"[\"'`]?[ \t]{0,3}[=:]{1,2}>?[ \t]{0,3}[\"'`]?"
+_NAME = "(?i:" + "|".join(ASSIGNED.split()) + ")"
+_SET = r"[\"'`]?[ \t]{0,3}[=:]{1,2}>?[ \t]{0,3}"
+# the first look at one character spares the longer ones at most places
 CANDIDATE = (
-    r"(?<=[=:]>?[ \t]{0,3}[\"'`]?)(?<=(?i:" + "|".join(ASSIGNED.split()) + ")" + _SET + r")[^\s\"'`,;<>(){}\[\]]{7,}[^\s\"'`,;<>(){}\[\].:!?]"
+    r"(?<=[\"'`])(?:" + "|".join(f"(?<={_NAME}{_SET}{q})[^{q}\\s][^{q}\\r\\n]{{7,}}+(?<!\\s)(?={q})" for q in "\"'`") + ")"
+    r"|(?<=[=:> \t\"'`])(?<=[=:]>?[ \t]{0,3}[\"'`]?)(?<=" + _NAME + _SET + r"[\"'`]?)[^\s\"'`,;<>(){}\[\]]{7,}[^\s\"'`,;<>(){}\[\].:!?]"
     r"|(?<=:)(?<=//[^\s:/@]{1,40}:)[^\s:/@]{6,}(?=@)"
+    r"|(?<![\p{L}\p{N}+/_\-])[A-Za-z0-9_\-]{16,}+\.[A-Za-z0-9_\-]{16,}+\.[A-Za-z0-9_\-]{16,}+(?!\.?[\p{L}\p{N}])"
     r"|(?<![\p{L}\p{N}+/_\-])[A-Za-z0-9+/_\-]{16,}+={0,2}+(?![\p{L}\p{N}])"
 )
 AROUND = 40
@@ -46,7 +53,9 @@ FREQUENT = (
 # Words that announce a secret, and words that announce something else of that form.
 ANNOUNCE = "token secret passw pwd passphrase api[_-]?key apikey access[_-]?key auth bearer credential private client_?id signature session //[^\\s:/@]+:$"
 OTHERWISE = "commit sha-?1 sha-?256 md5 checksum hash digest revision uuid guid isbn serial order invoice phone card iban version example"
-FEATURES = ["length", "digits", "capitals", "symbols", "changes", "transitions", "variety", "frequent", "vowels", "slashes", "separators", "announced", "otherwise", "assigned", "quoted", "hexadecimal", "number"]
+# Words of sentences and forms, which phrases made of chosen words seldom have.
+SPOKEN = "a an and are as at be by can click do does enter field for from here if in is it leave must need new no not of on or password please provide required set should that the this to type use user was when will with you your".split()
+FEATURES = ["length", "digits", "capitals", "symbols", "changes", "transitions", "variety", "frequent", "vowels", "slashes", "separators", "announced", "otherwise", "assigned", "quoted", "hexadecimal", "number", "spaces", "dots", "spoken"]
 # Characters as the table of transitions sees them: letters without case, any digit, anything else.
 KINDS = 28
 
@@ -95,6 +104,9 @@ def described(rows: DataFrame, transitions: list[float] | None = None) -> DataFr
             "quoted": (F.regexp_like(before, F.lit("[\"'`]$")) & F.regexp_like(F.coalesce("after", F.lit("")), F.lit("^[\"'`]"))).cast("double"),
             "hexadecimal": F.regexp_like(c, F.lit("^([0-9a-f]+|[0-9A-F]+)$")).cast("double"),
             "number": F.regexp_like(c, F.lit("^[0-9_-]+$")).cast("double"),
+            "spaces": F.regexp_count(c, F.lit(r"\s")).cast("double"),
+            "dots": F.regexp_count(c, F.lit("[.]")).cast("double"),
+            "spoken": F.regexp_count(c, F.lit(r"(?i)(?<!\p{L})(" + "|".join(SPOKEN) + r")(?!\p{L})")) / (F.regexp_count(c, F.lit(r"\s")) + 1),
         }
     )
 
@@ -106,6 +118,8 @@ def labelled_findings(n: int = FINDINGS, seed: int = 11) -> list[tuple[str, str,
     some = lambda letters, k: "".join(r.choice(letters) for _ in range(k))
     syllables = ["th", "er", "an", "in", "on", "ed", "es", "st", "re", "tion", "ing", "ble", "ou", "ha", "ch", "en", "sch", "ung", "te", "la", "ra", "do", "ci", "men", "eau", "lle", "mo", "ka", "pre", "con", "wer"]
     word = lambda k: "".join(r.choice(syllables) for _ in range(k))
+    spelt = lambda k: "".join(r.choice("bcdfghjklmnprstvwz") + r.choice("aeiou") + r.choice(["", "", *"lmnrst"]) for _ in range(k))
+    either = lambda k: word(k) if r.random() < 0.4 else spelt(k)
     names = ["token", "secret", "password", "passwd", "api_key", "apikey", "access_key", "auth_token", "client_secret", "private_key", "credentials", "Bearer", "session_key", "signature"]
     others = ["commit", "sha1", "sha256", "md5", "checksum", "hash", "digest", "revision", "uuid", "order", "invoice", "card", "version"]
     out = []
@@ -114,14 +128,27 @@ def labelled_findings(n: int = FINDINGS, seed: int = 11) -> list[tuple[str, str,
         if i % 10 == 7:  # passwords
             s = r.choice([some(mixed + "!#$%&*+-.?@^_~", r.randrange(8, 18)), word(2).capitalize() + some("0123456789", r.randrange(2, 5)) + r.choice(["", *"!#$&@?"]), word(2).replace("o", "0").replace("e", "3").replace("i", "1") + some("0123456789!$&", 3), some(lower, 4) + some("0123456789", 5)])
             s = s if len(s) >= 8 else s + some(lower + "0123456789", 8 - len(s))
+            phrase = r.random() < 0.35  # of some words
+            s = r.choice([" ", " ", "-"]).join(either(r.randrange(1, 4)) for _ in range(r.randrange(3, 7))) + r.choice(["", "", "7", "!"]) if phrase else s
             name = r.choice(["password", "passwd", "pwd", "db_password", "passphrase", "secret", "token"])
-            before, after = r.choice([(f'{name} = "', '"'), (f"{name}: ", " "), (f"{name}=", " "), (f"{word(2)} {name}: ", "."), (f"https://{word(1)}:", "@")])
+            before, after = r.choice([(f'{name} = "', '"'), (f"{name}: ", " "), (f"{name}=", " "), (f"{word(2)} {name}: ", "."), (f"https://{word(1)}:", "@")][: 1 if phrase else 5])
             out.append((s, before, after, 1.0))
         elif i % 10 == 8:  # words and paths where a secret might stand
             s = r.choice([word(r.randrange(3, 6)), word(2) + r.choice(["_", "-", "."]) + word(2), "/".join(["", word(1), word(2), word(1)]), f"https://{word(2)}.{word(1)}/{word(1)}", word(4).capitalize(), word(2) + word(2).capitalize(), r.choice(["required", "disabled", "undefined", "available", "everything", "somewhere", "null|undefined", "********", "xxxxxxxxxx", "<redacted>", "...........x"])])
             s = s if len(s) >= 8 else s + word(4)
+            if r.random() < 0.35:  # what a form says
+                s = " ".join(r.choice(SPOKEN) if r.random() < 0.55 else either(r.randrange(1, 4)) for _ in range(r.randrange(3, 9)))
+                s = s if len(s) >= 8 else s + " " + word(4)
+                out.append((s, r.choice(['password = "', 'password: "', 'token="', '"secret": "']), '"', 0.0))
+                continue
             name = r.choice(["password", "passwd", "pwd", "secret", "token", "api_key", "credentials"])
             out.append((s, r.choice([f"the {name}: ", f"{name}: ", f"{name} = ", f'{name}="', f"{word(2)} {name}: "]), r.choice([" ", ".", ",", '"']), 0.0))
+        elif i % 20 == 5:  # web tokens
+            s = ".".join(some(mixed + "-_", r.randrange(18, 90)) for _ in range(3))
+            out.append((s, r.choice(['token = "', "Bearer ", f"{word(2)} ", "jwt: "]), r.choice(['"', " ", ""]), 1.0))
+        elif i % 20 == 4:  # long names with dots
+            s = ".".join(r.choice(["", "_", "-"]).join(word(r.randrange(3, 6)) for _ in range(3)) + word(8) for _ in range(3))
+            out.append((s, f"{word(2)} ", r.choice([" ", ""]), 0.0))
         elif i % 2:
             s = some(hexa, r.choice([24, 32, 40, 40, 48, 64])) if kind < 0.45 else some(mixed, r.choice([20, 24, 32, 40, 43, 64])) if kind < 0.7 else some(mixed + "+/", r.choice([40, 44, 86])) if kind < 0.8 else r.choice(["AKIA", "ghp_", "sk_live_", "glpat-", "xoxb-", "AIza"]) + some(mixed, r.choice([16, 24, 36])) if kind < 0.95 else some(lower + "0123456789", r.choice([20, 32]))
             if r.random() < 0.12:

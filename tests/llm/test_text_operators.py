@@ -138,6 +138,23 @@ def test_secrets_positions(spark):
     assert got == [(0, key, 3, 3), (1, key, 59, 1), (2, "Tr0ub4dor&3", 13, 1), (3, "hunter2hunter2", 9, 1), (4, "s3cr3tPw9", 17, 1)]
 
 
+def test_secrets_whole_values(spark):
+    """Quoted values with spaces and brackets, and web tokens, are one finding each; what a form says is none."""
+    part = "eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9"
+    jwt = f"{part}.{part[::-1]}x7Q.Qm9{part[5:]}_-a"
+    docs = [
+        (1, 'password = "correct horse battery staple" ok'), (2, f"sent {jwt} along"), (3, f'Authorization: Bearer {jwt}'), (4, "secret: 'a[9](Zq;7,k}#x' done"),
+        (5, 'password: "please enter your new password here"'), (6, 'password = "unended ' + "word " * 20), (7, 'token = "\n\n"'), (8, 'password = "short"'),
+        (9, 'password = "correct horse battery staple" and password = "correct horse battery staple"'),
+    ]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    whole = {(r["doc_id"], r["finding"]) for r in secrets.candidates(df).collect()}
+    phrase = "correct horse battery staple"
+    assert whole == {(1, phrase), (2, jwt), (3, jwt), (4, "a[9](Zq;7,k}#x"), (5, "please enter your new password here"), (9, phrase)}
+    got = sorted((r["doc_id"], r["finding"], r["start"], r["n_occurrences"]) for r in secrets.secrets(df).collect())
+    assert got == [(1, phrase, 13, 1), (2, jwt, 6, 1), (3, jwt, 23, 1), (4, "a[9](Zq;7,k}#x", 10, 1), (9, phrase, 13, 2)]
+
+
 def test_secrets_plain_version(spark):
     """Candidates, positions and features against plain Python, over many candidates in one text too."""
     import regex
