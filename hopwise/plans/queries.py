@@ -156,7 +156,7 @@ simple("order_by_anon", "select c_custkey as id from customer left join (select
 simple("count_global", "select count(*) as n from orders", lambda g: g.V().has_label("order").count().to_df("n"))
 simple("sum_global", "select cast(sum(p_size) as bigint) as n from part", lambda g: g.V().has_label("part").values("p_size").sum_().to_df("n"))
 simple("mean_global", "select round(avg(o_totalprice), 4) as v from orders", lambda g: g.V().has_label("order").values("o_totalprice").mean().to_df("v").select(F.round("v", 4).alias("v")))
-simple("min_global", "select min(o_totalprice) as v from orders", lambda g: g.V().has_label("order").values("o_totalprice").min_().to_df("v"))
+simple("min_global", "select min(o_totalprice) as v from orders", lambda g: g.V().has_label("order").values("o_totalprice").min_().dedup().to_df("v"))
 simple("max_global", "select o_totalprice as v from orders where o_totalprice = (select max(o_totalprice) from orders)", lambda g: g.V().has_label("order").values("o_totalprice").max_().to_df("v"))
 simple("argmax_binding", "select o_orderkey as id from orders where o_totalprice = (select max(o_totalprice) from orders)", lambda g: g.V().has_label("order").as_("o").values("o_totalprice").max_().select("o").to_df("id"))
 simple("fold_list", "select string_agg(r_name, ',' order by r_regionkey) as v from region", lambda g: g.V().has_label("region").values("r_name").fold().to_df("v").select(F.array_join("v", ",").alias("v")))
@@ -344,7 +344,7 @@ simple("skip_rest", "select p_partkey as id from part order by p_retailprice, p_
 simple("order_stable", "select s_suppkey as id from supplier order by s_nationkey, s_suppkey limit 7", lambda g: g.V().has_label("supplier").order(by="s_nationkey").limit(7).to_df("id"))
 simple("order_desc", "select r_name as name from region order by r_name desc limit 2", lambda g: g.V().has_label("region").order(by="name", desc=True).limit(2).values("name").to_df("name"))
 simple("local_sum", "select c_custkey as c, round(coalesce(sum(o_totalprice), 0), 2) as v from customer left join orders on o_custkey = c_custkey group by 1", lambda g: g.V().has_label("customer").as_("c").local(A.out("placed").values("o_totalprice").sum_()).as_("v").select("c", "v").to_df().select("c", F.round("v", 2).alias("v")))
-simple("local_max_min", "select o_custkey as c, max(o_totalprice) as v from orders group by 1 union all select o_custkey, min(o_totalprice) from orders group by 1", lambda g: _of_orders(g, A.out("placed").values("o_totalprice").max_()).union(_of_orders(g, A.out("placed").values("o_totalprice").min_())))
+simple("local_max_min", "select o_custkey as c, max(o_totalprice) as v from orders group by 1 union all select o_custkey, min(o_totalprice) from orders group by 1", lambda g: _of_orders(g, A.out("placed").values("o_totalprice").max_().dedup()).union(_of_orders(g, A.out("placed").values("o_totalprice").min_().dedup())))
 simple("local_fold", "select o_custkey as c, string_agg(o_orderpriority, ',' order by o_orderkey) as v from orders group by 1", lambda g: _of_orders(g, A.out("placed").values("o_orderpriority").fold()).where("size(v) > 0").select("c", F.array_join("v", ",").alias("v")))
 simple("or_unlike", "select o_orderkey as id from orders join customer on o_custkey = c_custkey where c_nationkey < 3 or exists (select 1 from lineitem join part on l_partkey = p_partkey where l_orderkey = o_orderkey and p_size = 50)", lambda g: g.V().has_label("customer").as_("c").out("placed").or_(A.select("c").out("in_nation").has_id(lt(3)), A.out("contains").has("p_size", 50)).to_df("id"))
 simple("emit_filter", "with t as (select conv_id * 1000 + turn as id from conversations group by 1) select id from t where id % 1000 = 2 and id - 1 in (select id from t) and id - 2 in (select id from t)", lambda g: g.V().has("turn", 0).repeat(A.out("next_turn")).times(2).emit(A.has("turn", 2)).to_df("id"), talk_graph)
