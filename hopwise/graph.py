@@ -22,6 +22,7 @@ from hopwise.operators.idindex import IdIndex
 
 CARRIED = "__v_"
 MOST_CHANGES, MOST_ADDED = 64, 1000  # that a table is read with; more are written into it
+BLOCK = 256  # ids of one key that a property join handles as one
 VERTEX_FIELDS, EDGE_FIELDS = ("id", "name", "labels", "_seq"), ("src", "dst", "eid", "_seq")
 
 
@@ -136,6 +137,26 @@ def union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
+def blocks(df: DataFrame, name: str) -> DataFrame:
+    """(key, block, ids) of rows (id, key): each key's ids in arrays of about BLOCK, told apart by a hash of the id."""
+    sizes = df.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    block = F.expr(f"pmod(xxhash64(id), (n + {BLOCK - 1}) div {BLOCK})")
+    lost = F.array_repeat(F.lit(None).cast(df.schema["id"].dataType), F.count_if(F.col("id").isNull()).cast("int"))  # a list drops nulls
+    return df.join(sizes, "key").groupBy("key", block.alias(f"{name}_block")).agg(F.concat(F.collect_list("id"), lost).alias(f"{name}s"))
+
+
+def equal_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(src, dst) for all rows (id, key) of two frames with equal keys; neither few keys nor one frequent key leave them to few tasks.
+
+    Pairs of blocks are joined and dealt to the tasks, BLOCK² pairs of rows each, and listed there: what is sent and what a task holds at a
+    time are small however many rows share a key.
+    """
+    spark = a.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)  # a number, as few bytes become many rows
+    dealt = blocks(a, "src").join(blocks(b, "dst"), "key").repartition(tasks, "key", "src_block", "dst_block")
+    return dealt.select(F.explode("srcs").alias("src"), "dsts").select("src", F.explode("dsts").alias("dst"))
+
+
 @dataclass
 class PropertyGraph:
     """Vertex tables and edge tables; changing steps put new tables in their place."""
@@ -245,7 +266,7 @@ class PropertyGraph:
         return out
 
     def join(self, from_label: str, to_label: str, join_field: str, target_key: str, edge_label: str) -> None:
-        """An edge for every pair of vertices of the two labels with equal fields: one hash equi-join.
+        """An edge for every pair of vertices of the two labels with equal fields: an equi-join of blocks of vertices, see `equal_pairs`.
 
         Between two labels of a multigraph the edges are kept as the keys of their ends too, and a hop whose rows may be put together goes from
         key to key: `count` and `dedup` never list the pairs.
@@ -257,7 +278,7 @@ class PropertyGraph:
         ends = a.select("id", F.col(join_field).alias("key")).where("key is not null"), b.select("id", F.col(target_key).alias("key")).where("key is not null")
 
         def pairs() -> DataFrame:
-            made = ends[0].withColumnRenamed("id", "src").join(ends[1].withColumnRenamed("id", "dst"), "key").where("src <> dst" if from_label == to_label else "true")
+            made = equal_pairs(*ends).where("src <> dst" if from_label == to_label else "true")
             return made.select("src", "dst", F.xxhash64("src", "dst").alias("eid"), F.lit(0).cast("long").alias("_seq"))
 
         if self.config.multigraph or not self.edges:
