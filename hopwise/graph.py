@@ -149,12 +149,14 @@ def equal_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
     """(src, dst) for all rows (id, key) of two frames with equal keys; neither few keys nor one frequent key leave them to few tasks.
 
     Pairs of blocks are joined and dealt to the tasks, BLOCK² pairs of rows each, and listed there: what is sent and what a task holds at a
-    time are small however many rows share a key.
+    time are small however many rows share a key. A range of neighbours goes to each task, so the ids in a task are few against its rows and a
+    file's dictionary holds them. The two lists are opened by two steps with `coalesce` between them, which moves nothing: Spark would make one loop
+    of both, which keeps copies of all BLOCK² pairs before it hands on the first.
     """
     spark = a.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)  # a number, as few bytes become many rows
-    dealt = blocks(a, "src").join(blocks(b, "dst"), "key").repartition(tasks, "key", "src_block", "dst_block")
-    return dealt.select(F.explode("srcs").alias("src"), "dsts").select("src", F.explode("dsts").alias("dst"))
+    dealt = blocks(a, "src").join(blocks(b, "dst"), "key").repartitionByRange(tasks, "key", "src_block", "dst_block")
+    return dealt.select(F.explode("srcs").alias("src"), "dsts").coalesce(tasks).select("src", F.explode("dsts").alias("dst"))
 
 
 @dataclass

@@ -1,5 +1,6 @@
 """Property joins of few keys: every pair once, dealt to many tasks."""
 
+import re
 from itertools import product
 
 from pyspark.sql import functions as F
@@ -30,3 +31,26 @@ def test_pairs_as_a_plain_join(spark):
     show = lambda rows: sorted(map(repr, rows))
     assert show(map(tuple, equal_pairs(left, right).collect())) == show((x, y) for (x, k), (y, j) in product(a, b) if k == j)
     assert equal_pairs(left.where("false"), right).isEmpty()
+
+
+def test_neighbours_go_to_one_task(spark):
+    """Of 16 keys and 144 pairs of blocks, a task of 16 has the pairs of few keys, so a file's dictionary of ids stays small."""
+    ids = spark.range(16 * 600).selectExpr("id", "id % 16 as key")
+    pairs = equal_pairs(ids, ids)
+    tasks = pairs.groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.expr("src % 16")).alias("keys")).collect()
+    assert sum(r["n"] for r in tasks) == 16 * 600 * 600
+    assert len(tasks) >= 12
+    assert max(r["keys"] for r in tasks) <= 4
+
+
+def test_lists_are_opened_one_after_the_other(spark, capsys):
+    """Spark compiles the two lists apart: as one loop, it holds the pairs of two whole blocks at a time."""
+    ids = spark.range(10).selectExpr("id", "id % 2 as key")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        equal_pairs(ids, ids).explain()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    loops = re.findall(r"\*\((\d+)\) Generate explode", capsys.readouterr().out)
+    assert len(loops) == len(set(loops)) == 2
